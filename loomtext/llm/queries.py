@@ -36,9 +36,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("details")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
+    "op9_minhash": op9_minhash,
 }
 ORACLES: dict[str, str] = {}
