@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise, slices, utf8_column
+from loomtext.llm.common import bounds, materialise, runs, slices, utf8_column
 from loomtext.llm.components import connected_components
 from loomtext.llm.shingles import mix, shingle_sets
 
@@ -142,38 +142,6 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 # ---------------------------------------------------------------- groups in sorted partitions
 
 
-def runs(batches, n_keys: int):
-    """Record batches cut so that rows with equal leading ``n_keys`` columns come together."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(n_keys)]
-        same = np.ones(batch.num_rows, bool)
-        for i, v in enumerate(last):
-            same &= batch.column(i).to_numpy(zero_copy_only=False) == v
-        cut = batch.num_rows - int(same.sum())
-        if cut:
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks()
-            rest = []
-        elif rest and [rest[0].column(i)[0].as_py() for i in range(n_keys)] != last:
-            yield pa.Table.from_batches(rest).combine_chunks()
-            rest = []
-        rest.append(batch.slice(cut))
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks()
-
-
-def bounds(table: pa.Table, n_keys: int) -> np.ndarray:
-    """Offsets of the groups of a table that is sorted by its leading columns."""
-    change = np.zeros(table.num_rows, bool)
-    change[0] = True
-    for i in range(n_keys):
-        v = table.column(i).to_numpy()
-        change[1:] |= v[1:] != v[:-1]
-    return np.append(np.flatnonzero(change), table.num_rows)
-
-
 class Forest:
     """Union-find that tells whether a link is new."""
 

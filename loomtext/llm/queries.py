@@ -36,6 +36,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("details")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtext.llm.minhash import near_duplicates
 
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
+    "op7_neighbours": op7_neighbours,
     "op9_minhash": op9_minhash,
 }
 ORACLES: dict[str, str] = {}
