@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import table
+from loomtext.llm.common import shared_dir, table
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,28 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.warc import read_warc, with_revisits, write_warc
+
+    path = shared_dir(spark, "warc")
+    write_warc(with_revisits(table(spark, sf_dir, "pages")), path)
+    back = read_warc(spark, path, keep_payload=False).where("status = 'record'")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages
+), g AS (
+  SELECT html, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY html
+)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN g.original IS NULL OR g.original = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.original <> p.page_id THEN g.original END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtext.llm.quality import score_documents
 
@@ -50,9 +72,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
     "op7_neighbours": op7_neighbours,
     "op9_minhash": op9_minhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+}
