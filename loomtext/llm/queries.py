@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import shared_dir, table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtext.llm.decontaminate import decontaminate
 
@@ -64,6 +76,90 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def _op8_sql() -> str:
+    from loomtext.llm.licenses import COPYRIGHT, NOTICES, PUNCTUATION, SPELLINGS, TEXTS
+
+    def quoted(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def lines(text: str) -> str:
+        out = f"lower(coalesce({text}, ''))"
+        out = f"regexp_replace(regexp_replace({out}, {quoted(COPYRIGHT)}, chr(10), 'g'), {quoted(PUNCTUATION)}, ' ', 'g')"
+        for found, same in SPELLINGS:
+            out = f"replace({out}, {quoted(found)}, {quoted(same)})"
+        return out
+
+    def canonical(text: str) -> str:
+        return f"trim(regexp_replace({lines(text)}, '[ \\n]+', ' ', 'g'))"
+
+    texts = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in TEXTS.items())
+    notices = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, each in NOTICES.items() for t in each)
+    return f"""
+WITH known AS (SELECT {canonical("t")} AS c, min(i) AS license_id FROM (VALUES {texts}) v(i, t) GROUP BY 1),
+notice AS (SELECT {canonical("t")} AS c, min(i) AS i FROM (VALUES {notices}) v(i, t) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {lines("text")} AS lines, {canonical("text")} AS c FROM documents),
+found AS (
+  SELECT r, string_agg(DISTINCT i, ',' ORDER BY i) AS notices
+  FROM (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM d) x JOIN notice ON notice.c = line GROUP BY r
+)
+SELECT doc_id, sha256(d.c) AS digest, license_id, coalesce(notices, '') AS notices
+FROM d LEFT JOIN known ON known.c = d.c LEFT JOIN found USING (r)
+"""
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.mixing import mixed, tokens_of
+
+    out = mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("mix_topic").alias("topic"), tokens_of(F.col("text")).alias("n_tokens"), F.round("probability", 9).alias("probability"), "sampled")
+
+
+def _op10_sql() -> str:
+    from loomtext.llm.mixing import DIMENSIONS, FLATTEN, NULL, RATE, ROUNDS, SEED, TOPICS
+
+    def quoted(s: str) -> str:
+        return "'" + s.replace("\n", "' || chr(10) || '") + "'"
+
+    topic = " ".join(f"WHEN contains(coalesce(text, ''), {quoted(m)}) THEN '{t}'" for t, m in TOPICS)
+    steps, last = [], "w0"
+    for r in range(ROUNDS * len(DIMENSIONS)):
+        d = DIMENSIONS[r % len(DIMENSIONS)]
+        own = f"sum(weight) OVER (PARTITION BY {d})"
+        steps.append(f"w{r + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {own} > 0 THEN weight * (target_{d} / {own}) ELSE 0.0 END AS weight) FROM {last})")
+        last = f"w{r + 1}"
+    targets = ", ".join(
+        f"t_{d} AS (SELECT {d}, sum(n) OVER () * f / sum(f) OVER () AS target_{d} FROM (SELECT {d}, sum(tokens) AS n, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {FLATTEN}) ELSE 0.0 END AS f FROM cells GROUP BY {d}) x)"
+        for d in DIMENSIONS
+    )
+    joins = " ".join(f"JOIN t_{d} USING ({d})" for d in DIMENSIONS)
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '{NULL}') AS source, coalesce(lang, '{NULL}') AS lang, CASE {topic} ELSE 'prose' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_tokens
+  FROM documents
+),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY 1, 2, 3),
+{targets},
+w0 AS MATERIALIZED (SELECT cells.*, tokens AS weight, {", ".join(f"target_{d}" for d in DIMENSIONS)} FROM cells {joins}),
+{", ".join(steps)},
+r AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1.0 END AS ratio FROM {last}),
+s AS (
+  SELECT *, ({RATE} * sum(tokens) OVER () - coalesce(sum(tokens) OVER b, 0)) / nullif(sum(tokens * ratio) OVER () - coalesce(sum(tokens * ratio) OVER b, 0), 0) AS c
+  FROM r WINDOW b AS (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+p AS (SELECT source, lang, topic, least(1.0, coalesce((SELECT arg_max(c, ratio) FROM s WHERE c * ratio <= 1), 1.0) * ratio) AS p FROM s)
+SELECT doc_id, topic, n_tokens, round(p, 9) AS probability,
+  coalesce(('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < p, false) AS sampled
+FROM d JOIN p USING (source, lang, topic)
+"""
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtext.llm.minhash import near_duplicates
 
@@ -71,13 +167,19 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
     "op7_neighbours": op7_neighbours,
+    "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": OP4_SQL,
+    "op8_licenses": _op8_sql(),
+    "op10_mixing": _op10_sql(),
 }
