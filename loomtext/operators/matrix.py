@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators.summary import glob_to_regex
 
 
-def _values(spark: SparkSession, name: str, values: list) -> DataFrame:
-    kind = "int" if values and isinstance(values[0], int) else "string"
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"{name}_ord int, {name} {kind}")
-
-
-def job_matrix(spark: SparkSession, tasks: list[str], sets: list[str], models: DataFrame, seeds: list[int], variants: list[str], *, eval_split: str = "test", eval_sets: list[str] = ()) -> DataFrame:
-    """Cross product in the order of the lists. ``models``: model, tokenizer, max_length."""
-    out = _values(spark, "task", tasks).crossJoin(_values(spark, "set", sets)).crossJoin(models).crossJoin(_values(spark, "seed", seeds)).crossJoin(_values(spark, "train_variant", variants))
+def job_matrix(tasks: list[str], sets: list[str], models: DataFrame, seeds: list[int], variants: list[str], *, eval_split: str = "test", eval_sets: list[str] = ()) -> DataFrame:
+    """Cross product of the lists and ``models`` (model, tokenizer, max_length)."""
+    out = models.coalesce(1)
+    for name, values in (("task", tasks), ("set", sets), ("seed", seeds), ("train_variant", variants)):
+        out = out.withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))
     sets_ = F.array(*(F.lit(s) for s in eval_sets)) if eval_sets else F.array().cast("array<string>")
     return out.select("task", "set", "model", "tokenizer", "max_length", "seed", "train_variant", F.lit(eval_split).alias("eval_split"), sets_.alias("eval_sets"))
 

@@ -46,7 +46,8 @@ def meta_counts(meta: DataFrame, *keys: str) -> DataFrame:
         "forced_relevant": F.array(F.when(F.coalesce("forced_relevant", F.lit(False)), "true").otherwise("false")),
         "types_raw": F.coalesce("types_raw", none), "types_pooled": F.coalesce("types_pooled", none),
     }
-    pairs = F.flatten(F.array(*(F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("field"), x.alias("value"))) for k, v in fields.items())))
+    pair = lambda k: lambda x: F.struct(F.lit(k).alias("field"), x.alias("value"))
+    pairs = F.flatten(F.array(*(F.transform(v, pair(k)) for k, v in fields.items())))
     return meta.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, "p.field", "p.value").agg(F.count("*").alias("n"))
 
 

@@ -1,6 +1,6 @@
 """Named queries over the plain tables, with the SQL that gives the same rows."""
 
-from loomtext.plans import annotation, augmentation
+from loomtext.plans import annotation, augmentation, evaluation
 from loomtext.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "annotation", "augmentation"]
+__all__ = ["ORACLES", "QUERIES", "annotation", "augmentation", "evaluation"]

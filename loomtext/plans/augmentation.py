@@ -13,6 +13,7 @@ from loomtext.operators import splits as st
 from loomtext.operators import variants as va
 from loomtext.plans.annotation import example_frame
 from loomtext.plans.registry import LEX, SPANS, SPECIES, md5, md5_int, query
+from loomtext.shared import materialise
 from loomtext.sources.attribution import parse_attribution
 
 SEED = 7
@@ -143,7 +144,7 @@ def phrases_present(spark, sf_dir):
 
 
 def _bundle(spark, sf_dir, **options):
-    index = example_frame(spark, sf_dir)
+    index = materialise(example_frame(spark, sf_dir), "examples")
     lex = fx.lexicon(spark, sf_dir)
     known = lx.known_mentions(index, lex, id_col="example_id")
     return va.materialise_variants(index, known, lx.full_pool(lex), seed=SEED, negative=F.array(F.lit("SPEC")), **options)
@@ -169,7 +170,7 @@ def unique_scramble(spark, sf_dir):
     return va.unique_outputs(p, SEED)
 
 
-_ATTR = r"att AS (SELECT doc_id AS article_id, nullif(regexp_extract(text, '[^\n]*[Ll]icen[sc]ed?[^\n]*'), '') AS license FROM documents)"
+_ATTR = r"att AS (SELECT doc_id AS article_id, nullif(regexp_extract(text, '[^\n]*[Ll]icen[sc]e[^\n]*'), '') AS license FROM documents)"
 
 
 def _license_sql(raw: str) -> str:
@@ -216,7 +217,7 @@ def licence_flags(spark, sf_dir):
 
 def _licensed(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
-    line = F.nullif(F.regexp_extract("text", r"[^\n]*[Ll]icen[sc]ed?[^\n]*", 0), F.lit(""))
+    line = F.get(F.filter(F.split("text", "\n"), lambda x: x.rlike("[Ll]icen[sc]e")), F.lit(0))
     return lc.with_licenses(docs, docs.select("article_id", line.alias("license")).where("license is not null"))
 
 
@@ -308,7 +309,7 @@ def split_coverage(spark, sf_dir):
     return moved.where("split = 'test'").join(cats, "id").select("category", F.lit(True).alias("covered")).distinct()
 
 
-@query("""SELECT * FROM (VALUES (0, 'swap', 'x,y', 'train', 'a', 2, 'e', 0, true), (1, 'add', 'z', 'eval', 'd', 1, NULL, NULL, NULL)) v(step, action, missing, donor_split, donor, donor_cover, swapped_out, redundancy, irrelevant)""")
+@query("""SELECT * FROM (VALUES (0, 'swap', 'x,y,z', 'train', 'a', 2, 'e', 0, true), (1, 'add', 'z', 'eval', 'd', 1, NULL, NULL, NULL)) v(step, action, missing, donor_split, donor, donor_cover, swapped_out, redundancy, irrelevant)""")
 def split_repair_trace(spark, sf_dir):
     """The decisions of a small repair."""
     members = [("a", "train"), ("b", "train"), ("d", "eval"), ("e", "test"), ("f", "test")]
