@@ -13,7 +13,7 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
     without a token vanish. Files are read whole: a data set is many files of
     moderate size.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
     blocks = files.select("path", F.posexplode(F.split(F.array_join(F.transform(lines, lambda x: F.when(F.trim(F.regexp_replace(x, r"\s+", " ")) == "", "").otherwise(x)), "\n"), r"\n\n+")).alias("block", "b"))
     pairs = F.filter(F.split("b", "\n"), lambda x: x.contains(" "))

@@ -29,7 +29,7 @@ def write_jsonl(rows: DataFrame, path: str, *, order_by: str | None = None) -> N
 
 def read_document(spark: SparkSession, path: str) -> dict:
     """A small JSON document."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def dump_document(value: dict) -> str:
@@ -64,7 +64,7 @@ def with_metadata(spark: SparkSession, path: str) -> DataFrame:
     metadata gets ids ``ex_%08d`` and null metadata.
     """
     examples = read_conll(spark, path).where("path like '%.set'").withColumn("stem", F.regexp_replace("path", r"\.set$", ""))
-    lines = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value").where("path like '%.meta.jsonl'")
+    lines = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").where("path like '%.meta.jsonl'")
     split = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     kept = "struct<example_id:string,checksum:string,variant:string,category:string,reason:string,forced_relevant:boolean,types_raw:array<string>,types_pooled:array<string>,token_count:int>"
     meta = lines.select(F.regexp_replace("path", r"\.meta\.jsonl$", "").alias("stem"), F.posexplode(split).alias("idx", "j")).select("stem", "idx", F.from_json("j", kept).alias("m"))
