@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.shared import materialise, shared_dir
+
+__all__ = ["bounded_batches", "bounds", "materialise", "runs", "shared_dir", "slices", "table", "utf8_column"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the folder that ``spark.checkpoint.dir`` names.
-
-    The setting is only replaced by a local temporary folder when it is unset
-    and Spark runs in local mode; a cluster without it is an error, since a
-    machine-local folder would lose files together with its machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="loomtext-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomtext/{purpose}-{uuid.uuid4().hex}"
+#: Rows and bytes of one Arrow batch, unless the session has other than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts are long, and JVM and Python hold a batch several times over."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
+        spark.conf.set(size, BATCH_BYTES)
 
 
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import bounded_batches
+
 WINDOW = 13
 #: Benchmark text that one automaton holds at most; a larger benchmark is scanned in blocks of this size.
 AUTOMATON_BYTES = 4_000_000
@@ -114,6 +116,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int) -
 
 def _scan_block(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, window: int, only_hits: bool) -> DataFrame:
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(items)
     id_type = docs.schema[id_col].dataType.simpleString()
     cache: dict = {}

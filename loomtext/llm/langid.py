@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise, slices, utf8_column
+from loomtext.llm.common import bounded_batches, materialise, slices, utf8_column
 
 #: Labelled documents that the text model is fitted on at most, those of the smallest id hashes.
 SAMPLE = 5_000
@@ -100,6 +100,7 @@ def fit_text_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: host, domain, suffix, declared and the text log likelihoods. Map-only."""
     langs, log_p = model
+    bounded_batches(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
     names = [id_col, "host", "domain", "suffix", "declared", "text_log"]
 

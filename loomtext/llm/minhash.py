@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bounds, materialise, runs, slices, utf8_column
+from loomtext.llm.common import bounded_batches, bounds, materialise, runs, slices, utf8_column
 from loomtext.llm.components import connected_components
 from loomtext.llm.shingles import mix, shingle_sets
 
@@ -123,6 +123,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_shingles, digest of the set, registers (null for an empty set). Map-only."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

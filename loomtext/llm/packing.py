@@ -27,6 +27,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from loomtext.llm.common import bounded_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Word pattern of that vocabulary, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -146,6 +148,7 @@ def _pack(pieces: list[tuple], length: int, dtype: np.dtype, pad: int) -> Iterat
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, window: int = WINDOW, pad: int = PAD) -> DataFrame:
     """Packed rows of all documents; ids must be integers."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         dtype = np.dtype("<u2" if encoding(vocabulary).n_vocab <= 1 << 16 else "<u4")

@@ -23,6 +23,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomtext.llm.common import bounded_batches
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "local_phone")
 CONTEXT_CHARS = 40
@@ -129,6 +131,7 @@ SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: counts of base kinds, digest of base spans, and all spans with scores. Map-only."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "details"]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

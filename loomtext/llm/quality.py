@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise
+from loomtext.llm.common import bounded_batches, materialise
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "long_words", "short_words", "upper", "digit", "punctuation",
@@ -69,6 +69,7 @@ def statistics_of(text: str | None) -> list[float]:
 
 def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, the ``carry`` columns and ``stats array<double>``. Map-only over whole texts."""
+    bounded_batches(docs.sparkSession)
     kept = [id_col, *carry]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", stats array<double>"
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise
+from loomtext.llm.common import bounded_batches, materialise
 
 REVISIT_BYTES = 1000
 LEVEL = 4
@@ -211,6 +211,7 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
 def write_warc(records: DataFrame, path: str, *, compress: bool = True) -> None:
     """Write (page_id, url, payload, refers_to) rows as WARC files under ``path``."""
+    bounded_batches(records.sparkSession)
 
     def run(batches):
         for b in batches:
