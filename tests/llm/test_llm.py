@@ -1,0 +1,390 @@
+"""Operators of the llm subpackage against brute force, round trips and odd inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomtext.llm import decontaminate as dc
+from loomtext.llm import langid, licenses, mixing, packing, pii, quality, queries, warc
+from loomtext.llm.ann import nearest
+from loomtext.llm.components import connected_components
+from loomtext.llm.minhash import drop_near_duplicates, estimate, near_duplicates, registers_of
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def documents(spark, texts, extra=True):
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], DOCS)
+    return df.withColumns({"n_words": F.lit(1), "rank": F.lit("x"), "key": F.lit(2)}) if extra else df
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (None, "a null id"), (5, "same text here"), (5, "same text here"), (6, "ä" * 50_000)]
+
+# ---------------------------------------------------------------- 3
+
+
+def brute_contamination(docs, items, window=13):
+    out = {}
+    items = {i: dc.words_of(t) for i, t in items}
+    for d, text in docs:
+        words, hit, found = dc.words_of(text), set(), set()
+        for i, w in items.items():
+            size = min(window, len(w))
+            for a in range(len(w) - size + 1) if w else ():
+                for b in range(len(words) - size + 1):
+                    if words[b : b + size] == w[a : a + size]:
+                        hit.update(range(b, b + size))
+                        found.add(str(i))
+        out[d] = (len(words), len(hit), ",".join(sorted(found)))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(1)
+    word = lambda: rng.choice(["a", "b", "c", "Dé"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 13, 15])))) for i in range(30)] + [(99, None), (7, "a, b")]
+    docs = [(i, rng.choice([" ", ", ", "\n"]).join(word() for _ in range(rng.randrange(60)))) for i in range(40)] + [(100, None), (101, "")]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    items = [x for x in items if x[0] != 7] + [(7, t) for i, t in items if i == 7][-1:]
+    bench = bench.where("not (item_id = 7 and text <> 'a, b')")
+    want = brute_contamination(docs, items)
+    for size in (dc.AUTOMATON_BYTES, 40):
+        got = {r.doc_id: (r.n_words, r.n_hit, ",".join(r["items"])) for r in dc.decontaminate(documents(spark, docs), bench, automaton_bytes=size).collect()}
+        assert got == want, size
+
+
+def test_decontamination_offsets_and_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "Été one-two")], "item_id int, text string")
+    got = dc.decontaminate(documents(spark, [(1, "x ÉÉ! Été, ONE (two) y"), *ODD]), bench).collect()
+    text = "x ÉÉ! Été, ONE (two) y"
+    row = next(r for r in got if r.doc_id == 1 and r.n_hit)
+    assert [text[p.start : p.end] for p in row.passages] == ["Été, ONE (two"] and row.contaminated
+    assert len(got) == 1 + len(ODD)
+    assert dc.decontaminate(documents(spark, ODD), bench.limit(0)).where("contaminated").count() == 0
+    assert dc.decontaminate(documents(spark, []), bench).count() == 0
+
+
+# ---------------------------------------------------------------- 4
+
+
+def test_warc_salvage():
+    records = [warc.record(i, f"http://x/{i}", b"payload %d " % i * 50) for i in range(5)]
+    for units in (records, [warc.member(r) for r in records]):
+        whole = b"".join(units)
+        assert [u[0] for u in warc.salvage(whole)] == ["record"] * 5
+        at = len(units[0]) + len(units[1]) + len(units[2]) // 2
+        broken = whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :]
+        got = list(warc.salvage(broken))
+        assert [u[0] for u in got] == ["record", "record", "gap", "record", "record"]
+        assert (got[2][1], got[2][2]) == (len(units[0]) + len(units[1]), sum(map(len, units[:3])))
+        cut = list(warc.salvage(whole[:-10]))
+        assert [u[0] for u in cut][-1] == "gap" and cut[-1][2] == len(whole) - 10
+        assert [u[0] for u in warc.salvage(b"junk" + whole)] == ["gap", *["record"] * 5]
+    assert list(warc.salvage(b"")) == []
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "é" * 600
+    pages = [(1, "http://a/\r\nb", big), (2, "u", big), (3, None, big), (4, "v", "small"), (5, "v", "small"), (None, "w", big), (6, None, None), (7, "z", "q" * 1000), (7, "z", "q" * 1000)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("digest", F.lit(0))
+    for compress in (True, False):
+        path = str(tmp_path / f"w{compress}")
+        warc.write_warc(warc.with_revisits(df), path, compress=compress)
+        rows = warc.read_warc(spark, path).collect()
+        assert {r.status for r in rows} == {"record"} and len(rows) == len(pages)
+        by = {(r.page_id, r.record_type): r for r in rows}
+        assert by[3, "response"].payload == big.encode() and by[1, "revisit"].refers_to == 3 and by[2, "revisit"].payload_bytes == 1200
+        assert by[None, "revisit"].refers_to == 3 and by[1, "revisit"].url == "http://a/%0D%0Ab"
+        assert by[1, "revisit"].payload_digest == hashlib.sha1(big.encode()).hexdigest()
+        assert sum(r.page_id == 7 and r.record_type == "response" for r in rows) == 2
+    warc.write_warc(warc.with_revisits(df.limit(0)), str(tmp_path / "none"))
+    assert warc.read_warc(spark, str(tmp_path / "none")).where("status = 'record'").count() == 0
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_quality_on_held_out(spark):
+    out = queries.op5_quality(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = out.join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    other = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    flipped = {r.doc_id: r.score for r in quality.score_documents(docs, other).collect()}
+    assert all(abs(flipped[r.doc_id] - r.score) < 1e-9 for r in out.collect())
+
+
+def test_quality_odd_inputs(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (4, None), (5, 7)], "doc_id bigint, quality int")
+    docs = documents(spark, ODD)
+    assert quality.score_documents(docs, labels).count() == len(ODD)
+    assert {r.score for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.keep_good(docs, labels.limit(0)).columns == docs.columns
+    assert quality.score_documents(docs.limit(0), labels).count() == 0
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_pii_spans():
+    card = "4111 1111 1111 1111"
+    text = f"é mail a.b@x.org, ip 1.2.3.4 and 256.1.1.1; card {card} not 4111 1111 1111 1112; call +49 (30) 123-4567 or 030 123 4567; GB82 WEST 1234 5698 7654 32"
+    got = [(k, text[s:e]) for k, s, e, _ in pii.spans_of(text)]
+    assert got == [("email", "a.b@x.org"), ("ip", "1.2.3.4"), ("card", card), ("phone", "+49 (30) 123-4567"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("local_phone", "030 123 4567")]
+    assert pii.redact(text, pii.spans_of(text)).count("<") == 6
+    assert pii.luhn("79927398713") and not pii.luhn("79927398710") and pii.mod97("DE89370400440532013000")
+
+
+def test_pii_base_equals_plain_regex(spark):
+    import re
+
+    rng = random.Random(3)
+    pieces = ["a@b.c", "@", ".", "x", "1.2.3.4", "999.1.1.1", "4111-1111-1111-1111", "+", "12345678901234", " ", "-", "(", "é", "x@y", "@z.w", "%+-", "+1 234 567 890", "0" * 30]
+    for _ in range(400):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        want = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        digits = lambda s: re.sub("[^0-9]", "", s)
+        want += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+        want += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+        assert pii.propose(t) == want, t
+    assert pii.find_pii(documents(spark, ODD)).count() == len(ODD)
+    assert pii.find_pii(documents(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_nearest_recall_and_ties(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 16)).astype(np.float32) * rng.uniform(0.5, 2, (600, 1)).astype(np.float32)
+    v[300:340] = v[300]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(600)]
+    odd = [(700, None), (720, []), (740, [0.0] * 16), (760, [float("nan")] * 16), (780, [None] * 16), (None, rows[0][1]), (800, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").withColumn("rank", F.lit(0))
+    got: dict = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 20))
+    x, hits = v.astype(np.float64), 0
+    for q, own in got.items():
+        own.sort()
+        assert [r for r, *_ in own] == list(range(1, 21))
+        s = x @ x[q]
+        s[q] = -np.inf
+        top = np.lexsort((np.arange(600), -s))[:20]
+        hits += len(set(top.tolist()) & {i for _, i, _ in own})
+        assert all(abs(score - s[i]) < 1e-9 for _, i, score in own)
+        assert own == sorted(own, key=lambda t: (-t[2], t[1]))
+    assert hits / (20 * len(got)) >= 0.9
+    few = nearest(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
+    assert len(few) == 4
+    assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# ---------------------------------------------------------------- 8
+
+
+def test_licences(spark):
+    mit = "Copyright (c) 2020 Someone\n\n" + licenses.TEXTS["MIT"].replace("sublicense", "sub-licence").upper().replace(",", " ;")
+    rows = [(1, mit), (2, licenses.TEXTS["ISC"] + " more"), (3, "intro\n  * licensed under the apache licence, version 2.0!\nbye"), *ODD]
+    got = {(r.doc_id, r.license_id, r.notices) for r in licenses.scan(documents(spark, rows)).collect()}
+    assert (1, "MIT", "") in got and (2, None, "") in got and (3, None, "Apache-2.0") in got
+    assert licenses.scan(documents(spark, ODD)).count() == len(ODD)
+    assert licenses.scan(documents(spark, [])).count() == 0
+    assert licenses.known(spark, {"b": "same", "a": "SAME!"}).collect()[0].license_id == "a"
+
+
+# ---------------------------------------------------------------- 9
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 8, 40, 200]))]
+        for _ in range(rng.randrange(1, 14)):
+            own = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append((len(texts) * 3 + 1, rng.choice([" ", "\n", "\t "]).join(own)))
+    rng.shuffle(texts)
+    texts += [(900, None), (901, ""), (902, "  ")]
+    sets = {i: shingles(t) for i, t in texts}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents(spark, texts)).collect()}
+    assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def test_large_group_in_blocks(spark, monkeypatch):
+    from loomtext.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    base = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(60)]
+    got = near_duplicates(documents(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_near_duplicates_odd_rows(spark):
+    docs = documents(spark, ODD)
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(ODD) and next(r for r in got if r.doc_id is None).kept
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == len(ODD)
+    assert near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_registers_estimate_similarity():
+    rng = np.random.default_rng(1)
+    with np.errstate(over="ignore"):
+        for n in (20, 200, 3000):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[: int(0.9 * len(a))], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+            got = estimate((registers_of(a) == registers_of(b)).sum(), 0.0003)
+            assert abs(got - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.2
+
+
+def test_components(spark):
+    e = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 80), (5, 5), (7, 6), (60, 60)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(e, "a bigint, b bigint")).collect()}
+    assert {got[i] for i in range(1, 41)} == {1} and got[100] == got[90] == got[80] == 80 and got[60] == 60
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_packing_round_trip(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(documents(spark, [(9001, None), (9002, ""), (9003, "long " * 3000), (9004, "<|endoftext|> x")], False).select("doc_id", "text"))
+    parts: dict = {}
+    rows = packing.pack(docs, length=256).collect()
+    for r in rows:
+        assert r.cu_seqlens[-1] == r.n_tokens <= 256 and r.position_resets == r.cu_seqlens[:-1] and len(r.input_ids) == 256 * r.id_bytes
+        assert packing.positions(r)[r.position_resets].max() == 0
+        for doc, at, ids in packing.segments(r):
+            parts.setdefault(doc, []).append((at, ids))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for doc, text in texts.items():
+        ids = np.concatenate([x for _, x in sorted(parts.get(doc, [(0, np.zeros(0, np.uint16))]), key=lambda p: p[0])])
+        assert packing.decode(ids) == text
+    assert sum(r.n_tokens for r in rows) / (256 * len(rows)) > 0.95
+    assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_best_fit_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        lengths = rng.integers(1, 33, 60)
+        free, want = [], []
+        for i in np.argsort(-lengths, kind="stable"):
+            fits = [f for f in free if f >= lengths[i]]
+            if fits:
+                free.remove(min(fits))
+                free.append(min(fits) - lengths[i])
+            else:
+                free.append(32 - lengths[i])
+            want = sorted(free)
+        rows = packing.best_fit(lengths, 32)
+        assert sorted(i for r in rows for i in r) == list(range(60))
+        assert sorted(32 - sum(lengths[i] for i in r) for r in rows) == want
+
+
+def test_long_text_is_encoded_alike():
+    text = "Ein Wort, zwei  Wörter\n" * 9000
+    assert packing.encode(text).tolist() == packing.encoding().encode_ordinary(text)
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_raking_meets_marginals(spark):
+    cells = spark.createDataFrame([(s, x, t, n) for s, x, t, n in [("a", "en", "p", 90), ("a", "de", "q", 10), ("b", "en", "q", 30), ("b", "de", "p", 70), ("(null)", "en", "p", 0)]], "mix_source string, mix_lang string, mix_topic string, tokens bigint")
+    share = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    got = mixing.rake(cells, {"source": share([("a", 0.3), ("b", 0.7)]), "lang": share([("en", 0.5), ("de", 0.5)]), "topic": share([("p", 0.6), ("q", 0.4)])}, rounds=60).collect()
+    for d, want in (("source", {"a": 60, "b": 140}), ("lang", {"en": 100, "de": 100}), ("topic", {"p": 120, "q": 80})):
+        for value, total in want.items():
+            assert sum(r.weight for r in got if r[f"mix_{d}"] == value) == pytest.approx(total, rel=1e-3)
+    p = mixing.calibrate(spark.createDataFrame([r.asDict() for r in got]), 0.5).collect()
+    assert sum(r.probability * r.tokens for r in p) == pytest.approx(100, rel=1e-6) and max(r.probability for r in p) <= 1
+
+
+def test_mixing_odd_rows(spark):
+    docs = documents(spark, ODD)
+    assert mixing.mixed(docs).count() == len(ODD)
+    assert mixing.sample_mix(docs).columns == docs.columns
+    assert mixing.mixed(documents(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_language_of_pages(spark):
+    out = queries.op1_langid(spark, "/root/testdata/sf0.01").collect()
+    agree = [r.lang == r.declared for r in out if r.declared]
+    assert len(out) == 250 and np.mean(agree) > 0.9 and all(0 <= r.posterior <= 1 + 1e-9 for r in out)
+
+
+def test_language_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(1, None, None), (2, "", ""), (3, "http://user@h.example.de:80/fr/x", "<html lang='fr-CA'><!-- x --><p>les &eacute;t&eacute;</p>"), (3, "nourl", "<p>der und die</p>"), (None, "https://x.es", "<b>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("lang", F.lit(1))
+    got = langid.identify(pages, docs).collect()
+    assert len(got) == 5 and next(r for r in got if r.host == "h.example.de").suffix == "/fr"
+    assert langid.identify(pages.limit(0), docs).count() == 0
+    assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+# ---------------------------------------------------------------- pipeline and SQL
+
+
+def test_pipeline_stages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and 0 < out.count() <= seen
+        docs, seen = out, out.count()
+    ids = {i for r in corpus_pipeline.run(spark, SF).collect() for i in r.doc_ids}
+    assert ids == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got = queries.QUERIES[name](spark, SF)
+    cursor = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    want = sorted(repr(tuple(r[names.index(c)] for c in sorted(names))) for r in cursor.fetchall())
+    assert sorted(repr(tuple(r[c] for c in sorted(names))) for r in got.collect()) == want
