@@ -158,7 +158,10 @@ def window_fit(spark, sf_dir):
 
 
 _INDEX = f"""{_GROW}, {_STEPS},
-trig AS (SELECT sp.article_id, d.s, d.e, sp.start, sp.source_key, sp.length FROM spans sp JOIN done d ON d.article_id = sp.article_id AND d.start = sp.start),
+ex AS (SELECT *, start - s AS l, e - start AS r, greatest(e - s + 1 - {wn.MAX_FINAL_LEN}, 0) AS x FROM done),
+fit AS (SELECT article_id, start, (s + CASE WHEN l > r THEN least(x, l - r) ELSE 0 END + (x - least(x, abs(l - r)) + 1) // 2)::INT AS s,
+  (e - CASE WHEN r > l THEN least(x, r - l) ELSE 0 END - (x - least(x, abs(l - r))) // 2)::INT AS e FROM ex),
+trig AS (SELECT sp.article_id, d.s, d.e, sp.start, sp.source_key, sp.length FROM spans sp JOIN fit d ON d.article_id = sp.article_id AND d.start = sp.start),
 win AS (SELECT article_id, s, e, string_agg(start || '/' || source_key || '/' || start || '+' || length, ' ' ORDER BY start, source_key, length) AS triggers FROM (SELECT DISTINCT * FROM trig) t GROUP BY 1, 2, 3)"""
 
 
