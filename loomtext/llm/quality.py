@@ -182,12 +182,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Documents that are not rejected (predicted 1), with the columns of ``docs``.
 
     The statistics are computed beside each whole row, so the verdict needs no
-    join back to the texts.
+    join back to the texts; for learning, statistics of all documents (never
+    texts) are joined with the labels.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     known = labels.select(F.col(id_col), F.col(options.get("label_col", "quality")).alias("label")).where(~held_out(id_col))
-    teach = docs.join(known.select(id_col).distinct(), id_col, "left_semi")
-    stats = document_statistics(teach, id_col=id_col, text_col=text_col)
+    stats = document_statistics(docs, id_col=id_col, text_col=text_col)
     model = fit(stats.join(known, id_col).select("label", "stats"))
     names = docs.columns
 
