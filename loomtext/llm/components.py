@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import materialise
 
 MAX_ROUNDS = 60
+#: Edges of one partition. Rounds over few edges need no exchange at all; more edges are spread over partitions.
+EDGES = 200_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,17 +26,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = materialise(e, "edges")
     seen = _state(e)
     for _ in range(MAX_ROUNDS):
-        loops = e.where("u = v")
-        e = _small_star(_large_star(e.where("u <> v")))
-        e = materialise(e.unionByName(loops).distinct(), "edges")
+        parts = _parts(seen)
+        e = e.coalesce(parts)
+        stars = _small_star(_large_star(e.where("u <> v")), parts)
+        e = materialise(stars.unionByName(e.where("u = v")).coalesce(parts).distinct(), "edges")
         now = _state(e)
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not converge")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    nodes = e.coalesce(_parts(seen)).select("v", F.explode(F.array("u", "v")).alias("node"))
+    return nodes.groupBy("node").agg(F.min("v").alias("component"))
+
+
+def _parts(state: tuple) -> int:
+    return max(1, math.ceil(state[0] / EDGES))
 
 
 def _state(e: DataFrame) -> tuple:
@@ -41,12 +50,13 @@ def _state(e: DataFrame) -> tuple:
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = e.select(F.explode(ends).alias("x")).select("x.u", "x.v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, parts: int) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
