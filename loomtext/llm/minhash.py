@@ -15,8 +15,8 @@
    in blocks again), full sets are intersected and confirmed links returned as a
    forest, whose components are the groups.
 
-A pair at the threshold shares a band but for a chance of (1 - 0.85^5)^25, about
-4e-7, and less the more alike it is.
+A pair at the threshold shares a band but for a chance of (1 - j^5)^25, which is
+about 4e-7 at 0.85 and 5e-5 at 0.8, and less the more alike it is.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing
 and is its own group; rows of one id share its group; a null id has a null
@@ -38,7 +38,7 @@ from loomtext.llm.components import connected_components
 from loomtext.llm.shingles import mix, shingle_sets
 
 SHINGLE = 5
-SHARE, OF = 85, 100  # linked when OF * intersection >= SHARE * union
+SHARE, OF = 85, 100  # linked when OF * intersection >= share * union; SHARE is the default share
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
@@ -107,8 +107,8 @@ def estimate(matches: np.ndarray | float, chance: np.ndarray | float) -> np.ndar
     return (matches / REGISTERS - chance) / (1 - chance)
 
 
-def threshold() -> float:
-    j = SHARE / OF
+def threshold(share: int = SHARE) -> float:
+    j = share / OF
     return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
 
 
@@ -211,7 +211,7 @@ def _pairs(bi: np.ndarray, bj: np.ndarray, chunk: np.ndarray, at: np.ndarray):
 # ---------------------------------------------------------------- candidates and links
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
+def candidate_edges(nodes: DataFrame, share: int = SHARE) -> DataFrame:
     """(a, b) edges whose components hold every candidate pair. ``nodes``: rep, n_shingles, registers."""
 
     def bands(batches):
@@ -224,7 +224,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
             rep = np.repeat(batch.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).ravel()), pa.array(rep)], names=["key", "rep"])
 
-    least = threshold()
+    least = threshold(share)
 
     def compare(batches):
         forest = Forest()
@@ -249,8 +249,8 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     return in_blocks(members, "key", "size", "rep", "n_shingles", "registers").mapInArrow(compare, "a bigint, b bigint")
 
 
-def linked(sets: list[np.ndarray], left: list[int] | None = None, right: list[int] | None = None):
-    """Index pairs whose sets reach the threshold; with ``left`` and ``right`` only those between them."""
+def linked(sets: list[np.ndarray], left: list[int] | None = None, right: list[int] | None = None, share: int = SHARE):
+    """Index pairs whose sets reach ``share`` of 100; with ``left`` and ``right`` only those between them."""
     k = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     if left is None:
@@ -259,10 +259,10 @@ def linked(sets: list[np.ndarray], left: list[int] | None = None, right: list[in
     if len(left) * len(right) <= 64:
         for x, i in enumerate(left):
             for j in right[x + 1 :] if same else right:
-                if OF * min(size[i], size[j]) >= SHARE * max(size[i], size[j]) and size[i]:
+                if OF * min(size[i], size[j]) >= share * max(size[i], size[j]) and size[i]:
                     both = np.sort(np.concatenate([sets[i], sets[j]]))
                     common = int((both[1:] == both[:-1]).sum())
-                    if OF * common >= SHARE * (size[i] + size[j] - common):
+                    if OF * common >= share * (size[i] + size[j] - common):
                         yield i, j
         return
     values, owner = np.concatenate(sets), np.repeat(np.arange(k), size)
@@ -281,12 +281,12 @@ def linked(sets: list[np.ndarray], left: list[int] | None = None, right: list[in
             m[owner[a:b], column[a:b] % width] = 1
             common += m[left] @ m[right].T
     union = size[left][:, None] + size[right][None, :] - common
-    hit = (OF * common >= SHARE * union) & (union > 0)
+    hit = (OF * common >= share * union) & (union > 0)
     for x, y in zip(*np.nonzero(np.triu(hit, 1) if same else hit), strict=True):
         yield left[x], right[y]
 
 
-def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, share: int = SHARE) -> DataFrame:
     """Spanning forest of the links confirmed on full sets within each cluster. ``clusters``: node, component."""
 
     def verify(batches):
@@ -302,7 +302,7 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col:
                 inner = bi[a] == bj[a]
                 low = [i for i in range(b - a) if chunk[a + i] == bi[a]]
                 high = low if inner else [i for i in range(b - a) if chunk[a + i] == bj[a]]
-                for i, j in linked(own, low, high):
+                for i, j in linked(own, low, high, share):
                     if forest.join(int(node[a + i]), int(node[a + j])):
                         grown.append((int(node[a + i]), int(node[a + j])))
             if grown:
@@ -315,16 +315,16 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col:
     return in_blocks(texts, "component", "size", "node", "text").mapInArrow(verify, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc id, n_shingles, component_id, kept (ids must be integers)."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
+    """Per document: doc id, n_shingles, component_id, kept (ids must be integers). Sets link from ``share`` of 100 on."""
     docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col)
     found = materialise(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
     usable = found.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull())
     classes = usable.groupBy("digest").agg(F.min(id_col).alias("rep"))
     nodes = usable.select("digest", F.col(id_col).alias("rep"), "n_shingles", "registers").join(classes, ["digest", "rep"]).select("rep", "n_shingles", "registers")
     nodes = materialise(nodes, "nodes")
-    clusters = materialise(connected_components(candidate_edges(nodes)), "clusters")
-    groups = connected_components(confirmed_edges(docs, clusters, id_col, text_col))
+    clusters = materialise(connected_components(candidate_edges(nodes, share)), "clusters")
+    groups = connected_components(confirmed_edges(docs, clusters, id_col, text_col, share))
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = found.select(id_col, "n_shingles", "digest").join(named, "digest", "left")
     # one id with several texts belongs to one group
@@ -332,8 +332,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """The documents that :func:`near_duplicates` keeps, with the columns of ``docs``."""
-    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(id_col).distinct(), "dropped")
+    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, share=share).where("not kept").select(id_col).distinct(), "dropped")
     dropped = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     return docs.join(dropped, id_col, "left_anti").select(*docs.columns)

@@ -163,7 +163,7 @@ FROM d JOIN p USING (source, lang, topic)
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtext.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), share=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

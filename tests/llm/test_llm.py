@@ -241,6 +241,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("pairs", [1, 40])
+def test_near_dedup_stage_links_from_080(spark, pairs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    # 5 shingles change of 47: similarity 42 / 52, between 0.80 and 0.85
+    texts = []
+    for g in range(pairs):
+        base = [f"g{g}w{i}" for i in range(51)]
+        texts += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:20] + ["other"] + base[21:]))]
+    a, b = shingles(texts[0][1]), shingles(texts[1][1])
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    docs = documents(spark, texts)
+    assert corpus_pipeline.near_dedup(spark, docs, SF).count() == pairs
+    assert near_duplicates(docs).where("kept").count() == 2 * pairs
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     from loomtext.llm import minhash
 
