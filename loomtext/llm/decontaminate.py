@@ -7,7 +7,8 @@ Hits are word intervals; :func:`find_passages` maps them to code-point offsets
 of the original text.
 
 Defined cases: a null or wordless document has no words and no hits; a null or
-wordless item has no windows; repeated documents each give their own row;
+wordless item has no windows; every document row gives its own row, whatever
+its id and the size of the benchmark;
 repeated item ids count once; an empty benchmark hits nothing; columns of the
 inputs other than the named ones are ignored.
 """
@@ -15,14 +16,15 @@ inputs other than the named ones are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bounded_batches
+from loomtext.llm.common import bounded_batches, materialise
 
 WINDOW = 13
 #: Benchmark text that one automaton holds at most; a larger benchmark is scanned in blocks of this size.
@@ -164,31 +166,39 @@ def find_passages(
     """Per document: n_words, n_hit, item ids, and hit passages as original offsets.
 
     A benchmark of at most ``automaton_bytes`` is one broadcast automaton and one
-    map-only scan. A larger one is scanned in blocks, whose word intervals are
-    merged per document; only documents with hits are shuffled then, but ids
-    must be unique in that case.
+    map-only scan. A larger one is scanned in blocks: the rows are written once
+    with a key of their own, each block scans them, and the word intervals are
+    merged by that key, so repeated and null ids keep their rows.
     """
     blocks = _blocks(benchmark, item_col, item_text_col, automaton_bytes)
-    first = next(blocks)
-    whole = _scan_block(docs, first, id_col, text_col, window, False)
-    rest = [_scan_block(docs, b, id_col, text_col, window, True) for b in blocks]
-    if not rest:
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        whole = _scan_block(docs, first, id_col, text_col, window, False)
         n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
         return whole.select(id_col, "n_words", n_hit.alias("n_hit"), "items", "passages")
-    more = rest[0]
-    for r in rest[1:]:
-        more = more.unionByName(r)
+    key = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+    rows = materialise(docs.select(key.alias("key"), F.col(text_col).alias("text")), "keyed")
+    both = _scan_block(rows, first, "key", "text", window, False)
+    for block in itertools.chain([second], blocks):
+        more = _scan_block(rows, block, "key", "text", window, True)
+        both = both.unionByName(more.withColumn("n_words", F.lit(None).cast("bigint")))
     cols = ("starts", "ends", "items", "passages")
-    both = whole.unionByName(more.withColumn("n_words", F.lit(None).cast("bigint")))
-    merged = both.groupBy(id_col).agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in cols))
-    spans = F.array_sort(F.arrays_zip("starts", "ends"))
-    state = "named_struct('n', 0L, 'end', 0L)"
-    n_hit = F.aggregate(
-        spans,
-        F.expr(state),
-        lambda a, x: F.struct((a["n"] + F.greatest(x["ends"] - F.greatest(x["starts"], a["end"]), F.lit(0).cast("bigint"))).alias("n"), F.greatest(a["end"], x["ends"]).alias("end")),
-    )["n"]
-    return merged.select(id_col, "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort("passages").alias("passages"))
+    merged = both.groupBy("key").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in cols))
+    spans = F.aggregate(F.array_sort(F.arrays_zip("starts", "ends", "passages")), F.array().cast("array<struct<s:bigint,e:bigint,start:bigint,end:bigint>>"), _merge)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
+    passages = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return merged.withColumn("spans", spans).select(
+        F.col("key.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), passages.alias("passages")
+    )
+
+
+def _merge(done: Column, x: Column) -> Column:
+    """``done`` with an interval of words and its passage, which grows the last one if they meet."""
+    last = F.get(done, F.size(done) - 1)
+    entry = lambda *c: F.array(F.struct(*(v.alias(n) for v, n in zip(c, ("s", "e", "start", "end"), strict=True))))
+    grown = entry(last["s"], F.greatest(last["e"], x["ends"]), last["start"], F.greatest(last["end"], x["passages"]["end"]))
+    new = entry(x["starts"], x["ends"], x["passages"]["start"], x["passages"]["end"])
+    return F.when(x["starts"] <= last["e"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), grown)).otherwise(F.concat(done, new))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:

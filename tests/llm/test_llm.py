@@ -70,6 +70,14 @@ def test_decontamination_offsets_and_odd_rows(spark):
     assert dc.decontaminate(documents(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_repeated_ids_in_blocks(spark):
+    items = [(1, "a b c d"), (2, "c d e f"), (3, "x y z")]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    docs = documents(spark, [(1, "a b c d e f"), (1, "x y z and more"), (1, "clean"), (None, "p a b c d"), (None, "clean too"), (5, None), *ODD])
+    rows = lambda size: sorted(repr(r) for r in dc.decontaminate(docs, bench, automaton_bytes=size, window=4).collect())
+    assert rows(8) == rows(dc.AUTOMATON_BYTES) and len(rows(8)) == 6 + len(ODD)
+
+
 # ---------------------------------------------------------------- 4
 
 
