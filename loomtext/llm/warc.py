@@ -9,7 +9,10 @@ leave nothing behind.
 :func:`read_warc` checks every member (CRC, length) and record (version line,
 header, Content-Length, end of record, SHA-1 digests). After a failed check it
 searches for the next place where a member or record is valid, goes on there,
-and logs the bytes between as a ``gap``.
+and logs the bytes between as a ``gap``. The content of a failing member, as far
+as it inflates, is searched for version lines the same way: its valid records
+are kept, and its gaps are logged with the offsets of the member. Where the
+compressed data are corrupt, only records whose block digest holds are valid.
 
 Defined cases: a null html is an empty payload; a null url or id leaves its
 header out and reads back as null; line breaks in a url are percent-encoded;
@@ -151,6 +154,28 @@ def inflate(data: bytes, pos: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(z.unused_data)
 
 
+def inflated(data: bytes, pos: int) -> tuple[bytes, str | None]:
+    """What the gzip member at ``pos`` gives up to its fault, and the fault."""
+    z, out, at, view = zlib.decompressobj(31), [], pos, memoryview(data)
+    while not z.eof:
+        chunk = view[at : at + _CHUNK]
+        if not chunk:
+            return b"".join(out), "truncated member"
+        before = z.copy()
+        try:
+            out.append(z.decompress(chunk))
+        except zlib.error:
+            # the failing call gives nothing back: again, byte by byte up to the fault
+            try:
+                for i in range(len(chunk)):
+                    out.append(before.decompress(chunk[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), "corrupt member"
+        at += len(chunk)
+    return b"".join(out), None
+
+
 def _unit(data: bytes, pos: int) -> tuple[list[tuple[dict, bytes]], int]:
     """Records of the member or plain record at ``pos``, and its end."""
     if data[pos : pos + 2] != b"\x1f\x8b":
@@ -167,22 +192,67 @@ def _unit(data: bytes, pos: int) -> tuple[list[tuple[dict, bytes]], int]:
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
-def salvage(data: bytes):
-    """Yield ("record", start, end, headers, block) and ("gap", start, end, reason, None) over all bytes."""
+def _content(content: bytes, sure: bool):
+    """Valid records of a failing member's content as (headers, block), and the reason of each gap as (reason, None)."""
     pos = 0
-    while pos < len(data):
+    while pos < len(content):
         try:
-            records, end = _unit(data, pos)
+            headers, block, end = _checked(content, pos, sure)
         except Invalid as e:
-            start, reason, end = pos, str(e), len(data)
-            for m in _NEXT.finditer(data, pos + 1):
+            yield str(e), None
+            for m in _VERSION.finditer(content, pos + 1):
                 try:
-                    _unit(data, m.start())
+                    _checked(content, m.start(), sure)
                 except Invalid:
                     continue
-                end = m.start()
+                pos = m.start()
                 break
-            yield "gap", start, end, reason, None
+            else:
+                return
+            continue
+        yield headers, block
+        pos = end
+
+
+def _checked(content: bytes, pos: int, sure: bool) -> tuple[dict, bytes, int]:
+    headers, block, end = parse_record(content, pos)
+    if not sure and not hex_digest(headers.get("warc-block-digest")):
+        raise Invalid("record without digest in a corrupt member")
+    return headers, block, end
+
+
+def _parts(data: bytes, pos: int) -> tuple[list[tuple], str | None]:
+    """What :func:`_content` finds in the member at ``pos``, and the member's own fault."""
+    if data[pos : pos + 2] != b"\x1f\x8b":
+        return [], None
+    content, fault = inflated(data, pos)
+    return list(_content(content, fault != "corrupt member")), fault
+
+
+def _resumes(data: bytes, pos: int) -> bool:
+    try:
+        _unit(data, pos)
+    except Invalid:
+        return any(block is not None for _, block in _parts(data, pos)[0])
+    return True
+
+
+def salvage(data: bytes):
+    """Yield ("record", start, end, headers, block) and ("gap", start, end, reason, None) over all bytes."""
+    pos = 0
+    while pos < len(data):
+        try:
+            records, end = _unit(data, pos)
+        except Invalid as e:
+            parts, fault = _parts(data, pos)
+            if any(block is not None for _, block in parts) and not fault:
+                # whole member: its end is known
+                end = inflate(data, pos)[1]
+            else:
+                end = next((m.start() for m in _NEXT.finditer(data, pos + 1) if _resumes(data, m.start())), len(data))
+                parts = [p for p in parts if p[1] is not None] + [(str(e), None)]
+            for what, block in parts:
+                yield "gap" if block is None else "record", pos, end, what, block
             pos = end
             continue
         for headers, block in records:

@@ -97,6 +97,27 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_salvage_inside_members():
+    rng = random.Random(6)
+    records = [warc.record(i, f"http://x/{i}", rng.randbytes(3000)) for i in range(40)]
+    ids = lambda units: [int(u[3]["warc-record-id"].strip("<>").rsplit(":", 1)[1]) for u in units if u[0] == "record"]
+    # one bad record of a sound member
+    bad = records[2].replace(b"HTTP/1.1 200", b"HTTP/1.1 500")
+    one = warc.member(b"".join([*records[:2], bad, *records[3:5]]))
+    got = list(warc.salvage(one + warc.member(records[5])))
+    assert ids(got) == [0, 1, 3, 4, 5]
+    assert [u[:4] for u in got if u[0] == "gap"] == [("gap", 0, len(one), "block digest differs")]
+    # an archive of one member: a flipped byte, then a cut
+    whole = warc.member(b"".join(records))
+    at = len(whole) // 2
+    flipped = list(warc.salvage(whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :]))
+    assert set(ids(flipped)) >= set(range(18)) and [u[3] for u in flipped if u[0] == "gap"] == ["corrupt member"]
+    cut = list(warc.salvage(whole[:at] + warc.member(records[39])))
+    assert ids(cut)[:18] == list(range(18)) and ids(cut)[-1] == 39
+    cut = list(warc.salvage(whole[:at]))
+    assert ids(cut)[:18] == list(range(18)) and cut[-1][:4] == ("gap", 0, at, "truncated member")
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 600
     pages = [(1, "http://a/\r\nb", big), (2, "u", big), (3, None, big), (4, "v", "small"), (5, "v", "small"), (None, "w", big), (6, None, None), (7, "z", "q" * 1000), (7, "z", "q" * 1000)]
