@@ -3,7 +3,8 @@
 Base kinds, leftmost and non-overlapping per kind: ``email``, ``ip`` (parts at
 most 255), ``card`` (13 to 19 digits, Luhn), ``phone`` (9 to 15 digits).
 Matches that fail their validator are dropped and not retried. Further kinds:
-``iban`` (ISO 13616, mod-97) and ``local_phone`` (national numbers, reported
+``iban`` (ISO 13616: the length of its country, mod-97; for a country without a
+listed length the longest run of whole tokens that holds) and ``local_phone`` (national numbers, reported
 only when nearby context words lift their score to the threshold).
 
 Every span has a score: the prior of its kind, raised by context words in the
@@ -37,6 +38,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of a country's IBAN, fixed values.
+_IBAN_LENGTH = {
+    c: n
+    for n, each in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in each.split()
+}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?<![0-9]\x20)\(?0?[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-][0-9]{3,4}(?![\x20-]?[0-9]|-)")
 
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3}
@@ -68,6 +79,21 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _ibans(text: str):
+    """Valid ones from left to right; after a failed proposal the next one may begin inside it."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        length = _IBAN_LENGTH.get(m[0][:2])
+        ends = [m.end()] + [i for i in range(m.end() - 1, m.start(), -1) if text[i] == " "]  # token ends, long to short
+        for end in ends:
+            iban = text[m.start() : end].replace(" ", "")
+            if (len(iban) == length if length else 15 <= len(iban) <= 34) and mod97(iban):
+                yield m.start(), end
+                at = end
+                break
+
+
 def _emails(text: str):
     free = 0
     for m in _AT.finditer(text):
@@ -111,10 +137,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     out = [(k, s, e, score(text, k, s, e)) for k, s, e in base]
     taken = [(s, e) for _, s, e in base]
     free = lambda s, e: all(e <= a or b <= s for a, b in taken)
-    for m in _IBAN.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", "")):
-            out.append(("iban", m.start(), m.end(), score(text, "iban", m.start(), m.end())))
-            taken.append((m.start(), m.end()))
+    for s, e in _ibans(text):
+        out.append(("iban", s, e, score(text, "iban", s, e)))
+        taken.append((s, e))
     for m in _LOCAL_PHONE.finditer(text):
         if (p := score(text, "local_phone", m.start(), m.end())) >= THRESHOLD and free(m.start(), m.end()):
             out.append(("local_phone", m.start(), m.end(), p))

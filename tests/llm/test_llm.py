@@ -171,6 +171,18 @@ def test_pii_spans():
     assert pii.luhn("79927398713") and not pii.luhn("79927398710") and pii.mod97("DE89370400440532013000")
 
 
+def test_iban_ends_before_following_tokens():
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    for text, want in (
+        (f"IBAN {de} BIC COBADEFFXXX", [de]), (f"{de.replace(' ', '')} EUR 50", [de.replace(" ", "")]), (f"{gb} {de} {no} 12 AB", [gb, de, no]),
+        (f"AB12 {de} 1", [de]), ("ZZ35 1234 5678 9012 EUR 50", []), ("DE88 3704 0044 0532 0130 00 BIC", []), (f"{gb}EUR", []),
+    ):
+        assert [text[s:e] for k, s, e, _ in pii.spans_of(text) if k == "iban"] == want, text
+    own = next(f"ZZ{i:02d} 1234 5678 9012" for i in range(2, 99) if pii.mod97(f"ZZ{i:02d}123456789012"))
+    text = f"to {own} XQ"
+    assert any(k == "iban" and text[s:e].startswith(own) for k, s, e, _ in pii.spans_of(text))
+
+
 def test_pii_base_equals_plain_regex(spark):
     import re
 
