@@ -165,7 +165,7 @@ def variant_stats(spark, sf_dir):
 
 @query()
 def unique_scramble(spark, sf_dir):
-    """Scrambled forms that no two documents share."""
+    """Scrambled forms that no two documents share; documents without a free form with the reason."""
     p = _phrases(spark, sf_dir).where(F.size("phrases") > 0).select(F.col("doc_id").cast("string").alias("example_id"), "phrases")
     return va.unique_outputs(p, SEED)
 

@@ -51,6 +51,38 @@ def test_unique_outputs_collide_with_nothing(spark):
     assert len(made) == len(set(made)) and not set(made) & {r.src for r in out}
 
 
+def test_unique_outputs_account_for_every_example(spark):
+    # ten one-digit phrases reserve each other; twelve examples share nine free forms
+    rows = [(f"d{i}", [str(i)]) for i in range(10)] + [(f"e{i:02d}", ["strain 1"]) for i in range(12)] + [("none", [])]
+    out = va.unique_outputs(spark.createDataFrame(rows, "example_id string, phrases array<string>"), 2).collect()
+    reason = {}
+    for x in out:
+        assert (x.reason is None) == (x.dst is not None) == (x.attempt is not None)
+        assert x.example_id not in reason
+        reason[x.example_id] = x.reason
+    assert set(reason) == {i for i, _ in rows} - {"none"}
+    assert all(reason[f"d{i}"] == "scramble_reserved_exhausted" for i in range(10))
+    made = [x.dst for x in out if x.dst]
+    # all free forms are found, some by later tries
+    assert len(made) == len(set(made)) == 9 and max(x.attempt for x in out if x.dst) > 0
+
+
+def test_unique_variants_have_reference_reasons(spark):
+    labels = ["O", "O", "O"]
+    index = spark.createDataFrame(
+        [("e1", "Homo sapiens 7", labels, ["7"]), ("e2", "Homo sapiens K12b", labels, ["K12b"]), ("e3", "Homo sapiens ran", labels, []), *((f"x{i}", f"Homo sapiens {i}", labels, [str(i)]) for i in range(10))],
+        "example_id string, text string, labels_raw array<string>, scramble_phrases array<string>",
+    ).withColumns({"checksum": F.lit("c"), "s": F.lit(0), "e": F.lit(2), "triggers": F.lit(None).cast("string"), "entities": F.lit(None).cast("string")})
+    known = spark.createDataFrame([(r.example_id, "Homo sapiens", 0) for r in index.collect()], "example_id string, name string, ord int")
+    pool = spark.createDataFrame([("Felis catus",)], "name string")
+    got = {(r.example_id, r.variant): r for r in va.materialise_variants(index, known, pool, seed=1, unique=True, align=False).collect()}
+    assert got["e1", "all"].drop_reason == got["e1", "strains"].drop_reason == "scramble_reserved_exhausted" and got["e1", "all"].text is None
+    assert got["e1", "species"].drop_reason is None and got["e3", "all"].text == "Felis catus ran"
+    e2 = got["e2", "all"]
+    assert e2.drop_reason is None and e2.text == f"Felis catus {e2.phrases_scrambled[0]}" and e2.phrases_scrambled[0] != "K12b"
+    assert got["e2", "strains"].phrases_scrambled == e2.phrases_scrambled
+
+
 def test_unknown_variant_is_an_error(spark):
     with pytest.raises(ValueError, match="unknown variant"):
         _bundle(spark, SF, variants=("none", "odd"))
