@@ -1,7 +1,7 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is canonical once it is lower-cased, freed of copyright lines, has
-punctuation turned to spaces, equivalent spellings made one, and white space
+A text is canonical once it is lower-cased, freed of copyright lines, of title
+lines at its head and of the appendix that tells how to apply it, has punctuation turned to spaces, equivalent spellings made one, and white space
 collapsed. The SHA-256 of the whole canonical text is joined to the digests of
 known licence texts; each canonical line of the text is looked up the same way
 among known one-line notices.
@@ -13,11 +13,27 @@ licence, the smallest id; other columns are ignored.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A line that states a copyright, after comment marks.
-COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: Title lines of licences and addresses of their heads, in lower case.
+_TITLES = "|".join((
+    r"(?:the )?mit license(?: \(mit\))?", r"(?:the )?isc license(?: \(isc\))?", r"(?:the )?zlib license", r"(?:bsd )?zero[ -]clause (?:bsd|license)(?: license)?(?: \(0bsd\))?",
+    r"(?:the )?bsd [23][ -]clause(?: \"simplified\"| \"new\" or \"revised\")? license", r"apache license(?:,? version 2\.0)?(?:, january 2004)?", r"version 2\.0, january 2004",
+    r"https?://www\.apache\.org/licenses/?", r"gnu general public license(?:,? version [23])?", r"version 3, 29 june 2007", r"version 2, june 1991", r"mozilla public license,? version 2\.0",
+    r"(?:51 franklin st|59 temple place)[^\n]*",
+))
+#: The head of a text as far as it's titles and copyright lines; only there a plain ``copyright <name>`` is one, as wrapped lines of a licence begin so too.
+_HEAD = r"^(?:[ \t\r\n*#/;=-]*(?:(?:" + _TITLES + r")[ \t\r*/.:=-]*|(?:copyright|\(c\)|©|all rights reserved)[^\n]*)(?:\n|$)){1,20}"
+#: The line after the terms, and the appendices of the Apache licence and the GPLs.
+_APPENDIX = (
+    r"\n[ \t]*end of terms and conditions[ \t]*|\n[ \t]*appendix: how to apply the apache license to your work[^\x00]*?limitations[ \t\n]+under[ \t\n]+the[ \t\n]+license\."
+    r"|\n[ \t]*(?:appendix: )?how to apply these terms to your new programs[^\x00]*?instead[ \t\n]+of[ \t\n]+this[ \t\n]+license\.(?:[ \t\n]*but first, please read[ \t\n]*<[^>\n]*>\.?)?"
+)
+#: A line that states a copyright, after comment marks, or what else isn't part of the terms.
+COPYRIGHT = _HEAD + "|" + _APPENDIX + r"|(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 #: ASCII that is no letter, digit or line end.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Equivalent spellings, applied in this order to canonical words; fixed values.
@@ -53,6 +69,14 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    **{i: pkgutil.get_data(__package__, f"license_texts/{i}.txt").decode() for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")},
 }
 #: Known one-line notices, fixed values.
 NOTICES = {

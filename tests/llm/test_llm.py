@@ -243,6 +243,37 @@ def test_licences(spark):
     assert licenses.known(spark, {"b": "same", "a": "SAME!"}).collect()[0].license_id == "a"
 
 
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "Zlib": "zlib License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License', "0BSD": "BSD Zero Clause License"}
+
+
+def test_standard_licence_files(spark):
+    rows, want = [], []
+
+    def add(text, license_id):
+        want.append((len(rows), license_id))
+        rows.append((len(rows), text))
+
+    for i, title in TITLES.items():
+        for notice in ("Copyright (c) 2020 Jane Doe\nAll rights reserved.", "Copyright Jane Doe"):
+            add(f"{title}\n\n{notice}\n\n{licenses.TEXTS[i]}\n", i)
+            add(f"{notice}\n\n{licenses.TEXTS[i]}", i)
+        wrapped = licenses.TEXTS[i].replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS").replace("the above copyright notice", "the above\ncopyright notice")
+        add(f"The {title}\n\nCopyright Jane Doe\n\n{wrapped}" if i == "MIT" else wrapped, i)
+        add(f"{title}\n\n{licenses.TEXTS[i]}\nAlso, pay me.", None)
+    for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"):
+        text = licenses.TEXTS[i]
+        assert len(text) > 10_000
+        add(text, i)
+        body = text.index({"Apache-2.0": "TERMS AND COND", "MPL-2.0": "1. Definitions"}.get(i, "Everyone is permitted"))
+        add(text[body:], i)
+        ends = max(text.find("APPENDIX: How"), text.find("How to Apply These Terms to Your New"))
+        add(text[:ends] if ends > 0 else text + "\n", i)
+        add(text.replace("You", "We"), None)
+    add("MIT License", None)
+    got = sorted((r.doc_id, r.license_id) for r in licenses.scan(documents(spark, rows)).collect())
+    assert got == want
+
+
 # ---------------------------------------------------------------- 9
 
 
