@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import SPECIES, abbreviation, is_abbreviated, mentions, species_key
 from loomtext.operators.spans import phrase
+from loomtext.shared import materialise
 
 DEFAULT_SCORE = 10**12
 
@@ -89,10 +90,13 @@ def pool_for_mode(mode: str, pool: DataFrame, keys: DataFrame) -> DataFrame:
 def _ranked(df: DataFrame, *order) -> DataFrame:
     """``df`` with its 0-based rank in a total order.
 
-    Rows are range-partitioned and sorted; partition sizes (a row for each
+    Rows are range-partitioned, sorted and numbered within their partition, and
+    written so: both reads below see one numbering, whatever range bounds or
+    coalescing another evaluation would choose. Partition sizes (a row for each
     partition) give the offsets, so no task holds all rows.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    dealt = materialise(dealt, "ranked")
     first = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     offset = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     offsets = first.select("_p", "_first", F.coalesce(offset, F.lit(0)).alias("_offset"))

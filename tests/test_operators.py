@@ -11,6 +11,7 @@ from loomtext import fixtures as fx
 from loomtext.functions.text import CLASSES, SKIPPED
 from loomtext.operators import lexicon as lx
 from loomtext.operators import licences as lc
+from loomtext.operators import sampling as sa
 from loomtext.operators import splits as st
 from loomtext.operators import variants as va
 from loomtext.plans.augmentation import _bundle, _phrases
@@ -193,3 +194,15 @@ def test_ranks_are_dense(spark):
     d = fx.table(spark, SF, "documents").select("doc_id")
     got = [(r.doc_id, r["rank"]) for r in lx._ranked(d, "doc_id").orderBy("doc_id").collect()]
     assert [r for _, r in got] == list(range(len(got)))
+
+
+def test_ranks_are_dense_at_volume(spark):
+    n, old = 600_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        wide = spark.range(n, numPartitions=24).select(F.col("id").cast("string").alias("example_id"), F.lit("irrelevant").alias("category"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("wide"))
+        got = lx._ranked(wide.withColumn("h", F.md5("wide")), "h", "example_id").agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.count_distinct("wide")).first()
+        assert tuple(got) == (n, n, 0, n - 1, n)
+        assert sa.ablation_mix(wide, 43, 7).count() == int(n * (1 - 43 / 100))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
