@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,8 +25,49 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/loomtext/{purpose}-{uuid.uuid4().hex}"
 
 
+_scopes: list[dict[str, bool]] = []
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back."""
     path = shared_dir(df.sparkSession, purpose)
+    if _scopes:
+        _scopes[-1][path] = False
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A scope at whose end all that :func:`materialise` wrote in it is deleted, but for tables passed to the given function.
+
+    Whatever leaves the scope must be kept or rest on kept tables only.
+    """
+    written: dict[str, bool] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        for path in written:
+            written[path] |= any(f"{path}/" in f for f in files)
+        return df
+
+    _scopes.append(written)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path, kept in written.items():
+            if not kept:
+                delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``df``, once nothing reads it any more."""
+    base = f"{df.sparkSession.conf.get('spark.checkpoint.dir').rstrip('/')}/loomtext/"
+    for folder in {f[: f.index("/", f.index(base) + len(base))] for f in df.inputFiles() if base in f}:
+        delete(df.sparkSession, folder)
