@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.shared import materialise, shared_dir
+from loomtext.shared import discard, materialise, scratch, shared_dir
 
-__all__ = ["bounded_batches", "bounds", "materialise", "runs", "shared_dir", "slices", "table", "utf8_column"]
+__all__ = ["bounded_batches", "bounds", "discard", "materialise", "runs", "scratch", "shared_dir", "skew_join", "slices", "table", "utf8_column"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(size, BATCH_BYTES)
 
 
+#: Keys that :func:`skew_join` deals over several tasks at most, and the rows below which no key is.
+HOT_KEYS, HOT_ROWS = 2000, 200
+
+
+def skew_join(rows: DataFrame, other: DataFrame, key: str, count: str, total: int, by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other``, which has one row for each key and the number of ``rows`` of that key in ``count``.
+
+    Keys of ``total / HOT_KEYS`` rows or more are dealt over several tasks by the
+    hash of ``by``, their row of ``other`` once to each. There are ``HOT_KEYS`` of
+    them at most, since ``total`` counts ``rows``, so their list is broadcast.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    parts = F.ceil(F.col(count) / F.lit(most)).cast("int")
+    hot = other.where(F.col(count) > most).select(key, parts.alias("_parts"))
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_parts"))).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
+    each = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(each, [key, "_part"], how).drop("_part")
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte values and row offsets of a string or binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise
+from loomtext.llm.common import discard, materialise, skew_join
 
 MAX_ROUNDS = 60
 #: Edges of one partition. Rounds over few edges need no exchange at all; more edges are spread over partitions.
@@ -20,16 +20,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round costs two aggregations and joins over the edges, needs O(log^2 n)
     rounds at most, and is written to the shared folder. A node's neighbours are
     never gathered in one place: only their minimum is, by a partial aggregate.
-    Self-loops and repeated or reversed edges are allowed; null nodes are not.
+    A hub's edges are dealt over several tasks. Self-loops and repeated or
+    reversed edges are allowed; null nodes are not.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = materialise(e, "edges")
     seen = _state(e)
     for _ in range(MAX_ROUNDS):
         parts = _parts(seen)
-        e = e.coalesce(parts)
-        stars = _small_star(_large_star(e.where("u <> v")), parts)
+        old, e = e, e.coalesce(parts)
+        stars = _small_star(_large_star(e.where("u <> v"), seen[0], parts), seen[0], parts)
         e = materialise(stars.unionByName(e.where("u = v")).coalesce(parts).distinct(), "edges")
+        discard(old)
         now = _state(e)
         if now == seen:
             break
@@ -49,14 +51,19 @@ def _state(e: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(e: DataFrame, least: DataFrame, n: int, parts: int) -> DataFrame:
+    """Edges with the least neighbour of ``u``; a hub's edges are dealt over several tasks."""
+    return e.join(least.drop("n"), "u") if parts == 1 else skew_join(e, least, "u", "n", 2 * n, F.col("v"))
+
+
+def _large_star(e: DataFrame, n: int, parts: int) -> DataFrame:
     ends = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     both = e.select(F.explode(ends).alias("x")).select("x.u", "x.v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, n, parts).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame, parts: int) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, n: int, parts: int) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(e, least, n, parts).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()

@@ -5,22 +5,34 @@
    smallest hash of its bucket; a bucket that stays empty is filled from rounds
    of rehashing, whose registers are marked, so that registers of two sets agree
    with a chance near their Jaccard similarity whatever their sizes.
-2. Equal digests form classes; the smallest id represents a class from here on.
+2. Equal digests form classes, which are numbered; a class is represented by its
+   row of the smallest id from here on.
 3. Registers are banded. Within each band bucket the collision-corrected estimate
-   of every pair is taken, and pairs that could reach the threshold (within
-   ``SIGMAS`` standard errors) connect candidate clusters. A large bucket is dealt
-   in blocks of at most 2 * ``BLOCK`` members; a block gives a spanning forest, so
-   no group is expanded into its pairs.
-4. The members' texts of each cluster are brought together once (large clusters
-   in blocks again), full sets are intersected and confirmed links returned as a
-   forest, whose components are the groups.
+   of pairs is taken, and pairs that could reach the threshold (within ``SIGMAS``
+   standard errors) connect candidate clusters.
+4. The representatives' texts of each cluster are brought together, full sets are
+   intersected and confirmed links returned as a forest, whose components are the
+   groups.
+
+Buckets and clusters beyond ``BLOCK`` members are compared in two passes. The first
+deals them in chunks, each with the same few pivots, and so joins most members
+that belong together at a cost in proportion to them. The second compares every
+member outside its group's largest component with all members it isn't joined to
+yet, so no pair is left out; its cost is the product of those two numbers.
+Either pass returns a spanning forest, so no group is expanded into its pairs.
 
 A pair at the threshold shares a band but for a chance of (1 - j^5)^25, which is
 about 4e-7 at 0.85 and 5e-5 at 0.8, and less the more alike it is.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing
-and is its own group; rows of one id share its group; a null id has a null
-group and is kept; a set is compared by the 64-bit hashes of its shingles.
+and is its own group. Rows of one id belong to one group in
+:func:`near_duplicates`, which joins the groups of all its texts;
+:func:`drop_near_duplicates` decides for each row by its own text alone. A null
+id has a null group and is kept in the former, and gives way to any id in the
+latter. Of rows that repeat id and text the latter keeps one. A set is compared
+by the 64-bit hashes of its shingles. Very long texts are hashed whole, in
+slices. Columns other than id and text are ignored, or passed through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -30,10 +42,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bounded_batches, bounds, materialise, runs, slices, utf8_column
+from loomtext.llm.common import bounded_batches, bounds, materialise, runs, scratch, skew_join, slices, utf8_column
 from loomtext.llm.components import connected_components
 from loomtext.llm.shingles import mix, shingle_sets
 
@@ -44,8 +56,11 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 6
 BLOCK = 512
-#: A list of ids is broadcast up to this many rows (some 64 MB); beyond that it is joined by a shuffle.
+PIVOTS = 8
+#: Rows of a few bigints each are broadcast up to this many (some 64 MB); beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 
 
 # ---------------------------------------------------------------- registers
@@ -121,23 +136,29 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64) if key.dtype == np.uint64 else key
 
 
-def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_shingles, digest of the set, registers (null for an empty set). Map-only."""
-    bounded_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(own, th, text, ...): the id, null ids as the largest number, and a hash of the text, which tell rows apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("own"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), text.alias("text"), *more)
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """Per row of :func:`keyed`: own, th, n_shingles, digest of the set, registers (null for an empty set). Map-only."""
+    bounded_batches(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8_column(batch.column(1))
+            data, offsets = utf8_column(batch.column(2))
             n, digests, registers = [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(data, offsets, SHINGLE, slices):
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     registers.append(registers_of(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=[id_col, "n_shingles", "digest", "registers"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["own", "th", "n_shingles", "digest", "registers"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles bigint, digest binary, registers binary")
+    return rows.select("own", "th", "text").mapInArrow(run, "own bigint, th bigint, n_shingles bigint, digest binary, registers binary")
 
 
 # ---------------------------------------------------------------- groups in sorted partitions
@@ -171,48 +192,110 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def in_blocks(members: DataFrame, key: str, size: str, id_col: str, *rest: str) -> DataFrame:
-    """Rows (key, bi, bj, chunk, id, ...) dealt so that all pairs of a group meet in some block.
+def chunks_of(size: Column) -> Column:
+    return F.ceil(size / F.lit(BLOCK)).cast("int")
+
+
+def _chunk(n: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+
+
+def in_chunks(members: DataFrame, *payload: str) -> DataFrame:
+    """(key, chunk, node, payload) of members (key, size, node, payload), sorted for the first pass.
 
-    A group of up to ``BLOCK`` members is one block. A larger one is cut into
-    chunks by the hash of the id, and each pair of chunks is a block.
+    A group of up to ``BLOCK`` members is one chunk. Members of a larger one are
+    dealt over chunks by hash; some ``PIVOTS`` of them, chosen by hash too, stand
+    in all of its chunks.
     """
-    n = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("n_chunks", n).withColumn("chunk", F.pmod(F.xxhash64(id_col), F.col("n_chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    return (
-        dealt.select(F.col(key).alias("key"), F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), "chunk", id_col, *rest)
-        .repartition("key", "bi", "bj")
-        .sortWithinPartitions("key", "bi", "bj")
-    )
-
-
-def _pairs(bi: np.ndarray, bj: np.ndarray, chunk: np.ndarray, at: np.ndarray):
-    """Index pairs that each block compares, in pieces of bounded size; blocks of one size go together."""
+    n = chunks_of(F.col("size"))
+    pivot = (n > 1) & (F.pmod(F.xxhash64("node", F.lit(2)), n * F.lit(BLOCK // PIVOTS)) == 0)
+    at = F.when(pivot, F.sequence(F.lit(0), n - 1)).otherwise(F.array(_chunk(n, 1)))
+    return members.select("key", F.explode(at).alias("chunk"), "node", *payload).repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+
+
+def still_apart(members: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """(key, i, j, side, node, comp) for the second pass over groups (key, size, node) beyond ``BLOCK``.
+
+    ``links`` are the edges of the first pass. Members outside their group's
+    largest component stand on side 0 of the blocks (i, j) of all j, all members
+    on side 1 of the blocks of all i. Groups of one component give no rows.
+    """
+    joined = materialise(connected_components(links), "joined")
+    own = members.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    own = materialise(own.select("key", "size", "node", "comp", _chunk(chunks_of(F.col("size")), 1).alias("j")), "members")
+    per = own.groupBy("key", "size", "comp").agg(F.count("*").alias("n"))
+    main = per.groupBy("key", "size").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("apart"))
+    main = main.where("apart > 0").select("key", "main", chunks_of(F.col("apart")).alias("rows"), chunks_of(F.col("size")).alias("columns"))
+    # each chunk of a group meets its own copy of the group's row, so no group is one task's
+    rows = own.join(main.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))), ["key", "j"])
+    block = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    left = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: block(_chunk(F.col("rows"), 3), j, 0))
+    right = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: block(i, F.col("j"), 1))
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    blocks = F.concat(F.when(F.col("comp") != F.col("main"), left).otherwise(none), right)
+    return rows.select("key", "node", "comp", F.explode(blocks).alias("x")).select("key", "x.i", "x.j", "x.side", "node", "comp")
+
+
+def _inner_pairs(at: np.ndarray):
+    """Index pairs within each group, in pieces of bounded size; groups of one size go together."""
     size = np.diff(at)
-    inner = bi[at[:-1]] == bj[at[:-1]]
-    for s in np.unique(size[inner]):
+    for s in np.unique(size):
         if s < 2:
             continue
         i, j = np.triu_indices(s, 1)
-        starts = at[:-1][inner & (size == s)]
+        starts = at[:-1][size == s]
         step = max(1, 20_000 // len(i))
         for k in range(0, len(starts), step):
             base = starts[k : k + step, None]
-            yield (base + i).ravel(), (base + j).ravel()
-    for k in np.flatnonzero(~inner):
-        rows = np.arange(at[k], at[k + 1])
-        low, high = rows[chunk[rows] == bi[at[k]]], rows[chunk[rows] == bj[at[k]]]
+            for x in range(0, len(i), 50_000):
+                yield (base + i[x : x + 50_000]).ravel(), (base + j[x : x + 50_000]).ravel()
+
+
+def _cross_pairs(at: np.ndarray, side: np.ndarray, comp: np.ndarray):
+    """Index pairs of the two sides of each group that aren't in one component."""
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        low, high = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
         for x in range(0, len(low), 64):
             part = low[x : x + 64]
-            yield np.repeat(part, len(high)), np.tile(high, len(part))
+            p, q = np.repeat(part, len(high)), np.tile(high, len(part))
+            differ = comp[p] != comp[q]
+            yield p[differ], q[differ]
+
+
+def _fresh(batches):
+    """Batches of (node, ...) without the rows of nodes seen before in this task."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for node in batch.column(0).to_pylist():
+            keep.append(node not in seen)
+            seen.add(node)
+        yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _once(batches, n_keys: int, node: int):
+    """Batches sorted by their leading columns and ``node`` without repeated rows."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in (*range(n_keys), node)]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = last != [c[0] for c in columns]
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        last = [c[-1] for c in columns]
+        yield batch if new.all() else batch.filter(pa.array(new))
 
 
 # ---------------------------------------------------------------- candidates and links
 
 
+EDGE = "a bigint, b bigint"
+
+
 def candidate_edges(nodes: DataFrame, share: int = SHARE) -> DataFrame:
-    """(a, b) edges whose components hold every candidate pair. ``nodes``: rep, n_shingles, registers."""
+    """(a, b) edges whose components hold every candidate pair. ``nodes``: node, n_shingles, registers."""
 
     def bands(batches):
         for batch in batches:
@@ -220,33 +303,47 @@ def candidate_edges(nodes: DataFrame, share: int = SHARE) -> DataFrame:
                 continue
             data, _ = utf8_column(batch.column(1))
             with np.errstate(over="ignore"):
-                keys = band_keys(data.view(np.uint16).reshape(-1, REGISTERS) if data.flags.aligned else np.frombuffer(data.tobytes(), np.uint16).reshape(-1, REGISTERS))
-            rep = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).ravel()), pa.array(rep)], names=["key", "rep"])
+                keys = band_keys(np.frombuffer(data.tobytes(), np.uint16).reshape(-1, REGISTERS))
+            node = np.repeat(batch.column(0).to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).ravel()), pa.array(node)], names=["key", "node"])
 
     least = threshold(share)
 
-    def compare(batches):
-        forest = Forest()
+    def compare(pairs, node, n, registers):
+        data, _ = utf8_column(registers)
+        reg = np.frombuffer(data.tobytes(), np.uint16).reshape(-1, REGISTERS)
+        forest, grown = Forest(), []
+        for a, b in pairs:
+            matches = (reg[a] == reg[b]).sum(1)
+            hit = np.flatnonzero(matches >= least * REGISTERS)  # the correction only lowers the estimate
+            for x, y, m in zip(a[hit].tolist(), b[hit].tolist(), matches[hit].tolist(), strict=True):
+                if estimate(m, chance_of_collision(1 << int(n[x]).bit_length(), 1 << int(n[y]).bit_length())) >= least and forest.join(int(node[x]), int(node[y])):
+                    grown.append((int(node[x]), int(node[y])))
+        return grown
+
+    def within(batches):
+        for t in runs(batches, 2):
+            if grown := compare(_inner_pairs(bounds(t, 2)), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4)):
+                yield _edges(grown)
+
+    def across(batches):
         for t in runs(batches, 3):
-            at = bounds(t, 3)
-            bi, bj, chunk, rep, n = (t.column(i).to_numpy() for i in range(1, 6))
-            data, _ = utf8_column(t.column(6))
-            reg = np.frombuffer(data.tobytes(), np.uint16).reshape(-1, REGISTERS)
-            grown = []
-            for a, b in _pairs(bi, bj, chunk, at):
-                matches = (reg[a] == reg[b]).sum(1)
-                hit = np.flatnonzero(matches >= least * REGISTERS)  # the correction only lowers the estimate
-                for x, y, m in zip(a[hit].tolist(), b[hit].tolist(), matches[hit].tolist(), strict=True):
-                    if estimate(m, chance_of_collision(1 << int(n[x]).bit_length(), 1 << int(n[y]).bit_length())) >= least and forest.join(int(rep[x]), int(rep[y])):
-                        grown.append((int(rep[x]), int(rep[y])))
-            if grown:
+            side, node, comp, n = (t.column(i).to_numpy() for i in range(3, 7))
+            if grown := compare(_cross_pairs(bounds(t, 3), side, comp), node, n, t.column(7)):
                 yield _edges(grown)
 
-    band = nodes.select("rep", "registers").mapInArrow(bands, "key bigint, rep bigint")
-    shared = band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = band.join(shared, "key").join(nodes, "rep")
-    return in_blocks(members, "key", "size", "rep", "n_shingles", "registers").mapInArrow(compare, "a bigint, b bigint")
+    band = nodes.select("node", "registers").mapInArrow(bands, "key bigint, node bigint")
+    total = BANDS * nodes.count()
+    shared = materialise(band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bands")
+    met = skew_join(band, shared, "key", "size", total, F.col("node"))
+    registers = nodes.select("node", "n_shingles", "registers")
+    edges = materialise(in_chunks(met.join(registers, "node"), "n_shingles", "registers").mapInArrow(within, EDGE), "candidates")
+    large = shared.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return edges
+    apart = still_apart(skew_join(band, large, "key", "size", total, F.col("node")), edges, total).join(registers, "node")
+    apart = apart.select("key", "i", "j", "side", "node", "comp", "n_shingles", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return edges.unionByName(apart.mapInArrow(across, EDGE))
 
 
 def linked(sets: list[np.ndarray], left: list[int] | None = None, right: list[int] | None = None, share: int = SHARE):
@@ -286,54 +383,117 @@ def linked(sets: list[np.ndarray], left: list[int] | None = None, right: list[in
         yield left[x], right[y]
 
 
-def confirmed_edges(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, share: int = SHARE) -> DataFrame:
-    """Spanning forest of the links confirmed on full sets within each cluster. ``clusters``: node, component."""
+def confirmed_edges(rows: DataFrame, clusters: DataFrame, share: int = SHARE) -> DataFrame:
+    """Spanning forest of the links confirmed on full sets within each cluster.
 
-    def verify(batches):
-        for t in runs(batches, 3):
-            at = bounds(t, 3).tolist()
-            bi, bj, chunk, node = (t.column(i).to_numpy() for i in range(1, 5))
-            data, offsets = utf8_column(t.column(5))
-            sets = shingle_sets(data, offsets, SHINGLE, slices)
-            grown = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                own = [next(sets) for _ in range(b - a)]
-                forest = Forest()
-                inner = bi[a] == bj[a]
-                low = [i for i in range(b - a) if chunk[a + i] == bi[a]]
-                high = low if inner else [i for i in range(b - a) if chunk[a + i] == bj[a]]
-                for i, j in linked(own, low, high, share):
-                    if forest.join(int(node[a + i]), int(node[a + j])):
-                        grown.append((int(node[a + i]), int(node[a + j])))
-            if grown:
+    ``rows``: own, th, text; ``clusters``: node, component, own, th.
+    """
+
+    def confirm(node, at, texts, sides):
+        data, offsets = utf8_column(texts)
+        sets = shingle_sets(data, offsets, SHINGLE, slices)
+        grown = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = [next(sets) for _ in range(b - a)]
+            forest = Forest()
+            for i, j in linked(own, *sides(a, b), share):
+                if forest.join(int(node[a + i]), int(node[a + j])):
+                    grown.append((int(node[a + i]), int(node[a + j])))
+        return grown
+
+    def within(batches):
+        for t in runs(_once(batches, 2, 2), 2):
+            if grown := confirm(t.column(2).to_numpy(), bounds(t, 2), t.column(3), lambda a, b: (None, None)):
+                yield _edges(grown)
+
+    def across(batches):
+        for t in runs(_once(batches, 4, 4), 3):
+            side, node = t.column(3).to_numpy(), t.column(4).to_numpy()
+            sides = lambda a, b: (np.flatnonzero(side[a:b] == 0).tolist(), np.flatnonzero(side[a:b] == 1).tolist())
+            if grown := confirm(node, bounds(t, 3), t.column(6), sides):
                 yield _edges(grown)
 
+    def fetched(found: DataFrame) -> DataFrame:
+        """``found`` with one text of each node from every task that has any."""
+        small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+        return rows.select("own", "th", "text").join(small, ["own", "th"])
+
+    total = clusters.count()
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "component")
-    small = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(small, "node")
-    return in_blocks(texts, "component", "size", "node", "text").mapInArrow(verify, "a bigint, b bigint")
+    sizes = materialise(sizes, "sizes")
+    members = skew_join(clusters, sizes, "component", "size", total, F.col("node")).select("node", F.col("component").alias("key"), "size", "own", "th")
+    members = materialise(members, "members")
+    texts = fetched(members).select("node", "key", "size", "text").mapInArrow(_fresh, "node bigint, key bigint, size bigint, text string")
+    # rows that repeat the id and text of a representative give it once
+    dealt = in_chunks(texts, "text").sortWithinPartitions("key", "chunk", "node")
+    edges = materialise(dealt.mapInArrow(within, EDGE), "links")
+    large = members.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return edges
+    apart = materialise(still_apart(large.select("key", "size", "node"), edges, total), "apart")
+    if apart.isEmpty():
+        return edges
+    wanted = materialise(apart.select("node").distinct().join(large.select("node", "own", "th"), "node"), "wanted")
+    found = fetched(wanted).select("node", "text").mapInArrow(_fresh, "node bigint, text string")
+    dealt = apart.join(found, "node").select("key", "i", "j", "side", "node", "comp", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    return edges.unionByName(dealt.mapInArrow(across, EDGE))
+
+
+def grouped(rows: DataFrame, share: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``rows``, and their classes: digest, n_rows, first (own, th), of the smallest id of the group.
+
+    With ``by_id`` all texts of an id belong to one group.
+    """
+    with scratch(rows.sparkSession) as keep:
+        found = keep(materialise(signatures(rows), "signatures"))
+        usable = found.where("digest is not null")
+        first = F.min(F.struct("own", "th")).alias("first")
+        nodes = usable.groupBy("digest").agg(first, F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        candidates = connected_components(candidate_edges(nodes, share))
+        clusters = materialise(candidates.join(nodes.select("node", "first.own", "first.th"), "node"), "clusters")
+        links = confirmed_edges(rows, clusters, share)
+        if by_id:
+            links = links.unionByName(_same_id(usable, nodes))
+        groups = materialise(connected_components(links).join(nodes.select("node", "first"), "node"), "groups")
+        least = groups.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+        least = skew_join(groups, least, "component", "n", groups.count(), F.col("node")).select("node", "least")
+        return found, keep(materialise(nodes.join(least, "node", "left").select("digest", "n_rows", F.coalesce("least", "first").alias("least")), "classes"))
+
+
+def _same_id(usable: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between each id of several classes, as a negative node, and its classes."""
+    h = F.xxhash64("digest")
+    several = usable.where(F.col("own") != NO_ID).groupBy("own").agg(F.min(h).alias("a"), F.max(h).alias("b"), F.count("*").alias("n")).where("a <> b")
+    several = materialise(several.select("own", "n", (-1 - F.monotonically_increasing_id()).alias("b")), "several")
+    total = usable.count()
+    own = skew_join(usable.select("own", "digest"), several, "own", "n", total, F.col("digest")).select("b", "digest").distinct()
+    return skew_join(own, nodes.select("digest", "n_rows", F.col("node").alias("a")), "digest", "n_rows", total, F.col("b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """Per document: doc id, n_shingles, component_id, kept (ids must be integers). Sets link from ``share`` of 100 on."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col)
-    found = materialise(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
-    usable = found.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull())
-    classes = usable.groupBy("digest").agg(F.min(id_col).alias("rep"))
-    nodes = usable.select("digest", F.col(id_col).alias("rep"), "n_shingles", "registers").join(classes, ["digest", "rep"]).select("rep", "n_shingles", "registers")
-    nodes = materialise(nodes, "nodes")
-    clusters = materialise(connected_components(candidate_edges(nodes, share)), "clusters")
-    groups = connected_components(confirmed_edges(docs, clusters, id_col, text_col, share))
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = found.select(id_col, "n_shingles", "digest").join(named, "digest", "left")
-    # one id with several texts belongs to one group
-    component = F.coalesce("component_id", id_col)
-    return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
+    found, classes = grouped(keyed(docs, id_col, text_col), share, True)
+    named = classes.select("digest", "n_rows", F.col("least.own").alias("least"))
+    out = skew_join(found.select("own", "n_shingles", "digest"), named, "digest", "n_rows", found.count(), F.col("own"), "left")
+    own = F.when(F.col("own") != NO_ID, F.col("own"))
+    component = F.when(own.isNotNull(), F.coalesce("least", "own"))
+    return out.select(own.alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == own, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
-    """The documents that :func:`near_duplicates` keeps, with the columns of ``docs``."""
-    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, share=share).where("not kept").select(id_col).distinct(), "dropped")
-    dropped = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, that of the smallest id, with the columns of ``docs``."""
+    rows = keyed(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found, classes = grouped(rows, share, False)
+    total = found.count()
+    of = skew_join(found.where("digest is not null").select("own", "th", "digest"), classes, "digest", "n_rows", total, F.col("own"), "left")
+    kept = (F.col("own") == F.col("least.own")) & (F.col("th") == F.col("least.th"))
+    verdict = of.select("own", "th", kept.alias("kept")).groupBy("own", "th").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    verdict = materialise(verdict.where("not kept or n > 1"), "verdicts")
+    few = verdict.count() <= BROADCAST_ROWS
+    told = rows.join(F.broadcast(verdict) if few else verdict, ["own", "th"], "left")
+    out = told.where("n is null").select("row.*")
+    if verdict.where("kept").isEmpty():
+        return out
+    # rows that repeat id and text: any one of them
+    return out.unionByName(told.where("kept").groupBy("own", "th").agg(F.first("row").alias("row")).select("row.*"))

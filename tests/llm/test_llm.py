@@ -282,19 +282,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    rng = random.Random(2)
-    words = [f"w{i}" for i in range(400)]
-    texts = []
-    for _ in range(12):
-        base = [rng.choice(words) for _ in range(rng.choice([3, 8, 40, 200]))]
-        for _ in range(rng.randrange(1, 14)):
-            own = list(base)
-            for _ in range(rng.choice([0, 0, 1, 2, 4])):
-                own[rng.randrange(len(own))] = rng.choice(words)
-            texts.append((len(texts) * 3 + 1, rng.choice([" ", "\n", "\t "]).join(own)))
-    rng.shuffle(texts)
-    texts += [(900, None), (901, ""), (902, "  ")]
+def _brute_components(texts):
     sets = {i: shingles(t) for i, t in texts}
     up = {i: i for i in sets}
 
@@ -309,6 +297,24 @@ def test_near_duplicates_equal_brute_force(spark):
             if a < b and n and 100 * n >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 8, 40, 200]))]
+        for _ in range(rng.randrange(1, 14)):
+            own = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append((len(texts) * 3 + 1, rng.choice([" ", "\n", "\t "]).join(own)))
+    rng.shuffle(texts)
+    texts += [(900, None), (901, ""), (902, "  ")]
+    sets, of = {i: shingles(t) for i, t in texts}, _brute_components(texts)
+    find = of.__getitem__
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents(spark, texts)).collect()}
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
@@ -343,8 +349,52 @@ def test_near_duplicates_odd_rows(spark):
     got = near_duplicates(docs).collect()
     assert len(got) == len(ODD) and next(r for r in got if r.doc_id is None).kept
     kept = drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == len(ODD)
+    assert kept.columns == docs.columns and kept.count() == len(ODD) - 1  # one row repeats id and text
     assert near_duplicates(documents(spark, [])).count() == 0
+    assert drop_near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    x, y, u = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyu")
+    got = near_duplicates(documents(spark, [(1, x), (5, x), (5, y), (7, y), (9, u), (None, u)])).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, True), (1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True)]
+    rows = [(1, x), (5, x), (5, u), (5, u), (6, u + " end"), (None, u), (None, y), (None, y), (3, None), (3, None)]
+    kept = drop_near_duplicates(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, x), (5, u), (0, y), (3, ""), (3, "")])
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_groups_beyond_a_block_equal_brute_force(spark, monkeypatch, block):
+    """Clusters that fall apart in several groups, and links between members that aren't the pivots'."""
+    from loomtext.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    rng = random.Random(block)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for g in range(24):
+        own = list(base)
+        for k in range(3):
+            own[rng.randrange(120)] = f"g{g}k{k}"
+        for _ in range(rng.randrange(1, 6)):
+            w = list(own)
+            if rng.random() < 0.6:
+                w[rng.randrange(120)] = f"own{len(texts)}"
+            texts.append((len(texts), " ".join(w)))
+    want = _brute_components(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, texts)).collect()}
+    assert got == want and 3 < len(set(want.values())) < len(texts)
+
+
+def test_one_large_cluster_stays_in_proportion(spark):
+    """20,000 near copies: the texts and signatures dealt out stay in proportion to them."""
+    from loomtext.llm import minhash
+
+    rows = spark.range(20_000).select(F.lit(1).alias("key"), F.lit(20_000).alias("size"), F.col("id").alias("node"))
+    assert minhash.in_chunks(rows).count() < 1.1 * 20_000
+    links = rows.where("node < 19990").select(F.col("node").alias("a"), F.lit(0).alias("b"))
+    assert minhash.still_apart(rows, links, 20_000).count() < 1.1 * 20_000
+    assert minhash.still_apart(rows, rows.select(F.col("node").alias("a"), F.lit(0).alias("b")), 20_000).count() == 0
 
 
 def test_registers_estimate_similarity():
