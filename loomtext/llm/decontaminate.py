@@ -2,33 +2,44 @@
 
 Every benchmark item is normalised to words and cut into windows of ``window``
 consecutive words (an item of fewer words, but not none, is one window). All
-windows become patterns of one automaton, and each document is scanned once.
-Hits are word intervals; :func:`find_passages` maps them to code-point offsets
-of the original text.
+windows become patterns of one automaton over word numbers, whose states stand in
+flat arrays; it is built once, on the driver, and broadcast. Each document is
+scanned once: words that no item has send the automaton back to its start, so
+only stretches of known words are stepped through, many at a time. Hits are word
+intervals; :func:`find_passages` maps them to code-point offsets of the original
+text.
 
 Defined cases: a null or wordless document has no words and no hits; a null or
 wordless item has no windows; every document row gives its own row, whatever
-its id and the size of the benchmark;
-repeated item ids count once; an empty benchmark hits nothing; columns of the
-inputs other than the named ones are ignored.
+its id and the size of the benchmark; a null item id is the text ``null``;
+repeated item ids count once; an empty benchmark hits nothing; very long texts
+are scanned whole, in pieces that overlap; columns of the inputs other than the
+named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bounded_batches, materialise
+from loomtext.llm.common import bounded_batches, materialise, slices, utf8_column
 
 WINDOW = 13
 #: Benchmark text that one automaton holds at most; a larger benchmark is scanned in blocks of this size.
-AUTOMATON_BYTES = 4_000_000
+#: An automaton has at most ``window`` states a word and 16 bytes a state, so some 200 MB for usual words.
+AUTOMATON_BYTES = 6_000_000
+#: Words of one piece that is stepped through.
+PIECE = 256
+#: Text that is scanned at once.
+SLICE_BYTES = 2_000_000
 
 #: Byte table: A-Z to lower case, every other ASCII byte that is no word byte to a space.
 _NORMAL = bytes(
@@ -41,47 +52,145 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
 
 
-def windows_of(text: str | None, window: int = WINDOW) -> set[bytes]:
-    words = words_of(text)
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
-
-
-def build_automaton(items: list[tuple[object, str | None]], window: int = WINDOW) -> ahocorasick.Automaton:
-    """Automaton over space-delimited windows; a value is (words, item ids)."""
-    owners: dict[bytes, set] = {}
-    for item_id, text in items:
-        for w in windows_of(text, window):
-            owners.setdefault(w, set()).add(item_id)
-    automaton = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        # latin-1 maps bytes to code points one to one, so no UTF-8 decoding is needed
-        automaton.add_word((b" " + w + b" ").decode("latin-1"), (w.count(b" ") + 1, tuple(ids)))
-    if len(automaton):
-        automaton.make_automaton()
+@dataclass
+class Automaton:
+    """States are numbered level by level; state 0 is the start."""
+
+    vocabulary: dict[bytes, int]  # words to numbers from 1 on
+    edges: np.ndarray  # sorted (state << 32 | word); edge i leads to state i + 1
+    fail: np.ndarray  # of each state: the state of its longest proper suffix
+    out: np.ndarray  # of each state: the longest pattern that ends there, as a state, or 0
+    depth: np.ndarray  # first state of each level
+    shortest: int  # words of the shortest pattern
+    longest: int
+    owned: np.ndarray  # sorted states where patterns end, one row for each owner
+    owners: np.ndarray  # their items
+    items: list[str]
+
+    def child(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The state that an edge leads to, or -1."""
+        key = (state.astype(np.int64) << 32) | word
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        return np.where(self.edges[at] == key, at + 1, -1)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        to = self.child(state, word)
+        open_ = np.flatnonzero(to < 0)
+        while len(open_):
+            at_start = state[open_] == 0
+            to[open_[at_start]] = 0
+            open_ = open_[~at_start]
+            state = state.copy()
+            state[open_] = self.fail[state[open_]]
+            to[open_] = self.child(state[open_], word[open_])
+            open_ = open_[to[open_] < 0]
+        return to
+
+    def words(self, state: np.ndarray) -> np.ndarray:
+        """Words of the prefix that a state stands for."""
+        return np.searchsorted(self.depth, state, side="right") - 1
+
+    def names(self, states: np.ndarray) -> set[str]:
+        """Items that own a pattern which ends in one of the states."""
+        found, states = set(), np.unique(states)
+        while len(states):
+            low, high = np.searchsorted(self.owned, states), np.searchsorted(self.owned, states, side="right")
+            for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                found.update(self.owners[a:b].tolist())
+            states = np.unique(self.out[self.fail[states]])
+            states = states[states > 0]
+        return {self.items[i] for i in found}
+
+
+def build_automaton(items: list[tuple[object, str | None]], window: int = WINDOW) -> Automaton | None:
+    """Automaton over the windows of (item id, text); none if there are no words."""
+    vocabulary: dict[bytes, int] = {}
+    text, starts, owner, names = array("i"), [], [], []
+    for item_id, item in items:
+        words = words_of(item)
+        if not words:
+            continue
+        first = len(text)
+        text.extend(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words)
+        size = min(window, len(words))
+        n = len(words) - size + 1
+        starts.append(np.stack([np.arange(first, first + n), np.full(n, size)]))
+        owner.append(np.full(n, len(names)))
+        names.append("null" if item_id is None else str(item_id))
+    if not names:
+        return None
+    words = np.frombuffer(text, np.int32).astype(np.int64)
+    (start, size), owner = np.concatenate(starts, 1), np.concatenate(owner)
+    automaton = Automaton(vocabulary, np.zeros(0, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int64), int(size.min()), int(size.max()), np.zeros(0), np.zeros(0), names)
+    state, level = np.zeros(len(start), np.int64), 0
+    edges, ends = [], np.zeros(len(start), np.int64)
+    firsts, states = [0], 1
+    for level in range(int(size.max())):
+        live = np.flatnonzero(size > level)
+        key, place = np.unique((state[live] << 32) | words[start[live] + level], return_inverse=True)
+        edges.append(key)
+        firsts.append(states)
+        state[live] = states + place
+        states += len(key)
+        done = live[size[live] == level + 1]
+        ends[done] = state[done]
+    automaton.edges, automaton.depth = np.concatenate(edges), np.array(firsts)
+    fail, out = np.zeros(states, np.int32), np.zeros(states, np.int32)
+    out[ends] = ends
+    automaton.fail, automaton.out = fail, out
+    for level, key in enumerate(edges):
+        own = firsts[level + 1] + np.arange(len(key))
+        if level:
+            parent = key >> 32
+            fail[own] = automaton.step(fail[parent].astype(np.int64), key & 0xFFFFFFFF)
+        out[own] = np.where(out[own] > 0, out[own], out[fail[own]])
+    pairs = np.unique(np.stack([ends, owner]), axis=1)
+    automaton.owned, automaton.owners = pairs[0].astype(np.int32), pairs[1].astype(np.int32)
     return automaton
 
 
-def scan(words: list[bytes], automaton: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set]:
-    """Merged word intervals [start, end) inside windows, and the items that own them."""
-    if not words or not len(automaton):
-        return [], set()
-    line = b" " + b" ".join(words) + b" "
-    hits, items = [], set()
-    counted, at = 0, 0
-    for end, (n, ids) in automaton.iter(line.decode("latin-1")):
-        counted += line.count(b" ", at, end)  # words that end before this space
-        at = end
-        hits.append((counted - n, counted))
-        items.update(ids)
-    merged: list[tuple[int, int]] = []
-    for start, end in sorted(hits):
-        if merged and start <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-        else:
-            merged.append((start, end))
-    return merged, items
+def scan(texts: list[list[bytes]], automaton: Automaton | None) -> Iterator[tuple[list[tuple[int, int]], set[str]]]:
+    """Of each list of words: merged intervals [start, end) inside windows, and the items that own them."""
+    if automaton is None:
+        yield from (([], set()) for _ in texts)
+        return
+    number = automaton.vocabulary.get
+    ids = np.array([number(w, 0) for words in texts for w in (*words, b"")], np.int64)  # texts end with an unknown word
+    bounds = np.cumsum([0] + [len(words) + 1 for words in texts])
+    known = np.flatnonzero(np.diff((ids > 0).astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    first, last = known[::2], known[1::2]
+    enough = last - first >= automaton.shortest
+    first, last = first[enough], last[enough]
+    # stretches of known words in pieces, each with the words before it that a window may begin in
+    pieces = -(-(last - first) // PIECE)
+    own = np.repeat(first, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    end = np.minimum(own + PIECE, np.repeat(last, pieces))
+    at = np.maximum(own - automaton.longest + 1, np.repeat(first, pieces))
+    order = np.argsort(at - end, kind="stable")
+    own, end, at = own[order], end[order], at[order]
+    length, state = end - at, np.zeros(len(at), np.int64)
+    found_at, found = [], []
+    for i in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -i, side="left"))  # pieces of more than i words
+        state[:n] = automaton.step(state[:n], ids[at[:n] + i])
+        out = automaton.out[state[:n]]
+        hit = np.flatnonzero((out > 0) & (at[:n] + i >= own[:n]))
+        if len(hit):
+            found_at.append(at[hit] + i)
+            found.append(out[hit])
+    places, states = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_at, found))
+    order = np.argsort(places, kind="stable")
+    places, states = places[order], states[order]
+    begins = places + 1 - automaton.words(states)
+    cuts = np.searchsorted(places, bounds)
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        merged: list[tuple[int, int]] = []
+        # intervals in the order of their ends: a later one may begin before several earlier ones
+        for x, y in zip((begins[a:b] - bounds[k]).tolist(), (places[a:b] + 1 - bounds[k]).tolist(), strict=True):
+            while merged and x <= merged[-1][1]:
+                x = min(x, merged.pop()[0])
+            merged.append((x, y))
+        yield merged, automaton.names(states[a:b]) if merged else set()
 
 
 def original_offsets(text: str, intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,28 +228,27 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int) -
 def _scan_block(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, window: int, only_hits: bool) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(items)
+    shared = spark.sparkContext.broadcast(build_automaton(items, window))
     id_type = docs.schema[id_col].dataType.simpleString()
-    cache: dict = {}
 
     def run(batches):
-        if "automaton" not in cache:
-            cache["automaton"] = build_automaton(shared.value, window)
-        automaton = cache["automaton"]
+        automaton = shared.value
         for batch in batches:
             rows = {"n_words": [], "starts": [], "ends": [], "items": [], "passages": []}
             keep = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
-                intervals, found = scan(words, automaton)
-                if only_hits and not intervals:
-                    continue
-                keep.append(i)
-                rows["n_words"].append(len(words))
-                rows["starts"].append([s for s, _ in intervals])
-                rows["ends"].append([e for _, e in intervals])
-                rows["items"].append(sorted(map(str, found)))
-                rows["passages"].append([{"start": s, "end": e} for s, e in original_offsets(text or "", intervals)])
+            _, offsets = utf8_column(batch.column(1))
+            for a, b in slices(offsets, SLICE_BYTES):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                words = [words_of(t) for t in texts]
+                for i, (text, own, (intervals, found)) in enumerate(zip(texts, words, scan(words, automaton), strict=True), a):
+                    if only_hits and not intervals:
+                        continue
+                    keep.append(i)
+                    rows["n_words"].append(len(own))
+                    rows["starts"].append([s for s, _ in intervals])
+                    rows["ends"].append([e for _, e in intervals])
+                    rows["items"].append(sorted(found))
+                    rows["passages"].append([{"start": s, "end": e} for s, e in original_offsets(text or "", intervals)])
             ids = batch.column(0).take(pa.array(keep, pa.int64())) if only_hits else batch.column(0)
             passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
@@ -166,7 +274,7 @@ def find_passages(
     """Per document: n_words, n_hit, item ids, and hit passages as original offsets.
 
     A benchmark of at most ``automaton_bytes`` is one broadcast automaton and one
-    map-only scan. A larger one is scanned in blocks: the rows are written once
+    map-only scan of the documents. A larger one is scanned in blocks: the rows are written once
     with a key of their own, each block scans them, and the word intervals are
     merged by that key, so repeated and null ids keep their rows.
     """

@@ -59,6 +59,29 @@ def test_decontamination_equals_brute_force(spark):
         assert got == want, size
 
 
+def test_automaton_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        word = lambda k: rng.choice(["a", "b", "c", "d", "zz"][:k])
+        k = rng.choice([2, 4])
+        items = [(i, " ".join(word(k) for _ in range(rng.choice([0, 1, 3, 5, 9])))) for i in range(rng.randrange(8))]
+        docs = [(i, " ".join(word(5) for _ in range(rng.choice([0, 1, 5, 40, 700])))) for i in range(4)]
+        words = [dc.words_of(t) for _, t in docs]
+        got = {}
+        for i, (w, (intervals, names)) in enumerate(zip(words, dc.scan(words, dc.build_automaton(items, 5)), strict=True)):
+            assert all(x[1] < y[0] for x, y in zip(intervals, intervals[1:], strict=False))
+            got[i] = (len(w), sum(e - s for s, e in intervals), ",".join(sorted(names)))
+        assert got == brute_contamination(docs, items, 5)
+
+
+def test_decontamination_in_batches_and_null_items(spark):
+    bench = spark.createDataFrame([(None, "k l m"), (4, None), (4, "k l m n")], "item_id int, text string")
+    docs = [(i, "x " * (i % 700) + "k l m n " * (i % 3)) for i in range(2500)]
+    got = dc.decontaminate(documents(spark, docs), bench).collect()
+    assert len(got) == 2500 and {(r.doc_id % 3 > 0, tuple(r["items"])) for r in got} == {(False, ()), (True, ("4", "null"))}
+    assert all(r.n_hit == 4 * (r.doc_id % 3) and r.n_words == r.doc_id % 700 + r.n_hit for r in got)
+
+
 def test_decontamination_offsets_and_odd_rows(spark):
     bench = spark.createDataFrame([(1, "Été one-two")], "item_id int, text string")
     got = dc.decontaminate(documents(spark, [(1, "x ÉÉ! Été, ONE (two) y"), *ODD]), bench).collect()
