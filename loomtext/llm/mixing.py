@@ -9,11 +9,13 @@ probabilities of at most 1), and documents are sampled by a hash of their id.
 Marginals default to the observed token shares to the power of ``FLATTEN``,
 normalised; other targets are given as tables of (value, share).
 
-Defined cases: a null source, language or topic is a value of its own; a null
-text has no tokens and the topic of an empty one; cells without tokens have
-weight per token 1; values missing from given targets keep their observed share
-of what the targets leave; repeated ids are sampled alike; a null id is hashed
-as the text ``null``; an empty table gives an empty result.
+Defined cases: a null source, language or topic is a value of its own, apart from
+the text ``(null)``; a null text has no tokens and the topic of an empty one; very
+long texts are counted whole; cells without tokens have weight per token 1; values
+missing from given targets keep their observed share of what the targets leave;
+repeated ids are sampled alike; a null id is hashed as the text ``null``; columns
+of the documents keep their names and values whatever they are, since they travel
+in one struct; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ RATE = 0.5
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 NULL = "(null)"
+LIKE_NULL = r"\A(\(+null\))\z"
 #: Rounds between two cuts of the lineage.
 CUT = 5
 #: Cells of one partition; up to so many cells are raked without any exchange.
@@ -54,13 +57,17 @@ def tokens_of(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint")
 
 
-def with_cells(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: F.Column | None = None) -> DataFrame:
-    """``docs`` with the columns mix_source, mix_lang, mix_topic."""
-    value = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
-    return docs.withColumns({
-        "mix_source": value(F.col(source_col)), "mix_lang": value(F.col(lang_col)),
-        "mix_topic": value(topic_of(F.col(text_col)) if topic is None else topic),
-    })
+def value_of(c: F.Column) -> F.Column:
+    """A value as text; null is ``NULL``, and texts that look like it get one more bracket."""
+    return F.coalesce(F.regexp_replace(c.cast("string"), LIKE_NULL, "($1"), F.lit(NULL))
+
+
+def with_cells(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: F.Column | None = None) -> DataFrame:
+    """(row, mix_source, mix_lang, mix_topic, n_tokens, draw) of ``docs``, whose own columns are the struct ``row``."""
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), value_of(F.col(source_col)).alias("mix_source"), value_of(F.col(lang_col)).alias("mix_lang"),
+        value_of(topic_of(F.col(text_col)) if topic is None else topic).alias("mix_topic"), tokens_of(F.col(text_col)).alias("n_tokens"), draw(id_col).alias("draw"),
+    )
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, *, rounds: int = ROUNDS, flatten: float = FLATTEN) -> DataFrame:
@@ -86,35 +93,45 @@ def _with_target(cells: DataFrame, d: str, target: DataFrame | None, flatten: fl
     """``cells`` with the token total that each value of dimension ``d`` is raked to."""
     value, name = f"mix_{d}", f"target_{d}"
     sums = cells.groupBy(value).agg(F.sum("tokens").cast("double").alias("n"))
-    everything = Window.partitionBy(F.lit(1))
-    total = F.sum("n").over(everything)
     if target is None:
-        flat = F.when(F.col("n") > 0, F.pow("n", F.lit(flatten))).otherwise(0.0)
-        sums = sums.withColumn("flat", flat).withColumn(name, F.coalesce(total * F.try_divide(F.col("flat"), F.sum("flat").over(everything)), F.lit(0.0)))
+        sums = sums.withColumn("flat", F.when(F.col("n") > 0, F.pow("n", F.lit(flatten))).otherwise(0.0))
+        total, flat = sums.agg(F.sum("n"), F.sum("flat")).first()
+        sums = sums.withColumn(name, F.lit(total or 0.0) * F.col("flat") / F.lit(flat) if flat else F.lit(0.0))
     else:
-        given = target.select(F.coalesce(F.col("value").cast("string"), F.lit(NULL)).alias(value), F.col("share").cast("double").alias("share"))
+        given = target.select(value_of(F.col("value")).alias(value), F.col("share").cast("double").alias("share"))
         sums = sums.join(given, value, "left")
-        left = F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("share").over(everything), F.lit(0.0)))
-        rest = F.sum(F.when(F.col("share").isNull(), F.col("n"))).over(everything)
-        sums = sums.withColumn(name, total * F.coalesce("share", left * F.try_divide(F.col("n"), rest), F.lit(0.0)))
+        total, shares, rest = sums.agg(F.sum("n"), F.sum("share"), F.sum(F.when(F.col("share").isNull(), F.col("n")))).first()
+        left = max(0.0, 1 - (shares or 0.0))
+        sums = sums.withColumn(name, F.lit(total or 0.0) * F.coalesce("share", F.lit(left) * F.col("n") / F.lit(rest) if rest else F.lit(0.0)))
     return cells.join(sums.select(value, name), value)
 
 
+def residuals(raked: DataFrame) -> dict[str, float]:
+    """For each dimension, the largest deviation of a raked marginal from its target, as a share of all tokens."""
+    total = raked.agg(F.sum("weight")).first()[0] or 1.0
+    by = {d: raked.groupBy(f"mix_{d}").agg((F.abs(F.sum("weight") - F.max(f"target_{d}")) / total).alias("off")) for d in DIMENSIONS}
+    return {d: df.agg(F.max("off")).first()[0] or 0.0 for d, df in by.items()}
+
+
 def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
-    """Cells with ``probability``: min(1, c * weight / tokens), c such that ``rate`` of the tokens are expected."""
+    """Cells with ``probability``: min(1, c * weight / tokens), c such that ``rate`` of the tokens are expected.
+
+    The factor is raised until the cells it brings to probability 1 stay the
+    same; each step is an aggregate of one row, so no task holds all cells.
+    """
     ratio = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(1.0))
     cells = raked.withColumn("ratio", ratio)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("ratio"), *(f"mix_{d}" for d in DIMENSIONS))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
     tokens, mass = F.col("tokens").cast("double"), F.col("tokens") * F.col("ratio")
-    # if all cells before this one have probability 1, the factor of the others is c
-    capped = F.coalesce(F.sum(tokens).over(before), F.lit(0.0))
-    rest = F.sum(mass).over(everything) - F.coalesce(F.sum(mass).over(before), F.lit(0.0))
-    c = F.try_divide(F.lit(rate) * F.sum(tokens).over(everything) - capped, rest)
-    cells = cells.withColumn("c", c).withColumn("fits", F.col("c") * F.col("ratio") <= 1)
-    factor = F.max(F.when(F.col("fits"), F.struct(F.col("ratio"), F.col("c")))).over(everything)["c"]
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.coalesce(factor, F.lit(1.0)) * F.col("ratio")))
+    factor, full = 0.0, -1
+    while True:
+        capped = F.lit(factor) * F.col("ratio") > 1
+        total, done, rest, n = cells.agg(F.sum(tokens), F.sum(F.when(capped, tokens)), F.sum(F.when(~capped, mass)), F.count_if(capped)).first()
+        if not rest or n == full:
+            break
+        factor, full = (rate * total - (done or 0.0)) / rest, n
+    if not total:
+        factor = 1.0
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(factor) * F.col("ratio")))
 
 
 def draw(id_col: str, seed: str = SEED) -> F.Column:
@@ -123,21 +140,21 @@ def draw(id_col: str, seed: str = SEED) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, rounds: int = ROUNDS, flatten: float = FLATTEN, **columns) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, ``probability`` and ``sampled``.
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, rate: float = RATE, rounds: int = ROUNDS, flatten: float = FLATTEN, **columns) -> DataFrame:
+    """(row, mix_source, mix_lang, mix_topic, n_tokens, probability, sampled); ``row`` holds the columns of ``docs``.
 
     One pass counts the cells (partial aggregation before the shuffle, so a hot
     source is no burden), one pass draws; texts aren't shuffled.
     """
-    dealt = with_cells(docs, text_col=text_col, **columns)
+    dealt = with_cells(docs, **columns)
     names = [f"mix_{d}" for d in DIMENSIONS]
-    cells = materialise(dealt.groupBy(*names).agg(F.sum(tokens_of(F.col(text_col))).alias("tokens")), "cells")
-    weights = materialise(calibrate(rake(_few(cells), targets, rounds=rounds, flatten=flatten), rate).select(*names, "probability"), "weights")
+    cells = materialise(dealt.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    weights = materialise(calibrate(materialise(rake(_few(cells), targets, rounds=rounds, flatten=flatten), "raked"), rate).select(*names, "probability"), "weights")
     weights = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
     out = dealt.join(weights, names, "left")
-    return out.withColumn("sampled", F.coalesce(draw(id_col) < F.col("probability"), F.lit(False)))
+    return out.withColumn("sampled", F.coalesce(F.col("draw") < F.col("probability"), F.lit(False))).drop("draw")
 
 
 def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, **options) -> DataFrame:
     """The sampled documents, with the columns of ``docs``."""
-    return mixed(docs, targets, **options).where("sampled").select(*docs.columns)
+    return mixed(docs, targets, **options).where("sampled").select("row.*")

@@ -114,14 +114,14 @@ FROM d LEFT JOIN known ON known.c = d.c LEFT JOIN found USING (r)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomtext.llm.mixing import mixed, tokens_of
+    from loomtext.llm.mixing import mixed
 
     out = mixed(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("mix_topic").alias("topic"), tokens_of(F.col("text")).alias("n_tokens"), F.round("probability", 9).alias("probability"), "sampled")
+    return out.select("row.doc_id", F.col("mix_topic").alias("topic"), "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
 def _op10_sql() -> str:
-    from loomtext.llm.mixing import DIMENSIONS, FLATTEN, NULL, RATE, ROUNDS, SEED, TOPICS
+    from loomtext.llm.mixing import DIMENSIONS, FLATTEN, LIKE_NULL, NULL, RATE, ROUNDS, SEED, TOPICS
 
     def quoted(s: str) -> str:
         return "'" + s.replace("\n", "' || chr(10) || '") + "'"
@@ -140,7 +140,7 @@ def _op10_sql() -> str:
     joins = " ".join(f"JOIN t_{d} USING ({d})" for d in DIMENSIONS)
     return f"""
 WITH d AS MATERIALIZED (
-  SELECT doc_id, coalesce(source, '{NULL}') AS source, coalesce(lang, '{NULL}') AS lang, CASE {topic} ELSE 'prose' END AS topic,
+  SELECT doc_id, coalesce(regexp_replace(source, '{LIKE_NULL}', '(\\1'), '{NULL}') AS source, coalesce(regexp_replace(lang, '{LIKE_NULL}', '(\\1'), '{NULL}') AS lang, CASE {topic} ELSE 'prose' END AS topic,
     len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_tokens
   FROM documents
 ),

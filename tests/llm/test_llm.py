@@ -495,6 +495,25 @@ def test_raking_meets_marginals(spark):
     assert sum(r.probability * r.tokens for r in p) == pytest.approx(100, rel=1e-6) and max(r.probability for r in p) <= 1
 
 
+def test_mixing_of_the_tables_meets_its_marginals(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = mixing.with_cells(docs).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("n_tokens").alias("tokens"))
+    raked = mixing.rake(mixing.materialise(cells, "cells"))
+    assert max(mixing.residuals(raked).values()) < 1e-3
+
+
+def test_mixing_with_clashing_columns_and_null_texts(spark):
+    docs = documents(spark, [(i, "a b c " * (i + 1)) for i in range(40)]).withColumns({"source": F.when(F.col("doc_id") % 3 == 0, "(null)").when(F.col("doc_id") % 3 == 1, "((null)")})
+    own = {"probability": F.lit("p"), "sampled": F.lit("s"), "mix_source": F.lit("m"), "mix_lang": F.lit(1), "row": F.lit(2), "draw": F.lit(3), "n_tokens": F.lit(4), "weight": F.lit(5), "tokens": F.lit(6)}
+    odd = docs.withColumns(own)
+    got = mixing.sample_mix(odd)
+    assert got.schema == odd.schema and {(r.probability, r.sampled, r.mix_source) for r in got.collect()} == {("p", "s", "m")}
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in mixing.sample_mix(docs).collect()}
+    assert {r.mix_source for r in mixing.mixed(docs).collect()} == {"(null)", "((null)", "(((null)"}
+    every = mixing.mixed(docs, rate=1.0).collect()
+    assert all(r.sampled for r in every) and len(every) == 40
+
+
 def test_mixing_odd_rows(spark):
     docs = documents(spark, ODD)
     assert mixing.mixed(docs).count() == len(ODD)
