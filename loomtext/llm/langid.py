@@ -4,8 +4,9 @@ Text gives a log likelihood for each language by a multinomial model of hashed
 byte trigrams, fitted on a bounded sample of labelled documents. Pages declare a
 language in their markup, and their address has a suffix (a language segment at
 the start of the path, else the top-level domain). Hosts have priors, smoothed
-to their registered domain's and that to the global one; all are grouped sums of
-the pages' text posteriors, a page's own share taken out of its host's prior.
+to their registered domain's and that to the global one. Priors and the
+likelihoods of declarations and suffixes are grouped sums of the pages' text
+posteriors; a page's own share is taken out of all of them but the global prior.
 The posterior of a language is proportional to
 
     prior(language | host) * P(text | language) * P(declared | language) * P(suffix | language)
@@ -13,7 +14,9 @@ The posterior of a language is proportional to
 Defined cases: a null html or url is an empty one; pages without text have a flat
 likelihood and rest on the other evidence; a missing declaration or suffix is a
 value of its own; ties go to the language that sorts first; repeated pages each
-get a row; without labelled documents every language is null and the posterior 0.
+get a row; very long pages are read whole, in linear time whatever their markup;
+columns other than the named ones are ignored, whatever their names; without
+labelled documents every language is null and the posterior 0.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bounded_batches, materialise, slices, utf8_column
+from loomtext.llm.common import bounded_batches, materialise, skew_join, slices, utf8_column
 
 #: Labelled documents that the text model is fitted on at most, those of the smallest id hashes.
 SAMPLE = 5_000
@@ -38,17 +41,58 @@ TEXT_WEIGHT = 60.0
 KAPPA = 5.0
 BROADCAST_ROWS = 200_000
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>")
-_TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+_HIDDEN = re.compile(rb"<(script|style|noscript)\b")
+_CLOSE = {name: re.compile(rb"</" + name + rb"\s*>") for name in (b"script", b"style", b"noscript")}
+_HTML = re.compile(rb"<html\b")
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?([a-z]{2,3})")
+#: Character references beyond all code points, which aren't worth a conversion.
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 _URL = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)[^/?#]*(?:/([a-z]{2})(?=[/?#]|$))?")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 96 and b < 123 or b >= 128 else 32 for b in range(256))
 _SPACES = re.compile(rb" +")
 
 
 def visible(page: str | None) -> str:
-    """Text of a page without comments, scripts, styles and tags."""
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    """Text of a page without comments, scripts, styles and tags, each of them a space.
+
+    One scan: what has no end is looked for once, so the time is linear. A
+    comment or script without an end is a tag; a ``<`` without ``>`` is text.
+    """
+    raw = (page or "").encode("utf-8", "replace")
+    low, out, at = raw.lower(), [], 0
+    endless: set[bytes] = set()
+    while (start := low.find(b"<", at)) >= 0:
+        end = low.find(b">", start) + 1
+        if not end:
+            break
+        if low.startswith(b"<!--", start) and b"--" not in endless:
+            close = low.find(b"-->", start + 4)
+            if close < 0:
+                endless.add(b"--")
+            else:
+                end = close + 3
+        elif (m := _HIDDEN.match(low, start)) and m[1] not in endless:
+            close = _CLOSE[m[1]].search(low, end)
+            if close:
+                end = close.end()
+            else:
+                endless.add(m[1])
+        out += [raw[at:start], b" "]
+        at = end
+    text = b"".join([*out, raw[at:]]).decode("utf-8", "replace")
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", text))
+
+
+def declared_in(page: str | None) -> str:
+    """Primary language subtag that an ``html`` tag declares, or an empty text."""
+    low = (page or "").encode("utf-8", "replace").lower()
+    at = 0
+    while m := _HTML.search(low, at):
+        at = low.find(b">", m.end())
+        at = len(low) if at < 0 else at
+        if lang := _LANG.search(low, m.end(), at):
+            return lang[1].decode()
+    return ""
 
 
 def address(url: str | None) -> tuple[str, str, str]:
@@ -108,7 +152,7 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: s
         for b in batches:
             where = [address(u) for u in b.column(1).to_pylist()]
             sources = b.column(2).to_pylist()
-            declared = [m[1].lower() if (m := _DECLARED.search(s or "")) else "" for s in sources]
+            declared = [declared_in(s) for s in sources]
             logs = []
             for c in trigram_counts(fold([visible(s) for s in sources])):
                 n = c.sum()
@@ -139,25 +183,27 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", **co
     pages_total = max(1, total[k])
     prior = F.array(*(F.lit((total[i] + 1) / (pages_total + k)) for i in range(k)))
 
-    def small(df: DataFrame) -> DataFrame:
-        df = materialise(df, "sums")
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    def attached(out: DataFrame, table: DataFrame, key: str, count: str, *by: str) -> DataFrame:
+        """``out`` with the row of its key; a hot host or suffix is no task of its own."""
+        table = materialise(table, "sums")
+        if table.count() <= BROADCAST_ROWS:
+            return out.join(F.broadcast(table), key)
+        return skew_join(out, table, key, count, pages_total, F.struct(*by))
 
     domains = sums("domain", name="of_domain")
-    toward = F.zip_with("of_domain", prior, lambda n, p: (n + KAPPA * p) / (F.col("n_of_domain") + KAPPA))
-    hosts = sums("host", "domain", name="of_host").join(domains.select("domain", toward.alias("domain_prior")), "domain")
-    hosts = small(hosts.select("host", "of_host", "n_of_host", "domain_prior"))
-
-    def likelihood(key: str) -> DataFrame:
-        """log P(key | language), smoothed by one page over all values."""
-        df = sums(key, name="of_value")
+    hosts = attached(sums("host", "domain", name="of_host"), domains, "domain", "n_of_domain", "host").drop("domain")
+    out = attached(rows, hosts, "host", "n_of_host", id_col, "text_log")
+    logs = []
+    for key in ("declared", "suffix"):
+        out = attached(out, sums(key, name=f"of_{key}"), key, f"n_of_{key}", id_col, "text_log")
         values = max(1, rows.select(key).distinct().count())
-        each = [F.log((F.col("of_value")[i] + 1.0) / F.lit(total[i] + values)) for i in range(k)]
-        return small(df.select(key, F.array(*each).alias(f"log_{key}")))
-
-    out = rows.join(hosts, "host").join(likelihood("declared"), "declared").join(likelihood("suffix"), "suffix")
-    others = F.transform("of_host", lambda n, i: (F.greatest(n - F.col("p")[i], F.lit(0.0)) + KAPPA * F.col("domain_prior")[i]) / (F.col("n_of_host") - 1 + KAPPA))
-    out = out.withColumn("host_prior", others)
+        # log P(key | language) of the other pages, smoothed by one page over all values
+        logs.append(F.array(*(F.log((F.greatest(F.col(f"of_{key}")[i] - F.col("p")[i], F.lit(0.0)) + 1.0) / (F.greatest(F.lit(total[i]) - F.col("p")[i], F.lit(0.0)) + F.lit(values))) for i in range(k))))
+    out = out.withColumns({"log_declared": logs[0], "log_suffix": logs[1]})
+    others = lambda n, i: F.greatest(n - F.col("p")[i], F.lit(0.0))
+    domain_prior = F.transform("of_domain", lambda n, i: (others(n, i) + KAPPA * prior[i]) / (F.col("n_of_domain") - 1 + KAPPA))
+    out = out.withColumn("domain_prior", domain_prior)
+    out = out.withColumn("host_prior", F.transform("of_host", lambda n, i: (others(n, i) + KAPPA * F.col("domain_prior")[i]) / (F.col("n_of_host") - 1 + KAPPA)))
     log = F.transform("text_log", lambda x, i: x + F.log(F.col("host_prior")[i]) + F.col("log_declared")[i] + F.col("log_suffix")[i])
     out = out.withColumn("log", log).withColumn("top", F.array_max("log"))
     share = 1 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))

@@ -1,25 +1,32 @@
-"""Personal data: regular expressions propose, checksums confirm, context scores.
+"""Personal data and secrets: regular expressions propose, checksums confirm, context scores.
 
 Base kinds, leftmost and non-overlapping per kind: ``email``, ``ip`` (parts at
 most 255), ``card`` (13 to 19 digits, Luhn), ``phone`` (9 to 15 digits).
 Matches that fail their validator are dropped and not retried. Further kinds:
 ``iban`` (ISO 13616: the length of its country, mod-97; for a country without a
-listed length the longest run of whole tokens that holds) and ``local_phone`` (national numbers, reported
-only when nearby context words lift their score to the threshold).
+listed length the longest run of whole tokens that holds), ``local_phone``
+(national numbers) and ``secret`` (keys and tokens: long runs of letters and
+digits of high entropy, and private key blocks). National numbers and unmarked
+secrets are reported only when nearby context words lift their score to the
+threshold.
 
-Every span has a score: the prior of its kind, raised by context words in the
+Every span has a score: the prior of its kind, raised by whole context words in the
 ``CONTEXT_CHARS`` code points before it or after it. Base spans are kept
 whatever their score.
 
 Defined cases: a null text is empty; empty texts have no spans; rows are
-independent, so repeated rows each get their result; other columns pass through
-untouched by name only if asked for.
+independent, so repeated rows each get their result; very long texts are read
+whole, in linear time; columns other than id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame
 from loomtext.llm.common import bounded_batches
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("iban", "local_phone")
+EXTRA = ("iban", "local_phone", "secret")
 CONTEXT_CHARS = 40
 THRESHOLD = 0.5
 
@@ -50,16 +57,25 @@ _IBAN_LENGTH = {
 }
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?<![0-9]\x20)\(?0?[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-][0-9]{3,4}(?![\x20-]?[0-9]|-)")
 
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3}
+#: Long runs that could be keys; an equals sign pads them at the end only.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{20,512}+={0,2}(?![A-Za-z0-9_+/-])")
+#: Heads of well-known keys and tokens, fixed values.
+_MARKED = re.compile(r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|glpat-|npm_|eyJ")
+_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----)?")
+#: Least bits a character of a secret.
+ENTROPY = 2.8
+
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "secret": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "correo", "courriel"),
+    "email": ("mail", "email", "e-mail", "contact", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "credit", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "card": ("card", "visa", "credit", "karte", "kreditkarte", "tarjeta", "carte"),
+    "phone": ("phone", "telephone", "telefon", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte"),
-    "local_phone": ("phone", "tel", "call", "mobile", "fax"),
+    "local_phone": ("phone", "telephone", "telefon", "tel", "call", "mobile", "fax"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "api[ _-]?key", "apikey", "access[ _-]?key", "private[ _-]?key", "key", "bearer", "credential", "auth", "authorization"),
 }
-_CONTEXT = {k: re.compile(r"(?i)\b(?:" + "|".join(v) + r")") for k, v in CONTEXT.items()}
+_CONTEXT = {k: re.compile(r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(v) + r")s?(?![A-Za-z0-9])") for k, v in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -129,20 +145,57 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return p + (1 - p) / 2 if _CONTEXT[kind].search(near) else p
 
 
+def entropy(s: str) -> float:
+    """Bits a character, by the characters of ``s``."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+def _secrets(text: str):
+    """(start, end, whether it is marked as a secret by itself), from left to right."""
+    found = [(m.start(), m.end(), True) for m in _KEY_BLOCK.finditer(text)] if "PRIVATE KEY-----" in text else []
+    free = _Free((s, e) for s, e, _ in found)
+    for m in _SECRET.finditer(text):
+        s = m[0]
+        if not free(m.start(), m.end()) or not (any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s)) or entropy(s) < ENTROPY:
+            continue
+        found.append((m.start(), m.end(), bool(_MARKED.match(s))))
+    return sorted(found)
+
+
+class _Free:
+    """Whether a range meets none of the given ones; one lookup each."""
+
+    def __init__(self, ranges) -> None:
+        self.starts, self.ends = [], []
+        for s, e in sorted(ranges):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def __call__(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i < 0 or self.ends[i] <= start
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     """All spans (kind, start, end, score) by kind as listed, then start."""
     if not text:
         return []
     base = propose(text)
-    out = [(k, s, e, score(text, k, s, e)) for k, s, e in base]
-    taken = [(s, e) for _, s, e in base]
-    free = lambda s, e: all(e <= a or b <= s for a, b in taken)
-    for s, e in _ibans(text):
-        out.append(("iban", s, e, score(text, "iban", s, e)))
-        taken.append((s, e))
+    ibans = [("iban", s, e) for s, e in _ibans(text)]
+    out = [(k, s, e, score(text, k, s, e)) for k, s, e in base + ibans]
+    free = _Free((s, e) for _, s, e in base + ibans)
     for m in _LOCAL_PHONE.finditer(text):
-        if (p := score(text, "local_phone", m.start(), m.end())) >= THRESHOLD and free(m.start(), m.end()):
+        if free(m.start(), m.end()) and (p := score(text, "local_phone", m.start(), m.end())) >= THRESHOLD:
             out.append(("local_phone", m.start(), m.end(), p))
+    free = _Free((s, e) for k, s, e in base + ibans if k in ("email", "iban"))
+    for s, e, marked in _secrets(text):
+        p = score(text, "secret", s, e)
+        p = max(p, 0.9) if marked else p
+        if p >= THRESHOLD and free(s, e):
+            out.append(("secret", s, e, p))
     return out
 
 
@@ -154,10 +207,10 @@ SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts of base kinds, digest of base spans, and all spans with scores. Map-only."""
+    """Per document: counts of base kinds, digest of base spans, all spans, their number, and each with its score. Map-only."""
     id_type = docs.schema[id_col].dataType.simpleString()
     bounded_batches(docs.sparkSession)
-    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "details"]
+    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "details"]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
@@ -170,11 +223,12 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                     c.append(sum(x[0] == k for x in base))
                 cols[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 cols[5].append(joined(spans))
-                cols[6].append([dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in spans])
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [span]
+                cols[6].append(len(spans))
+                cols[7].append([dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in spans])
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), span]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    schema = f"`{id_col}` {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, details {SPAN}"
+    schema = f"`{id_col}` {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint, details {SPAN}"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -67,7 +67,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomtext.llm.pii import find_pii
 
-    return find_pii(table(spark, sf_dir, "documents")).drop("details")
+    return find_pii(table(spark, sf_dir, "documents"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
