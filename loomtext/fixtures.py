@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import mentions, words
+from loomtext.functions.text import SPECIES, mentions, words
 
 LEXICON_MIN = 5
 
@@ -32,12 +32,15 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit strain spans; strains come later in ``ord``.
     """
     a = articles(spark, sf_dir)
-    pairs = a.select("article_id", F.posexplode(F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", F.lit(2), F.size("tokens")), lambda x, y: F.concat(x, F.lit(" "), y))).alias("start", "name"))
-    species = pairs.join(lexicon(spark, sf_dir), "name", "left_semi").select("article_id", F.lit("SPEC/name").alias("source_key"), F.lit("SPEC").alias("label4"), "start", F.lit(2).alias("length"))
-    strain = a.select("article_id", F.posexplode("tokens").alias("start", "w")).where(F.col("w").rlike("[0-9]")).select("article_id", F.lit("STRA/digit").alias("source_key"), F.lit("STRA").alias("label4"), "start", F.lit(1).alias("length"))
-    both = species.unionByName(strain)
-    order = F.when(F.col("label4") == "SPEC", 0).otherwise(1).cast("bigint") * 1_000_000_000 + F.col("start")
-    return both.select("article_id", order.alias("ord"), "source_key", "label4", "start", "length", (F.col("start") + F.col("length")).alias("end_excl"))
+    marked = F.transform("tokens", lambda w, i: F.struct(i.alias("start"), F.concat(w, F.lit(" "), F.get("tokens", i + 1)).alias("name"), w.rlike("[0-9]").alias("digit")))
+    # a lexicon name is a mention, so other pairs needn't leave the row
+    some = F.filter(marked, lambda x: x["digit"] | F.coalesce(x["name"].rlike(f"^(?:{SPECIES})$"), F.lit(False)))
+    found = a.select("article_id", F.explode(some).alias("x")).select("article_id", "x.*")
+    found = found.join(lexicon(spark, sf_dir).withColumn("known", F.lit(True)), "name", "left")
+    span = lambda order, tag, label, n: F.struct((F.lit(order).cast("bigint") + F.col("start")).alias("ord"), F.lit(tag).alias("source_key"), F.lit(label).alias("label4"), F.lit(n).alias("length"))
+    both = F.array(F.when(F.col("known"), span(0, "SPEC/name", "SPEC", 2)), F.when(F.col("digit"), span(1_000_000_000, "STRA/digit", "STRA", 1)))
+    rows = found.select("article_id", "start", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("s"))
+    return rows.select("article_id", "s.ord", "s.source_key", "s.label4", "start", "s.length", (F.col("start") + F.col("s.length")).alias("end_excl"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
