@@ -13,7 +13,7 @@ from loomtext.operators import metrics as me
 from loomtext.operators import reports as rp
 from loomtext.operators import summary as sm
 from loomtext.plans.augmentation import _EX, _SPLIT, _assigned, _examples
-from loomtext.plans.registry import PAIRS, RUNS, query
+from loomtext.plans.registry import PAIRS, RUNS, md5_int, query
 
 SEED = 7
 
@@ -291,10 +291,19 @@ def ci_bootstrap_median(spark, sf_dir):
     return _r(me.bootstrap_intervals(_values(spark, sf_dir), "model_id", n_bootstrap=_BOOT, seed=SEED, point="median"), *_ENDS)
 
 
-@query()
+_DRAWN = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in me.POISSON)
+
+
+@query(f"""WITH {_PRF}, u AS (SELECT b.b, y_true, y_pred, loss, {md5_int(SEED, "poisson", "b.b", "i")} / 4294967296.0::DOUBLE AS u FROM pairs, range({_BOOT}) b(b)),
+w AS (SELECT *, {_DRAWN} AS t FROM u), s AS (SELECT b, sum(t * y_true * y_pred) AS tp, sum(t * (1 - y_true) * y_pred) AS fp, sum(t * y_true * (1 - y_pred)) AS fn, sum(t * loss) / sum(t) AS loss FROM w GROUP BY b),
+x AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS r FROM s),
+y AS (SELECT 'precision' AS metric, p AS v FROM x UNION ALL SELECT 'recall', r FROM x UNION ALL SELECT 'f1', CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END FROM x UNION ALL SELECT 'loss', loss FROM x),
+q AS (SELECT metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM y GROUP BY 1),
+pt AS (SELECT 'precision' AS metric, p AS point FROM k UNION ALL SELECT 'recall', r FROM k UNION ALL SELECT 'f1', f FROM k UNION ALL SELECT 'loss', loss FROM k)
+SELECT metric, round(point, 9) AS point, round(lo, 9) AS percentile_lo, round(hi, 9) AS percentile_hi, round(2 * point - hi, 9) AS basic_lo, round(2 * point - lo, 9) AS basic_hi FROM pt JOIN q USING (metric)""")
 def ci_bootstrap_binary(spark, sf_dir):
-    """Bootstrap replicates of binary metrics from their cells."""
-    return me.bootstrap_binary(fx.classified_pairs(spark, sf_dir), 100, SEED)
+    """Percentile and basic bootstrap intervals of binary precision, recall, F1 and loss."""
+    return _r(me.binary_intervals(fx.classified_pairs(spark, sf_dir), n_bootstrap=_BOOT, seed=SEED), *_ENDS)
 
 
 @query(f"WITH {RUNS}, v AS (SELECT model_id, max(f1) AS hi, min(f1) AS lo FROM runs GROUP BY 1) SELECT model_id, 'range' AS method, round(lo, 9) AS lo, round(hi, 9) AS hi FROM v")
