@@ -42,6 +42,14 @@ def equal_lineages(members: DataFrame) -> DataFrame:
     return _violations(same, "equal_lineages", F.col("lineages"), F.lit("identical split signature"))
 
 
+def equal_splits(members: DataFrame) -> DataFrame:
+    """Groups of lineages of one task whose split of one name has the same articles; a lineage is ``profile<TAB>task<TAB>name``."""
+    digests = split_digests(members).withColumn("place", F.regexp_replace("lineage", r"[^\t]*$", ""))
+    same = digests.groupBy("place", "split", "digest").agg(F.array_sort(F.collect_list("lineage")).alias("l")).where(F.size("l") > 1)
+    names = F.array_join(F.transform("l", lambda x: F.regexp_extract(x, r"([^\t]*)$", 1)), ",")
+    return _violations(same, "equal_splits", F.concat("place", names), F.concat(F.lit("same articles in split "), "split"))
+
+
 def foreign_articles(meta: DataFrame, allowed: DataFrame) -> DataFrame:
     """Data sets (``dataset``) that hold articles outside the allowed (dataset, article_id), with their number."""
     out = meta.select("dataset", "article_id").distinct().join(allowed.select("dataset", "article_id"), ["dataset", "article_id"], "left_anti").groupBy("dataset").agg(F.count("*").alias("n"))

@@ -107,6 +107,42 @@ def first_rule(sets: DataFrame, rules: DataFrame, *, key: str = "path") -> DataF
     return sets.join(first, key, "left")
 
 
+RULES = "ord int, name string, pattern string, require_categories array<string>, require_raw_types array<string>, max_tokens int"
+
+
+def qa_report(examples: DataFrame, rules: DataFrame, default: dict | None = None, *, key: str = "path") -> DataFrame:
+    """(path, rule, n_examples, n_tokens, errors, ok) of every example set under the first rule that matches its path.
+
+    ``examples``: path, tokens, labels, category, types_raw; ``rules`` as in
+    ``RULES``, a few rows; ``default`` holds the requirements of sets without a rule.
+    """
+    none, default = F.array().cast("array<string>"), default or {}
+    n, m = F.size("tokens"), F.size("labels")
+    cats = F.collect_set(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("unknown")))
+    per = examples.groupBy(key).agg(
+        F.count("*").alias("n_examples"), F.sum(m).alias("n_tokens"), F.max(F.greatest(n, m)).alias("most"), F.count_if(n != m).alias("n_bad"),
+        cats.alias("cats"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("types_raw", none)))).alias("types"),
+    )
+    own = first_rule(per, rules, key=key).join(F.broadcast(rules.select(F.col("name").alias("rule"), "require_categories", "require_raw_types", "max_tokens")), "rule", "left")
+    asked = lambda c: F.when(F.col("rule").isNotNull(), F.coalesce(c, none)).otherwise(F.array(*(F.lit(x) for x in default.get(c, ()))).cast("array<string>"))
+    most = F.when(F.col("rule").isNotNull(), F.col("max_tokens")).otherwise(F.lit(default.get("max_tokens")).cast("int"))
+    missing = lambda c, seen, kind: F.transform(F.array_sort(F.array_except(asked(c), F.col(seen))), lambda x: F.concat(F.lit(f"missing_required_{kind}:"), x))
+    errors = F.flatten(F.array(
+        F.array(F.when(F.col("n_bad") > 0, F.concat(F.lit("token_label_length_mismatch:"), F.col("n_bad").cast("string")))),
+        F.array(F.when(F.col("most") > most, F.concat(F.lit("max_tokens_exceeded:"), F.col("most").cast("string"), F.lit(">"), most.cast("string")))),
+        missing("require_categories", "cats", "category"), missing("require_raw_types", "types", "raw_type"),
+    ))
+    out = own.withColumn("errors", F.filter(errors, lambda e: e.isNotNull())).withColumn("rule", F.coalesce("rule", F.lit("default")))
+    return out.select(key, "rule", "n_examples", "n_tokens", "errors", (F.size("errors") == 0).alias("ok"))
+
+
+def qa_totals(report: DataFrame, *, key: str = "path") -> DataFrame:
+    """(n_sets, n_ok, n_failed, n_examples, n_tokens, failed_sets): one row for all sets."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col(key))))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return report.agg(F.count("*").alias("n_sets"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), zero("n_examples"), zero("n_tokens"), failed.alias("failed_sets"))
+
+
 def delta(before: DataFrame, after: DataFrame, *keys: str, value: str = "n") -> DataFrame:
     """(keys, before, after, delta) over the union of keys; missing counts are 0."""
     both = before.select(*keys, F.col(value).alias("before")).join(after.select(*keys, F.col(value).alias("after")), list(keys), "full")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.labels import inline_labels, spaced
 from loomtext.operators import claims, reports, sampling, summary
-from loomtext.sources import jsonl, runs
+from loomtext.sources import jsonl, results, runs
 
 
 def inspect(spark: SparkSession, a: str, b: str, *, changed_only: bool = False) -> DataFrame:
@@ -35,10 +35,15 @@ def stats(spark: SparkSession, path: str) -> DataFrame:
     return summary.label_counts(summary.long_labels(jsonl.with_metadata(spark, path)))
 
 
-def qa(spark: SparkSession, root: str, rules: DataFrame) -> DataFrame:
-    """(stem, rule, n_examples, n_tokens, ...) of all sets under a root, with the first matching rule."""
-    sizes = summary.length_stats(jsonl.with_metadata(spark, root), "stem")
-    return summary.first_rule(sizes, rules, key="stem")
+def qa(spark: SparkSession, root: str, rules: DataFrame, default: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The QA report of all sets under a root, each under its first matching rule, and its totals."""
+    sets = jsonl.with_metadata(spark, root).withColumn("path", F.concat(F.regexp_replace("stem", f"^.*?{_quoted(root)}/*", ""), F.lit(".set")))
+    found = summary.qa_report(sets, rules, default)
+    return found, summary.qa_totals(found)
+
+
+def _quoted(root: str) -> str:
+    return r"\Q" + root.rstrip("/") + r"\E"
 
 
 def report(spark: SparkSession, root: str, *, epoch: str | int = "final", point: str = "mean", since: str | None = None, until: str | None = None, **members) -> DataFrame:
@@ -60,3 +65,29 @@ def calibrate(spark: SparkSession, root: str, **options) -> DataFrame:
 def verify(members: DataFrame, manifest: DataFrame) -> DataFrame:
     """Violations of the split claims: digests, overlaps, equal lineages."""
     return claims.all_violations(claims.digest_mismatches(members, manifest), claims.split_overlaps(members), claims.equal_lineages(members))
+
+
+def verify_root(spark: SparkSession, root: str, *, tasks: tuple[str, ...] = (), profiles: tuple[str, ...] = ()) -> DataFrame:
+    """(profile, task, check, context, message) of the split claims of all lineages under a results root; requested tasks and profiles must be there."""
+    members, manifest = results.read_splits(spark, root), results.read_manifests(spark, root)
+    if tasks:
+        members, manifest = (df.where(F.col("task").isin(*tasks)) for df in (members, manifest))
+    place = F.concat_ws("\t", "profile", "task", "lineage").alias("lineage")
+    rows, claimed = members.select(place, "split", "article_id"), manifest.select(place, "split", "digest")
+    of_manifest = rows.join(claimed.select("lineage").distinct(), "lineage", "left_semi")
+    found = claims.all_violations(
+        claims.digest_mismatches(of_manifest, claimed), *(claims.split_overlaps(rows, "train", s) for s in ("test", "eval", "dev")), claims.equal_splits(rows)
+    )
+    part = lambda i: F.regexp_extract("context", r"^([^\t]*)\t([^\t]*)\t(.*)$", i)
+    out = found.select(part(1).alias("profile"), part(2).alias("task"), "check", part(3).alias("context"), "message")
+    none = F.lit(None).cast("string")
+    for column, names in (("task", tasks), ("profile", profiles)):
+        if names:
+            lack = results.missing(members, column, names)
+            out = out.unionByName(lack.select(none.alias("profile"), none.alias("task"), "check", "context", "message"))
+    return out
+
+
+def claims_summary(violations: DataFrame) -> DataFrame:
+    """(profile, task, check, n) with totals of each task, of each profile and of all."""
+    return violations.rollup("profile", "task", "check").agg(F.count("*").alias("n"))

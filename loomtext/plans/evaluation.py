@@ -332,6 +332,39 @@ def report_median_run(spark, sf_dir):
     return _r(rp.report(fx.run_metrics(spark, sf_dir), point="median"), "precision", "recall", "f1").withColumn("loss", F.round("loss", 6))
 
 
+def _interval_sql(stat, extra: str) -> str:
+    """SQL of :func:`loomtext.operators.reports.report_intervals`: the runs of a replicate in the order of middle runs."""
+    key = "task || ':' || model_id || ':' || train_variant || ':' || eval_split || ':' || eval_set"
+    long = " UNION ALL ".join(f"SELECT {_KEYS}, b, '{m}' AS metric, {stat(m)} AS v FROM d {extra} GROUP BY {_KEYS}, b" for m in rp.METRICS)
+    points = " UNION ALL ".join(f"SELECT {_KEYS}, max(n) AS n_runs, '{m}' AS metric, avg({m}) AS point FROM o {'' if not extra else 'WHERE i IN ((n - 1) // 2, n // 2)'} GROUP BY {_KEYS}" for m in rp.METRICS)
+    return f"""WITH {RUNS}, o AS (SELECT *, {key} AS key, row_number() OVER (PARTITION BY {_KEYS} ORDER BY f1, precision, recall, loss, "set", seed) - 1 AS i, count(*) OVER (PARTITION BY {_KEYS}) AS n FROM runs),
+ix AS (SELECT g.key, b.b, {md5_int(SEED, "boot", "g.key", "b.b", "j.j")} % g.n AS i FROM (SELECT DISTINCT key, n FROM o) g, range({_REPORT_BOOT}) b(b), (SELECT unnest(range((SELECT max(n) FROM o))) AS j) j WHERE j.j < g.n),
+d AS (SELECT o.*, ix.b, row_number() OVER (PARTITION BY ix.key, ix.b ORDER BY ix.i) - 1 AS r FROM ix JOIN o ON o.key = ix.key AND o.i = ix.i),
+l AS ({long}), q AS (SELECT {_KEYS}, metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM l GROUP BY ALL), p AS ({points})
+SELECT {_KEYS}, n_runs, metric, round(point, 9) AS point, round(lo, 9) AS percentile_lo, round(hi, 9) AS percentile_hi, round(2 * point - hi, 9) AS basic_lo, round(2 * point - lo, 9) AS basic_hi
+FROM p JOIN q USING ({_KEYS}, metric)"""
+
+
+_REPORT_BOOT = 40
+
+
+def _intervals(spark, sf_dir, point):
+    out = rp.report_intervals(rp.strict_metrics(fx.run_metrics(spark, sf_dir)), point=point, n_bootstrap=_REPORT_BOOT, seed=SEED)
+    return out.withColumns({c: F.round(c, 9) for c in _ENDS})
+
+
+@query(_interval_sql(lambda m: f"avg({m})", ""))
+def report_mean_intervals(spark, sf_dir):
+    """Means of runs by group with percentile and basic bootstrap intervals."""
+    return _intervals(spark, sf_dir, "mean")
+
+
+@query(_interval_sql(lambda m: f"avg({m})", "WHERE r IN ((n - 1) // 2, n // 2)"))
+def report_median_intervals(spark, sf_dir):
+    """The middle run by group, intervals from the middle runs of replicates."""
+    return _intervals(spark, sf_dir, "median")
+
+
 @query(f"WITH {RUNS} SELECT {_KEYS}, epoch, count(*) AS n_runs, round(avg(f1), 9) AS f1 FROM runs WHERE model_id IN ('click', 'view') AND run_updated_at >= TIMESTAMP '2000-01-01' GROUP BY {_KEYS}, epoch")
 def live_report(spark, sf_dir):
     """Means with the epoch in the key, filtered by members; empty filters keep all."""

@@ -73,3 +73,13 @@ def with_metadata(spark: SparkSession, path: str) -> DataFrame:
     bad = F.col("tokens").isNull() | (F.col("has_meta").isNotNull() & F.col("m").isNull())
     checked = F.when(bad, F.raise_error(F.concat(F.lit("examples and metadata differ in number: "), "stem")).cast("string")).otherwise(F.coalesce("m.example_id", F.format_string("ex_%08d", "idx")))
     return both.select("stem", "idx", checked.alias("example_id"), "tokens", "labels", *(F.col(f"m.{c}").alias(c) for c in META))
+
+
+def write_stable(rows: DataFrame, path: str) -> None:
+    """The stable columns as JSON lines in the order of their ids."""
+    write_jsonl(stable_rows(rows), path, order_by="example_id")
+
+
+def to_arrow(rows: DataFrame):
+    """The stable columns in the order of their ids as one Arrow table on the driver, for libraries that read Arrow; for sets that fit there."""
+    return stable_rows(rows).orderBy("example_id").toArrow()

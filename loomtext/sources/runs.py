@@ -11,14 +11,14 @@ POINT = "precision:double,recall:double,f1:double,loss:double"
 SCHEMA = f"task string, `set` string, seed int, model_id string, train_variant string, eval_split string, metrics map<string, struct<{POINT},per_epoch:array<struct<epoch:double,{POINT}>>>>"
 
 
-def read_metrics(spark: SparkSession, root: str, epoch: str | int = "final") -> DataFrame:
-    """Metric rows of ``runs/*/*/seed_*/*/metrics.json`` under a root.
+def read_metrics(spark: SparkSession, root: str, epoch: str | int = "final", *, name: str = "metrics.json") -> DataFrame:
+    """Metric rows of ``runs/*/*/seed_*/*/metrics.json`` under a root, or of files of another ``name``.
 
     ``epoch``: ``final`` (the last values), ``all`` (a row for each epoch), or a
     number (the last matching epoch entry). Rows without finite numbers are
     skipped.
     """
-    files = spark.read.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metrics.json").json(root)
+    files = spark.read.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     rows = files.select("task", "set", "seed", "model_id", "train_variant", "eval_split", F.col("_metadata.file_path").alias("run"), F.explode("metrics").alias("eval_set", "m"))
     keys = ["run", "task", "set", "seed", "model_id", "train_variant", F.coalesce("eval_split", F.lit("test")).alias("eval_split"), "eval_set"]
     last = F.array_max(F.transform("m.per_epoch", lambda e: parse_epoch(e["epoch"])))
@@ -52,3 +52,11 @@ def table_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One column ``line``: values of a row in fixed columns, numbers with four digits."""
     cells = [F.format_string("%-24s", F.format_number(c, 4) if dict(rows.dtypes)[c] == "double" else F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in columns]
     return rows.select(F.rtrim(F.concat(*cells)).alias("line"))
+
+
+def write_interval_csv(intervals: DataFrame, path: str, keys: list[str]) -> None:
+    """One CSV row a group of :func:`loomtext.operators.reports.report_intervals`: point and interval columns of each metric, in percent but for the loss."""
+    ends = ["point", "percentile_lo", "percentile_hi", "basic_lo", "basic_hi"]
+    value = lambda m, e: F.max(F.when(F.col("metric") == m, F.col(e) if m == "loss" else F.round(F.col(e) * 100, 4)))
+    columns = [value(m, e).alias(m if e == "point" else f"{m}_{e}") for m in METRICS for e in ends]
+    intervals.groupBy(*keys, "n_runs").agg(*columns).write.option("header", True).csv(path)

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from loomtext import fixtures as fx
 from loomtext.functions.text import CLASSES, SKIPPED
+from loomtext.operators import claims
 from loomtext.operators import lexicon as lx
 from loomtext.operators import licences as lc
+from loomtext.operators import metrics as me
+from loomtext.operators import reports as rp
 from loomtext.operators import sampling as sa
 from loomtext.operators import splits as st
 from loomtext.operators import variants as va
+from loomtext.plans import commands
 from loomtext.plans.augmentation import _bundle, _phrases
-from loomtext.sources import conll, jsonl, runs
+from loomtext.sources import config, conll, jsonl, runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -206,3 +210,43 @@ def test_ranks_are_dense_at_volume(spark):
         assert sa.ablation_mix(wide, 43, 7).count() == int(n * (1 - 43 / 100))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_config_documents_and_rules(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"qa": {"rules": [{"pattern": "a*"}]}}')
+    assert config.load_config(spark, str(tmp_path / "c.json"))["qa"]["rules"][0]["pattern"] == "a*"
+    rows = config.qa_rules(spark, [{"pattern": "x", "max_tokens": 3, "require_categories": "a, b,"}, {"name": "n", "pattern": "y"}]).collect()
+    assert [(r.name, r.max_tokens, r.require_categories) for r in rows] == [("rule_1", 3, ["a", "b"]), ("n", None, [])]
+    for bad in ({}, {"rules": 3}, [1], [{"name": "no pattern"}]):
+        with pytest.raises(ValueError):
+            config.qa_rules(spark, bad)
+
+
+def test_interval_csv_and_binary_evaluation(spark, tmp_path):
+    rows = fx.run_metrics(spark, SF)
+    out = rp.report_intervals(rows, point="median", n_bootstrap=20)
+    assert out.where("percentile_lo > percentile_hi or n_runs <= 0").count() == 0
+    runs.write_interval_csv(out, str(tmp_path / "csv"), rp.GROUP)
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.count() == out.select(*rp.GROUP).distinct().count() and "f1_basic_hi" in back.columns
+    pairs = fx.classified_pairs(spark, SF)
+    for cfg, n in (({"strategy": "clt"}, 4), ({"n_bootstrap": 30, "methods": ("percentile", "basic")}, 8)):
+        got = me.evaluate_binary(pairs, cfg).collect()
+        assert len(got) == n and all(r.lo <= r.hi for r in got)
+    got = me.evaluate_binary(pairs, {"strategy": "custom", "n_bootstrap": 10}, lambda point, values, config: {"all": [min(values), max(values)]}).collect()
+    assert {(r.metric, r.method) for r in got} == {(m, "all") for m in me.METRICS}
+    with pytest.raises(ValueError):
+        me.evaluate_binary(pairs, {"strategy": "none"})
+
+
+def test_stable_rows_as_arrow_and_claims_of_manifests(spark, tmp_path):
+    rows = spark.createDataFrame([("b", ["x"]), ("a", ["y", "z"])], "example_id string, tokens array<string>")
+    assert jsonl.to_arrow(rows).column("example_id").to_pylist() == ["a", "b"]
+    lineage = tmp_path / "t1" / "set1"
+    lineage.mkdir(parents=True)
+    (lineage / "splits.json").write_text(json.dumps({"train_checksums": ["a1", "b1"], "test_checksums": ["c1"]}))
+    digest = claims.split_digests(spark.createDataFrame([("l", "s", x) for x in ("a1", "b1")], "lineage string, split string, article_id string")).first().digest
+    (lineage / "manifest.json").write_text(json.dumps({"splits": {"train_checksums_sha256": digest, "test_checksums_sha256": "other"}}))
+    found = commands.verify_root(spark, str(tmp_path), tasks=("t1",)).collect()
+    assert [(r.profile, r.task, r.check, r.context) for r in found] == [("flat", "t1", "split_hash", "set1/test")]
+    assert commands.claims_summary(commands.verify_root(spark, str(tmp_path), tasks=("t1",))).where("profile is null").first().n == 1
