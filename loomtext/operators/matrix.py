@@ -61,10 +61,15 @@ def label_map(labels: DataFrame) -> DataFrame:
     return labels.select("label").distinct().unionByName(labels.sparkSession.createDataFrame([("O",)], "label string")).distinct().select("label", (F.row_number().over(Window.orderBy(F.col("label") != "O", "label")) - 1).alias("id"))
 
 
+def token_id(token):
+    """28 bits of the token's MD5."""
+    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 7), 16, 10).cast("int")
+
+
 def prepared(examples: DataFrame, ids: DataFrame, *, max_length: int = 510, fail_on_truncation: bool = False) -> DataFrame:
     """(example_id, input_ids, attention_mask, labels) of whole-word tokens, cut to ``max_length``.
 
-    Token ids are 32-bit hashes; a subword tokenizer is a plug-in that gives
+    Token ids are hashes; a subword tokenizer is a plug-in that gives
     ``word_ids`` to :func:`loomtext.functions.labels.align_subwords` instead.
     """
     table = ids.agg(F.map_from_entries(F.collect_list(F.struct("label", "id"))).alias("table"))
@@ -74,7 +79,7 @@ def prepared(examples: DataFrame, ids: DataFrame, *, max_length: int = 510, fail
     cut = lambda c: F.slice(c, 1, max_length)
     if fail_on_truncation:
         labels = F.when(F.size("tokens") > max_length, F.raise_error(F.lit("example is longer than max_length")).cast("array<int>")).otherwise(labels)
-    out = rows.select("example_id", cut(F.transform("tokens", lambda t: F.hash(t))).alias("input_ids"), cut(labels).alias("labels"))
+    out = rows.select("example_id", cut(F.transform("tokens", token_id)).alias("input_ids"), cut(labels).alias("labels"))
     return out.select("example_id", "input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), "labels")
 
 
@@ -85,8 +90,9 @@ def padded(rows: DataFrame, column: str, pad: int, batch: str | None = None) ->
 
 
 def fingerprint(rows: DataFrame, id_col: str = "example_id") -> DataFrame:
-    """(n, digest) of prepared rows: each row's SHA-256, combined in the order of ids within hash groups, then over groups."""
+    """(n, digest) of prepared rows: each row's SHA-256, combined in the order of ids within groups of their MD5, then over groups."""
     row = F.sha2(F.to_json(F.struct(*sorted(rows.columns))).cast("binary"), 256)
-    group = F.pmod(F.xxhash64(id_col), F.lit(1024))
-    part = rows.select(group.alias("g"), F.col(id_col).alias("id"), row.alias("h")).groupBy("g").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("h"))
-    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("digest"))
+    key = F.col(id_col).cast("string")
+    both = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), "").cast("binary"), 256)
+    part = rows.select(F.left(F.md5(key.cast("binary")), F.lit(3)).alias("g"), key.alias("id"), row.alias("h")).groupBy("g").agg(F.count("*").alias("n"), both(F.struct("id", "h")).alias("h"))
+    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), both(F.struct("g", "h")).alias("digest"))

@@ -11,8 +11,9 @@ from loomtext.operators import licences as lc
 from loomtext.operators import sampling as sa
 from loomtext.operators import splits as st
 from loomtext.operators import variants as va
-from loomtext.plans.annotation import example_frame
-from loomtext.plans.registry import LEX, SPANS, SPECIES, md5, md5_int, query
+from loomtext.operators import windows as wn
+from loomtext.plans.annotation import example_frame, examples_sql
+from loomtext.plans.registry import LEX, SPANS, SPECIES, classify_sql, md5, md5_int, query
 from loomtext.shared import materialise
 from loomtext.sources.attribution import parse_attribution
 
@@ -143,24 +144,80 @@ def phrases_present(spark, sf_dir):
     return d.select("id", F.array_join(tx.phrases_present(F.col("t"), F.col("p")), ",").alias("present"))
 
 
-def _bundle(spark, sf_dir, **options):
-    index = materialise(example_frame(spark, sf_dir), "examples")
+_N = "len(list_filter(string_split_regex(coalesce({}, ''), '\\s+'), lambda q: q <> ''))"
+
+
+def _variants_sql(most: int, fit: int, final: int, extra: str = "") -> str:
+    """SQL of the variants of all examples: one row each with its text and the reason of its drop."""
+    types = "list_sort(list_distinct(list_transform(list_filter(labels, lambda l: l <> 'O'), lambda l: split_part(l, '-', 2))))"
+    size = "len(labels)"
+    budget = f"CASE WHEN {_N.format('{0}')} > {final} THEN 'scramble_budget_exceeded' END"
+    mismatch = f"CASE WHEN {_N.format('{0}')} <> {size} THEN 'token_label_length_mismatch' END"
+    return f"""{examples_sql(most, fit)},
+pool AS (SELECT name, row_number() OVER (ORDER BY {md5(SEED, "pool", "name")}, name) - 1 AS k FROM lex), np AS (SELECT count(*) AS n FROM pool),
+xm AS (SELECT example_id, regexp_extract_all(text, '{SPECIES}') AS x FROM exs), xp AS (SELECT example_id, unnest(x) AS name, generate_subscripts(x, 1) AS ord FROM xm),
+xf AS (SELECT example_id, name, row_number() OVER (PARTITION BY example_id ORDER BY min(ord)) - 1 AS j FROM xp WHERE name IN (SELECT name FROM lex) GROUP BY example_id, name),
+xr AS (SELECT xf.example_id, xf.name, xf.j, pool.name AS new FROM xf, np JOIN pool ON true WHERE pool.k = ({md5_int(SEED, "row", "xf.example_id")} + xf.j) % np.n),
+xa AS (SELECT example_id, name AS key, new AS value FROM xr UNION ALL
+  SELECT example_id, left(name, 1) || '. ' || split_part(name, ' ', 2), arg_max(left(new, 1) || '. ' || split_part(new, ' ', 2), j) FROM xr GROUP BY 1, 2),
+xk AS (SELECT example_id, '(' || string_agg(replace(key, '.', '\\.'), '|' ORDER BY length(key) DESC, key) || ')' AS pat, list({{'k': key, 'v': value}}) AS kv FROM xa GROUP BY example_id),
+sw AS (SELECT exs.*, CASE WHEN xk.pat IS NULL THEN exs.text ELSE array_to_string(list_transform(string_split(regexp_replace(exs.text, xk.pat, chr(1) || '\\1' || chr(1), 'g'), chr(1)),
+  lambda q, i: CASE WHEN i % 2 = 0 THEN list_filter(xk.kv, lambda e: e.k = q)[1].v ELSE q END), '') END AS switched FROM exs LEFT JOIN xk USING (example_id)),
+xw AS (SELECT example_id, unnest(phrases) AS w, generate_subscripts(phrases, 1) AS i FROM exs),
+pr AS (SELECT example_id, i, w AS src, {_scrambled_sql("w", *_class_sql("xw.example_id, '0'"))} AS dst FROM xw),
+dl AS (SELECT example_id, list(dst ORDER BY length(dst) DESC, dst) AS dsts FROM (SELECT DISTINCT example_id, dst FROM pr) x GROUP BY 1),
+fold AS (SELECT example_id, text AS t, switched AS u, 0 AS i FROM sw UNION ALL SELECT f.example_id, replace(f.t, pr.src, pr.dst), replace(f.u, pr.src, pr.dst), f.i + 1 FROM fold f JOIN pr ON pr.example_id = f.example_id AND pr.i = f.i + 1),
+fin AS (SELECT example_id, arg_max(t, i) AS t, arg_max(u, i) AS u FROM fold GROUP BY 1),
+vt AS (SELECT sw.example_id, sw.text, sw.labels, sw.phrases, coalesce(dl.dsts, []::VARCHAR[]) AS dsts, CASE WHEN {_N.format("switched")} > {final} THEN 'switch_budget_or_error' END AS sr, switched, fin.t, fin.u, {types} AS types
+  FROM sw JOIN fin USING (example_id) LEFT JOIN dl USING (example_id)),
+vr AS (SELECT *, CASE WHEN sr IS NULL THEN switched END AS t_species, CASE WHEN sr IS NULL THEN t END AS t_strains, CASE WHEN sr IS NULL THEN u END AS t_all FROM vt),
+vb AS (SELECT *, {mismatch.format("text")} AS r_none, coalesce(sr, {mismatch.format("t_species")}) AS r_species, coalesce(sr, {budget.format("t_strains")}, {mismatch.format("t_strains")}) AS r_strains,
+  coalesce(sr, {budget.format("t_all")}, {mismatch.format("t_all")}) AS r_all FROM vr),
+vc AS (SELECT * REPLACE ({", ".join(f"coalesce(r_{v}, CASE WHEN NOT (r_species IS NULL AND r_strains IS NULL AND r_all IS NULL) THEN 'transform_alignment_dropped' END) AS r_{v}" for v in ("species", "strains", "all"))}) FROM vb),
+vd AS (SELECT * {extra} FROM vc),
+va AS ({" UNION ALL ".join(f"SELECT example_id, '{v}' AS variant, {t} AS text, r_{v} AS drop_reason, labels, phrases, {d} AS dsts, types FROM vd" for v, t, d in (("none", "text", "[]::VARCHAR[]"), ("species", "t_species", "[]::VARCHAR[]"), ("strains", "t_strains", "dsts"), ("all", "t_all", "dsts")))})"""
+
+
+def _bundle_sql(most: int, fit: int, final: int) -> str:
+    reason = classify_sql("types", "types", "['SPEC']", "t = 'SPEC'")
+    here = "coalesce(array_to_string(list_filter({}, lambda p: contains(' ' || text || ' ', ' ' || p || ' ')), ' '), '')"
+    return f"""WITH RECURSIVE {_variants_sql(most, fit, final)}, vo AS (SELECT *, {reason} AS reason FROM va)
+SELECT example_id, variant, text, drop_reason, CASE WHEN reason = 'no_non_negative_labels' THEN 'irrelevant' ELSE 'relevant' END AS category, reason, array_to_string(labels, ' ') AS labels,
+  CASE WHEN drop_reason IS NULL THEN {_N.format("text")} END AS token_count, {here.format("phrases")} AS original, {here.format("dsts")} AS scrambled FROM vo"""
+
+
+def _bundle(spark, sf_dir, maxlen: int = wn.MAX_LEN, fit: int = wn.MAX_FINAL_LEN, final: int = wn.MAX_FINAL_LEN, **options):
+    index = materialise(example_frame(spark, sf_dir, maxlen, fit), "examples")
     lex = fx.lexicon(spark, sf_dir)
     known = lx.known_mentions(index, lex, id_col="example_id")
-    return va.materialise_variants(index, known, lx.full_pool(lex), seed=SEED, negative=F.array(F.lit("SPEC")), **options)
+    return va.materialise_variants(index, known, lx.full_pool(lex), seed=SEED, negative=F.array(F.lit("SPEC")), max_final=final, **options)
 
 
-@query()
+def _shown(b):
+    return b.select("example_id", "variant", "text", "drop_reason", "category", "reason", F.array_join("labels", " ").alias("labels"), "token_count", F.array_join("phrases_original", " ").alias("original"), F.array_join("phrases_scrambled", " ").alias("scrambled"))
+
+
+@query(_bundle_sql(wn.MAX_LEN, wn.MAX_FINAL_LEN, wn.MAX_FINAL_LEN))
 def variant_bundle(spark, sf_dir):
     """M1-M9: coupled variants of all examples, kept or dropped with a reason."""
-    b = _bundle(spark, sf_dir, max_final=58)
-    return b.select("example_id", "variant", "text", "drop_reason", "category", "reason", F.array_join("labels", " ").alias("labels"), "token_count", F.array_join("phrases_original", " ").alias("original"), F.array_join("phrases_scrambled", " ").alias("scrambled"))
+    return _shown(_bundle(spark, sf_dir))
 
 
-@query()
+#: Growth, fit and final budget.
+_TIGHT = (60, wn.MAX_FINAL_LEN, 58)
+
+
+@query(_bundle_sql(*_TIGHT))
+def variant_bundle_tight(spark, sf_dir):
+    """M1-M9: the same under a budget that many examples exceed."""
+    return _shown(_bundle(spark, sf_dir, *_TIGHT))
+
+
+@query(f"""WITH RECURSIVE {_variants_sql(*_TIGHT, "REPLACE (coalesce(r_none, CASE WHEN r_all IS NOT NULL THEN 'dropped_without_all_pair' END) AS r_none)")}
+SELECT variant, drop_reason AS reason, count(*) AS n FROM va GROUP BY 1, 2""")
 def variant_stats(spark, sf_dir):
     """M1: kept and dropped examples by variant and reason."""
-    return va.variant_stats(_bundle(spark, sf_dir, max_final=58, keep_none_without_all=False))
+    return va.variant_stats(_bundle(spark, sf_dir, *_TIGHT, keep_none_without_all=False))
 
 
 @query()

@@ -260,7 +260,9 @@ def ci_scalar_clt(spark, sf_dir):
     return _r(me.clt_scalar(v, "model_id", "train_variant"), "lo", "hi")
 
 
-_BOOT = 200
+_BOOT = me.CI["n_bootstrap"]
+#: Replicates over whole tables, where each row is drawn for each of them.
+_TABLE_BOOT = 200
 _VALS = f"{RUNS}, v AS (SELECT model_id, (seed * 2 + right(\"set\", 1)::INT - 1)::INT AS i, avg(f1) AS value FROM runs GROUP BY 1, 2), nn AS (SELECT model_id, count(*) AS n FROM v GROUP BY 1), vv AS (SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY i) - 1 AS i, value FROM v)"
 
 
@@ -294,7 +296,7 @@ def ci_bootstrap_median(spark, sf_dir):
 _DRAWN = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in me.POISSON)
 
 
-@query(f"""WITH {_PRF}, u AS (SELECT b.b, y_true, y_pred, loss, {md5_int(SEED, "poisson", "b.b", "i")} / 4294967296.0::DOUBLE AS u FROM pairs, range({_BOOT}) b(b)),
+@query(f"""WITH {_PRF}, u AS (SELECT b.b, y_true, y_pred, loss, {md5_int(SEED, "poisson", "b.b", "i")} / 4294967296.0::DOUBLE AS u FROM pairs, range({_TABLE_BOOT}) b(b)),
 w AS (SELECT *, {_DRAWN} AS t FROM u), s AS (SELECT b, sum(t * y_true * y_pred) AS tp, sum(t * (1 - y_true) * y_pred) AS fp, sum(t * y_true * (1 - y_pred)) AS fn, sum(t * loss) / sum(t) AS loss FROM w GROUP BY b),
 x AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS r FROM s),
 y AS (SELECT 'precision' AS metric, p AS v FROM x UNION ALL SELECT 'recall', r FROM x UNION ALL SELECT 'f1', CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END FROM x UNION ALL SELECT 'loss', loss FROM x),
@@ -303,7 +305,7 @@ pt AS (SELECT 'precision' AS metric, p AS point FROM k UNION ALL SELECT 'recall'
 SELECT metric, round(point, 9) AS point, round(lo, 9) AS percentile_lo, round(hi, 9) AS percentile_hi, round(2 * point - hi, 9) AS basic_lo, round(2 * point - lo, 9) AS basic_hi FROM pt JOIN q USING (metric)""")
 def ci_bootstrap_binary(spark, sf_dir):
     """Percentile and basic bootstrap intervals of binary precision, recall, F1 and loss."""
-    return _r(me.binary_intervals(fx.classified_pairs(spark, sf_dir), n_bootstrap=_BOOT, seed=SEED), *_ENDS)
+    return _r(me.binary_intervals(fx.classified_pairs(spark, sf_dir), n_bootstrap=_TABLE_BOOT, seed=SEED), *_ENDS)
 
 
 @query(f"WITH {RUNS}, v AS (SELECT model_id, max(f1) AS hi, min(f1) AS lo FROM runs GROUP BY 1) SELECT model_id, 'range' AS method, round(lo, 9) AS lo, round(hi, 9) AS hi FROM v")
@@ -499,11 +501,11 @@ def label_map(spark, sf_dir):
     return mx.label_map(_orders(spark, sf_dir).select(F.explode("labels").alias("label")))
 
 
-@query(f"WITH {_ROWS}, d AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS id FROM (SELECT DISTINCT label FROM lb UNION SELECT 'O') x) SELECT l_orderkey::VARCHAR AS example_id, string_agg(id::VARCHAR, ',' ORDER BY rn) FILTER (rn <= 3) AS labels, least(count(*), 3)::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t, label) AS rn FROM lb) l JOIN d USING (label) GROUP BY 1")
+@query(f"WITH {_ROWS}, d AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS id FROM (SELECT DISTINCT label FROM lb UNION SELECT 'O') x) SELECT l_orderkey::VARCHAR AS example_id, string_agg(id::VARCHAR, ',' ORDER BY rn) AS labels, count(*)::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t, label) AS rn FROM lb) l JOIN d USING (label) GROUP BY 1")
 def prepared_rows(spark, sf_dir):
     """Rows clipped to a length, labels as ids."""
     ex = _orders(spark, sf_dir)
-    p = mx.prepared(ex, mx.label_map(ex.select(F.explode("labels").alias("label"))), max_length=3)
+    p = mx.prepared(ex, mx.label_map(ex.select(F.explode("labels").alias("label"))))
     return p.select("example_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), F.size("input_ids").alias("n"))
 
 
@@ -522,7 +524,15 @@ def padding(spark, sf_dir):
     return mx.padded(d, "ids", 0, "batch").select("id", F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"))
 
 
-@query()
+_PREPARED = f"""{_ROWS}, d AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS id FROM (SELECT DISTINCT label FROM lb UNION SELECT 'O') x),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t, label) AS rn FROM lb),
+e AS (SELECT l_orderkey::VARCHAR AS id, string_agg('1', ',') AS m, string_agg(('0x' || left(md5(t::VARCHAR), 7))::INT::VARCHAR, ',' ORDER BY rn) AS i, string_agg(d.id::VARCHAR, ',' ORDER BY rn) AS l FROM n JOIN d USING (label) GROUP BY 1),
+h AS (SELECT id, sha256('{{"attention_mask":[' || m || '],"example_id":"' || id || '","input_ids":[' || i || '],"labels":[' || l || ']}}') AS h FROM e),
+g AS (SELECT left(md5(id), 3) AS g, count(*) AS n, sha256(string_agg(h, '' ORDER BY id)) AS h FROM h GROUP BY 1)"""
+
+
+@query(f"WITH {_PREPARED} SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY g)) AS digest FROM g")
 def prepared_fingerprint(spark, sf_dir):
     """O2: digest of prepared rows, whatever their partitions."""
-    return mx.fingerprint(_orders(spark, sf_dir))
+    ex = _orders(spark, sf_dir)
+    return mx.fingerprint(mx.prepared(ex, mx.label_map(ex.select(F.explode("labels").alias("label")))))
