@@ -10,6 +10,7 @@ from loomtext.functions.rng import draw
 
 #: Abbreviations that don't end a sentence, fixed values.
 NON_STOPS = ("fig.", "al.", "sp.", "spp.", "e.g.", "pv.", "eg.")
+#: Candidate species mentions, a fixed value.
 SPECIES = r"[A-Z](?:[a-z]+|\.)\s[a-z]+"
 SENTINEL = "\x01"
 #: Words of a phrase that scrambling leaves alone, fixed values.
@@ -154,8 +155,9 @@ def short_time(ts: Column) -> Column:
 
 # ---------------------------------------------------------------- licences
 
+# Markers, licence ids, policy words and reasons below are fixed values.
 _CC = (
-    # marker of the address, markers of the short names, licence; in the order of precedence
+    # marker of the address and of the short names, licence; in the order of precedence
     ("by-nc-nd", "CC-BY-NC-ND-4.0"),
     ("by-nc-sa", "CC-BY-NC-SA-4.0"),
     ("by-nd", "CC-BY-ND-4.0"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.rng import draw
+from loomtext.shared import materialise
 
 
 @dataclass(frozen=True)
@@ -80,18 +82,18 @@ def assign(articles: DataFrame, specs: list[SplitSpec], seed: int, *, id_col: st
 TRACE = "step int, action string, missing string, donor_split string, donor string, donor_cover int, swapped_out string, redundancy int, irrelevant boolean"
 
 
-def repair(members: dict[str, str], cats: dict[str, set[str]], target: str) -> tuple[dict[str, str], list[tuple]]:
+def repair(members: dict[str, str], cats: dict[str, set[str]], target: str, sizes: dict[str, int] | None = None) -> tuple[dict[str, str], list[tuple]]:
     """Greedy coverage repair of one split: (article -> split, decision trace).
 
     Until every category stands in ``target``: take the article that covers most
     missing categories (then train before other splits, larger ones first, then
     the smaller id), and give back the article whose categories all stay covered
     (without categories first, then the most redundant, then the smaller id), or
-    none if there is none.
+    none if there is none. ``sizes`` of the splits, where ``members`` are only some.
     """
     split, trace = dict(members), []
     every = set().union(*cats.values()) if cats else set()
-    sizes = pd.Series(list(split.values())).value_counts().to_dict() if split else {}
+    sizes = sizes or dict(Counter(split.values()))
     donors = sorted((s for s in sizes if s != target), key=lambda s: (s != "train", -sizes[s], s))
     rank = {s: i for i, s in enumerate(donors)}
     while True:
@@ -123,31 +125,40 @@ def repair(members: dict[str, str], cats: dict[str, set[str]], target: str) -> t
 def repair_coverage(assigned: DataFrame, cats: DataFrame, targets: list[str], *, id_col: str = "article_id", lineage_col: str = "lineage") -> tuple[DataFrame, DataFrame]:
     """(lineage, id, split) after repair, and the decision trace.
 
-    Every lineage (one split of the articles) is one group of (article,
-    categories) rows: as small as its list of articles, without any text.
+    A lineage whose target splits lack no category has nothing to repair and
+    stays in SQL. Of the others one group of (article, categories) rows goes to
+    Python, once, and gives back its moves and decisions; with a single target
+    only that split's articles and those that hold a missing category go, beside
+    the sizes of the splits.
     """
+    kind = assigned.schema[lineage_col].dataType.simpleString()
     own = cats.groupBy(id_col).agg(F.array_sort(F.collect_set("category")).alias("categories"))
-    rows = assigned.join(own, id_col, "left").select(lineage_col, F.col(id_col).cast("string").alias("id"), "split", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"))
-
-    def run(pdf: pd.DataFrame) -> tuple[dict, list]:
+    rows = assigned.join(own, id_col, "left").select(F.col(lineage_col).alias("lineage"), F.col(id_col).cast("string").alias("id"), "split", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"))
+    rows = materialise(rows, "assigned")
+    per = rows.select("lineage", "split", F.explode("categories").alias("category")).groupBy("lineage", "category").agg(F.collect_set("split").alias("splits"))
+    lack = per.where(~F.forall(F.array(*(F.lit(t) for t in targets)), lambda t: F.array_contains("splits", t)))
+    lack = materialise(lack.groupBy("lineage").agg(F.collect_set("category").alias("missing")), "missing")
+    sizes = rows.groupBy("lineage", "split").agg(F.count("*").alias("n")).groupBy("lineage").agg(F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("sizes"))
+    asked = rows.join(lack, "lineage").join(sizes, "lineage")
+    if len(targets) == 1:
+        asked = asked.where((F.col("split") == targets[0]) | F.arrays_overlap("categories", "missing"))
+    fields = [c.split()[0] for c in TRACE.split(", ")]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         split = dict(zip(pdf["id"], pdf["split"], strict=True))
-        own = {i: set(c) for i, c in zip(pdf["id"], pdf["categories"], strict=True)}
-        trace: list[tuple] = []
+        held = {i: set(c) for i, c in zip(pdf["id"], pdf["categories"], strict=True)}
+        sizes = dict(pdf["sizes"].iloc[0]) if len(targets) == 1 else None
+        before, out = dict(split), []
         for t in targets:
-            split, more = repair(split, own, t)
-            trace += [(t, *x) for x in more]
-        return split, trace
-
-    def moved(key, pdf):
-        split, _ = run(pdf)
-        return pd.DataFrame([(key[0], i, s) for i, s in sorted(split.items())], columns=["lineage", "id", "split"])
-
-    def decided(key, pdf):
-        return pd.DataFrame([(key[0], *x) for x in run(pdf)[1]], columns=["lineage", "target", *[c.split()[0] for c in TRACE.split(", ")]])
-
-    kind = rows.schema[lineage_col].dataType.simpleString()
-    grouped = rows.groupBy(lineage_col)
-    return grouped.applyInPandas(moved, f"lineage {kind}, id string, split string"), grouped.applyInPandas(decided, f"lineage {kind}, target string, {TRACE}")
+            split, more = repair(split, held, t, sizes)
+            out += [(key[0], None, None, t, *x) for x in more]
+        out += [(key[0], i, s, None, *[None] * len(fields)) for i, s in sorted(split.items()) if s != before[i]]
+        return pd.DataFrame(out, columns=["lineage", "id", "split", "target", *fields]).astype(object)
+
+    done = materialise(asked.groupBy("lineage").applyInPandas(run, f"lineage {kind}, id string, split string, target string, {TRACE}"), "repaired")
+    moves = done.where("target is null").select("lineage", "id", F.col("split").alias("now"))
+    moved = rows.join(moves, ["lineage", "id"], "left").select("lineage", "id", F.coalesce("now", "split").alias("split"))
+    return moved, done.where("target is not null").drop("id", "split")
 
 
 def removable(assigned: DataFrame, cats: DataFrame, *, id_col: str = "article_id") -> DataFrame:

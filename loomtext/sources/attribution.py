@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import license_flags, license_id
 
 
+# The grammar of attribution lines, fixed values.
+CHECKSUM_LINE = r"(?i)^(?:checksum|sha256|hash)\s*[:=]\s*([a-f0-9]{8,128})\s*$"
+LICENCE_LINE = r"(?i)\b(?:license|licence)\b\s*[:=]\s*(.+)$"
+TABLE_LINE = r"(?i)^([a-f0-9]{8,128})\s*(?:[\t,;|]+|\s)\s*(\S.*)$"
+
+
 def parse_attribution(texts: DataFrame, *, id_col: str = "path", text_col: str = "value") -> DataFrame:
     """(id, checksum, license_id, flags...) of block and tabular lines; the last statement of a checksum wins.
 
@@ -16,12 +22,11 @@ def parse_attribution(texts: DataFrame, *, id_col: str = "path", text_col: str =
     (also with tab, semicolon or bar) or ``<hex> <licence>``.
     """
     lines = texts.select(id_col, F.posexplode(F.split(text_col, r"\r\n|\r|\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    checksum = F.regexp_extract("line", r"(?i)^(?:checksum|sha256|hash)\s*[:=]\s*([a-f0-9]{8,128})\s*$", 1)
-    licence = F.regexp_extract("line", r"(?i)\b(?:license|licence)\b\s*[:=]\s*(.+)$", 1)
+    checksum = F.regexp_extract("line", CHECKSUM_LINE, 1)
+    licence = F.regexp_extract("line", LICENCE_LINE, 1)
     rows = lines.withColumn("c", F.nullif(checksum, F.lit(""))).withColumn("l", F.when(F.col("c").isNull(), F.nullif(F.trim(licence), F.lit(""))))
-    table = r"(?i)^([a-f0-9]{8,128})\s*(?:[\t,;|]+|\s)\s*(\S.*)$"
     plain = F.col("c").isNull() & F.col("l").isNull()
-    rows = rows.withColumn("tc", F.when(plain, F.nullif(F.regexp_extract("line", table, 1), F.lit("")))).withColumn("tl", F.when(plain, F.regexp_extract("line", table, 2)))
+    rows = rows.withColumn("tc", F.when(plain, F.nullif(F.regexp_extract("line", TABLE_LINE, 1), F.lit("")))).withColumn("tl", F.when(plain, F.regexp_extract("line", TABLE_LINE, 2)))
     by = Window.partitionBy(id_col).orderBy("pos")
     blank = F.sum(F.when(F.col("line") == "", 1).otherwise(0)).over(by)
     rows = rows.withColumn("paragraph", blank)

@@ -250,3 +250,20 @@ def test_stable_rows_as_arrow_and_claims_of_manifests(spark, tmp_path):
     found = commands.verify_root(spark, str(tmp_path), tasks=("t1",)).collect()
     assert [(r.profile, r.task, r.check, r.context) for r in found] == [("flat", "t1", "split_hash", "set1/test")]
     assert commands.claims_summary(commands.verify_root(spark, str(tmp_path), tasks=("t1",))).where("profile is null").first().n == 1
+
+
+def test_repair_by_lineage_equals_the_whole_loop(spark):
+    import random
+
+    rng, rows, cats, want, trace = random.Random(3), [], [], {}, {}
+    for lineage in range(8):
+        members = {f"{lineage}-{i}": rng.choice(["train"] * 5 + ["eval"] * 2 + ["test"] * (1 + lineage % 3)) for i in range(30)}
+        own = {i: {c for c in "abcdefgh" if rng.random() < (0.9 if lineage == 7 else 0.12)} for i in members}
+        rows += [(lineage, i, s) for i, s in members.items()]
+        cats += [(i, c) for i, each in own.items() for c in each]
+        want[lineage], trace[lineage] = st.repair(members, own, "test")
+    assigned = spark.createDataFrame(rows, "lineage int, article_id string, split string")
+    moved, decided = st.repair_coverage(assigned, spark.createDataFrame(cats, "article_id string, category string"), ["test"])
+    assert {(r.lineage, r.id): r.split for r in moved.collect()} == {(k, i): s for k, each in want.items() for i, s in each.items()}
+    assert {(r.lineage, r.step, r.action, r.donor, r.swapped_out) for r in decided.collect()} == {(k, t[0], t[1], t[4], t[6]) for k, each in trace.items() for t in each}
+    assert any(trace.values()) and not all(trace.values())
