@@ -34,21 +34,26 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     if _scopes:
         _scopes[-1][path] = False
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _path(df: DataFrame) -> str:
+    """Where :func:`materialise` wrote ``df``, which must be the very frame that it returned."""
+    return df.__dict__["_written"]
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """A scope at whose end all that :func:`materialise` wrote in it is deleted, but for tables passed to the given function.
+    """A scope at whose end all that :func:`materialise` wrote in it is deleted, but for its frames passed to the given function.
 
     Whatever leaves the scope must be kept or rest on kept tables only.
     """
     written: dict[str, bool] = {}
 
     def keep(df: DataFrame) -> DataFrame:
-        files = df.inputFiles()
-        for path in written:
-            written[path] |= any(f"{path}/" in f for f in files)
+        written[_path(df)] = True
         return df
 
     _scopes.append(written)
@@ -68,6 +73,4 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialise` wrote for ``df``, once nothing reads it any more."""
-    base = f"{df.sparkSession.conf.get('spark.checkpoint.dir').rstrip('/')}/loomtext/"
-    for folder in {f[: f.index("/", f.index(base) + len(base))] for f in df.inputFiles() if base in f}:
-        delete(df.sparkSession, folder)
+    delete(df.sparkSession, _path(df))
