@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.shared import discard, materialise, scratch, shared_dir
 
-__all__ = ["bounded_batches", "bounds", "discard", "materialise", "runs", "scratch", "shared_dir", "skew_join", "slices", "table", "utf8_column"]
+__all__ = ["bounded_batches", "bounds", "discard", "materialise", "runs", "sampled", "scratch", "shared_dir", "skew_join", "slices", "table", "utf8_column"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +30,21 @@ def bounded_batches(spark: SparkSession) -> None:
 
 #: Keys that :func:`skew_join` deals over several tasks at most, and the rows below which no key is.
 HOT_KEYS, HOT_ROWS = 2000, 200
+#: Rows that are broadcast as a whole, some 20 MB.
+SMALL_ROWS = 200_000
 
 
-def skew_join(rows: DataFrame, other: DataFrame, key: str, count: str, total: int, by: Column, how: str = "inner") -> DataFrame:
+def skew_join(rows: DataFrame, other: DataFrame, key: str, count: str, total: int, by: Column, how: str = "inner", *, small: bool = False) -> DataFrame:
     """``rows`` joined with ``other``, which has one row for each key and the number of ``rows`` of that key in ``count``.
 
     Keys of ``total / HOT_KEYS`` rows or more are dealt over several tasks by the
     hash of ``by``, their row of ``other`` once to each. There are ``HOT_KEYS`` of
     them at most, since ``total`` counts ``rows``, so their list is broadcast.
+    With ``small``, ``other`` is a written table of a few fixed-width columns,
+    which is broadcast as a whole if it has ``SMALL_ROWS`` rows or less.
     """
+    if small and other.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(other), key, how)
     most = max(HOT_ROWS, total // HOT_KEYS)
     parts = F.ceil(F.col(count) / F.lit(most)).cast("int")
     hot = other.where(F.col(count) > most).select(key, parts.alias("_parts"))
@@ -48,6 +54,14 @@ def skew_join(rows: DataFrame, other: DataFrame, key: str, count: str, total: in
     return dealt.join(each, [key, "_part"], how).drop("_part")
 
 
+def sampled(ids: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the distinct non-null ids of the one column, all if there are fewer; chosen by hash, without a sort."""
+    name = ids.columns[0]
+    ids = materialise(ids.where(F.col(name).isNotNull()).distinct(), "ids")
+    n = ids.count()
+    return ids if n <= most else ids.where(F.pmod(F.xxhash64(name, F.lit("sample")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte values and row offsets of a string or binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

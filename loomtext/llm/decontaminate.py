@@ -316,5 +316,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **o
     )
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, share: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES
+) -> DataFrame:
+    """The rows that aren't contaminated, with the columns of ``docs``; each row is judged by its own text, whatever its id.
+
+    With one automaton whole rows are filtered where they are. With several, rows
+    are written once with a key of their own and the contaminated keys go.
+    """
+    blocks = _blocks(benchmark, item_col, item_text_col, automaton_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        spark = docs.sparkSession
+        bounded_batches(spark)
+        shared = spark.sparkContext.broadcast(build_automaton(first, window))
+        at = docs.columns.index(text_col)
+
+        def run(batches):
+            for batch in batches:
+                keep = []
+                _, offsets = utf8_column(batch.column(at))
+                for a, b in slices(offsets, SLICE_BYTES):
+                    words = [words_of(t) for t in batch.column(at).slice(a, b - a).to_pylist()]
+                    n_hit = [sum(e - s for s, e in intervals) for intervals, _ in scan(words, shared.value)]
+                    keep += [n == 0 or share * n < len(w) for n, w in zip(n_hit, words, strict=True)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = materialise(docs.select(row, F.monotonically_increasing_id().alias("key"), F.col(text_col).alias("text")), "rows")
+    options = {"item_col": item_col, "item_text_col": item_text_col, "window": window, "automaton_bytes": automaton_bytes}
+    found = decontaminate(rows, benchmark, share=share, id_col="key", **options).where("contaminated").select("key")
+    return rows.join(found, "key", "left_anti").select("row.*")
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bounded_batches, materialise, skew_join, slices, utf8_column
+from loomtext.llm.common import bounded_batches, materialise, sampled, skew_join, slices, utf8_column
 
-#: Labelled documents that the text model is fitted on at most, those of the smallest id hashes.
+#: Ids of labelled documents that the text model is fitted on, about; chosen by hash.
 SAMPLE = 5_000
 BUCKETS = 1 << 13
 SMOOTH = 0.5
@@ -122,7 +122,7 @@ def trigram_counts(column: pa.Array):
 def fit_text_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [BUCKETS, languages]) of the sampled labelled documents."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = labelled.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    chosen = sampled(labelled.select(id_col), sample)
     rows = labelled.join(F.broadcast(chosen), id_col, "left_semi").select(lang_col, text_col)
 
     def count(batches):

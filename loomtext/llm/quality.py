@@ -2,16 +2,19 @@
 
 :func:`document_statistics` computes transformed statistics of every whole text
 once; they are kept in the shared folder. :func:`fit` sums each class's count,
-mean and scatter by a distributed aggregation over all labelled rows (no
-sample), shrinks the class covariances towards the pooled one and towards a
-scaled identity, and caches their Cholesky factors. :func:`apply_model` scores by
-the difference of Mahalanobis log densities.
+mean and scatter by a distributed aggregation over all rows that it is given,
+shrinks the class covariances towards the pooled one and towards a scaled
+identity, and caches their Cholesky factors. :func:`apply_model` scores by the
+difference of Mahalanobis log densities. :func:`score_documents` fits on all
+labelled rows, whose statistics it has anyway; :func:`keep_good` on those of
+about ``FIT_IDS`` ids, so that no text but theirs is read twice.
 
 Defined cases: a null or empty text has all-zero statistics and gets a score;
 null labels, null ids and labels other than 0 and 1 teach nothing; a repeated
 label counts as often as it is given; with a class missing from training every
 score is the share of label 1 (0.5 without any label); repeated documents each
-get their score.
+get their score; very long texts are read whole; other columns are ignored, or
+passed through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import bounded_batches, materialise
+from loomtext.llm.common import bounded_batches, materialise, sampled
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "long_words", "short_words", "upper", "digit", "punctuation",
@@ -31,7 +34,9 @@ FEATURES = (
 )
 #: Shrinkage of a class covariance to the pooled one, and of the result to a scaled identity.
 POOL_SHRINK, IDENTITY_SHRINK = 0.1, 0.02
-#: Standardised statistics are clipped here, so one odd text can't outweigh a class.
+#: Labelled ids that :func:`keep_good` learns from, about; chosen by hash.
+FIT_IDS = 50_000
+#: Standardised statistics are clipped here when they are scored, so one odd text can't outweigh a class.
 CLIP = 8.0
 
 _UPPER = bytes(range(65, 91))
@@ -178,23 +183,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     return apply_model(stats.withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "stats"), model)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_ids: int = FIT_IDS) -> DataFrame:
     """Documents that are not rejected (predicted 1), with the columns of ``docs``.
 
     The statistics are computed beside each whole row, so the verdict needs no
-    join back to the texts; for learning, statistics of all documents (never
-    texts) are joined with the labels.
+    join back to the texts. The rows of the ids to learn from are found by a
+    broadcast of these ids, whose number ``fit_ids`` bounds.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    known = labels.select(F.col(id_col), F.col(options.get("label_col", "quality")).alias("label")).where(~held_out(id_col))
-    stats = document_statistics(docs, id_col=id_col, text_col=text_col)
-    model = fit(stats.join(known, id_col).select("label", "stats"))
-    names = docs.columns
+    known = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(~held_out(id_col) & F.col(label_col).isin(0, 1))
+    known = materialise(known.join(F.broadcast(sampled(known.select(id_col), fit_ids)), id_col, "left_semi"), "labels")
+    rows = docs.select(id_col, text_col).join(F.broadcast(known.select(id_col).distinct()), id_col, "left_semi")
+    model = fit(document_statistics(rows, id_col=id_col, text_col=text_col).join(known, id_col).select("label", "stats"))
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             s = model.scores(np.array([statistics_of(t) for t in batch.column(at).to_pylist()], np.float64).reshape(batch.num_rows, len(FEATURES)))
             yield batch.filter(pa.array(s >= 0.5))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
