@@ -85,8 +85,11 @@ def prepared(examples: DataFrame, ids: DataFrame, *, max_length: int = 510, fail
 
 def padded(rows: DataFrame, column: str, pad: int, batch: str | None = None) -> DataFrame:
     """``rows`` with the arrays of each batch filled up to its longest one."""
-    most = F.max(F.size(column)).over(Window.partitionBy(batch) if batch else Window.partitionBy(F.lit(1)))
-    return rows.withColumn(column, F.concat(column, F.array_repeat(F.lit(pad), (most - F.size(column)).cast("int"))))
+    filled = lambda most: F.concat(column, F.array_repeat(F.lit(pad), (most - F.size(column)).cast("int")))
+    if batch:
+        return rows.withColumn(column, filled(F.max(F.size(column)).over(Window.partitionBy(batch))))
+    most = rows.agg(F.max(F.size(column)).alias("longest"))
+    return rows.crossJoin(F.broadcast(most)).withColumn(column, filled(F.col("longest"))).drop("longest")
 
 
 def fingerprint(rows: DataFrame, id_col: str = "example_id") -> DataFrame:

@@ -220,7 +220,21 @@ def variant_stats(spark, sf_dir):
     return va.variant_stats(_bundle(spark, sf_dir, *_TIGHT, keep_none_without_all=False))
 
 
-@query()
+_UNIQUE = f"""{_STRA}, tr AS (SELECT doc_id, w AS src, a.a AS attempt FROM w, range({va.UNIQUE_TRIES}) a(a)),
+made AS (SELECT doc_id::VARCHAR AS id, attempt, src, {_scrambled_sql("src", *_class_sql("doc_id::VARCHAR, attempt::VARCHAR"))} AS dst FROM tr),
+was AS (SELECT DISTINCT id, attempt FROM made WHERE dst IN (SELECT w FROM w)),
+st AS (
+  SELECT id, attempt, src, dst, 0 AS won FROM made m WHERE NOT EXISTS (SELECT 1 FROM was WHERE was.id = m.id AND was.attempt = m.attempt)
+  UNION ALL
+  (WITH o AS (SELECT * FROM st WHERE won = 0), f AS (SELECT *, min(attempt) OVER (PARTITION BY id) AS least FROM o),
+  s AS (SELECT *, min(id) OVER (PARTITION BY dst) AS first FROM f WHERE attempt = least), l AS (SELECT *, bool_or(first < id) OVER (PARTITION BY id) AS lost FROM s), n AS (SELECT * FROM l WHERE NOT lost),
+  r AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)), b AS (SELECT DISTINCT id, attempt FROM r WHERE dst IN (SELECT dst FROM n))
+  SELECT id, attempt, src, dst, 1 FROM n UNION ALL SELECT id, attempt, src, dst, 0 FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = r.id AND b.attempt = r.attempt))
+)"""
+
+
+@query(f"""WITH RECURSIVE {_UNIQUE} SELECT id AS example_id, src, dst, attempt::INT AS attempt, NULL::VARCHAR AS reason FROM st WHERE won = 1
+UNION ALL SELECT DISTINCT id, NULL, NULL, NULL::INT, '{va.EXHAUSTED}' FROM made WHERE id NOT IN (SELECT id FROM st WHERE won = 1)""")
 def unique_scramble(spark, sf_dir):
     """Scrambled forms that no two documents share; documents without a free form with the reason."""
     p = _phrases(spark, sf_dir).where(F.size("phrases") > 0).select(F.col("doc_id").cast("string").alias("example_id"), "phrases")
