@@ -19,7 +19,9 @@ deals them in chunks, each with the same few pivots, and so joins most members
 that belong together at a cost in proportion to them. The second compares every
 member outside its group's largest component with all members it isn't joined to
 yet, so no pair is left out; its cost is the product of those two numbers.
-Either pass returns a spanning forest, so no group is expanded into its pairs.
+Each task returns an edge from each of its members to the member of its tree that
+has the smallest draw, so no group is expanded into its pairs and tasks repeat
+few edges.
 
 A pair at the threshold shares a band but for a chance of (1 - j^5)^25, which is
 about 4e-7 at 0.85 and 5e-5 at 0.8, and less the more alike it is.
@@ -55,8 +57,10 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 6
-BLOCK = 512
+#: Members of one chunk of a large group.
+BLOCK = 128
 PIVOTS = 8
+DRAWS = 1 << 40
 #: Rows of a few bigints each are broadcast up to this many (some 64 MB); beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Stands for a null id, after all others.
@@ -165,10 +169,14 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Union-find that tells whether a link is new."""
+    """Union-find of a task. The root of a tree is its node of the smallest draw, so that tasks agree on it."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
+        self.draw: dict[int, int] = {}
+
+    def know(self, nodes: np.ndarray, draws: np.ndarray) -> None:
+        self.draw.update(zip(nodes.tolist(), draws.tolist(), strict=True))
 
     def find(self, x: int) -> int:
         up = self.up
@@ -179,17 +187,17 @@ class Forest:
             up[x], x = root, up.get(x, x)
         return root
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
+        if a != b:
+            first = min(a, b, key=lambda x: (self.draw.get(x, 0), x))
+            self.up[b if first == a else a] = first
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def edges(self) -> pa.RecordBatch:
+        """An edge from each node to its root."""
+        nodes = list(self.up)
+        roots = [self.find(x) for x in nodes]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
 
 
 def chunks_of(size: Column) -> Column:
@@ -201,26 +209,26 @@ def _chunk(n: Column, salt: int) -> Column:
 
 
 def in_chunks(members: DataFrame, *payload: str) -> DataFrame:
-    """(key, chunk, node, payload) of members (key, size, node, payload), sorted for the first pass.
+    """(key, chunk, node, draw, payload) of members (key, size, node, payload), sorted for the first pass.
 
     A group of up to ``BLOCK`` members is one chunk. Members of a larger one are
-    dealt over chunks by hash; some ``PIVOTS`` of them, chosen by hash too, stand
-    in all of its chunks.
+    dealt over chunks by hash; its pivots, some ``PIVOTS`` members of the smallest
+    draws, stand in all of its chunks.
     """
     n = chunks_of(F.col("size"))
-    pivot = (n > 1) & (F.pmod(F.xxhash64("node", F.lit(2)), n * F.lit(BLOCK // PIVOTS)) == 0)
+    draw = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(DRAWS))
+    pivot = (n > 1) & (draw * n < F.lit(DRAWS // BLOCK * PIVOTS))
     at = F.when(pivot, F.sequence(F.lit(0), n - 1)).otherwise(F.array(_chunk(n, 1)))
-    return members.select("key", F.explode(at).alias("chunk"), "node", *payload).repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    return members.select("key", F.explode(at).alias("chunk"), "node", draw.alias("draw"), *payload).repartition("key", "chunk").sortWithinPartitions("key", "chunk")
 
 
-def still_apart(members: DataFrame, links: DataFrame, total: int) -> DataFrame:
+def still_apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     """(key, i, j, side, node, comp) for the second pass over groups (key, size, node) beyond ``BLOCK``.
 
-    ``links`` are the edges of the first pass. Members outside their group's
+    ``joined``: (node, component) of the first pass. Members outside their group's
     largest component stand on side 0 of the blocks (i, j) of all j, all members
     on side 1 of the blocks of all i. Groups of one component give no rows.
     """
-    joined = materialise(connected_components(links), "joined")
     own = members.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     own = materialise(own.select("key", "size", "node", "comp", _chunk(chunks_of(F.col("size")), 1).alias("j")), "members")
     per = own.groupBy("key", "size", "comp").agg(F.count("*").alias("n"))
@@ -294,8 +302,12 @@ def _once(batches, n_keys: int, node: int):
 EDGE = "a bigint, b bigint"
 
 
-def candidate_edges(nodes: DataFrame, share: int = SHARE) -> DataFrame:
-    """(a, b) edges whose components hold every candidate pair. ``nodes``: node, n_shingles, registers."""
+def as_edges(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def candidate_clusters(nodes: DataFrame, share: int = SHARE) -> DataFrame:
+    """(node, component) of components that hold every candidate pair. ``nodes``: node, n_shingles, registers."""
 
     def bands(batches):
         for batch in batches:
@@ -309,41 +321,45 @@ def candidate_edges(nodes: DataFrame, share: int = SHARE) -> DataFrame:
 
     least = threshold(share)
 
-    def compare(pairs, node, n, registers):
+    def compare(forest, pairs, node, n, registers):
         data, _ = utf8_column(registers)
         reg = np.frombuffer(data.tobytes(), np.uint16).reshape(-1, REGISTERS)
-        forest, grown = Forest(), []
         for a, b in pairs:
             matches = (reg[a] == reg[b]).sum(1)
             hit = np.flatnonzero(matches >= least * REGISTERS)  # the correction only lowers the estimate
             for x, y, m in zip(a[hit].tolist(), b[hit].tolist(), matches[hit].tolist(), strict=True):
-                if estimate(m, chance_of_collision(1 << int(n[x]).bit_length(), 1 << int(n[y]).bit_length())) >= least and forest.join(int(node[x]), int(node[y])):
-                    grown.append((int(node[x]), int(node[y])))
-        return grown
+                if estimate(m, chance_of_collision(1 << int(n[x]).bit_length(), 1 << int(n[y]).bit_length())) >= least:
+                    forest.join(int(node[x]), int(node[y]))
 
     def within(batches):
+        forest = Forest()
         for t in runs(batches, 2):
-            if grown := compare(_inner_pairs(bounds(t, 2)), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4)):
-                yield _edges(grown)
+            node, draw, n = (t.column(i).to_numpy() for i in range(2, 5))
+            forest.know(node, draw)
+            compare(forest, _inner_pairs(bounds(t, 2)), node, n, t.column(5))
+        yield forest.edges()
 
     def across(batches):
+        forest = Forest()
         for t in runs(batches, 3):
             side, node, comp, n = (t.column(i).to_numpy() for i in range(3, 7))
-            if grown := compare(_cross_pairs(bounds(t, 3), side, comp), node, n, t.column(7)):
-                yield _edges(grown)
+            compare(forest, _cross_pairs(bounds(t, 3), side, comp), node, n, t.column(7))
+        yield forest.edges()
 
     band = nodes.select("node", "registers").mapInArrow(bands, "key bigint, node bigint")
     total = BANDS * nodes.count()
     shared = materialise(band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bands")
-    met = skew_join(band, shared, "key", "size", total, F.col("node"))
+    met = skew_join(band, shared, "key", "size", total, F.col("node"), small=True)
     registers = nodes.select("node", "n_shingles", "registers")
-    edges = materialise(in_chunks(met.join(registers, "node"), "n_shingles", "registers").mapInArrow(within, EDGE), "candidates")
+    edges = in_chunks(met.join(registers, "node"), "n_shingles", "registers").mapInArrow(within, EDGE)
+    joined = materialise(connected_components(edges), "joined")
     large = shared.where(F.col("size") > BLOCK)
     if large.isEmpty():
-        return edges
-    apart = still_apart(skew_join(band, large, "key", "size", total, F.col("node")), edges, total).join(registers, "node")
+        return joined
+    apart = still_apart(skew_join(band, large, "key", "size", total, F.col("node"), small=True), joined).join(registers, "node")
     apart = apart.select("key", "i", "j", "side", "node", "comp", "n_shingles", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return edges.unionByName(apart.mapInArrow(across, EDGE))
+    more = materialise(apart.mapInArrow(across, EDGE), "candidates")
+    return joined if more.isEmpty() else connected_components(as_edges(joined).unionByName(more))
 
 
 def linked(sets: list[np.ndarray], left: list[int] | None = None, right: list[int] | None = None, share: int = SHARE):
@@ -389,29 +405,29 @@ def confirmed_edges(rows: DataFrame, clusters: DataFrame, share: int = SHARE) ->
     ``rows``: own, th, text; ``clusters``: node, component, own, th.
     """
 
-    def confirm(node, at, texts, sides):
+    def confirm(forest, node, at, texts, sides):
         data, offsets = utf8_column(texts)
         sets = shingle_sets(data, offsets, SHINGLE, slices)
-        grown = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own = [next(sets) for _ in range(b - a)]
-            forest = Forest()
             for i, j in linked(own, *sides(a, b), share):
-                if forest.join(int(node[a + i]), int(node[a + j])):
-                    grown.append((int(node[a + i]), int(node[a + j])))
-        return grown
+                forest.join(int(node[a + i]), int(node[a + j]))
 
     def within(batches):
+        forest = Forest()
         for t in runs(_once(batches, 2, 2), 2):
-            if grown := confirm(t.column(2).to_numpy(), bounds(t, 2), t.column(3), lambda a, b: (None, None)):
-                yield _edges(grown)
+            node = t.column(2).to_numpy()
+            forest.know(node, t.column(3).to_numpy())
+            confirm(forest, node, bounds(t, 2), t.column(4), lambda a, b: (None, None))
+        yield forest.edges()
 
     def across(batches):
+        forest = Forest()
         for t in runs(_once(batches, 4, 4), 3):
             side, node = t.column(3).to_numpy(), t.column(4).to_numpy()
-            sides = lambda a, b: (np.flatnonzero(side[a:b] == 0).tolist(), np.flatnonzero(side[a:b] == 1).tolist())
-            if grown := confirm(node, bounds(t, 3), t.column(6), sides):
-                yield _edges(grown)
+            sides = lambda a, b: (np.flatnonzero(side[a:b] == 0).tolist(), np.flatnonzero(side[a:b] == 1).tolist())  # noqa: B023,E731
+            confirm(forest, node, bounds(t, 3), t.column(6), sides)
+        yield forest.edges()
 
     def fetched(found: DataFrame) -> DataFrame:
         """``found`` with one text of each node from every task that has any."""
@@ -421,22 +437,23 @@ def confirmed_edges(rows: DataFrame, clusters: DataFrame, share: int = SHARE) ->
     total = clusters.count()
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     sizes = materialise(sizes, "sizes")
-    members = skew_join(clusters, sizes, "component", "size", total, F.col("node")).select("node", F.col("component").alias("key"), "size", "own", "th")
+    members = skew_join(clusters, sizes, "component", "size", total, F.col("node"), small=True).select("node", F.col("component").alias("key"), "size", "own", "th")
     members = materialise(members, "members")
     texts = fetched(members).select("node", "key", "size", "text").mapInArrow(_fresh, "node bigint, key bigint, size bigint, text string")
     # rows that repeat the id and text of a representative give it once
     dealt = in_chunks(texts, "text").sortWithinPartitions("key", "chunk", "node")
-    edges = materialise(dealt.mapInArrow(within, EDGE), "links")
+    edges = dealt.mapInArrow(within, EDGE)
     large = members.where(F.col("size") > BLOCK)
     if large.isEmpty():
         return edges
-    apart = materialise(still_apart(large.select("key", "size", "node"), edges, total), "apart")
+    joined = materialise(connected_components(edges), "joined")
+    apart = materialise(still_apart(large.select("key", "size", "node"), joined), "apart")
     if apart.isEmpty():
-        return edges
+        return as_edges(joined)
     wanted = materialise(apart.select("node").distinct().join(large.select("node", "own", "th"), "node"), "wanted")
     found = fetched(wanted).select("node", "text").mapInArrow(_fresh, "node bigint, text string")
     dealt = apart.join(found, "node").select("key", "i", "j", "side", "node", "comp", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
-    return edges.unionByName(dealt.mapInArrow(across, EDGE))
+    return as_edges(joined).unionByName(dealt.mapInArrow(across, EDGE))
 
 
 def grouped(rows: DataFrame, share: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -450,14 +467,13 @@ def grouped(rows: DataFrame, share: int, by_id: bool) -> tuple[DataFrame, DataFr
         first = F.min(F.struct("own", "th")).alias("first")
         nodes = usable.groupBy("digest").agg(first, F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
         nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        candidates = connected_components(candidate_edges(nodes, share))
-        clusters = materialise(candidates.join(nodes.select("node", "first.own", "first.th"), "node"), "clusters")
+        clusters = materialise(candidate_clusters(nodes, share).join(nodes.select("node", "first.own", "first.th"), "node"), "clusters")
         links = confirmed_edges(rows, clusters, share)
         if by_id:
             links = links.unionByName(_same_id(usable, nodes))
         groups = materialise(connected_components(links).join(nodes.select("node", "first"), "node"), "groups")
         least = groups.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n"))
-        least = skew_join(groups, least, "component", "n", groups.count(), F.col("node")).select("node", "least")
+        least = skew_join(groups, materialise(least, "least"), "component", "n", groups.count(), F.col("node"), small=True).select("node", "least")
         return found, keep(materialise(nodes.join(least, "node", "left").select("digest", "n_rows", F.coalesce("least", "first").alias("least")), "classes"))
 
 
@@ -475,7 +491,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per document: doc id, n_shingles, component_id, kept (ids must be integers). Sets link from ``share`` of 100 on."""
     found, classes = grouped(keyed(docs, id_col, text_col), share, True)
     named = classes.select("digest", "n_rows", F.col("least.own").alias("least"))
-    out = skew_join(found.select("own", "n_shingles", "digest"), named, "digest", "n_rows", found.count(), F.col("own"), "left")
+    out = skew_join(found.select("own", "n_shingles", "digest"), named, "digest", "n_rows", found.count(), F.col("own"), "left", small=True)
     own = F.when(F.col("own") != NO_ID, F.col("own"))
     component = F.when(own.isNotNull(), F.coalesce("least", "own"))
     return out.select(own.alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == own, F.lit(True)).alias("kept"))
@@ -486,7 +502,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = keyed(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     found, classes = grouped(rows, share, False)
     total = found.count()
-    of = skew_join(found.where("digest is not null").select("own", "th", "digest"), classes, "digest", "n_rows", total, F.col("own"), "left")
+    of = skew_join(found.where("digest is not null").select("own", "th", "digest"), classes, "digest", "n_rows", total, F.col("own"), "left", small=True)
     kept = (F.col("own") == F.col("least.own")) & (F.col("th") == F.col("least.th"))
     verdict = of.select("own", "th", kept.alias("kept")).groupBy("own", "th").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     verdict = materialise(verdict.where("not kept or n > 1"), "verdicts")
