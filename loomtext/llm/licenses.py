@@ -1,14 +1,15 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
 A text is canonical once it is lower-cased, freed of copyright lines, of title
-lines at its head and of the appendix that tells how to apply it, has punctuation turned to spaces, equivalent spellings made one, and white space
-collapsed. The SHA-256 of the whole canonical text is joined to the digests of
+lines at its head and of the appendix that tells how to apply it, has punctuation
+turned to spaces, equivalent spellings made one, and white space collapsed. The SHA-256 of the whole canonical text is joined to the digests of
 known licence texts; each canonical line of the text is looked up the same way
 among known one-line notices.
 
 Defined cases: a null text is an empty one, whose digest matches nothing; every
 row gives one row, repeated ids included; known texts that become equal are one
-licence, the smallest id; other columns are ignored.
+licence, the smallest id; very long texts are canonicalised whole; columns other
+than id and text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

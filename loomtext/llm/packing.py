@@ -13,8 +13,9 @@ restart from 0. Segments tell their document, their first token's place in it,
 and so allow an exact return to the documents.
 
 Defined cases: a null or empty text has no tokens and no segment; repeated
-documents are packed each; a null id is carried as null; an empty table packs no
-row.
+documents are packed each; a null id is carried as null; very long texts are
+encoded in pieces that give the same ids; columns other than id and text are
+ignored, whatever their names; an empty table packs no row.
 """
 
 from __future__ import annotations

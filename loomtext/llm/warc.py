@@ -18,7 +18,9 @@ Defined cases: a null html is an empty payload; a null url or id leaves its
 header out and reads back as null; line breaks in a url are percent-encoded;
 equal payloads under ``REVISIT_BYTES`` are all responses; rows that share the
 largest id of a group are all responses; a group without any id has no
-revisits; an empty table writes an archive without records.
+revisits; repeated rows each have their record; very long payloads are written
+whole; columns other than the named ones are ignored, whatever their names; an
+empty table writes an archive without records.
 """
 
 from __future__ import annotations
