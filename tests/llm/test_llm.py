@@ -174,6 +174,45 @@ def test_quality_on_held_out(spark):
     assert all(abs(flipped[r.doc_id] - r.score) < 1e-9 for r in out.collect())
 
 
+def test_quality_scores_equal_the_densities(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: np.array(quality.statistics_of(t)) for i, t in texts.items()}
+    import zlib
+
+    learn = [i for i in known if i in x and zlib.crc32(str(i).encode()) % 3 != 1]
+    every = np.array([x[i] for i in learn])
+    mean, scale = every.mean(0), np.sqrt(np.maximum(every.var(0), 1e-6))
+    of = {k: np.array([(x[i] - mean) / scale for i in learn if known[i] == k]) for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in of.items()}
+    n = {k: len(v) for k, v in of.items()}
+    pooled = (cov[0] * n[0] + cov[1] * n[1]) / (n[0] + n[1])
+    log = {}
+    for k in (0, 1):
+        c = 0.9 * cov[k] + 0.1 * pooled
+        c = 0.98 * c + 0.02 * np.trace(c) / len(mean) * np.eye(len(mean))
+        sign, det = np.linalg.slogdet(c)
+        for i, v in x.items():
+            z = np.clip((v - mean) / scale, -8, 8) - of[k].mean(0)
+            log[i, k] = np.log(n[k]) - 0.5 * (z @ np.linalg.solve(c, z) + det)
+    got = quality.score_documents(docs, labels).collect()
+    assert len(got) == len(x)
+    for r in got:
+        odds = np.clip((log[r.doc_id, 1] - log[r.doc_id, 0]) / len(mean), -30, 30)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-6, abs=1e-9) and r.predicted == int(r.score >= 0.5)
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in got if r.predicted}
+
+
+def test_quality_learns_from_a_bounded_number_of_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    every, few = (quality.keep_good(docs, labels, fit_ids=n).count() for n in (50_000, 150))
+    assert abs(every - few) < 0.05 * every
+
+
 def test_quality_odd_inputs(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (4, None), (5, 7)], "doc_id bigint, quality int")
     docs = documents(spark, ODD)
@@ -281,6 +320,41 @@ def test_nearest_recall_and_ties(spark):
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_probes_come_in_the_order_of_estimated_success():
+    import itertools
+
+    from loomtext.llm.ann import Hashing
+
+    hashing = Hashing.draw(6, 1000, 1.0)
+    q = np.random.default_rng(2).normal(size=(5, 6))
+    place = hashing.places(hashing.asked(q), 1)
+    code, low = np.floor(place), place - np.floor(place)
+    for n in (1, 7, 40, 243):
+        got = hashing.probes(q, 1, n)
+        for i in range(5):
+            cost = lambda s: sum({0: 0, -1: low[i, j] ** 2, 1: (1 - low[i, j]) ** 2}[x] for j, x in enumerate(s))  # noqa: B023,E731
+            want = sorted(itertools.product((0, -1, 1), repeat=place.shape[1]), key=cost)[:n]
+            assert got[i].tolist() == hashing.keys(code[i] + np.array(want), 1).tolist()
+
+
+def test_nearest_exactly_where_visits_are_too_many(spark, monkeypatch):
+    from loomtext.llm import ann
+
+    monkeypatch.setattr(ann, "MOST_VISITS", 1)
+    monkeypatch.setattr(ann, "GROUP_BYTES", 8 * 16 * 50)
+    v = np.random.default_rng(6).normal(size=(400, 16))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(400)] + [(1000, [1.0] * 3), (1001, [2.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 400, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert [i for _, i, _ in sorted(got[q])] == np.lexsort((np.arange(400), -s))[:20].tolist()
+    assert [tuple(r) for r in ann.left_out(df).collect()] == [(3, 2)]
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -443,9 +517,9 @@ def test_one_large_cluster_stays_in_proportion(spark):
 
     rows = spark.range(20_000).select(F.lit(1).alias("key"), F.lit(20_000).alias("size"), F.col("id").alias("node"))
     assert minhash.in_chunks(rows).count() < 1.1 * 20_000
-    links = rows.where("node < 19990").select(F.col("node").alias("a"), F.lit(0).alias("b"))
-    assert minhash.still_apart(rows, links, 20_000).count() < 1.1 * 20_000
-    assert minhash.still_apart(rows, rows.select(F.col("node").alias("a"), F.lit(0).alias("b")), 20_000).count() == 0
+    joined = rows.select("node", F.lit(0).cast("bigint").alias("component"))
+    assert minhash.still_apart(rows, joined.where("node < 19990")).count() < 1.2 * 20_000
+    assert minhash.still_apart(rows, joined).count() == 0
 
 
 def test_registers_estimate_similarity():
@@ -486,6 +560,24 @@ def test_packing_round_trip(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_packed_shards_and_odd_rows(spark, tmp_path):
+    docs = documents(spark, [*ODD, (7, "end of text " * 900)]).withColumns({"input_ids": F.lit(1), "n_tokens": F.lit(2), "doc_ids": F.lit(3)})
+    packed = packing.pack(docs, length=128)
+    packing.write_packed(packed, str(tmp_path / "shards"))
+    rows = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert rows and sorted(repr(r) for r in rows) == sorted(repr(r) for r in packed.collect())
+    parts: dict = {}
+    for r in rows:
+        for doc, at, ids in packing.segments(r):
+            parts.setdefault(doc, []).append((at, ids.tolist()))
+    assert set(parts) == {None, 2, 3, 4, 5, 6, 7} - {2}  # null and empty texts have no tokens
+    assert packing.decode(np.concatenate([x for _, x in sorted(parts[7])])) == "end of text " * 900
+    same = sorted(x for _, x in parts[5])
+    assert len(same) == 2 and same[0] == same[1] and packing.decode(np.array(parts[None][0][1])) == "a null id"
+    matrix = np.concatenate([np.frombuffer(r.input_ids, f"<u{r.id_bytes}") for r in rows]).reshape(-1, 128)
+    assert matrix.shape == (len(rows), 128) and packing.pack(docs.limit(0)).count() == 0
+
+
 def test_best_fit_equals_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(30):
@@ -523,6 +615,16 @@ def test_raking_meets_marginals(spark):
     assert sum(r.probability * r.tokens for r in p) == pytest.approx(100, rel=1e-6) and max(r.probability for r in p) <= 1
 
 
+def test_raking_many_cells_equals_raking_few(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cells = mixing.materialise(mixing.with_cells(docs).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("n_tokens").alias("tokens")), "cells")
+    weights = lambda: {(r.mix_source, r.mix_lang, r.mix_topic): r.weight for r in mixing.rake(cells, rounds=3).collect()}
+    few = weights()
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    many = weights()
+    assert few.keys() == many.keys() and all(many[k] == pytest.approx(v) for k, v in few.items())
+
+
 def test_mixing_of_the_tables_meets_its_marginals(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     cells = mixing.with_cells(docs).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("n_tokens").alias("tokens"))
@@ -644,6 +746,29 @@ def test_language_odd_rows(spark):
 # ---------------------------------------------------------------- pipeline and SQL
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    good = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    docs = good.unionByName(documents(spark, ODD, False)).unionByName(good.limit(3))
+    docs = docs.withColumns({c: F.lit(c) for c in ("row", "label", "stats", "digest", "node", "key", "own", "th", "kept", "n", "least", "probability", "sampled", "tokens", "n_words", "rank")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert all(r.key == "key" and r.n == "n" for r in out.collect())
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert {None} | {r.doc_id for r in good.select("doc_id").collect()} <= {i for r in corpus_pipeline.tokens(spark, docs, SF).collect() for i in r.doc_ids}
+
+
+def test_contaminated_rows_go_one_by_one(spark):
+    bench = spark.createDataFrame([(1, "k l m n"), (2, "u v w x")], "item_id int, text string")
+    rows = [(1, "k l m n"), (1, "clean one"), (None, "a k l m n"), (None, "clean"), (2, "k l m n" + " z" * 76), (3, "k l m n" + " z" * 77), (4, None), (5, "")]
+    want = sorted([(1, "clean one"), (0, "clean"), (3, "k l m n" + " z" * 77), (4, ""), (5, "")])
+    for size in (dc.AUTOMATON_BYTES, 8):
+        got = dc.drop_contaminated(documents(spark, rows), bench, automaton_bytes=size)
+        assert got.columns == documents(spark, rows).columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == want
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
