@@ -75,11 +75,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, *, round
     w = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         w = _with_target(w, d, (targets or {}).get(d), flatten)
+    few = cells.count() <= CELLS
     for r in range(rounds):
         for d in DIMENSIONS:
-            own = F.sum("weight").over(Window.partitionBy(f"mix_{d}"))
-            w = w.withColumn("weight", F.when(own > 0, F.col("weight") * F.try_divide(f"target_{d}", own)).otherwise(0.0))
-        if r % CUT == CUT - 1 and r < rounds - 1:
+            if few:
+                w = w.withColumn("own", F.sum("weight").over(Window.partitionBy(f"mix_{d}")))
+            else:  # one value may have a large share of the cells: only its sum meets in one place
+                w = w.join(w.groupBy(f"mix_{d}").agg(F.sum("weight").alias("own")), f"mix_{d}")
+            w = w.withColumn("weight", F.when(F.col("own") > 0, F.col("weight") * F.try_divide(f"target_{d}", "own")).otherwise(0.0)).drop("own")
+            if not few:
+                w = materialise(w, "raked")
+        if few and r % CUT == CUT - 1 and r < rounds - 1:
             w = _few(materialise(w, "raked"))
     return w
 
