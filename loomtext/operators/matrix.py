@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.labels import IGNORE
 from loomtext.operators.summary import glob_to_regex
 
 
@@ -83,6 +87,34 @@ def prepared(examples: DataFrame, ids: DataFrame, *, max_length: int = 510, fail
     return out.select("example_id", "input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), "labels")
 
 
+def prepared_subwords(
+    examples: DataFrame, ids: dict[str, int], load: Callable[[], Callable[[list[str]], tuple[list[int], list[int | None]]]], *, max_length: int = 510, fail_on_truncation: bool = False
+) -> DataFrame:
+    """(example_id, input_ids, attention_mask, labels, n_full, truncated) by a subword tokenizer.
+
+    ``load`` gives on each executor a function of words that returns token ids
+    and the word of each (None for specials), without truncation, so an example
+    is known to be cut. The first token of a word carries its label, others -100.
+    """
+    kind = examples.schema["example_id"].dataType.simpleString()
+
+    def run(batches):
+        encode = load()
+        for pdf in batches:
+            rows = []
+            for example, tokens, labels in zip(pdf["example_id"], pdf["tokens"], pdf["labels"], strict=True):
+                input_ids, words = encode(list(tokens))
+                cut = len(input_ids) > max_length
+                if cut and fail_on_truncation:
+                    raise ValueError(f"example {example} is longer than max_length")
+                own = [IGNORE if w is None or (i and w == words[i - 1]) else ids[labels[w]] for i, w in enumerate(words[:max_length])]
+                rows.append((example, input_ids[:max_length], [1] * len(own), own, len(input_ids), cut))
+            yield pd.DataFrame(rows, columns=["example_id", "input_ids", "attention_mask", "labels", "n_full", "truncated"])
+
+    schema = f"example_id {kind}, input_ids array<int>, attention_mask array<int>, labels array<int>, n_full int, truncated boolean"
+    return examples.select("example_id", "tokens", "labels").mapInPandas(run, schema)
+
+
 def padded(rows: DataFrame, column: str, pad: int, batch: str | None = None) -> DataFrame:
     """``rows`` with the arrays of each batch filled up to its longest one."""
     filled = lambda most: F.concat(column, F.array_repeat(F.lit(pad), (most - F.size(column)).cast("int")))

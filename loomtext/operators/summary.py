@@ -114,9 +114,12 @@ def qa_report(examples: DataFrame, rules: DataFrame, default: dict | None = None
     """(path, rule, n_examples, n_tokens, errors, ok) of every example set under the first rule that matches its path.
 
     ``examples``: path, tokens, labels, category, types_raw; ``rules`` as in
-    ``RULES``, a few rows; ``default`` holds the requirements of sets without a rule.
+    ``RULES``, a few rows, requirements may be left out; ``default`` holds those of
+    sets without a rule.
     """
     none, default = F.array().cast("array<string>"), default or {}
+    asks = {"require_categories": none, "require_raw_types": none, "max_tokens": F.lit(None).cast("int")}
+    rules = rules.withColumns({c: v for c, v in asks.items() if c not in rules.columns})
     n, m = F.size("tokens"), F.size("labels")
     cats = F.collect_set(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("unknown")))
     per = examples.groupBy(key).agg(

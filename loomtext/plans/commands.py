@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.labels import inline_labels, spaced
 from loomtext.operators import claims, reports, sampling, summary
+from loomtext.plans import runner
 from loomtext.sources import jsonl, results, runs
 
 
@@ -35,11 +36,10 @@ def stats(spark: SparkSession, path: str) -> DataFrame:
     return summary.label_counts(summary.long_labels(jsonl.with_metadata(spark, path)))
 
 
-def qa(spark: SparkSession, root: str, rules: DataFrame, default: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """The QA report of all sets under a root, each under its first matching rule, and its totals."""
+def qa(spark: SparkSession, root: str, rules: DataFrame, default: dict | None = None) -> DataFrame:
+    """The QA report of all sets under a root, each under its first matching rule; its totals are :func:`loomtext.operators.summary.qa_totals`."""
     sets = jsonl.with_metadata(spark, root).withColumn("path", F.concat(F.regexp_replace("stem", f"^.*?{_quoted(root)}/*", ""), F.lit(".set")))
-    found = summary.qa_report(sets, rules, default)
-    return found, summary.qa_totals(found)
+    return summary.qa_report(sets, rules, default)
 
 
 def _quoted(root: str) -> str:
@@ -91,3 +91,19 @@ def verify_root(spark: SparkSession, root: str, *, tasks: tuple[str, ...] = (),
 def claims_summary(violations: DataFrame) -> DataFrame:
     """(profile, task, check, n) with totals of each task, of each profile and of all."""
     return violations.rollup("profile", "task", "check").agg(F.count("*").alias("n"))
+
+
+COUNTS = ("category_counts", "label_counts", "label_type_example_counts", "label_type_token_counts", "types_raw_counts")
+
+
+def manifest_compare(spark: SparkSession, path: str, a: str = "none", b: str = "all", *, train_set: str | None = None) -> DataFrame:
+    """(field, value, before, after, delta) of two train variants of a manifest; ``delta`` is the first minus the second."""
+    manifest = jsonl.read_document(spark, path)
+
+    def rows(variant: str) -> DataFrame:
+        stats = runner.variant_stats(manifest, variant, train_set)
+        flat = [(f, "", int(stats.get(f) or 0)) for f in ("n_examples", "n_tokens_total")]
+        flat += [(f, str(k), int(n)) for f in COUNTS for k, n in (stats.get(f) or {}).items()]
+        return spark.createDataFrame(flat, "field string, value string, n bigint")
+
+    return summary.delta(rows(b), rows(a), "field", "value")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
 import re
 import shutil
 from collections.abc import Callable
 from datetime import datetime, timezone
+from importlib import metadata
 from pathlib import Path
 
 METRICS = ("precision", "recall", "f1", "loss")
@@ -120,3 +122,54 @@ def with_epochs(config: dict, epochs: dict[str, int]) -> dict:
         if m.get("name") in epochs:
             m.setdefault("hparams", {})["epochs"] = int(epochs[m["name"]])
     return out
+
+
+def provenance(config: dict, packages: tuple[str, ...] = ("pyspark", "pandas", "pyarrow", "numpy")) -> dict:
+    """What a run was made with: interpreter, package versions, digest of the configuration."""
+    found = {}
+    for name in packages:
+        try:
+            found[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            found[name] = None
+    return {"python": platform.python_version(), "platform": platform.system(), "packages": found, "config_sha256": digest(config)}
+
+
+def source_root(preferred: str, profiles: dict[str, str], job: dict, complete: Callable[[str, dict], bool]) -> str:
+    """The root that has a job's files: the preferred one, that of the job's profile, else the only other profile's.
+
+    ``profiles``: root of each profile id; ``complete`` tells whether a root has
+    all files of the job (see :func:`loomtext.operators.claims.missing_artifacts`).
+    None is an error, and so are several.
+    """
+    own = profiles.get(str(job.get("profile_id") or ""))
+    for root in (preferred, own):
+        if root is not None and complete(root, job):
+            return root
+    others = [r for _, r in sorted(profiles.items()) if r not in (preferred, own) and complete(r, job)]
+    if len(others) > 1:
+        raise ValueError("several profiles have the files of the job: " + ", ".join(others))
+    if not others:
+        raise FileNotFoundError(f"no root has the files of task {job.get('task')}, set {job.get('set')}, variant {job.get('train_variant')}")
+    return others[0]
+
+
+def variant_stats(manifest: dict, variant: str, train_set: str | None = None) -> dict:
+    """Statistics of a train variant in a manifest, of one lineage or of an experiment over several; an ambiguous one is an error."""
+    train = (manifest.get("dataset_stats") or {}).get("train")
+    if not isinstance(train, dict):
+        raise ValueError("the manifest has no train statistics")
+
+    def of(entry) -> dict | None:
+        entry = entry if isinstance(entry, dict) else {}
+        found = (entry.get("variants") or {}).get(variant, entry.get(variant))
+        return found if isinstance(found, dict) else None
+
+    own = of(train)
+    if own is None:
+        asked = [train_set] if train_set else sorted(train)
+        several = [x for x in (of(train.get(k)) for k in asked) if x is not None]
+        if len(several) != 1:
+            raise ValueError(f"variant {variant} stands in {len(several)} train sets")
+        own = several[0]
+    return own
