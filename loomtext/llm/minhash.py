@@ -57,6 +57,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 6
+#: Hashes that the rounds of one step make for each bucket; results don't depend on it.
+FILL = 7
 #: Members of one chunk of a large group.
 BLOCK = 128
 PIVOTS = 8
@@ -70,8 +72,8 @@ NO_ID = (1 << 63) - 1
 # ---------------------------------------------------------------- registers
 
 
-def _encode(fraction: np.ndarray, mark: np.ndarray | int) -> np.ndarray:
-    """Register of a 32-bit fraction: leading zeros (marked in later rounds), then mantissa bits."""
+def _encode(fraction: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Registers of 32-bit fractions: leading zeros (marked in later rounds), then mantissa bits."""
     length = np.frexp(fraction.astype(np.float64))[1].astype(np.int64)  # bit length; 0 for 0
     zeros = 32 - length
     shift = length - 1 - MANTISSA
@@ -81,32 +83,31 @@ def _encode(fraction: np.ndarray, mark: np.ndarray | int) -> np.ndarray:
     return ((exponent << MANTISSA) | mantissa).astype(np.uint16)
 
 
-def registers_of(hashes: np.ndarray) -> np.ndarray:
-    """Registers of a non-empty sorted set of 64-bit hashes."""
-    out = np.zeros(REGISTERS, np.uint16)
-    filled = np.zeros(REGISTERS, bool)
-    m = np.uint64(REGISTERS)
+def minima_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fraction, round) of each bucket's smallest hash, of a non-empty sorted set of 64-bit hashes; round 0 uses the hashes themselves."""
+    fraction, mark = np.zeros(REGISTERS, np.uint64), np.full(REGISTERS, -1)
+    m, low = np.uint64(REGISTERS), np.uint64(0xFFFFFFFF)
     product = (hashes >> np.uint64(32)) * m
     bucket = (product >> np.uint64(32)).astype(np.int64)  # rising, as the hashes are
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    out[bucket[first]] = _encode(product[first] & np.uint64(0xFFFFFFFF), 0)
-    filled[bucket[first]] = True
-    done = 1
-    while not filled.all():
-        rounds = max(1, 2 * REGISTERS // len(hashes))
+    fraction[bucket[first]], mark[bucket[first]] = product[first] & low, 0
+    done, rounds = 1, max(1, FILL * REGISTERS // len(hashes))
+    while (mark < 0).any():
         number = np.arange(done, done + rounds, dtype=np.uint64)
         h = mix(hashes[None, :] ^ mix(number * np.uint64(0xD6E8FEB86659FD93))[:, None])
         product = (h >> np.uint64(32)) * m
-        key = ((product >> np.uint64(32)) << np.uint64(57)) | ((number - np.uint64(done))[:, None] << np.uint64(32)) | (product & np.uint64(0xFFFFFFFF))
-        key = np.sort(key.ravel())
+        key = np.sort(((product >> np.uint64(32) << np.uint64(57)) | ((number - np.uint64(done))[:, None] << np.uint64(32)) | (product & low)).ravel())
         bucket = (key >> np.uint64(57)).astype(np.int64)
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        first = first[~filled[bucket[first]]]
-        mark = ((key[first] >> np.uint64(32)) & np.uint64(0x1FFFFFF)).astype(np.int64) + done
-        out[bucket[first]] = _encode(key[first] & np.uint64(0xFFFFFFFF), mark)
-        filled[bucket[first]] = True
+        first = first[mark[bucket[first]] < 0]
+        fraction[bucket[first]], mark[bucket[first]] = key[first] & low, ((key[first] >> np.uint64(32)) & np.uint64(0x1FFFFFF)).astype(np.int64) + done
         done += rounds
-    return out
+    return fraction, mark
+
+
+def registers_of(hashes: np.ndarray) -> np.ndarray:
+    """Registers of a non-empty sorted set of 64-bit hashes."""
+    return _encode(*minima_of(hashes))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -153,12 +154,15 @@ def signatures(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = utf8_column(batch.column(2))
-            n, digests, registers = [], [], []
+            n, digests, minima = [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(data, offsets, SHINGLE, slices):
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    registers.append(registers_of(s).tobytes() if len(s) else None)
+                    if len(s):
+                        minima.append(minima_of(s))
+            encoded = iter(_encode(*map(np.array, zip(*minima, strict=True)))) if minima else iter(())
+            registers = [next(encoded).tobytes() if k else None for k in n]
             columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["own", "th", "n_shingles", "digest", "registers"])
 
