@@ -186,11 +186,11 @@ SELECT example_id, variant, text, drop_reason, CASE WHEN reason = 'no_non_negati
   CASE WHEN drop_reason IS NULL THEN {_N.format("text")} END AS token_count, {here.format("phrases")} AS original, {here.format("dsts")} AS scrambled FROM vo"""
 
 
-def _bundle(spark, sf_dir, maxlen: int = wn.MAX_LEN, fit: int = wn.MAX_FINAL_LEN, final: int = wn.MAX_FINAL_LEN, **options):
+def _bundle(spark, sf_dir, maxlen: int = wn.MAX_LEN, fit: int = wn.MAX_FINAL_LEN, max_final: int = wn.MAX_FINAL_LEN, **options):
     index = materialise(example_frame(spark, sf_dir, maxlen, fit), "examples")
     lex = fx.lexicon(spark, sf_dir)
     known = lx.known_mentions(index, lex, id_col="example_id")
-    return va.materialise_variants(index, known, lx.full_pool(lex), seed=SEED, negative=F.array(F.lit("SPEC")), max_final=final, **options)
+    return va.materialise_variants(index, known, lx.full_pool(lex), seed=SEED, negative=F.array(F.lit("SPEC")), max_final=max_final, **options)
 
 
 def _shown(b):
