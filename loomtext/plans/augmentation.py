@@ -49,7 +49,7 @@ r AS (SELECT f.doc_id, f.name, f.j, pool.name AS new FROM f, np JOIN pool ON tru
 @query(f"WITH {_SWITCH} SELECT doc_id, name, new AS replacement FROM r")
 def sampled_names(spark, sf_dir):
     """A replacement for each distinct name of a document."""
-    lex = fx.lexicon(spark, sf_dir)
+    lex = materialise(fx.lexicon(spark, sf_dir), "lexicon")
     known = lx.known_mentions(fx.table(spark, sf_dir, "documents"), lex)
     return sa.sampled_names(known, lx.full_pool(lex), SEED)
 
@@ -62,7 +62,7 @@ SELECT d.doc_id, CASE WHEN k.pat IS NULL THEN d.text ELSE array_to_string(list_t
   lambda q, i: CASE WHEN i % 2 = 0 THEN list_filter(k.kv, lambda e: e.k = q)[1].v ELSE q END), '') END AS switched FROM documents d LEFT JOIN k USING (doc_id)""")
 def switch_species(spark, sf_dir):
     """Species names of all documents replaced in one pass."""
-    lex = fx.lexicon(spark, sf_dir)
+    lex = materialise(fx.lexicon(spark, sf_dir), "lexicon")
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
     return va.switch_species(docs, lx.known_mentions(docs, lex), lx.full_pool(lex), SEED, id_col="doc_id").select("doc_id", "switched")
 
