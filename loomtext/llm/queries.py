@@ -166,6 +166,98 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), share=85)
 
 
+def op11_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.balltree import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    from loomtext.llm.balltree import CENTROIDS, DIM, ROUNDS, SCALE
+
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT r, arg_min(j, (v.q - 2 * list_inner_product(v.x, c.x) + c.q, j)) AS j, min(v.q - 2 * list_inner_product(v.x, c.x) + c.q) AS d FROM v, c{r} c GROUP BY r)"
+        )
+        if r < ROUNDS:
+            steps.append(
+                f"m{r} AS MATERIALIZED (SELECT j, list(m ORDER BY i) AS x FROM (SELECT j, i, floor(sum(x[i]) / count(*)) AS m FROM a{r} JOIN v USING (r), range(1, {DIM + 1}) t(i) GROUP BY j, i) y GROUP BY j),"
+                f"c{r + 1} AS MATERIALIZED (SELECT j, z.x, list_inner_product(z.x, z.x) AS q FROM (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (j)) z)"
+            )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, x, list_inner_product(x, x) AS q
+  FROM (
+    SELECT vec_id, list_transform(embedding, lambda e: floor({SCALE} * e::DOUBLE)) AS x FROM embeddings
+    WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+  ) e
+),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x, q FROM (SELECT sha256('2:' || vec_id) AS h, x, q FROM v ORDER BY h LIMIT {CENTROIDS}) f),
+{", ".join(steps)}
+SELECT vec_id, j::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda e: e::BIGINT), ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN v USING (r) JOIN c{ROUNDS} c USING (j)
+"""
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.lines import LineIndex
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = LineIndex(spark, shared_dir(spark, "lines"), docs.schema["doc_id"].dataType.simpleString()).insert(docs)
+    out = index.dedupe(docs)
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS MATERIALIZED (
+  SELECT r, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d) x
+),
+s AS (SELECT k, min(doc_id) AS owner FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (owner <> doc_id)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN s USING (k) GROUP BY r
+"""
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomtext.llm.codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    from loomtext.llm.codes import ENTRIES, PARTS, ROUNDS, SCALE
+
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT r, p, arg_min(j, (v.q - 2 * list_inner_product(v.x, c.x) + c.q, j)) AS j, min(v.q - 2 * list_inner_product(v.x, c.x) + c.q) AS d FROM v JOIN c{r} c USING (p) GROUP BY r, p)"
+        )
+        if r < ROUNDS:
+            steps.append(
+                f"m{r} AS MATERIALIZED (SELECT p, j, list(m ORDER BY i) AS x FROM (SELECT p, j, i, floor(sum(x[i]) / count(*)) AS m FROM a{r} JOIN v USING (r, p), range(1, (SELECT max(len(x)) FROM v) + 1) t(i) GROUP BY p, j, i) y GROUP BY p, j),"
+                f"c{r + 1} AS MATERIALIZED (SELECT p, j, z.x, list_inner_product(z.x, z.x) AS q FROM (SELECT c.p, c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (p, j)) z)"
+            )
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda e: floor({SCALE} * e::DOUBLE)) AS y FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+),
+v AS MATERIALIZED (SELECT r, p, x, list_inner_product(x, x) AS q FROM (SELECT r, p, list_slice(y, p * len(y) // {PARTS} + 1, (p + 1) * len(y) // {PARTS}) AS x FROM e, range({PARTS}) t(p)) z),
+f AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM e ORDER BY vec_id LIMIT {ENTRIES}),
+c0 AS MATERIALIZED (SELECT p, j, x, q FROM f JOIN v USING (r)),
+{", ".join(steps)},
+g AS (SELECT r, string_agg(lower(printf('%02x', j)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda e: e::BIGINT), ','), ',' ORDER BY p, j)) FROM c{ROUNDS}) AS codebooks_sha256
+FROM g JOIN e USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_packing": op2_packing,
@@ -177,9 +269,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
+    "op11_balltree": op11_balltree,
+    "op12_lines": op12_lines,
+    "op13_codes": op13_codes,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op8_licenses": _op8_sql(),
     "op10_mixing": _op10_sql(),
+    "op11_balltree": _op11_sql(),
+    "op12_lines": OP12_SQL,
+    "op13_codes": _op13_sql(),
 }
