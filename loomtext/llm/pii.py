@@ -5,8 +5,9 @@ most 255), ``card`` (13 to 19 digits, Luhn), ``phone`` (9 to 15 digits).
 Matches that fail their validator are dropped and not retried. Further kinds:
 ``iban`` (ISO 13616: the length of its country, mod-97; for a country without a
 listed length the longest run of whole tokens that holds), ``local_phone``
-(national numbers) and ``secret`` (keys and tokens: long runs of letters and
-digits of high entropy, and private key blocks). National numbers and unmarked
+(national numbers) and ``secret`` (keys and tokens of any length: runs of letters
+and digits of high entropy, with the segments that dots join to them, and private
+key blocks up to their last line). National numbers and unmarked
 secrets are reported only when nearby context words lift their score to the
 threshold.
 
@@ -57,11 +58,16 @@ _IBAN_LENGTH = {
 }
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?<![0-9]\x20)\(?0?[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-][0-9]{3,4}(?![\x20-]?[0-9]|-)")
 
-#: Long runs that could be keys; an equals sign pads them at the end only.
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{20,512}+={0,2}(?![A-Za-z0-9_+/-])")
+#: Tokens with a known head whose segments are joined by dots, and long runs that could be keys, with the segments that follow them; an equals sign pads them at the end only.
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9_+/.-])(?:((?:eyJ[A-Za-z0-9_-]*+|SG|ya29)(?:\.{1,2}[A-Za-z0-9_+/-]++)++)|([A-Za-z0-9_+/-]{20,}+)(?:\.[A-Za-z0-9_+/-]++)*+)={0,2}(?![A-Za-z0-9_+/-])"
+)
 #: Heads of well-known keys and tokens, fixed values.
-_MARKED = re.compile(r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|glpat-|npm_|eyJ")
-_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----)?")
+_MARKED = re.compile(r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|glpat-|npm_|eyJ|SG\.|ya29\.")
+#: A block's header lines and base 64, line ends as such or escaped, up to its last line.
+_KEY_BLOCK = re.compile(
+    r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----(?:\s*+(?:Proc-Type|DEK-Info|Comment|Version):[^\n]*+)*+[A-Za-z0-9+/=\s\\]*+(?:-----END (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----)?"
+)
 #: Least bits a character of a secret.
 ENTROPY = 2.8
 
@@ -155,8 +161,8 @@ def _secrets(text: str):
     found = [(m.start(), m.end(), True) for m in _KEY_BLOCK.finditer(text)] if "PRIVATE KEY-----" in text else []
     free = _Free((s, e) for s, e, _ in found)
     for m in _SECRET.finditer(text):
-        s = m[0]
-        if not free(m.start(), m.end()) or not (any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s)) or entropy(s) < ENTROPY:
+        s = m[1] or m[2]
+        if len(s) < 20 or not free(m.start(), m.end()) or not (any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s)) or entropy(s) < ENTROPY:
             continue
         found.append((m.start(), m.end(), bool(_MARKED.match(s))))
     return sorted(found)
