@@ -1,9 +1,10 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is canonical once it is lower-cased, freed of copyright lines, of title
-lines at its head and of the appendix that tells how to apply it, has punctuation
-turned to spaces, equivalent spellings made one, and white space collapsed. The SHA-256 of the whole canonical text is joined to the digests of
-known licence texts; each canonical line of the text is looked up the same way
+A text is canonical once it is lower-cased, freed of copyright lines and of title
+lines at its head, has punctuation turned to spaces, equivalent spellings made
+one, and white space collapsed. The SHA-256 of the whole canonical text is joined
+to the digests of known licence texts, which are listed with and without the
+appendix that tells how to apply them; each canonical line of the text is looked up the same way
 among known one-line notices.
 
 Defined cases: a null text is an empty one, whose digest matches nothing; every
@@ -21,28 +22,27 @@ from pyspark.sql import functions as F
 
 #: Title lines of licences and addresses of their heads, in lower case.
 _TITLES = "|".join((
-    r"(?:the )?mit license(?: \(mit\))?", r"(?:the )?isc license(?: \(isc\))?", r"(?:the )?zlib license", r"(?:bsd )?zero[ -]clause (?:bsd|license)(?: license)?(?: \(0bsd\))?",
+    r"(?:the )?mit license(?: \(mit\))?", r"(?:the )?isc license(?: \(isc\))?", r"(?:the )?zlib license", r"boost software license - version 1\.0 - august 17th, 2003", r"mit no attribution", r"(?:the )?unlicense", r"(?:bsd )?zero[ -]clause (?:bsd|license)(?: license)?(?: \(0bsd\))?",
     r"(?:the )?bsd [23][ -]clause(?: \"simplified\"| \"new\" or \"revised\")? license", r"apache license(?:,? version 2\.0)?(?:, january 2004)?", r"version 2\.0, january 2004",
     r"https?://www\.apache\.org/licenses/?", r"gnu general public license(?:,? version [23])?", r"version 3, 29 june 2007", r"version 2, june 1991", r"mozilla public license,? version 2\.0",
     r"(?:51 franklin st|59 temple place)[^\n]*",
 ))
 #: The head of a text as far as it's titles and copyright lines; only there a plain ``copyright <name>`` is one, as wrapped lines of a licence begin so too.
 _HEAD = r"^(?:[ \t\r\n*#/;=-]*(?:(?:" + _TITLES + r")[ \t\r*/.:=-]*|(?:copyright|\(c\)|©|all rights reserved)[^\n]*)(?:\n|$)){1,20}"
-#: The line after the terms, and the appendices of the Apache licence and the GPLs.
-_APPENDIX = (
-    r"\n[ \t]*end of terms and conditions[ \t]*|\n[ \t]*appendix: how to apply the apache license to your work[^\x00]*?limitations[ \t\n]+under[ \t\n]+the[ \t\n]+license\."
-    r"|\n[ \t]*(?:appendix: )?how to apply these terms to your new programs[^\x00]*?instead[ \t\n]+of[ \t\n]+this[ \t\n]+license\.(?:[ \t\n]*but first, please read[ \t\n]*<[^>\n]*>\.?)?"
-)
-#: A line that states a copyright, after comment marks, or what else isn't part of the terms.
-COPYRIGHT = _HEAD + "|" + _APPENDIX + r"|(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: Titles at the head, and lines that state a copyright, after comment marks.
+COPYRIGHT = _HEAD + r"|(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 #: ASCII that is no letter, digit or line end.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Equivalent spellings, applied in this order to canonical words; fixed values.
 SPELLINGS = (
     ("licenc", "licens"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"),
     ("https ", "http "), ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"),
-    ("merchantibility", "merchantability"), ("per cent", "percent"), ("v 2 0", "version 2 0"), ("v3", "version 3"), ("v2", "version 2"),
+    ("merchantibility", "merchantability"), ("per cent", "percent"),
 )
+#: Short version numbers, as words of their own.
+VERSION = r"(^|[ \n])v ?([23])($|[ \n])"
+#: The line after the terms and the headings of appendices that tell how to apply a licence.
+_TERMS_END, _APPENDICES = "END OF TERMS AND CONDITIONS", ("APPENDIX: How to apply", "How to Apply These Terms")
 
 #: Known licence texts, fixed values.
 TEXTS = {
@@ -77,6 +77,23 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     **{i: pkgutil.get_data(__package__, f"license_texts/{i}.txt").decode() for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")},
 }
 #: Known one-line notices, fixed values.
@@ -94,16 +111,25 @@ def canonical_lines(text: F.Column) -> F.Column:
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT, "\n"), PUNCTUATION, " ")
     for found, same in SPELLINGS:
         t = F.replace(t, F.lit(found), F.lit(same))
-    return t
+    return F.regexp_replace(t, VERSION, "$1version $2$3")
 
 
 def canonical(lines: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
+def forms(text: str) -> list[str]:
+    """The text as it is and, if it has them, without its appendix and without the line after its terms."""
+    out = [text]
+    for mark in (*_APPENDICES, _TERMS_END):
+        if mark in out[-1]:
+            out.append(out[-1][: out[-1].rindex(mark)])
+    return out
+
+
 def known(spark: SparkSession, texts: dict[str, str], name: str = "license_id") -> DataFrame:
-    """(digest, id) of licence texts."""
-    rows = spark.createDataFrame(list(texts.items()), "id string, text string")
+    """(digest, id) of licence texts in all their forms."""
+    rows = spark.createDataFrame([(i, f) for i, t in texts.items() for f in forms(t)], "id string, text string")
     digest = F.sha2(canonical(canonical_lines(F.col("text"))).cast("binary"), 256)
     return rows.groupBy(digest.alias("digest")).agg(F.min("id").alias(name))
 

@@ -83,7 +83,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    from loomtext.llm.licenses import COPYRIGHT, NOTICES, PUNCTUATION, SPELLINGS, TEXTS
+    from loomtext.llm.licenses import COPYRIGHT, NOTICES, PUNCTUATION, SPELLINGS, TEXTS, VERSION, forms
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -93,12 +93,12 @@ def _op8_sql() -> str:
         out = f"regexp_replace(regexp_replace({out}, {quoted(COPYRIGHT)}, chr(10), 'g'), {quoted(PUNCTUATION)}, ' ', 'g')"
         for found, same in SPELLINGS:
             out = f"replace({out}, {quoted(found)}, {quoted(same)})"
-        return out
+        return f"regexp_replace({out}, {quoted(VERSION)}, '\\1version \\2\\3', 'g')"
 
     def canonical(text: str) -> str:
         return f"trim(regexp_replace({lines(text)}, '[ \\n]+', ' ', 'g'))"
 
-    texts = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in TEXTS.items())
+    texts = ", ".join(f"({quoted(i)}, {quoted(f)})" for i, t in TEXTS.items() for f in forms(t))
     notices = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, each in NOTICES.items() for t in each)
     return f"""
 WITH known AS (SELECT {canonical("t")} AS c, min(i) AS license_id FROM (VALUES {texts}) v(i, t) GROUP BY 1),
