@@ -270,20 +270,3 @@ def test_uncommitted_generations_do_not_count(spark, tmp_path):
     assert again.generations == [1] and deduped(again, spark, rows) == brute_lines(rows, rows)
     again.insert(documents(spark, [(3, "another line of its own")]))
     assert again.refs().count() == 2
-
-
-@pytest.mark.parametrize("name", ["op11_balltree", "op12_lines", "op13_codes"])
-def test_new_queries_equal_sql(spark, name):
-    import duckdb
-
-    from loomtext.llm.queries import ORACLES, QUERIES
-
-    sf = "/root/testdata/sf0.001"
-    got = QUERIES[name](spark, sf)
-    table = "documents" if name == "op12_lines" else "embeddings"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
-    cursor = con.execute(ORACLES[name])
-    names = [d[0] for d in cursor.description]
-    assert sorted(names) == sorted(got.columns)
-    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(cursor.fetchall())
