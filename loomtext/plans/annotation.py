@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtext import fixtures as fx
 from loomtext.functions import labels as lb
 from loomtext.functions import text as tx
+from loomtext.functions.budget import Counter
 from loomtext.operators import lexicon as lx
 from loomtext.operators import spans as sp
 from loomtext.operators import summary as sm
@@ -122,18 +123,24 @@ _MAX = wn.MAX_LEN
 _GROW = f"""{SPANS}, {SENT},
 n AS (SELECT article_id, len(tokens) AS n FROM art), ns AS (SELECT article_id, count(*) AS m FROM sent GROUP BY 1),
 seed AS (SELECT DISTINCT sp.article_id, sp.start, st.k, ns.m, sp.article_id || ':' || sp.start AS key FROM spans sp JOIN sent st ON st.article_id = sp.article_id AND sp.start BETWEEN st.s AND st.e JOIN ns ON ns.article_id = sp.article_id)"""
-def _steps(most: int) -> str:
-    """SQL of windows grown to ``most`` tokens."""
+#: Words, or code points by four if they are more: a budget of two counters that SQL can express.
+COUNTERS = [Counter(), Counter(characters=4)]
+_WINDOW = "greatest({1} - {0} + 1, ceil(length(array_to_string(list_slice(art.tokens, {0} + 1, {1} + 1), ' ')) / 4.0))"
+
+
+def _steps(most: int, counted: bool = False) -> str:
+    """SQL of windows grown to ``most`` tokens, by words or by ``COUNTERS``."""
+    fits, art = (_WINDOW.format("a.s", "b.e"), " JOIN art ON art.article_id = x.article_id") if counted else ("b.e - a.s + 1", "")
     return f"""w AS (
   SELECT article_id, start, key, m, 0 AS step, k AS lo, k AS hi, 0 AS r, k = 0 AS ld, k = m - 1 AS rd FROM seed
   UNION ALL
   SELECT article_id, start, key, m, step + 1, CASE WHEN fits THEN nlo ELSE lo END, CASE WHEN fits THEN nhi ELSE hi END, r + CASE WHEN lft AND fits THEN 1 ELSE 0 END,
     ld OR (lft AND (NOT fits OR nlo = 0)), rd OR (NOT lft AND (NOT fits OR nhi = m - 1))
   FROM (
-    SELECT x.*, b.e - a.s + 1 < {most} AS fits FROM (
+    SELECT x.*, {fits} < {most} AS fits FROM (
       SELECT *, CASE WHEN lft THEN lo - 1 ELSE lo END AS nlo, CASE WHEN lft THEN hi ELSE hi + 1 END AS nhi
       FROM (SELECT *, NOT ld AND (r < 2 OR rd OR substr(md5(concat_ws(':', '0:coin', key, (step + 1)::VARCHAR)), 1, 1) < '8') AS lft FROM w WHERE NOT (ld AND rd)) y
-    ) x JOIN sent a ON a.article_id = x.article_id AND a.k = x.nlo JOIN sent b ON b.article_id = x.article_id AND b.k = x.nhi
+    ) x JOIN sent a ON a.article_id = x.article_id AND a.k = x.nlo JOIN sent b ON b.article_id = x.article_id AND b.k = x.nhi{art}
   ) z
 ),
 done AS (SELECT w.article_id, w.start, a.s, b.e FROM w JOIN sent a ON a.article_id = w.article_id AND a.k = w.lo JOIN sent b ON b.article_id = w.article_id AND b.k = w.hi WHERE ld AND rd)"""
@@ -162,12 +169,21 @@ def window_fit(spark, sf_dir):
     return d.select("id", wn.fitted(F.col("s"), F.col("e"), F.col("focus"), 6).alias("w")).select("id", "w.s", "w.e")
 
 
-def index_sql(most: int = _MAX, final: int = wn.MAX_FINAL_LEN) -> str:
+_CUTS = """(s + CASE WHEN l > r THEN least(x, l - r) ELSE 0 END + (x - least(x, abs(l - r)) + 1) // 2)::INT AS s,
+  (e - CASE WHEN r > l THEN least(x, r - l) ELSE 0 END - (x - least(x, abs(l - r))) // 2)::INT AS e"""
+
+
+def index_sql(most: int = _MAX, final: int = wn.MAX_FINAL_LEN, counted: bool = False) -> str:
     """SQL of the distinct windows with their triggers."""
-    return f"""{_GROW}, {_steps(most)},
-ex AS (SELECT *, start - s AS l, e - start AS r, greatest(e - s + 1 - {final}, 0) AS x FROM done),
-fit AS (SELECT article_id, start, (s + CASE WHEN l > r THEN least(x, l - r) ELSE 0 END + (x - least(x, abs(l - r)) + 1) // 2)::INT AS s,
-  (e - CASE WHEN r > l THEN least(x, r - l) ELSE 0 END - (x - least(x, abs(l - r))) // 2)::INT AS e FROM ex),
+    if counted:
+        cut = f"""fits AS (SELECT article_id, start, x, s, e FROM (SELECT article_id, start, x, {_CUTS} FROM (SELECT *, start - s AS l, e - start AS r, unnest(range(e - s + 1)) AS x FROM done) y) z JOIN art USING (article_id)
+  WHERE {_WINDOW.format("s", "e")} <= {final} OR s = e),
+fit AS (SELECT article_id, start, arg_min(s, x) AS s, arg_min(e, x) AS e FROM fits GROUP BY 1, 2),"""
+    else:
+        cut = f"""ex AS (SELECT *, start - s AS l, e - start AS r, greatest(e - s + 1 - {final}, 0) AS x FROM done),
+fit AS (SELECT article_id, start, {_CUTS} FROM ex),"""
+    return f"""{_GROW}, {_steps(most, counted)},
+{cut}
 trig AS (SELECT sp.article_id, d.s, d.e, sp.start, sp.source_key, sp.length FROM spans sp JOIN fit d ON d.article_id = sp.article_id AND d.start = sp.start),
 win AS (SELECT article_id, s, e, string_agg(start || '/' || source_key || '/' || start || '+' || length, ' ' ORDER BY start, source_key, length) AS triggers FROM (SELECT DISTINCT * FROM trig) t GROUP BY 1, 2, 3)"""
 
@@ -199,19 +215,37 @@ def example_index(spark, sf_dir):
     return x.select("example_id", "text", F.array_join("labels_raw", " ").alias("labels"), F.array_join(trigger, " ").alias("triggers"), F.array_join(entity, " ").alias("entities"), F.array_join("scramble_phrases", " ").alias("phrases"))
 
 
-def example_frame(spark, sf_dir, maxlen: int = wn.MAX_LEN, final: int = wn.MAX_FINAL_LEN):
-    return wn.example_index(fx.labelled(spark, sf_dir), fx.spans(spark, sf_dir), maxlen=maxlen, final=final)
+#: Growth and fit budget in tokens of two counters: windows are cut and variants dropped by either.
+_COUNTED = (120, 110)
+
 
+@query(f"WITH RECURSIVE {index_sql(*_COUNTED, counted=True)} SELECT DISTINCT article_id, start, s, e FROM fit")
+def window_counted(spark, sf_dir):
+    """Windows grown and cut by the larger of two counters."""
+    w = wn.windows(fx.articles(spark, sf_dir), fx.spans(spark, sf_dir), maxlen=_COUNTED[0], final=_COUNTED[1], counters=COUNTERS)
+    return w.select("article_id", F.col("seed_index").alias("start"), "s", "e").distinct()
 
-def examples_sql(most: int, final: int) -> str:
+
+def example_frame(spark, sf_dir, maxlen: int = wn.MAX_LEN, final: int = wn.MAX_FINAL_LEN, **options):
+    return wn.example_index(fx.labelled(spark, sf_dir), fx.spans(spark, sf_dir), maxlen=maxlen, final=final, **options)
+
+
+def examples_sql(most: int, final: int, counted: bool = False) -> str:
     """SQL of the examples: (example_id, text, labels, phrases), the last two as lists."""
-    return f"""{index_sql(most, final).replace(SPANS, LAB)},
+    return f"""{index_sql(most, final, counted).replace(SPANS, LAB)},
 phr AS (SELECT article_id, list(w ORDER BY length(w) DESC, w) AS phrases FROM (SELECT DISTINCT article_id, w FROM tok WHERE regexp_matches(w, '[0-9]')) x GROUP BY 1),
 exl AS (SELECT w.article_id, w.s, w.e, list(l.label ORDER BY l.pos) AS labels FROM win w JOIN lab l ON l.article_id = w.article_id AND l.pos BETWEEN w.s AND w.e GROUP BY 1, 2, 3),
 exs AS (SELECT x.article_id || ':' || x.s || ',' || x.e AS example_id, array_to_string(list_slice(a.tokens, x.s + 1, x.e + 1), ' ') AS text, x.labels, coalesce(phr.phrases, []::VARCHAR[]) AS phrases
   FROM exl x JOIN art a USING (article_id) LEFT JOIN phr ON phr.article_id = x.article_id)"""
 
 
+@query(f"WITH RECURSIVE {examples_sql(*_COUNTED, counted=True)} SELECT example_id, text, array_to_string(labels, ' ') AS labels, array_to_string(phrases, ' ') AS phrases FROM exs")
+def example_index_counted(spark, sf_dir):
+    """Examples under a budget of two counters."""
+    x = example_frame(spark, sf_dir, *_COUNTED, counters=COUNTERS)
+    return x.select("example_id", "text", F.array_join("labels_raw", " ").alias("labels"), F.array_join("scramble_phrases", " ").alias("phrases"))
+
+
 @query(f"""WITH {LEX}, m AS (SELECT doc_id, regexp_extract_all(text, '{SPECIES}') AS x FROM documents), p AS (SELECT doc_id, unnest(x) AS name, generate_subscripts(x, 1) - 1 AS ord FROM m)
 SELECT doc_id, ord, name FROM p WHERE name IN (SELECT name FROM lex)""")
 def mentions_known(spark, sf_dir):

@@ -12,7 +12,7 @@ from loomtext.operators import sampling as sa
 from loomtext.operators import splits as st
 from loomtext.operators import variants as va
 from loomtext.operators import windows as wn
-from loomtext.plans.annotation import example_frame, examples_sql
+from loomtext.plans.annotation import COUNTERS, example_frame, examples_sql
 from loomtext.plans.registry import LEX, SPANS, SPECIES, classify_sql, md5, md5_int, query
 from loomtext.shared import materialise
 from loomtext.sources.attribution import parse_attribution
@@ -147,13 +147,21 @@ def phrases_present(spark, sf_dir):
 _N = "len(list_filter(string_split_regex(coalesce({}, ''), '\\s+'), lambda q: q <> ''))"
 
 
-def _variants_sql(most: int, fit: int, final: int, extra: str = "") -> str:
+#: The larger of the words and the code points by four.
+_COUNT = f"greatest({_N}, ceil(length(coalesce({{}}, '')) / 4.0))::INT"
+
+
+def _counted(text: str, counted: bool) -> str:
+    return _COUNT.format(text, text) if counted else _N.format(text)
+
+
+def _variants_sql(most: int, fit: int, final: int, extra: str = "", counted: bool = False) -> str:
     """SQL of the variants of all examples: one row each with its text and the reason of its drop."""
     types = "list_sort(list_distinct(list_transform(list_filter(labels, lambda l: l <> 'O'), lambda l: split_part(l, '-', 2))))"
     size = "len(labels)"
-    budget = f"CASE WHEN {_N.format('{0}')} > {final} THEN 'scramble_budget_exceeded' END"
+    budget = f"CASE WHEN {_counted('{0}', counted)} > {final} THEN 'scramble_budget_exceeded' END"
     mismatch = f"CASE WHEN {_N.format('{0}')} <> {size} THEN 'token_label_length_mismatch' END"
-    return f"""{examples_sql(most, fit)},
+    return f"""{examples_sql(most, fit, counted)},
 pool AS (SELECT name, row_number() OVER (ORDER BY {md5(SEED, "pool", "name")}, name) - 1 AS k FROM lex), np AS (SELECT count(*) AS n FROM pool),
 xm AS (SELECT example_id, regexp_extract_all(text, '{SPECIES}') AS x FROM exs), xp AS (SELECT example_id, unnest(x) AS name, generate_subscripts(x, 1) AS ord FROM xm),
 xf AS (SELECT example_id, name, row_number() OVER (PARTITION BY example_id ORDER BY min(ord)) - 1 AS j FROM xp WHERE name IN (SELECT name FROM lex) GROUP BY example_id, name),
@@ -168,7 +176,7 @@ pr AS (SELECT example_id, i, w AS src, {_scrambled_sql("w", *_class_sql("xw.exam
 dl AS (SELECT example_id, list(dst ORDER BY length(dst) DESC, dst) AS dsts FROM (SELECT DISTINCT example_id, dst FROM pr) x GROUP BY 1),
 fold AS (SELECT example_id, text AS t, switched AS u, 0 AS i FROM sw UNION ALL SELECT f.example_id, replace(f.t, pr.src, pr.dst), replace(f.u, pr.src, pr.dst), f.i + 1 FROM fold f JOIN pr ON pr.example_id = f.example_id AND pr.i = f.i + 1),
 fin AS (SELECT example_id, arg_max(t, i) AS t, arg_max(u, i) AS u FROM fold GROUP BY 1),
-vt AS (SELECT sw.example_id, sw.text, sw.labels, sw.phrases, coalesce(dl.dsts, []::VARCHAR[]) AS dsts, CASE WHEN {_N.format("switched")} > {final} THEN 'switch_budget_or_error' END AS sr, switched, fin.t, fin.u, {types} AS types
+vt AS (SELECT sw.example_id, sw.text, sw.labels, sw.phrases, coalesce(dl.dsts, []::VARCHAR[]) AS dsts, CASE WHEN {_counted("switched", counted)} > {final} THEN 'switch_budget_or_error' END AS sr, switched, fin.t, fin.u, {types} AS types
   FROM sw JOIN fin USING (example_id) LEFT JOIN dl USING (example_id)),
 vr AS (SELECT *, CASE WHEN sr IS NULL THEN switched END AS t_species, CASE WHEN sr IS NULL THEN t END AS t_strains, CASE WHEN sr IS NULL THEN u END AS t_all FROM vt),
 vb AS (SELECT *, {mismatch.format("text")} AS r_none, coalesce(sr, {mismatch.format("t_species")}) AS r_species, coalesce(sr, {budget.format("t_strains")}, {mismatch.format("t_strains")}) AS r_strains,
@@ -178,16 +186,16 @@ vd AS (SELECT * {extra} FROM vc),
 va AS ({" UNION ALL ".join(f"SELECT example_id, '{v}' AS variant, {t} AS text, r_{v} AS drop_reason, labels, phrases, {d} AS dsts, types FROM vd" for v, t, d in (("none", "text", "[]::VARCHAR[]"), ("species", "t_species", "[]::VARCHAR[]"), ("strains", "t_strains", "dsts"), ("all", "t_all", "dsts")))})"""
 
 
-def _bundle_sql(most: int, fit: int, final: int) -> str:
+def _bundle_sql(most: int, fit: int, final: int, counted: bool = False) -> str:
     reason = classify_sql("types", "types", "['SPEC']", "t = 'SPEC'")
     here = "coalesce(array_to_string(list_filter({}, lambda p: contains(' ' || text || ' ', ' ' || p || ' ')), ' '), '')"
-    return f"""WITH RECURSIVE {_variants_sql(most, fit, final)}, vo AS (SELECT *, {reason} AS reason FROM va)
+    return f"""WITH RECURSIVE {_variants_sql(most, fit, final, counted=counted)}, vo AS (SELECT *, {reason} AS reason FROM va)
 SELECT example_id, variant, text, drop_reason, CASE WHEN reason = 'no_non_negative_labels' THEN 'irrelevant' ELSE 'relevant' END AS category, reason, array_to_string(labels, ' ') AS labels,
-  CASE WHEN drop_reason IS NULL THEN {_N.format("text")} END AS token_count, {here.format("phrases")} AS original, {here.format("dsts")} AS scrambled FROM vo"""
+  CASE WHEN drop_reason IS NULL THEN {_counted("text", counted)} END AS token_count, {here.format("phrases")} AS original, {here.format("dsts")} AS scrambled FROM vo"""
 
 
 def _bundle(spark, sf_dir, maxlen: int = wn.MAX_LEN, fit: int = wn.MAX_FINAL_LEN, max_final: int = wn.MAX_FINAL_LEN, **options):
-    index = materialise(example_frame(spark, sf_dir, maxlen, fit), "examples")
+    index = materialise(example_frame(spark, sf_dir, maxlen, fit, counters=options.get("counters")), "examples")
     lex = fx.lexicon(spark, sf_dir)
     known = lx.known_mentions(index, lex, id_col="example_id")
     return va.materialise_variants(index, known, lx.full_pool(lex), seed=SEED, negative=F.array(F.lit("SPEC")), max_final=max_final, **options)
@@ -213,6 +221,16 @@ def variant_bundle_tight(spark, sf_dir):
     return _shown(_bundle(spark, sf_dir, *_TIGHT))
 
 
+#: The same in tokens of two counters.
+_TIGHT_COUNTED = (120, 110, 109)
+
+
+@query(_bundle_sql(*_TIGHT_COUNTED, counted=True))
+def variant_bundle_counted(spark, sf_dir):
+    """Variants under a tight budget of two counters."""
+    return _shown(_bundle(spark, sf_dir, *_TIGHT_COUNTED, counters=COUNTERS))
+
+
 @query(f"""WITH RECURSIVE {_variants_sql(*_TIGHT, "REPLACE (coalesce(r_none, CASE WHEN r_all IS NOT NULL THEN 'dropped_without_all_pair' END) AS r_none)")}
 SELECT variant, drop_reason AS reason, count(*) AS n FROM va GROUP BY 1, 2""")
 def variant_stats(spark, sf_dir):
@@ -221,22 +239,21 @@ def variant_stats(spark, sf_dir):
 
 
 _UNIQUE = f"""{_STRA}, tr AS (SELECT doc_id, w AS src, a.a AS attempt FROM w, range({va.UNIQUE_TRIES}) a(a)),
-made AS (SELECT doc_id::VARCHAR AS id, attempt, src, {_scrambled_sql("src", *_class_sql("doc_id::VARCHAR, attempt::VARCHAR"))} AS dst FROM tr),
-was AS (SELECT DISTINCT id, attempt FROM made WHERE dst IN (SELECT w FROM w)),
-st AS (
-  SELECT id, attempt, src, dst, 0 AS won FROM made m WHERE NOT EXISTS (SELECT 1 FROM was WHERE was.id = m.id AND was.attempt = m.attempt)
+made AS MATERIALIZED (SELECT doc_id::VARCHAR AS id, attempt, src, {_scrambled_sql("src", *_class_sql("doc_id::VARCHAR, attempt::VARCHAR"))} AS dst FROM tr),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT id FROM made) x),
+forms AS MATERIALIZED (SELECT id, list({{'attempt': attempt, 'dsts': dsts}} ORDER BY attempt) AS f FROM (SELECT id, attempt, list(dst) AS dsts FROM made GROUP BY 1, 2) y GROUP BY 1),
+seq AS (
+  SELECT 0::BIGINT AS k, NULL::VARCHAR AS id, NULL::BIGINT AS attempt, (SELECT list(DISTINCT w) FROM w) AS taken
   UNION ALL
-  (WITH o AS (SELECT * FROM st WHERE won = 0), f AS (SELECT *, min(attempt) OVER (PARTITION BY id) AS least FROM o),
-  s AS (SELECT *, min(id) OVER (PARTITION BY dst) AS first FROM f WHERE attempt = least), l AS (SELECT *, bool_or(first < id) OVER (PARTITION BY id) AS lost FROM s), n AS (SELECT * FROM l WHERE NOT lost),
-  r AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)), b AS (SELECT DISTINCT id, attempt FROM r WHERE dst IN (SELECT dst FROM n))
-  SELECT id, attempt, src, dst, 1 FROM n UNION ALL SELECT id, attempt, src, dst, 0 FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = r.id AND b.attempt = r.attempt))
+  SELECT k, id, c.attempt, CASE WHEN c.attempt IS NULL THEN taken ELSE list_concat(taken, c.dsts) END
+  FROM (SELECT ids.k, ids.id, seq.taken, list_filter(forms.f, lambda x: NOT list_has_any(seq.taken, x.dsts))[1] AS c FROM seq JOIN ids ON ids.k = seq.k + 1 JOIN forms ON forms.id = ids.id) z
 )"""
 
 
-@query(f"""WITH RECURSIVE {_UNIQUE} SELECT id AS example_id, src, dst, attempt::INT AS attempt, NULL::VARCHAR AS reason FROM st WHERE won = 1
-UNION ALL SELECT DISTINCT id, NULL, NULL, NULL::INT, '{va.EXHAUSTED}' FROM made WHERE id NOT IN (SELECT id FROM st WHERE won = 1)""")
+@query(f"""WITH RECURSIVE {_UNIQUE} SELECT seq.id AS example_id, src, dst, attempt::INT AS attempt, NULL::VARCHAR AS reason FROM seq JOIN made USING (id, attempt)
+UNION ALL SELECT id, NULL, NULL, NULL::INT, '{va.EXHAUSTED}' FROM seq WHERE id IS NOT NULL AND attempt IS NULL""")
 def unique_scramble(spark, sf_dir):
-    """Scrambled forms that no two documents share; documents without a free form with the reason."""
+    """Scrambled forms that no two documents share, in the order of ids; documents without a free form with the reason."""
     p = _phrases(spark, sf_dir).where(F.size("phrases") > 0).select(F.col("doc_id").cast("string").alias("example_id"), "phrases")
     return va.unique_outputs(p, SEED)
 
