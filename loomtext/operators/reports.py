@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.rng import as_integer, draw
+from loomtext.operators import bootstrap as bs
 from loomtext.operators.summary import representative
 
 GROUP = ["task", "model_id", "train_variant", "eval_split", "eval_set"]
@@ -91,28 +91,16 @@ def report_intervals(rows: DataFrame, *, point: str = "mean", keys: list[str] |
     """(keys, n_runs, metric, point, percentile_lo, percentile_hi, basic_lo, basic_hi) of :func:`report`.
 
     A replicate draws as many runs of its group, the same ones for all metrics;
-    its value is their mean, or that of the middle run or runs. A group's runs
-    are one array in the order of middle runs (seeds times sets), so a replicate
-    needs its sorted places only.
+    its value is their mean, or that of the middle run or runs. A group may have
+    any number of runs.
     """
     keys = GROUP if keys is None else keys
     order = ["f1", "precision", "recall", "loss", "set", "seed"]
-    arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("v"))
-    key = F.concat_ws(":", *(F.col(k).cast("string") for k in keys))
-    n = F.size("v")
-    place = lambda j: F.pmod(as_integer(draw(seed, "boot", key, F.col("replicate"), j)), n).cast("int")
-    drawn = arrays.select(*keys, "v", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("replicate"))
-    drawn = drawn.withColumn("places", F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), place)))
-    if point == "mean":
-        value = lambda m: F.aggregate("places", F.lit(0.0), lambda a, i: a + F.get("v", i)[m]) / n
-    else:
-        middle = lambda k: F.get("v", F.get("places", k))
-        value = lambda m: (middle(F.floor((n - 1) / 2).cast("int"))[m] + middle(F.floor(n / 2).cast("int"))[m]) / 2
-    long = lambda df, v, name: df.select(*keys, *([] if name == "b" else ["n_runs"]), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v(m).alias(name)) for m in METRICS))).alias("x"))
-    a = (1.0 - level) / 2.0
-    boot = long(drawn, value, "b").groupBy(*keys, "x.metric").agg(F.percentile("x.b", a).alias("percentile_lo"), F.percentile("x.b", 1.0 - a).alias("percentile_hi"))
-    out = long(report(rows, point=point, keys=keys), F.col, "point").select(*keys, "n_runs", "x.*").join(boot, [*keys, "metric"])
-    return out.withColumn("basic_lo", 2 * F.col("point") - F.col("percentile_hi")).withColumn("basic_hi", 2 * F.col("point") - F.col("percentile_lo"))
+    drawn = (bs.resampled_sums if point == "mean" else bs.resampled_middles)(rows, tuple(keys), order, METRICS, n_bootstrap, seed)
+    ends = bs.bounds(drawn, {m: F.col(m) / F.col("n") if point == "mean" else F.col(m) for m in METRICS}, level)
+    points = report(rows, point=point, keys=keys).withColumn("group", bs._group(tuple(keys)))
+    points = points.select("group", *keys, "n_runs", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("point")) for m in METRICS))).alias("x")).select("group", *keys, "n_runs", "x.*")
+    return bs.with_basic(points.join(ends, ["group", "metric"]).drop("group"))
 
 
 def live_report(rows: DataFrame, *, point: str = "mean") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtext import fixtures as fx
 from loomtext.functions import labels as lb
 from loomtext.functions import text as tx
+from loomtext.operators import bootstrap as bs
 from loomtext.operators import claims as cl
 from loomtext.operators import matrix as mx
 from loomtext.operators import metrics as me
@@ -261,8 +262,6 @@ def ci_scalar_clt(spark, sf_dir):
 
 
 _BOOT = me.CI["n_bootstrap"]
-#: Replicates over whole tables, where each row is drawn for each of them.
-_TABLE_BOOT = 200
 _VALS = f"{RUNS}, v AS (SELECT model_id, (seed * 2 + right(\"set\", 1)::INT - 1)::INT AS i, avg(f1) AS value FROM runs GROUP BY 1, 2), nn AS (SELECT model_id, count(*) AS n FROM v GROUP BY 1), vv AS (SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY i) - 1 AS i, value FROM v)"
 
 
@@ -271,8 +270,23 @@ def _values(spark, sf_dir):
     return r.groupBy("model_id", (F.col("seed") * 2 + F.right("set", F.lit(1)).cast("int") - 1).alias("i")).agg(F.avg("f1").alias("value"))
 
 
-def _boot_sql(stat: str, point: str) -> str:
-    return f"""WITH {_VALS}, ix AS (SELECT nn.model_id, b.b, j.j, (('0x' || substr(md5(concat_ws(':', '{SEED}:boot', nn.model_id, b.b::VARCHAR, j.j::VARCHAR)), 1, 8))::BIGINT % nn.n) AS i FROM nn, range({_BOOT}) b(b), range(100) j(j) WHERE j.j < nn.n),
+def _mixed_sql(x: str) -> str:
+    """SQL of :func:`loomtext.operators.bootstrap.mixed`."""
+    first, second = bs.MULTIPLIERS
+    x = f"list_transform([{x}], lambda x: (xor(x, x >> 16) * {first}) % 4294967296)"
+    return f"list_transform(list_transform({x}, lambda x: (xor(x, x >> 15) * {second}) % 4294967296), lambda x: xor(x, x >> 15))[1]"
+
+
+def _place_sql(groups: str, key: str, replicates: int, keep: str) -> str:
+    """SQL of (keep, key, b, j, i): the places that replicates draw; ``groups`` is a table with n."""
+    head = lambda at: f"('0x' || substr(md5(concat_ws(':', '{SEED}:boot', {key})), {at}, 8))::BIGINT"
+    own = f"SELECT {keep}, {key} AS key, n, j.j, {_mixed_sql(f'(j.j + {head(1)}) % 4294967296')} AS v FROM {groups} g, (SELECT unnest(range((SELECT max(n) FROM {groups}))) AS j) j WHERE j.j < n"
+    of = f"SELECT {key} AS key, b.b, {_mixed_sql(f'(b.b + {head(9)}) % 4294967296')} AS w FROM {groups} g, range({replicates}) b(b)"
+    return f"SELECT x.*, y.b, ({_mixed_sql('(x.v + y.w) % 4294967296')} * x.n) >> 32 AS i FROM ({own}) x JOIN ({of}) y USING (key)"
+
+
+def _boot_sql(stat: str, point: str, order: str) -> str:
+    return f"""WITH {_VALS.replace("ORDER BY i)", f"ORDER BY {order})")}, ix AS ({_place_sql("nn", "model_id", _BOOT, "model_id")}),
 s AS (SELECT ix.model_id, ix.b, {stat} AS m FROM ix JOIN vv ON vv.model_id = ix.model_id AND vv.i = ix.i GROUP BY 1, 2),
 q AS (SELECT model_id, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM s GROUP BY 1), p AS (SELECT model_id, {point} AS point FROM v GROUP BY 1)
 SELECT model_id, round(point, 9) AS point, round(lo, 9) AS percentile_lo, round(hi, 9) AS percentile_hi, round(2 * point - hi, 9) AS basic_lo, round(2 * point - lo, 9) AS basic_hi FROM p JOIN q USING (model_id)"""
@@ -281,23 +295,21 @@ SELECT model_id, round(point, 9) AS point, round(lo, 9) AS percentile_lo, round(
 _ENDS = ["point", "percentile_lo", "percentile_hi", "basic_lo", "basic_hi"]
 
 
-@query(_boot_sql("avg(value)", "avg(value)"))
+@query(_boot_sql("avg(value)", "avg(value)", "i"))
 def ci_bootstrap_mean(spark, sf_dir):
     """Percentile and basic bootstrap intervals of means."""
     return _r(me.bootstrap_intervals(_values(spark, sf_dir), "model_id", n_bootstrap=_BOOT, seed=SEED), *_ENDS)
 
 
-@query(_boot_sql("median(value)", "median(value)"))
+@query(_boot_sql("median(value)", "median(value)", "value, i"))
 def ci_bootstrap_median(spark, sf_dir):
     """Bootstrap intervals of medians."""
     return _r(me.bootstrap_intervals(_values(spark, sf_dir), "model_id", n_bootstrap=_BOOT, seed=SEED, point="median"), *_ENDS)
 
 
-_DRAWN = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in me.POISSON)
-
-
-@query(f"""WITH {_PRF}, u AS (SELECT b.b, y_true, y_pred, loss, {md5_int(SEED, "poisson", "b.b", "i")} / 4294967296.0::DOUBLE AS u FROM pairs, range({_TABLE_BOOT}) b(b)),
-w AS (SELECT *, {_DRAWN} AS t FROM u), s AS (SELECT b, sum(t * y_true * y_pred) AS tp, sum(t * (1 - y_true) * y_pred) AS fp, sum(t * y_true * (1 - y_pred)) AS fn, sum(t * loss) / sum(t) AS loss FROM w GROUP BY b),
+@query(f"""WITH {_PRF}, o AS (SELECT * EXCLUDE (i), row_number() OVER (ORDER BY CASE WHEN y_true = 1 AND y_pred = 1 THEN 0 WHEN y_pred = 1 THEN 1 WHEN y_true = 1 THEN 2 ELSE 3 END, loss) - 1 AS i FROM pairs),
+nn AS (SELECT count(*) AS n FROM o), ix AS ({_place_sql("nn", "''", _BOOT, "0 AS z")}),
+s AS (SELECT b, sum(y_true * y_pred) AS tp, sum((1 - y_true) * y_pred) AS fp, sum(y_true * (1 - y_pred)) AS fn, avg(loss) AS loss FROM ix JOIN o USING (i) GROUP BY b),
 x AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS r FROM s),
 y AS (SELECT 'precision' AS metric, p AS v FROM x UNION ALL SELECT 'recall', r FROM x UNION ALL SELECT 'f1', CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END FROM x UNION ALL SELECT 'loss', loss FROM x),
 q AS (SELECT metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM y GROUP BY 1),
@@ -305,7 +317,7 @@ pt AS (SELECT 'precision' AS metric, p AS point FROM k UNION ALL SELECT 'recall'
 SELECT metric, round(point, 9) AS point, round(lo, 9) AS percentile_lo, round(hi, 9) AS percentile_hi, round(2 * point - hi, 9) AS basic_lo, round(2 * point - lo, 9) AS basic_hi FROM pt JOIN q USING (metric)""")
 def ci_bootstrap_binary(spark, sf_dir):
     """Percentile and basic bootstrap intervals of binary precision, recall, F1 and loss."""
-    return _r(me.binary_intervals(fx.classified_pairs(spark, sf_dir), n_bootstrap=_TABLE_BOOT, seed=SEED), *_ENDS)
+    return _r(me.binary_intervals(fx.classified_pairs(spark, sf_dir), n_bootstrap=_BOOT, seed=SEED), *_ENDS)
 
 
 @query(f"WITH {RUNS}, v AS (SELECT model_id, max(f1) AS hi, min(f1) AS lo FROM runs GROUP BY 1) SELECT model_id, 'range' AS method, round(lo, 9) AS lo, round(hi, 9) AS hi FROM v")
@@ -340,18 +352,19 @@ def _interval_sql(stat, extra: str) -> str:
     long = " UNION ALL ".join(f"SELECT {_KEYS}, b, '{m}' AS metric, {stat(m)} AS v FROM d {extra} GROUP BY {_KEYS}, b" for m in rp.METRICS)
     points = " UNION ALL ".join(f"SELECT {_KEYS}, max(n) AS n_runs, '{m}' AS metric, avg({m}) AS point FROM o {'' if not extra else 'WHERE i IN ((n - 1) // 2, n // 2)'} GROUP BY {_KEYS}" for m in rp.METRICS)
     return f"""WITH {RUNS}, o AS (SELECT *, {key} AS key, row_number() OVER (PARTITION BY {_KEYS} ORDER BY f1, precision, recall, loss, "set", seed) - 1 AS i, count(*) OVER (PARTITION BY {_KEYS}) AS n FROM runs),
-ix AS (SELECT g.key, b.b, {md5_int(SEED, "boot", "g.key", "b.b", "j.j")} % g.n AS i FROM (SELECT DISTINCT key, n FROM o) g, range({_REPORT_BOOT}) b(b), (SELECT unnest(range((SELECT max(n) FROM o))) AS j) j WHERE j.j < g.n),
+gs AS (SELECT DISTINCT key AS gk, n FROM o), ix AS ({_place_sql("gs", "gk", _REPORT_BOOT, "gk")}),
 d AS (SELECT o.*, ix.b, row_number() OVER (PARTITION BY ix.key, ix.b ORDER BY ix.i) - 1 AS r FROM ix JOIN o ON o.key = ix.key AND o.i = ix.i),
 l AS ({long}), q AS (SELECT {_KEYS}, metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM l GROUP BY ALL), p AS ({points})
 SELECT {_KEYS}, n_runs, metric, round(point, 9) AS point, round(lo, 9) AS percentile_lo, round(hi, 9) AS percentile_hi, round(2 * point - hi, 9) AS basic_lo, round(2 * point - lo, 9) AS basic_hi
 FROM p JOIN q USING ({_KEYS}, metric)"""
 
 
+#: Replicates of the queries that SQL is asked to repeat.
 _REPORT_BOOT = 40
 
 
-def _intervals(spark, sf_dir, point):
-    out = rp.report_intervals(rp.strict_metrics(fx.run_metrics(spark, sf_dir)), point=point, n_bootstrap=_REPORT_BOOT, seed=SEED)
+def _intervals(spark, sf_dir, point, n_bootstrap=_REPORT_BOOT):
+    out = rp.report_intervals(rp.strict_metrics(fx.run_metrics(spark, sf_dir)), point=point, n_bootstrap=n_bootstrap, seed=SEED)
     return out.withColumns({c: F.round(c, 9) for c in _ENDS})
 
 
@@ -367,6 +380,18 @@ def report_median_intervals(spark, sf_dir):
     return _intervals(spark, sf_dir, "median")
 
 
+@query(None)
+def report_mean_intervals_default(spark, sf_dir):
+    """The same with the default number of replicates, too many for SQL."""
+    return _intervals(spark, sf_dir, "mean", _BOOT)
+
+
+@query(None)
+def report_median_intervals_default(spark, sf_dir):
+    """The same with the default number of replicates, too many for SQL."""
+    return _intervals(spark, sf_dir, "median", _BOOT)
+
+
 @query(f"WITH {RUNS} SELECT {_KEYS}, epoch, count(*) AS n_runs, round(avg(f1), 9) AS f1 FROM runs WHERE model_id IN ('click', 'view') AND run_updated_at >= TIMESTAMP '2000-01-01' GROUP BY {_KEYS}, epoch")
 def live_report(spark, sf_dir):
     """Means with the epoch in the key, filtered by members; empty filters keep all."""

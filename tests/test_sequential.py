@@ -196,3 +196,60 @@ def test_repair_is_linear():
         took.append(time.perf_counter() - began)
         assert len(trace) >= 100 and sum(s == "test" for s in split.values()) == n // 10
     assert took[1] < 3 * took[0] + 0.5 and took[1] < 10
+
+
+# ---------------------------------------------------------------- bootstrap
+
+
+def mixed(x):
+    """The hash in plain integers."""
+    m = 0xFFFFFFFF
+    x = ((x ^ (x >> 16)) * 0x21F0AAAD) & m
+    x = ((x ^ (x >> 15)) * 0x735A2D97) & m
+    return x ^ (x >> 15)
+
+
+def drawn(seed, key, n, replicate):
+    head = hashlib.md5(f"{seed}:boot:{key}".encode()).hexdigest()
+    a, b = int(head[:8], 16), int(head[8:16], 16)
+    of = mixed((replicate + b) & 0xFFFFFFFF)
+    return [(mixed((mixed((j + a) & 0xFFFFFFFF) + of) & 0xFFFFFFFF) * n) >> 32 for j in range(n)]
+
+
+@pytest.mark.parametrize("block, work, slab", [(250_000, 20_000_000, 1 << 19), (7, 100, 16), (1, 10, 5)])
+def test_resamples_equal_single_draws(spark, monkeypatch, block, work, slab):
+    from loomtext.operators import bootstrap as bs
+
+    for name, v in (("BLOCK", block), ("WORK", work), ("SLAB", slab)):
+        monkeypatch.setattr(bs, name, v)
+    rng = random.Random(3)
+    rows = [(g, h, i, rng.randrange(1, 4), float(rng.randrange(100))) for g, h, n in (("a", "b", 40), (None, "a", 1), ("a", None, 23), ("c", "d", 2)) for i in range(n)]
+    d = spark.createDataFrame(rows, "g string, h string, i int, times int, value double").repartition(5)
+    sums = {(r.group, r.replicate): (r.n, r.value) for r in bs.resampled_sums(d, ("g", "h"), ["i"], ["value"], 9, 4, times="times").collect()}
+    middles = {(r.group, r.replicate): (r.n, r.value) for r in bs.resampled_middles(d, ("g", "h"), ["i"], ["value"], 9, 4).collect()}
+    groups = {(r.g, r.h): r.group for r in d.select("g", "h", bs._group(("g", "h")).alias("group")).distinct().collect()}
+    assert len(groups) == 4 and len(sums) == len(middles) == 36
+    for (g, h), group in groups.items():
+        own = sorted(r[2:] for r in rows if r[:2] == (g, h))
+        key = ":".join(x for x in (g, h) if x is not None)
+        long = [v for _, t, v in own for _ in range(t)]
+        for replicate in range(9):
+            picked = drawn(4, key, len(long), replicate)
+            assert sums[group, replicate] == (len(long), sum(long[p] for p in picked))
+            places = sorted(drawn(4, key, len(own), replicate))
+            low, high = (own[places[x]][2] for x in ((len(own) - 1) // 2, len(own) // 2))
+            assert middles[group, replicate] == (len(own), (low + high) / 2)
+
+
+def test_replicates_have_the_size_of_the_sample_and_its_spread(spark):
+    from loomtext.operators import metrics as me
+
+    d = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") % 2).cast("int").alias("y_true"), (F.col("id") % 3 == 0).cast("int").alias("y_pred"), (F.col("id") % 7 / 10).alias("loss"))
+    got = me.bootstrap_binary(d, 3000, 1)
+    assert got.select("n").distinct().collect()[0].n == 1000 and got.count() == 3000
+    point = me.binary_metrics(d).first()
+    spread = got.agg(F.avg("precision").alias("p"), F.stddev("precision").alias("sp"), F.avg("loss").alias("l"), F.stddev("loss").alias("sl"), F.stddev("tp").alias("st")).first()
+    assert spread.p == pytest.approx(point.precision, abs=0.003) and spread.sp == pytest.approx((0.5 * 0.5 / 334) ** 0.5, rel=0.1)
+    assert spread.l == pytest.approx(point.loss, abs=0.001) and spread.sl == pytest.approx(0.2 / 1000**0.5, rel=0.1)
+    assert spread.st == pytest.approx((1000 * 0.167 * 0.833) ** 0.5, rel=0.1)
+    assert me.bootstrap_binary(d.limit(0), 5, 1).count() == 0
