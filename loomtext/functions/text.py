@@ -139,11 +139,6 @@ def profile_label(name: Column) -> Column:
     return F.left(F.sha1(name.cast("binary")), F.lit(8))
 
 
-def ordered_digest(ids: Column) -> Column:
-    """SHA-256 of the sorted ids, one a line."""
-    return F.sha2(F.array_join(F.array_sort(ids), "\n").cast("binary"), 256)
-
-
 def percent(metric: Column, value: Column) -> Column:
     """Precision, recall and F1 in percent; other metrics as they are."""
     return F.when(metric.isin("precision", "recall", "f1"), value * 100.0).otherwise(value)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import ordered_digest
+from loomtext.operators.digests import ordered_digests
 
 VIOLATION = ["check", "context", "message"]
 
@@ -17,8 +17,12 @@ def _violations(df: DataFrame, check: str, context, message) -> DataFrame:
 
 
 def split_digests(members: DataFrame) -> DataFrame:
-    """(lineage, split, n, digest) of (lineage, split, article_id)."""
-    return members.groupBy("lineage", "split").agg(F.count("*").alias("n"), ordered_digest(F.collect_set(F.col("article_id").cast("string"))).alias("digest"))
+    """(lineage, split, n, digest) of (lineage, split, article_id); the digest is of the sorted distinct ids."""
+    rows = members.withColumn("group", F.to_json(F.struct("lineage", "split")))
+    ids = rows.select("group", F.col("article_id").cast("string").alias("line")).where("line IS NOT NULL").distinct()
+    sizes = rows.groupBy("group", "lineage", "split").agg(F.count("*").alias("n"))
+    of_none = F.sha2(F.lit("").cast("binary"), 256)
+    return sizes.join(ordered_digests(ids, "line"), "group", "left").select("lineage", "split", "n", F.coalesce("digest", of_none).alias("digest"))
 
 
 def digest_mismatches(members: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -157,5 +161,7 @@ def missing_artifacts(jobs: DataFrame, files: DataFrame) -> DataFrame:
 def tree_digest(files: DataFrame) -> DataFrame:
     """(n_files, n_bytes, digest) of (path, size, sha256): SHA-256 over ordered ``path<TAB>size<TAB>sha256`` lines."""
     line = F.concat_ws("\t", "path", F.col("size").cast("string"), "sha256")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    return files.agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), F.sha2(lines.cast("binary"), 256).alias("digest"))
+    digest = ordered_digests(files.select(F.lit("").alias("group"), "path", line.alias("line")), "path", "line", end=True)
+    of_none = F.sha2(F.lit("").cast("binary"), 256)
+    sums = files.agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes")).withColumn("group", F.lit(""))
+    return sums.join(digest, "group", "left").select("n_files", "n_bytes", F.coalesce("digest", of_none).alias("digest"))

@@ -2,24 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_SPACE = " \t\n\x0b\x0c\r"
+_PIECE = "path string, block bigint, k int, closed boolean, tokens array<string>, labels array<string>"
+
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """(path, idx, tokens, labels): examples of each file in order.
 
     A line splits at its first space; lines without one are skipped; examples
-    without a token vanish. Files are read whole: a data set is many files of
-    moderate size.
+    without a token vanish. Spark's text reader cuts files into byte ranges at line
+    ends, and each range is read by a task of its own: it gives pieces of examples
+    between blank lines. Only the first and last piece of a range can belong to an
+    example that goes beyond it; those are put together, a few rows for each range.
+    Numbers come from the examples of each range, summed over the ranges before.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
-    blocks = files.select("path", F.posexplode(F.split(F.array_join(F.transform(lines, lambda x: F.when(F.trim(F.regexp_replace(x, r"\s+", " ")) == "", "").otherwise(x)), "\n"), r"\n\n+")).alias("block", "b"))
-    pairs = F.filter(F.split("b", "\n"), lambda x: x.contains(" "))
-    rows = blocks.select("path", "block", F.transform(pairs, lambda x: F.split_part(x, F.lit(" "), F.lit(1))).alias("tokens"), F.transform(pairs, lambda x: F.trim(F.substr(x, F.instr(x, " ") + 1))).alias("labels")).where(F.size("tokens") > 0)
-    ordered = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block", "tokens", "labels"))).alias("x"))
-    return ordered.select("path", F.posexplode("x").alias("idx", "x")).select("path", "idx", "x.tokens", "x.labels")
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").cast("bigint").alias("block"), "value")
+    pieces = lines.mapInArrow(_pieces, _PIECE)
+    in_block = Window.partitionBy("path", "block")
+    pieces = pieces.withColumn("last", F.max("k").over(in_block) == F.col("k"))
+    inner = pieces.where("k > 0 AND NOT last").select("path", "block", "k", "tokens", "labels")
+    # an open piece goes on with the first piece of the next range
+    chain = F.sum(F.when(F.col("k") > 0, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("block", "k"))
+    ends = pieces.where("k = 0 OR last").withColumn("chain", chain).groupBy("path", "chain").agg(F.array_sort(F.collect_list(F.struct("block", "k", "tokens", "labels"))).alias("p"))
+    flat = lambda c: F.flatten(F.transform("p", lambda x: x[c])).alias(c)
+    joined = ends.select("path", F.get("p", 0)["block"].alias("block"), F.get("p", 0)["k"].alias("k"), flat("tokens"), flat("labels"))
+    found = inner.unionByName(joined).where(F.size("tokens") > 0)
+    sizes = found.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = found.withColumn("i", F.row_number().over(in_block.orderBy("k")) - 1).join(sizes.select("path", "block", before.alias("before")), ["path", "block"])
+    return numbered.select("path", (F.col("before") + F.col("i")).cast("int").alias("idx"), "tokens", "labels")
+
+
+def _pieces(batches):
+    """Pieces of examples of each byte range: all but its last are closed by a blank line."""
+    now, k, tokens, labels, rows = None, 0, [], [], []
+
+    def batch():
+        columns = zip(*rows, strict=True)
+        types = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "block", "k", "closed", "tokens", "labels"])
+
+    for b in batches:
+        for path, block, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (path, block) != now:
+                if now:
+                    rows.append((*now, k, False, tokens, labels))
+                now, k, tokens, labels = (path, block), 0, [], []
+            if not line.strip(_SPACE):
+                # an empty piece tells no more than the blank line before it, but for the first of a range
+                if tokens or k == 0:
+                    rows.append((*now, k, True, tokens, labels))
+                    k, tokens, labels = k + 1, [], []
+            elif " " in line:
+                token, _, label = line.partition(" ")
+                tokens.append(token)
+                labels.append(label.strip(" "))
+        if len(rows) >= 1000:
+            yield batch()
+            rows.clear()
+    if now:
+        rows.append((*now, k, False, tokens, labels))
+    if rows:
+        yield batch()
 
 
 def conll_text(tokens, labels):

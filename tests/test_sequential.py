@@ -253,3 +253,56 @@ def test_replicates_have_the_size_of_the_sample_and_its_spread(spark):
     assert spread.l == pytest.approx(point.loss, abs=0.001) and spread.sl == pytest.approx(0.2 / 1000**0.5, rel=0.1)
     assert spread.st == pytest.approx((1000 * 0.167 * 0.833) ** 0.5, rel=0.1)
     assert me.bootstrap_binary(d.limit(0), 5, 1).count() == 0
+
+
+# ---------------------------------------------------------------- files and digests
+
+
+def conll_examples(text):
+    out, tokens = [], []
+    for line in [*re.split(r"\r\n|\r|\n", text), ""]:
+        if not line.strip(" \t\x0b\x0c"):
+            if tokens:
+                out.append(tokens)
+            tokens = []
+        elif " " in line:
+            token, _, label = line.partition(" ")
+            tokens = [*tokens, (token, label.strip(" "))]
+    return out
+
+
+@pytest.mark.parametrize("size", ["16", "97", "134217728"])
+def test_conll_by_byte_ranges_equals_one_pass(spark, tmp_path, size):
+    from loomtext.sources import conll
+
+    rng, want = random.Random(int(size)), {}
+    for f in range(8):
+        text = "".join(rng.choice(["tok O\n", "Ä B-P extra \n", "nolabel\n", "\n", "\n", " \t\n", "x I-P\r\n", "\r\n", "w O\n" * 12]) for _ in range(f * 15)) + rng.choice(["", "end O", "\n\n"])
+        (tmp_path / f"{f}.set").write_bytes(text.encode())
+        want[f"{f}.set"] = conll_examples(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = conll.read_conll(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.idx)):
+        each = got.setdefault(r.path.rsplit("/", 1)[1], [])
+        assert r.idx == len(each)
+        each.append(list(zip(r.tokens, r.labels, strict=True)))
+    assert got == {f: e for f, e in want.items() if e}
+
+
+def test_digests_are_streamed(spark):
+    from loomtext.operators import claims
+
+    rows = [("l1", "train", x) for x in ("b", "a", "a", None, "é")] + [("l1", "test", None), (None, "train", "z"), ("l2", None, "q")]
+    got = {(r.lineage, r.split): (r.n, r.digest) for r in claims.split_digests(spark.createDataFrame(rows, "lineage string, split string, article_id string")).collect()}
+    sha = lambda *x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    assert got == {("l1", "train"): (5, sha("a", "b", "é")), ("l1", "test"): (1, sha("")), (None, "train"): (1, sha("z")), ("l2", None): (1, sha("q"))}
+    many = spark.range(300_000).select(F.lit("l").alias("lineage"), F.lit("s").alias("split"), F.col("id").alias("article_id"))
+    assert claims.split_digests(many).first().digest == sha(*sorted(str(i) for i in range(300_000)))
+    files = spark.createDataFrame([("b", 2, "y"), ("a", 1, "x")], "path string, size bigint, sha256 string")
+    assert tuple(claims.tree_digest(files).first()) == (2, 3, hashlib.sha256(b"a\t1\tx\nb\t2\ty\n").hexdigest())
+    assert claims.tree_digest(files.limit(0)).first().digest == sha("")
