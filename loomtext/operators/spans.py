@@ -47,9 +47,19 @@ def span_phrases(tokens: DataFrame, spans: DataFrame, *, id_col: str = "article_
     return spans.join(tokens, id_col).select(id_col, "label4", phrase(F.col("tokens"), F.col("start"), F.col("length")).alias("phrase")).distinct()
 
 
+#: Tokens of a bin of :func:`overlapping`.
+BIN = 256
+
+
 def overlapping(windows: DataFrame, spans: DataFrame, *, id_col: str = "article_id") -> DataFrame:
     """(id, s, e, source_key, label4, start, length, end_excl) of spans that overlap the inclusive window [s, e].
 
-    An equi-join on the article bounds the range condition.
+    Windows and spans meet in bins of ``BIN`` tokens of their article, and only in
+    the first bin that both reach, so each pair is made once: the work is that of
+    the bins and of the pairs, however many windows and spans an article has.
     """
-    return windows.join(spans, id_col).where((F.col("end_excl") > F.col("s")) & (F.col("start") < F.col("e") + 1))
+    bins = lambda first, last: F.explode(F.sequence(F.floor(first / F.lit(BIN)), F.floor(F.greatest(first, last) / F.lit(BIN)))).alias("bin")
+    w = windows.select("*", F.floor(F.col("s") / F.lit(BIN)).alias("w_bin"), bins(F.col("s"), F.col("e")))
+    x = spans.select("*", F.floor(F.col("start") / F.lit(BIN)).alias("x_bin"), bins(F.col("start"), F.col("end_excl") - 1))
+    met = w.join(x, [id_col, "bin"]).where(F.col("bin") == F.greatest("w_bin", "x_bin"))
+    return met.where((F.col("end_excl") > F.col("s")) & (F.col("start") < F.col("e") + 1)).drop("bin", "w_bin", "x_bin")

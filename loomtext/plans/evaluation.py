@@ -14,7 +14,9 @@ from loomtext.operators import metrics as me
 from loomtext.operators import reports as rp
 from loomtext.operators import summary as sm
 from loomtext.plans.augmentation import _EX, _SPLIT, _assigned, _examples
-from loomtext.plans.registry import PAIRS, RUNS, md5_int, query
+from loomtext.plans.registry import PAIRS, RUNS, query
+from loomtext.shared import shared_dir
+from loomtext.sources.prepared import Cache
 
 SEED = 7
 
@@ -534,6 +536,17 @@ def prepared_rows(spark, sf_dir):
     return p.select("example_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), F.size("input_ids").alias("n"))
 
 
+@query(f"WITH {_ROWS}, d AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS id FROM (SELECT DISTINCT label FROM lb UNION SELECT 'O') x) SELECT l_orderkey::VARCHAR AS example_id, string_agg(id::VARCHAR, ',' ORDER BY rn) AS labels, count(*)::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t, label) AS rn FROM lb) l JOIN d USING (label) GROUP BY 1")
+def prepared_cache(spark, sf_dir):
+    """Prepared rows from the cache, where a second call finds those of the first."""
+    cache = Cache(spark, shared_dir(spark, "prepared"))
+    key = {"table": f"{sf_dir}/orders.parquet", "max_length": 510}
+    ex = _orders(spark, sf_dir)
+    cache.prepare(key, lambda: mx.prepared(ex, mx.label_map(ex.select(F.explode("labels").alias("label")))))
+    p = cache.prepare(key, lambda: ex.limit(0))
+    return p.select("example_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), F.size("input_ids").alias("n"))
+
+
 @query("SELECT * FROM (VALUES (1, '-100,0,-100,1,-100'), (2, '1')) v(id, labels)")
 def subword_alignment(spark, sf_dir):
     """Labels of subwords."""

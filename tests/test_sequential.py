@@ -306,3 +306,63 @@ def test_digests_are_streamed(spark):
     files = spark.createDataFrame([("b", 2, "y"), ("a", 1, "x")], "path string, size bigint, sha256 string")
     assert tuple(claims.tree_digest(files).first()) == (2, 3, hashlib.sha256(b"a\t1\tx\nb\t2\ty\n").hexdigest())
     assert claims.tree_digest(files.limit(0)).first().digest == sha("")
+
+
+# ---------------------------------------------------------------- overlaps and the cache
+
+
+def test_overlaps_equal_all_pairs(spark, monkeypatch):
+    from loomtext.operators import spans as sp
+
+    monkeypatch.setattr(sp, "BIN", 5)
+    rng = random.Random(2)
+    windows = sorted({(rng.randrange(3), s, s + rng.randrange(30)) for s in (rng.randrange(60) for _ in range(60))})
+    spans = [(rng.randrange(4), f"k{i}", s, s + rng.choice([0, 1, 2, 40])) for i, s in enumerate(rng.randrange(80) for _ in range(80))]
+    w = spark.createDataFrame(windows, "article_id int, s int, e int")
+    x = spark.createDataFrame(spans, "article_id int, source_key string, start int, end_excl int")
+    got = sorted(tuple(r) for r in sp.overlapping(w, x).select("article_id", "s", "e", "source_key").collect())
+    assert got == sorted((a, s, e, k) for a, s, e in windows for b, k, start, end in spans if a == b and end > s and start < e + 1)
+
+
+def test_overlaps_of_one_large_article_are_linear(spark):
+    from loomtext.operators import spans as sp
+
+    n = 100_000
+    w = spark.range(n).select(F.lit(1).alias("article_id"), (F.col("id") * 3).cast("int").alias("s"), (F.col("id") * 3 + 2).cast("int").alias("e"))
+    x = spark.range(n).select(F.lit(1).alias("article_id"), (F.col("id") * 3).cast("int").alias("start"), (F.col("id") * 3 + 1).cast("int").alias("end_excl"))
+    began = time.perf_counter()
+    assert sp.overlapping(w, x).count() == n
+    assert time.perf_counter() - began < 60
+
+
+def test_prepared_tables_are_made_once(spark, tmp_path):
+    from loomtext.sources.prepared import Cache, key_digest
+
+    made = []
+
+    def make(n=5):
+        made.append(n)
+        return spark.range(n).select("id", F.array(F.col("id").cast("int")).alias("a"))
+
+    cache, key = Cache(spark, str(tmp_path)), {"b": 1, "a": ["x"]}
+    assert cache.get(key) is None
+    assert cache.prepare(key, make).count() == 5 and cache.prepare({"a": ["x"], "b": 1}, make).count() == 5 and made == [5]
+    assert Cache(spark, str(tmp_path)).get(key).dtypes == make().dtypes
+    # another key, an empty table
+    assert cache.prepare(key | {"c": 2}, lambda: make(0)).count() == 0
+    # a second writer of the same key that began before the first one's commit: one table stays, both read it
+    folder = tmp_path / key_digest({"k": 1})
+
+    def late():
+        Cache(spark, str(tmp_path)).prepare({"k": 1}, make)
+        return make(7)
+
+    n = cache.prepare({"k": 1}, late).count()
+    assert n in (5, 7) and len(list(folder.glob("commit-*.json"))) == 1 and cache.get({"k": 1}).count() == n
+    # a writer that was lost, and data that lost a file
+    (tmp_path / key_digest({"k": 2}) / "data-x").mkdir(parents=True)
+    assert cache.get({"k": 2}) is None
+    next(folder.glob("data-*/part-*.parquet")).unlink()
+    assert cache.get({"k": 1}) is None and cache.prepare({"k": 1}, make).count() == 5
+    cache.forget({"k": 1})
+    assert cache.get({"k": 1}) is None
