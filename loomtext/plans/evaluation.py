@@ -16,6 +16,7 @@ from loomtext.operators import summary as sm
 from loomtext.plans.augmentation import _EX, _SPLIT, _assigned, _examples
 from loomtext.plans.registry import PAIRS, RUNS, query
 from loomtext.shared import shared_dir
+from loomtext.sources import runs
 from loomtext.sources.prepared import Cache
 
 SEED = 7
@@ -168,6 +169,48 @@ def run_validation(spark, sf_dir):
     return cl.validate_runs(specs, states, m, eval_sets=("a", "u")).withColumn("errors", F.array_join("errors", ","))
 
 
+_CHECKED = f"""{RUNS}, l AS (SELECT * REPLACE (CASE WHEN ord % 7 = 0 THEN NULL ELSE f1 END AS f1, CASE WHEN model_id = 'view' AND seed = 4 THEN 5 ELSE seed END AS seed), model_id || '/' || "set" || '/seed_' || seed || '/' || train_variant AS run, seed AS own
+  FROM runs WHERE NOT (eval_set = 'unaugmented' AND seed = 0 AND train_variant = 'all') QUALIFY row_number() OVER (PARTITION BY model_id, "set", seed, train_variant, eval_set ORDER BY ord DESC) = 1),
+sp AS (SELECT DISTINCT model_id || '/' || "set" || '/seed_' || seed || '/' || train_variant AS run, "set", seed, model_id, train_variant FROM runs),
+stt AS (SELECT run, CASE WHEN seed = 3 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN "set" = 'set2' AND seed = 1 THEN 'other' ELSE md5(run) END AS sig, CASE WHEN seed = 2 AND train_variant = 'all' THEN 'other' ELSE md5(run || 'm') END AS sha FROM sp WHERE NOT (seed = 1 AND train_variant = 'none')),
+mt AS (SELECT run, max(seed) AS seed, list_sort(list(DISTINCT eval_set)) AS sets, coalesce(list_sort(list(DISTINCT eval_set) FILTER (f1 IS NULL)), []) AS part, coalesce(list_sort(list(DISTINCT eval_set) FILTER (f1 IS NOT NULL AND abs(f1) <= 0.2 AND abs(precision) <= 0.2 AND abs(recall) <= 0.2)), []) AS low FROM l WHERE NOT (model_id = 'error' AND own = 4) GROUP BY run)"""
+
+
+@query(f"""WITH {_CHECKED}, e AS (SELECT sp.run, list_filter(list_concat(
+  [CASE WHEN stt.run IS NULL THEN 'missing_state' END, CASE WHEN mt.run IS NULL THEN 'missing_metrics' END, CASE WHEN status <> 'completed' THEN 'status:' || status END, CASE WHEN sig <> md5(sp.run) THEN 'signature_mismatch' END,
+    CASE WHEN mt.run IS NOT NULL AND sha <> md5(sp.run || 'm') THEN 'metrics_hash_mismatch' END, CASE WHEN mt.seed <> sp.seed THEN 'identity_mismatch:seed' END],
+  list_transform(list_filter(['augmented_exclusive', 'unaugmented'], lambda x: NOT list_contains(coalesce(sets, []), x)), lambda x: 'missing_eval_set:' || x),
+  list_transform(coalesce(part, []), lambda x: 'missing_metric:' || x), list_transform(coalesce(low, []), lambda x: 'collapsed:' || x)), lambda x: x IS NOT NULL) AS errors
+FROM sp LEFT JOIN stt ON stt.run = sp.run LEFT JOIN mt ON mt.run = sp.run)
+SELECT run, array_to_string(errors, ',') AS errors, len(errors) = 0 AS ok FROM e""")
+def run_validation_folders(spark, sf_dir):
+    """C10 F7 IO15 IO16: every run of the table as a folder with its metrics and state, read back and checked; some have faults."""
+    path = shared_dir(spark, "checked")
+    r = fx.run_metrics(spark, sf_dir)
+    run = F.concat_ws("/", "model_id", "set", F.concat(F.lit("seed_"), F.col("seed").cast("string")), "train_variant")
+    r = r.withColumn("run", run)
+    specs = r.select("run", F.md5(F.col("run").cast("binary")).alias("signature"), "task", "set", "seed", "model_id", "train_variant").distinct()
+    # metrics of some runs lack an eval set, a value, or all; one names another seed
+    f1 = F.when(F.col("ord") % 7 != 0, F.col("f1"))
+    point = [F.col("precision"), F.col("recall"), f1.alias("f1"), F.col("loss")]
+    held = r.where(~((F.col("eval_set") == "unaugmented") & (F.col("seed") == 0) & (F.col("train_variant") == "all")) & ~((F.col("model_id") == "error") & (F.col("seed") == 4)))
+    last = held.groupBy("run", "task", "set", "seed", "model_id", "train_variant", "eval_split", "eval_set").agg(F.max_by(F.struct(*point), "ord").alias("m"))
+    seed = F.when((F.col("model_id") == "view") & (F.col("seed") == 4), 5).otherwise(F.col("seed")).alias("seed")
+    documents = last.groupBy("run", "task", "set", "seed", "model_id", "train_variant", "eval_split").agg(F.map_from_entries(F.collect_list(F.struct("eval_set", "m"))).alias("metrics"))
+    documents.select("run", F.to_json(F.struct("task", "set", seed, "model_id", "train_variant", "eval_split", "metrics")).alias("value")).write.partitionBy("run").text(f"{path}/metrics")
+    state = specs.where(~((F.col("seed") == 1) & (F.col("train_variant") == "none"))).select(
+        "run", F.when(F.col("seed") == 3, "failed").otherwise("completed").alias("status"), F.when((F.col("set") == "set2") & (F.col("seed") == 1), "other").otherwise(F.col("signature")).alias("signature"),
+        F.when((F.col("seed") == 2) & (F.col("train_variant") == "all"), "other").otherwise(F.md5(F.concat("run", F.lit("m")).cast("binary"))).alias("metrics_sha256"),
+    )
+    state.select("run", F.to_json(F.struct("status", "signature", "metrics_sha256")).alias("value")).write.partitionBy("run").text(f"{path}/states")
+    name = lambda c: F.url_decode(F.url_decode(F.regexp_extract(c, r"/run=([^/]*)(?:/|$)", 1)))
+    metrics = runs.read_metrics(spark, f"{path}/metrics", name="*.txt", complete=False).withColumn("run", name("run"))
+    metrics = metrics.withColumn("metrics_sha256", F.md5(F.concat("run", F.lit("m")).cast("binary")))
+    states = runs.read_states(spark, f"{path}/states", name="*.txt").withColumn("run", name("run"))
+    out = cl.validate_runs(specs, states, metrics, eval_sets=("augmented_exclusive", "unaugmented"), epsilon=0.2)
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
 @query(f"""WITH {RUNS}, a AS (SELECT model_id, eval_set, avg(f1) AS value FROM runs WHERE model_id <> 'click' GROUP BY 1, 2), b AS (SELECT model_id, eval_set, avg(f1) + CASE WHEN eval_set = 'unaugmented' THEN 0.001 ELSE 0 END AS value FROM runs WHERE model_id <> 'view' GROUP BY 1, 2)
 SELECT coalesce(a.model_id, b.model_id) AS model_id, coalesce(a.eval_set, b.eval_set) AS eval_set, CASE WHEN a.value IS NULL THEN 'missing_a' WHEN b.value IS NULL THEN 'missing_b' ELSE 'differs' END AS status
 FROM a FULL JOIN b ON a.model_id = b.model_id AND a.eval_set = b.eval_set WHERE a.value IS NULL OR b.value IS NULL OR abs(a.value - b.value) > 1e-6""")

@@ -11,12 +11,12 @@ POINT = "precision:double,recall:double,f1:double,loss:double"
 SCHEMA = f"task string, `set` string, seed int, model_id string, train_variant string, eval_split string, metrics map<string, struct<{POINT},per_epoch:array<struct<epoch:double,{POINT}>>>>"
 
 
-def read_metrics(spark: SparkSession, root: str, epoch: str | int = "final", *, name: str = "metrics.json") -> DataFrame:
+def read_metrics(spark: SparkSession, root: str, epoch: str | int = "final", *, name: str = "metrics.json", complete: bool = True) -> DataFrame:
     """Metric rows of ``runs/*/*/seed_*/*/metrics.json`` under a root, or of files of another ``name``.
 
     ``epoch``: ``final`` (the last values), ``all`` (a row for each epoch), or a
     number (the last matching epoch entry). Rows without finite numbers are
-    skipped.
+    skipped, unless not only ``complete`` ones are asked for.
     """
     files = spark.read.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     rows = files.select("task", "set", "seed", "model_id", "train_variant", "eval_split", F.col("_metadata.file_path").alias("run"), F.explode("metrics").alias("eval_set", "m"))
@@ -32,13 +32,13 @@ def read_metrics(spark: SparkSession, root: str, epoch: str | int = "final", *,
     keep = F.lit(True)
     for m in METRICS:
         keep = keep & F.col(m).isNotNull() & ~F.isnan(m)
-    return out.where(keep)
+    return out.where(keep) if complete else out
 
 
-def read_states(spark: SparkSession, root: str) -> DataFrame:
-    """(run, status, signature, updated_at, metrics_sha256) of run_state.json files."""
+def read_states(spark: SparkSession, root: str, *, name: str = "run_state.json") -> DataFrame:
+    """(run, status, signature, updated_at, metrics_sha256) of run_state.json files, or of files of another ``name``."""
     schema = "status string, signature string, updated_at string, metrics_sha256 string"
-    files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "run_state.json").json(root)
+    files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     return files.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("run"), "*")
 
 
