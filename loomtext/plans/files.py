@@ -51,10 +51,7 @@ def _write_splits(spark, sf_dir, path: str) -> None:
         "set3": {"split_checksums": {"train": ids["train"][1:], "test": ids["test"], "eval": ids["eval"][:1]}},
     }
     for lineage, value in documents.items():
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/profiles/p1/task1/{lineage}/splits.json")
-        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-        stream.write(bytearray(jsonl.dump_document(value).encode()))
-        stream.close()
+        jsonl.write_document(spark, value, f"{path}/profiles/p1/task1/{lineage}/splits.json")
 
 
 @query(f"""WITH {_SPLIT}, a AS (SELECT article_id::VARCHAR AS id, split FROM asg), o AS (SELECT split, min(id) AS id FROM a GROUP BY 1),

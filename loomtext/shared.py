@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +26,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/loomtext/{purpose}-{uuid.uuid4().hex}"
 
 
-_scopes: list[dict[str, bool]] = []
+#: Open scopes of this thread or task: what each has written, and whether it's kept.
+_scopes: ContextVar[tuple[dict[str, bool], ...]] = ContextVar("scopes", default=())
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back."""
     path = shared_dir(df.sparkSession, purpose)
-    if _scopes:
-        _scopes[-1][path] = False
+    if scopes := _scopes.get():
+        scopes[-1][path] = False
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
@@ -56,11 +58,11 @@ def scratch(spark: SparkSession):
         written[_path(df)] = True
         return df
 
-    _scopes.append(written)
+    opened = _scopes.set((*_scopes.get(), written))
     try:
         yield keep
     finally:
-        _scopes.pop()
+        _scopes.reset(opened)
         for path, kept in written.items():
             if not kept:
                 delete(spark, path)

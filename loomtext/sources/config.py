@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,31 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(name): distinct names of a file of one name a line; blank lines and comments are skipped."""
     names = spark.read.text(path).select(F.trim("value").alias("name"))
     return names.where("name <> '' and not startswith(name, '#')").distinct()
+
+
+#: Folders that a curated root holds, and the settings that may name it; fixed values.
+ROOT_FOLDERS, ROOT_KEYS = ("curation_data", "source_articles"), ("curated_root", "curated_data_root")
+
+
+def resolve_root(spark: SparkSession, settings: dict, *, variables: tuple[str, ...] = (), default: str | None = None) -> tuple[str, dict]:
+    """(path, where it comes from) of the curated data: a setting, an environment variable, or a default folder if it's there.
+
+    The first that is given counts, and must hold the folders of curated data; any
+    file system of Spark will do. Nothing is downloaded.
+    """
+
+    def holds(path: str, *names: str) -> bool:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+        return all(fs.isDirectory(spark._jvm.org.apache.hadoop.fs.Path(own, n)) for n in names) if names else fs.exists(own)
+
+    given = [({"source": "config", "key": k}, settings.get(k)) for k in ROOT_KEYS]
+    given += [({"source": "env", "env": v}, os.environ.get(v)) for v in variables]
+    given += [({"source": "local"}, default if default and holds(default) else None)]
+    for info, path in given:
+        if path:
+            path = os.path.expanduser(str(path))
+            if not holds(path, *ROOT_FOLDERS):
+                raise ValueError(f"no curated data at {path}")
+            return path, info | {"path": path}
+    raise ValueError("no curated root is given, and none is downloaded")

@@ -36,6 +36,18 @@ def dump_document(value: dict) -> str:
     return json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
+def write_document(spark: SparkSession, value: dict, path: str) -> None:
+    """A small JSON document: written beside its place and renamed, so that no reader sees half of it."""
+    target, draft = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.draft"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(draft)
+    stream.write(bytearray(dump_document(value).encode()))
+    stream.close()
+    fs.delete(target, False)
+    if not fs.rename(draft, target):
+        raise OSError(f"cannot write {path}")
+
+
 def stable_rows(rows: DataFrame) -> DataFrame:
     """Projection to the stable columns, those it lacks as nulls."""
     return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in STABLE))

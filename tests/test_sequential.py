@@ -366,3 +366,74 @@ def test_prepared_tables_are_made_once(spark, tmp_path):
     assert cache.get({"k": 1}) is None and cache.prepare({"k": 1}, make).count() == 5
     cache.forget({"k": 1})
     assert cache.get({"k": 1}) is None
+
+
+# ---------------------------------------------------------------- plug-ins and roots
+
+
+def by_position(p, v, c):
+    return {"metrics": {"range": (min(v), max(v)), "point": (p, p)}}
+
+
+def test_custom_intervals_by_name_and_position(spark):
+    from loomtext.operators import metrics as me
+
+    d = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "g string, value double")
+    want = {("a", "range", 1.0, 3.0), ("a", "point", 2.0, 2.0), (None, "range", 5.0, 5.0), (None, "point", 5.0, 5.0)}
+    assert {tuple(r) for r in me.custom_intervals(d, "tests.test_sequential:by_position", {}, "g").collect()} == want
+    assert {tuple(r) for r in me.custom_intervals(d, lambda p, v, c: {"range": (min(v), max(v)), "point": (p, p)}, {}, "g").collect()} == want
+    assert {tuple(r)[1:] for r in me.custom_intervals(d, lambda values, config, point: {"n": [len(values), config["x"]]}, {"x": 9}, "g").collect()} == {("n", 2.0, 9.0), ("n", 1.0, 9.0)}
+    rows = spark.range(40).select(F.col("id").alias("i"), (F.col("id") % 2).cast("int").alias("y_true"), (F.col("id") % 3 == 0).cast("int").alias("y_pred"), F.lit(0.5).alias("loss"))
+    out = me.evaluate_binary(rows, {"strategy": "custom", "n_bootstrap": 20, "custom_callable": "tests.test_sequential:by_position"}).collect()
+    assert {(r.metric, r.method) for r in out} == {(m, x) for m in me.METRICS for x in ("range", "point")}
+    with pytest.raises(ValueError):
+        me.evaluate_binary(rows, {"strategy": "custom"})
+    with pytest.raises(ValueError):
+        me.load_callable("no_colon")
+    with pytest.raises(ValueError):
+        me._checked({"a": [1, 2, 3]}, "it")
+
+
+def test_curated_roots_and_documents(spark, tmp_path, monkeypatch):
+    from loomtext.sources import config, jsonl
+
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    for name in config.ROOT_FOLDERS:
+        (good / name).mkdir(parents=True)
+    bad.mkdir()
+    assert config.resolve_root(spark, {"curated_data_root": str(good)})[1] == {"source": "config", "key": "curated_data_root", "path": str(good)}
+    monkeypatch.setenv("SOME_ROOT", str(good))
+    assert config.resolve_root(spark, {}, variables=("OTHER_ROOT", "SOME_ROOT"), default=str(bad))[1]["env"] == "SOME_ROOT"
+    assert config.resolve_root(spark, {}, default=str(good))[1]["source"] == "local"
+    for settings, default in (({"curated_root": str(bad)}, str(good)), ({}, str(bad)), ({}, str(tmp_path / "none")), ({}, None)):
+        with pytest.raises(ValueError):
+            config.resolve_root(spark, settings, default=default)
+    path = str(tmp_path / "d" / "x.json")
+    jsonl.write_document(spark, {"b": [1, "é"], "a": None}, path)
+    jsonl.write_document(spark, {"a": 2}, path)
+    assert jsonl.read_document(spark, path) == {"a": 2} and [p.name for p in (tmp_path / "d").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+
+
+def test_scopes_of_threads_are_apart(spark):
+    import threading
+
+    from loomtext.shared import materialise, scratch
+
+    inside, done, counts = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch(spark):
+            df = materialise(spark.range(3), "mine")
+            inside.set()
+            done.wait(60)
+            counts.append(df.count())
+
+    t = threading.Thread(target=other)
+    t.start()
+    inside.wait(60)
+    with scratch(spark) as keep:
+        kept = keep(materialise(spark.range(5), "kept"))
+        materialise(spark.range(7), "gone")
+    done.set()
+    t.join()
+    assert counts == [3] and kept.count() == 5
