@@ -57,6 +57,16 @@ def apportion(n: int, specs: list[SplitSpec]) -> dict[str, int]:
     return {s.name: c for s, c in zip(specs, counts, strict=True)}
 
 
+def apportioned(sizes: DataFrame, specs: list[SplitSpec], *keys: str) -> DataFrame:
+    """(keys, split, n_articles): :func:`apportion` of the column ``n`` of every group; a group has as many rows as there are specs."""
+    parts = F.array(*(F.struct(F.lit(s.name).alias("split"), F.lit(s.fraction).alias("fraction")) for s in specs))
+    exact = F.col("n") * F.col("p.fraction")
+    rows = sizes.select(*keys, "n", F.posexplode(parts).alias("ord", "p")).withColumns({"k": F.floor(exact), "rest": exact - F.floor(exact)})
+    group = Window.partitionBy(*keys)
+    more = F.row_number().over(group.orderBy(F.desc("rest"), "ord")) <= F.col("n") - F.sum("k").over(group)
+    return rows.select(*keys, "p.split", (F.col("k") + more.cast("bigint")).alias("n_articles"))
+
+
 def categories(spans: DataFrame, *, id_col: str = "article_id") -> DataFrame:
     """Distinct (id, category): the tag of the span key."""
     return spans.select(id_col, F.split_part("source_key", F.lit("/"), F.lit(1)).alias("category")).distinct()

@@ -156,19 +156,6 @@ def window_maximise(spark, sf_dir):
     return w.select("article_id", F.col("seed_index").alias("start"), "s", "e").distinct()
 
 
-_FIT = [(i, s, e, f) for i, (s, e, f) in enumerate([(0, 9, 0), (0, 9, 9), (0, 9, 4), (0, 9, 5), (0, 20, 7), (5, 6, 5), (3, 3, 3), (0, 30, 29), (10, 50, 30)])]
-
-
-@query(f"""WITH RECURSIVE w AS (
-  SELECT * FROM (VALUES {", ".join(map(str, _FIT))}) v(id, s, e, focus)
-  UNION ALL SELECT id, CASE WHEN e - focus > focus - s THEN s ELSE s + 1 END, CASE WHEN e - focus > focus - s THEN e - 1 ELSE e END, focus FROM w WHERE s < e AND e - s + 1 > 6)
-SELECT id, s, e FROM w WHERE e - s + 1 <= 6""")
-def window_fit(spark, sf_dir):
-    """Windows trimmed around their focus, in closed form."""
-    d = spark.createDataFrame(_FIT, "id int, s int, e int, focus int")
-    return d.select("id", wn.fitted(F.col("s"), F.col("e"), F.col("focus"), 6).alias("w")).select("id", "w.s", "w.e")
-
-
 _CUTS = """(s + CASE WHEN l > r THEN least(x, l - r) ELSE 0 END + (x - least(x, abs(l - r)) + 1) // 2)::INT AS s,
   (e - CASE WHEN r > l THEN least(x, r - l) ELSE 0 END - (x - least(x, abs(l - r))) // 2)::INT AS e"""
 
@@ -333,15 +320,3 @@ def coverage_plan(spark, sf_dir):
     scores = cand.select("example_id", F.when(F.length("example_id") % 2 == 0, F.length("example_id").cast("bigint")).alias("score"))
     keys = lex.select(tx.species_key(F.col("name")).alias("k"), "name").groupBy("k").agg(F.min("name").alias("representative")).select("k.initial", "k.epithet", "representative")
     return lx.coverage_plan(cand, keys, scores)
-
-
-@query("""SELECT * FROM (VALUES (1, 'A (b) c-d, 50% x.', 'A (b (B-X)) c-d, 50% x.'), (2, 'it''s "$5', 'it (B-Y)''s "$5'), (3, 'a/b [c]', 'a/b [c (I-Z)]')) v(id, plain, inline)""")
-def rendering(spark, sf_dir):
-    """Readable text with and without labels."""
-    rows = [
-        (1, ["A", "(", "b", ")", "c", "-", "d", ",", "50", "%", "x", "."], ["O", "O", "B-X", *["O"] * 9]),
-        (2, ["it", "'s", '"$5'], ["B-Y", "O", "O"]),
-        (3, ["a", "/", "b", "[", "c", "]"], ["O", "O", "O", "O", "I-Z", "O"]),
-    ]
-    d = spark.createDataFrame(rows, "id int, tokens array<string>, labels array<string>")
-    return d.select("id", lb.spaced(F.col("tokens")).alias("plain"), lb.inline_labels(F.col("tokens"), F.col("labels")).alias("inline"))

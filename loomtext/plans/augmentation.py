@@ -15,7 +15,6 @@ from loomtext.operators import windows as wn
 from loomtext.plans.annotation import COUNTERS, example_frame, examples_sql
 from loomtext.plans.registry import LEX, SPANS, SPECIES, classify_sql, md5, md5_int, query
 from loomtext.shared import materialise
-from loomtext.sources.attribution import parse_attribution
 
 SEED = 7
 
@@ -280,29 +279,10 @@ _RAW = [
     "", "All Rights Reserved.", "CC0 1.0", "Creative Commons Attribution 3.0", "Creative Commons Attribution-NonCommercial-NoDerivatives", "Creative Commons Attribution Share Alike non-commercial", "CC BY-NC 4.0",
     "cc_by-sa", "http://creativecommons.org/licenses/by/4.0/", "MIT", "mit license", "Released under the MIT License.", "Apache-2.0", "CC BY 3.0", "creative commons",
 ]
-_RAWS = ", ".join(f"({i}, '{r}')" for i, r in enumerate(_RAW))
-
-
-@query(f"SELECT id, {_license_sql('raw')} AS license_id FROM (VALUES {_RAWS}) v(id, raw)")
-def licence_normalise(spark, sf_dir):
-    """L4: licence ids of free texts."""
-    d = spark.createDataFrame(list(enumerate(_RAW)), "id int, raw string")
-    return d.select("id", tx.license_id(F.col("raw")).alias("license_id"))
-
-
 _BARRED = "(lid = 'ALL-RIGHTS-RESERVED' OR lid LIKE '%-ND%')"
 _PERMITTED = "(NOT " + _BARRED + " AND lid IN (" + ", ".join(f"'{x}'" for x in tx.PERMISSIVE) + "))"
 
 
-@query(f"""WITH n AS (SELECT id, {_license_sql('raw')} AS license_id FROM (VALUES {_RAWS}) v(id, raw)), u AS (SELECT *, upper(trim(license_id)) AS lid FROM n)
-SELECT id, lid LIKE '%-ND%' OR ({_PERMITTED} AND lid NOT IN ('MIT', 'CC0-1.0')) AS attribution_required, {_PERMITTED} AS redistribution_allowed, {_PERMITTED} AS derivative_allowed,
-  CASE WHEN {_BARRED} THEN 'disallowed' WHEN {_PERMITTED} THEN 'allowed' ELSE 'unknown' END AS policy_status FROM u""")
-def licence_flags(spark, sf_dir):
-    """Policy flags of licence ids."""
-    d = spark.createDataFrame(list(enumerate(_RAW)), "id int, raw string")
-    return d.select("id", tx.license_flags(tx.license_id(F.col("raw"))).alias("f")).select("id", "f.*")
-
-
 def _licensed(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
     line = F.get(F.filter(F.split("text", "\n"), lambda x: x.rlike("[Ll]icen[sc]e")), F.lit(0))
@@ -335,16 +315,6 @@ def licence_summary(spark, sf_dir):
     return lc.summary(_licensed(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('aabbccdd11', 'CC-BY-4.0'), ('aabbccdd22', 'MIT'), ('aabbccdd33', 'CC0-1.0'), ('aabbccdd44', 'UNKNOWN'), ('aabbccdd55', 'CC-BY-NC-4.0'), ('aabbccdd66', 'CC-BY-SA-4.0')) v(checksum, license_id)""")
-def attribution_parse(spark, sf_dir):
-    """IO18: block and tabular attribution lines."""
-    text = "\n".join([
-        "checksum: aabbccdd11", "licence: CC BY 4.0", "", "aabbccdd22,mit", "aabbccdd33  cc0 dedication", "", "sha256 = aabbccdd44", "checksum: aabbccdd55",
-        "is obtained by the following licence: Creative Commons non-commercial", "", "just words here", "aabbccdd66;CC BY-SA 4.0",
-    ])
-    return parse_attribution(spark.createDataFrame([("a", text)], "path string, value string")).select("checksum", "license_id")
-
-
 _SPECS = st.split_specs({"splits": {"train": {"fraction": 0.7}, "test": {"fraction": 0.2, "coverage": {"min_articles_per_category": 1}}, "eval": {"fraction": 0.1}}})
 _SPLIT = f"""c AS (SELECT count(*) AS n FROM documents), sp AS (SELECT * FROM (VALUES ('train', 0, 0.7::DOUBLE), ('test', 1, 0.2::DOUBLE), ('eval', 2, 0.1::DOUBLE)) v(split, ord, f)),
 fl AS (SELECT split, ord, floor(n * f) AS k, n * f - floor(n * f) AS rem, n FROM sp, c),
@@ -354,12 +324,6 @@ rk AS (SELECT doc_id AS article_id, row_number() OVER (ORDER BY {md5(SEED, "spli
 asg AS (SELECT article_id, split FROM rk JOIN cu ON r >= lo AND r < lo + n_articles)"""
 
 
-@query("SELECT * FROM (VALUES ('train', 8), ('test', 2), ('eval', 1)) v(split, n)")
-def split_apportion(spark, sf_dir):
-    """Largest remainders."""
-    return spark.createDataFrame(list(st.apportion(11, _SPECS).items()), "split string, n int")
-
-
 def _assigned(spark, sf_dir):
     return st.assign(fx.articles(spark, sf_dir), _SPECS, SEED)
 
@@ -449,11 +413,3 @@ def category_sample(spark, sf_dir):
     """Two examples of each category with each data set's stable seed."""
     d = _examples(spark, sf_dir).withColumn("dataset", F.concat(F.lit("set"), (F.col("example_id").cast("bigint") % 2).cast("string")))
     return sa.category_sample(d, 2, SEED)
-
-
-@query("""SELECT id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug, left(sha1(t), 8) AS profile, xor(42::BIGINT, ('0x' || left(sha1(t), 8))::BIGINT) AS seed
-FROM (SELECT id, t, left(regexp_replace(regexp_replace(lower(trim(t)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS s FROM (VALUES (1, ' Hello, World! '), (2, '---'), (3, 'Model/Name_v1.0')) v(id, t)) x""")
-def identifiers(spark, sf_dir):
-    """Slugs, stable seeds, short labels."""
-    d = spark.createDataFrame([(1, " Hello, World! "), (2, "---"), (3, "Model/Name_v1.0")], "id int, t string")
-    return d.select("id", tx.slug(F.col("t")).alias("slug"), tx.profile_label(F.col("t")).alias("profile"), tx.stable_seed(42, F.col("t")).alias("seed"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext import fixtures as fx
-from loomtext.functions import labels as lb
 from loomtext.functions import text as tx
 from loomtext.operators import bootstrap as bs
 from loomtext.operators import claims as cl
@@ -54,25 +53,6 @@ def example_diff(spark, sf_dir):
     return sm.diff(d.where("doc_id % 10 <> 3"), b)
 
 
-@query("""SELECT * FROM (VALUES ('a', 'token_label_length_mismatch:2'), ('a', 'max_tokens_exceeded:4>3'), ('a', 'missing_required_category:irrelevant'), ('a', 'missing_required_raw_type:ZZ'),
-  ('a', 'example_meta_length_mismatch:2!=1'), ('b', 'token_label_length_mismatch:2'), ('b', 'missing_required_raw_type:ZZ')) v(name, error)""")
-def validate_sets(spark, sf_dir):
-    """A2: failed checks with and without metadata."""
-    ex = spark.createDataFrame([("1", ["a", "b", "c", "d"], ["O", "B-X", "O", "O"]), ("2", ["a"], ["O", "O"])], "example_id string, tokens array<string>, labels array<string>")
-    meta = spark.createDataFrame([("relevant", None, None, ["X"], [])], "category string, reason string, forced_relevant boolean, types_raw array<string>, types_pooled array<string>")
-    a = sm.validate(ex, meta, max_tokens=3, required_categories=("relevant", "irrelevant"), required_raw_types=("X", "ZZ"))
-    b = sm.validate(ex, required_categories=("O-only",), required_raw_types=("X", "ZZ"))
-    return a.select(F.lit("a").alias("name"), "error").unionByName(b.select(F.lit("b").alias("name"), "error"))
-
-
-@query("""SELECT * FROM (VALUES ('t1/set1/train/all.set', 'train'), ('t1/set1/test/none.set', 'tests'), ('t2/x.conll', NULL), ('t1/set2/train/none.set', 'train'), ('q.set', 'one')) v(path, rule)""")
-def qa_rules(spark, sf_dir):
-    """A3: the first rule whose glob matches; a star crosses slashes."""
-    sets = spark.createDataFrame([("t1/set1/train/all.set",), ("t1/set1/test/none.set",), ("t2/x.conll",), ("t1/set2/train/none.set",), ("q.set",)], "path string")
-    rules = spark.createDataFrame([(0, "train", "*/train/*.set"), (1, "tests", "t?/*[!x].set"), (2, "one", "[pq].set"), (3, "late", "*.set")], "ord int, name string, pattern string")
-    return sm.first_rule(sets, rules)
-
-
 @query("""WITH a AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 AND lang <> 'es' GROUP BY 1), b AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 1 AND lang <> 'de' GROUP BY 1)
 SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.lang = b.lang""")
 def manifest_delta(spark, sf_dir):
@@ -141,16 +121,6 @@ def claims_leaked_rows(spark, sf_dir):
     return cl.rows_with_values(rows, values, "phrase_leak")
 
 
-@query("SELECT * FROM (VALUES ('exclusion', 'e1', '1 values claimed only'), ('exclusion', 'e1', '2 values missing'), ('calibration_test', 's/test', '1 values missing'), ('calibration_train', 's/train', '1 values claimed only')) v(\"check\", context, message)")
-def claims_sets(spark, sf_dir):
-    """Exclusion lists and calibration splits as sets."""
-    a = spark.createDataFrame([("e1", "x"), ("e1", "y"), ("e2", "z")], "context string, value string")
-    b = spark.createDataFrame([("e1", "y"), ("e1", "u"), ("e1", "v"), ("e2", "z"), ("e2", "z")], "context string, value string")
-    main = spark.createDataFrame([("s", "train", "1"), ("s", "train", "2"), ("s", "train", "9"), ("s", "test", "3")], "lineage string, split string, article_id string")
-    cal = spark.createDataFrame([("s", "train", "1"), ("s", "eval", "2"), ("s", "test", "3"), ("s", "test", "4")], "lineage string, split string, article_id string")
-    return cl.set_differences(a, b, "exclusion").unionByName(cl.calibration_relation(main, cal))
-
-
 @query(f"WITH {_MEM}, o AS (SELECT DISTINCT lineage FROM mem t WHERE split = 'train' AND EXISTS (SELECT 1 FROM mem e WHERE e.lineage = t.lineage AND e.split = 'eval' AND e.article_id = t.article_id)), v AS (SELECT 'split_overlap' AS c FROM o UNION ALL SELECT 'equal_lineages') SELECT c AS \"check\", count(*) AS n FROM v GROUP BY ROLLUP (c)")
 def claims_rollup(spark, sf_dir):
     """Violations of all checks, with their total."""
@@ -158,17 +128,6 @@ def claims_rollup(spark, sf_dir):
     return cl.rollup(cl.all_violations(cl.split_overlaps(m), cl.equal_lineages(m)))
 
 
-@query("""SELECT * FROM (VALUES ('r1', '', true), ('r2', 'missing_state,missing_metrics,missing_eval_set:a,missing_eval_set:u', false), ('r3', 'status:failed,signature_mismatch,metrics_hash_mismatch,identity_mismatch:seed,missing_eval_set:u,collapsed:a', false), ('r4', 'missing_metric:u', false)) v(run, errors, ok)""")
-def run_validation(spark, sf_dir):
-    """Failed checks of run directories."""
-    ident = "task string, `set` string, seed int, model_id string, train_variant string"
-    specs = spark.createDataFrame([(f"r{i}", f"g{i}", "t", "s", 1, "m", "all") for i in (1, 2, 3, 4)], f"run string, signature string, {ident}")
-    states = spark.createDataFrame([("r1", "completed", "g1", "h1"), ("r3", "failed", "zz", "h9"), ("r4", "completed", "g4", "h4")], "run string, status string, signature string, metrics_sha256 string")
-    rows = [("r1", "h1", 1, "a", 0.5), ("r1", "h1", 1, "u", 0.5), ("r3", "h3", 2, "a", 0.0), ("r4", "h4", 1, "a", 0.4), ("r4", "h4", 1, "u", None)]
-    m = spark.createDataFrame([(r, h, "t", "s", s, "m", "all", e, v, v, v, 1.0) for r, h, s, e, v in rows], f"run string, metrics_sha256 string, {ident}, eval_set string, precision double, recall double, f1 double, loss double")
-    return cl.validate_runs(specs, states, m, eval_sets=("a", "u")).withColumn("errors", F.array_join("errors", ","))
-
-
 _CHECKED = f"""{RUNS}, l AS (SELECT * REPLACE (CASE WHEN ord % 7 = 0 THEN NULL ELSE f1 END AS f1, CASE WHEN model_id = 'view' AND seed = 4 THEN 5 ELSE seed END AS seed), model_id || '/' || "set" || '/seed_' || seed || '/' || train_variant AS run, seed AS own
   FROM runs WHERE NOT (eval_set = 'unaugmented' AND seed = 0 AND train_variant = 'all') QUALIFY row_number() OVER (PARTITION BY model_id, "set", seed, train_variant, eval_set ORDER BY ord DESC) = 1),
 sp AS (SELECT DISTINCT model_id || '/' || "set" || '/seed_' || seed || '/' || train_variant AS run, "set", seed, model_id, train_variant FROM runs),
@@ -176,16 +135,17 @@ stt AS (SELECT run, CASE WHEN seed = 3 THEN 'failed' ELSE 'completed' END AS sta
 mt AS (SELECT run, max(seed) AS seed, list_sort(list(DISTINCT eval_set)) AS sets, coalesce(list_sort(list(DISTINCT eval_set) FILTER (f1 IS NULL)), []) AS part, coalesce(list_sort(list(DISTINCT eval_set) FILTER (f1 IS NOT NULL AND abs(f1) <= 0.2 AND abs(precision) <= 0.2 AND abs(recall) <= 0.2)), []) AS low FROM l WHERE NOT (model_id = 'error' AND own = 4) GROUP BY run)"""
 
 
-@query(f"""WITH {_CHECKED}, e AS (SELECT sp.run, list_filter(list_concat(
+_CHECKED_ERRORS = f"""WITH {_CHECKED}, e AS (SELECT sp.run, list_filter(list_concat(
   [CASE WHEN stt.run IS NULL THEN 'missing_state' END, CASE WHEN mt.run IS NULL THEN 'missing_metrics' END, CASE WHEN status <> 'completed' THEN 'status:' || status END, CASE WHEN sig <> md5(sp.run) THEN 'signature_mismatch' END,
     CASE WHEN mt.run IS NOT NULL AND sha <> md5(sp.run || 'm') THEN 'metrics_hash_mismatch' END, CASE WHEN mt.seed <> sp.seed THEN 'identity_mismatch:seed' END],
   list_transform(list_filter(['augmented_exclusive', 'unaugmented'], lambda x: NOT list_contains(coalesce(sets, []), x)), lambda x: 'missing_eval_set:' || x),
   list_transform(coalesce(part, []), lambda x: 'missing_metric:' || x), list_transform(coalesce(low, []), lambda x: 'collapsed:' || x)), lambda x: x IS NOT NULL) AS errors
 FROM sp LEFT JOIN stt ON stt.run = sp.run LEFT JOIN mt ON mt.run = sp.run)
-SELECT run, array_to_string(errors, ',') AS errors, len(errors) = 0 AS ok FROM e""")
-def run_validation_folders(spark, sf_dir):
-    """C10 F7 IO15 IO16: every run of the table as a folder with its metrics and state, read back and checked; some have faults."""
-    path = shared_dir(spark, "checked")
+SELECT run, array_to_string(errors, ',') AS errors, len(errors) = 0 AS ok FROM e"""
+
+
+def _faulty_runs(spark, sf_dir):
+    """(specs, metrics, states) of the runs of the table, some with faults; ``metrics`` holds a struct ``m`` for each eval set."""
     r = fx.run_metrics(spark, sf_dir)
     run = F.concat_ws("/", "model_id", "set", F.concat(F.lit("seed_"), F.col("seed").cast("string")), "train_variant")
     r = r.withColumn("run", run)
@@ -195,13 +155,21 @@ def run_validation_folders(spark, sf_dir):
     point = [F.col("precision"), F.col("recall"), f1.alias("f1"), F.col("loss")]
     held = r.where(~((F.col("eval_set") == "unaugmented") & (F.col("seed") == 0) & (F.col("train_variant") == "all")) & ~((F.col("model_id") == "error") & (F.col("seed") == 4)))
     last = held.groupBy("run", "task", "set", "seed", "model_id", "train_variant", "eval_split", "eval_set").agg(F.max_by(F.struct(*point), "ord").alias("m"))
-    seed = F.when((F.col("model_id") == "view") & (F.col("seed") == 4), 5).otherwise(F.col("seed")).alias("seed")
-    documents = last.groupBy("run", "task", "set", "seed", "model_id", "train_variant", "eval_split").agg(F.map_from_entries(F.collect_list(F.struct("eval_set", "m"))).alias("metrics"))
-    documents.select("run", F.to_json(F.struct("task", "set", seed, "model_id", "train_variant", "eval_split", "metrics")).alias("value")).write.partitionBy("run").text(f"{path}/metrics")
+    metrics = last.withColumn("seed", F.when((F.col("model_id") == "view") & (F.col("seed") == 4), 5).otherwise(F.col("seed")))
     state = specs.where(~((F.col("seed") == 1) & (F.col("train_variant") == "none"))).select(
         "run", F.when(F.col("seed") == 3, "failed").otherwise("completed").alias("status"), F.when((F.col("set") == "set2") & (F.col("seed") == 1), "other").otherwise(F.col("signature")).alias("signature"),
         F.when((F.col("seed") == 2) & (F.col("train_variant") == "all"), "other").otherwise(F.md5(F.concat("run", F.lit("m")).cast("binary"))).alias("metrics_sha256"),
     )
+    return specs, metrics, state
+
+
+@query(_CHECKED_ERRORS)
+def run_validation_folders(spark, sf_dir):
+    """C10 F7 IO15 IO16: every run of the table as a folder with its metrics and state, read back and checked; some have faults."""
+    path = shared_dir(spark, "checked")
+    specs, held, state = _faulty_runs(spark, sf_dir)
+    documents = held.groupBy("run", "task", "set", "seed", "model_id", "train_variant", "eval_split").agg(F.map_from_entries(F.collect_list(F.struct("eval_set", "m"))).alias("metrics"))
+    documents.select("run", F.to_json(F.struct("task", "set", "seed", "model_id", "train_variant", "eval_split", "metrics")).alias("value")).write.partitionBy("run").text(f"{path}/metrics")
     state.select("run", F.to_json(F.struct("status", "signature", "metrics_sha256")).alias("value")).write.partitionBy("run").text(f"{path}/states")
     name = lambda c: F.url_decode(F.url_decode(F.regexp_extract(c, r"/run=([^/]*)(?:/|$)", 1)))
     metrics = runs.read_metrics(spark, f"{path}/metrics", name="*.txt", complete=False).withColumn("run", name("run"))
@@ -221,23 +189,6 @@ def parity_compare(spark, sf_dir):
     return cl.metric_parity(r.where("model_id <> 'click'"), b, "model_id", "eval_set").select("model_id", "eval_set", "status")
 
 
-@query("SELECT * FROM (VALUES ('asset', 'y', 'differs'), ('asset', 'z', 'missing'), ('signature', 'lr', NULL), ('signature', 'seed', NULL)) v(kind, key, status)")
-def signature_and_assets(spark, sf_dir):
-    """Signatures compared key by key; asset hashes against a manifest."""
-    kv = lambda rows: spark.createDataFrame(rows, "key string, value string")
-    s = cl.signature_mismatches(kv([("lr", "1"), ("seed", "2"), ("model", "m")]), kv([("lr", "2"), ("model", "m")]))
-    h = lambda rows: spark.createDataFrame(rows, "asset string, sha256 string")
-    a = cl.manifest_mismatches(h([("x", "1"), ("y", "2"), ("z", "3")]), h([("x", "1"), ("y", "9")]))
-    return s.select(F.lit("signature").alias("kind"), "key", F.lit(None).cast("string").alias("status")).unionByName(a.select(F.lit("asset").alias("kind"), F.col("asset").alias("key"), "status"))
-
-
-@query("SELECT * FROM (VALUES ('t1', 's1', 'all', 't1/test/b.set'), ('t1', 's1', 'none', 't1/s1/train/none.set'), ('t1', 's1', 'none', 't1/test/b.set')) v(task, \"set\", train_variant, path)")
-def missing_artifacts(spark, sf_dir):
-    """Files that jobs need and a listing lacks."""
-    jobs = spark.createDataFrame([("t1", "s1", v, "test", ["a", "b"], seed) for v in ("all", "none") for seed in (1, 2)], "task string, `set` string, train_variant string, eval_split string, eval_sets array<string>, seed int")
-    return cl.missing_artifacts(jobs, spark.createDataFrame([("t1/s1/train/all.set",), ("t1/test/a.set",)], "path string"))
-
-
 @query("""WITH f AS (SELECT 'f' || lpad(page_id::VARCHAR, 6, '0') AS path, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS h FROM pages)
 SELECT count(*) AS n_files, sum(size)::BIGINT AS n_bytes, sha256(string_agg(path || chr(9) || size || chr(9) || h || chr(10), '' ORDER BY path)) AS digest FROM f""")
 def tree_digest(spark, sf_dir):
@@ -276,13 +227,6 @@ def token_prf(spark, sf_dir):
     return _r(me.token_metrics(rows.withColumn("y_pred", pred)), "precision", "recall", "f1")
 
 
-@query("SELECT * FROM (VALUES ('O', 'B-X'), ('B-X', 'O')) v(y_true, y_pred)")
-def argmax_labels(spark, sf_dir):
-    """Labels of the highest scores, ignored positions skipped, the first of ties."""
-    d = spark.createDataFrame([([[0.1, 0.9], [0.5, 0.5], [0.3, 0.2]], [0, 1, -100], ["O", "B-X"])], "s array<array<double>>, y array<int>, names array<string>")
-    return d.select(F.explode(me.argmax_labels(F.col("s"), F.col("y"), F.col("names"))).alias("x")).select("x.y_true", "x.y_pred")
-
-
 _Z = repr(me.normal_quantile(0.95))
 _CLIP = "greatest(0.0, least(1.0, {} {} " + _Z + " * {}))"
 
@@ -500,48 +444,9 @@ def time_range_filter(spark, sf_dir):
     return rp.in_time_range(e, "2024-01-02", "2024-01-03").select("event_id", tx.short_time(F.col("run_updated_at")).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES (1, 2, true), (2, 4, true), (3, NULL, true), (4, NULL, false), (5, 7, false)) v(id, epoch, kept)")
-def epoch_parse(spark, sf_dir):
-    """Epochs rounded half to even, lenient metrics."""
-    d = spark.createDataFrame([(1, "1.5", "0.5"), (2, "3.5", "1"), (3, "0", "0.1"), (4, "x", "nan"), (5, "7", "bad")], "id int, e string, m string")
-    for c in rp.METRICS:
-        d = d.withColumn(c, F.col("m"))
-    kept = rp.lenient_metrics(d).select("id", F.lit(True).alias("kept"))
-    return d.select("id", rp.parse_epoch(F.col("e")).alias("epoch")).join(kept, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-
-
-@query("SELECT metric, CASE WHEN metric = 'loss' THEN 0.5 ELSE 50.0 END::DOUBLE AS value FROM (VALUES ('precision'), ('recall'), ('f1'), ('loss')) v(metric)")
-def metric_scale(spark, sf_dir):
-    """Percent for all metrics but the loss."""
-    return spark.createDataFrame([(m, 0.5) for m in ("precision", "recall", "f1", "loss")], "metric string, value double").select("metric", tx.percent(F.col("metric"), F.col("value")).alias("value"))
-
-
 # ---------------------------------------------------------------- jobs and prepared rows
 
 
-@query("SELECT t AS task, s AS \"set\", m AS model, 'tok' AS tokenizer, 510 AS max_length, d AS seed, v AS train_variant, 'test' AS eval_split, 'a,u' AS eval_sets, 'runs/' || m || '/' || s || '/seed_' || d || '/' || v AS run_dir FROM (VALUES ('t1'), ('t2')) a(t), (VALUES ('set1'), ('set2')) b(s), (VALUES ('m1'), ('m2')) c(m), (VALUES (1), (2), (3)) e(d), (VALUES ('none'), ('all')) f(v)")
-def job_matrix(spark, sf_dir):
-    """Cross product of tasks, sets, models, seeds and variants."""
-    models = spark.createDataFrame([("m1", "tok", 510), ("m2", "tok", 510)], "model string, tokenizer string, max_length int")
-    j = mx.run_dir(mx.job_matrix(["t1", "t2"], ["set1", "set2"], models, [1, 2, 3], ["none", "all"], eval_sets=["a", "u"]))
-    return j.withColumn("eval_sets", F.array_join("eval_sets", ","))
-
-
-@query("SELECT * FROM (VALUES (1, 'lr', '3e-5'), (1, 'epochs', '4'), (1, 'batch', '8'), (2, 'lr', '2e-5'), (2, 'epochs', '6'), (2, 'batch', '8')) v(job_id, name, value)")
-def hparam_precedence(spark, sf_dir):
-    """The most specific level that states a parameter wins."""
-    t = lambda rows: spark.createDataFrame(rows, "job_id int, name string, value string")
-    jobs = spark.createDataFrame([(1,), (2,)], "job_id int")
-    return mx.resolve_hparams(jobs, [t([(1, "lr", "3e-5")]), t([(1, "lr", "9e-5"), (1, "epochs", "4")]), t([(1, "epochs", "6"), (2, "epochs", "6")])], {"lr": "2e-5", "epochs": "8", "batch": "8"})
-
-
-@query("SELECT * FROM (VALUES ('all', 'a*', 'x'), ('species', 'speci??', 'y'), ('none', '*', 'z')) v(train_variant, pattern, params)")
-def variant_pattern(spark, sf_dir):
-    """The longest matching glob wins."""
-    jobs = spark.createDataFrame([("all",), ("species",), ("none",)], "train_variant string")
-    return mx.variant_pattern(jobs, spark.createDataFrame([("*", "z"), ("a*", "x"), ("speci??", "y"), ("s*", "w")], "pattern string, params string"))
-
-
 @query("SELECT lang AS train_variant FROM (SELECT DISTINCT source, lang FROM documents) d GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT source) FROM documents)")
 def common_variants(spark, sf_dir):
     """Variants that every set has."""
@@ -590,21 +495,6 @@ def prepared_cache(spark, sf_dir):
     return p.select("example_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), F.size("input_ids").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, '-100,0,-100,1,-100'), (2, '1')) v(id, labels)")
-def subword_alignment(spark, sf_dir):
-    """Labels of subwords."""
-    d = spark.createDataFrame([(1, [None, 0, 0, 1, None], ["O", "B-X"]), (2, [0], ["B-X"])], "id int, w array<int>, x array<string>")
-    ids = F.create_map(F.lit("O"), F.lit(0), F.lit("B-X"), F.lit(1))
-    return d.select("id", F.array_join(F.transform(lb.align_subwords(F.col("w"), F.col("x"), ids), lambda v: v.cast("string")), ",").alias("labels"))
-
-
-@query("SELECT * FROM (VALUES (1, '1,2,0'), (2, '1,2,3'), (3, '5')) v(id, ids)")
-def padding(spark, sf_dir):
-    """Arrays filled up to the longest of their batch."""
-    d = spark.createDataFrame([(1, 0, [1, 2]), (2, 0, [1, 2, 3]), (3, 1, [5])], "id int, batch int, ids array<int>")
-    return mx.padded(d, "ids", 0, "batch").select("id", F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"))
-
-
 _PREPARED = f"""{_ROWS}, d AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS id FROM (SELECT DISTINCT label FROM lb UNION SELECT 'O') x),
 n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t, label) AS rn FROM lb),
 e AS (SELECT l_orderkey::VARCHAR AS id, string_agg('1', ',') AS m, string_agg(('0x' || left(md5(t::VARCHAR), 7))::INT::VARCHAR, ',' ORDER BY rn) AS i, string_agg(d.id::VARCHAR, ',' ORDER BY rn) AS l FROM n JOIN d USING (label) GROUP BY 1),
