@@ -120,7 +120,7 @@ def phrase_order(phrases: Column) -> Column:
 def phrases_present(text: Column, phrases: Column) -> Column:
     """Phrases that stand in the text as whole words, in phrase order."""
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return phrase_order(F.filter(phrases, lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" ")))))
+    return phrase_order(let(padded, lambda t: F.filter(phrases, lambda p: F.contains(t, F.concat(F.lit(" "), p, F.lit(" "))))))
 
 
 def slug(text: Column, fallback: str = "item", most: int = 80) -> Column:

@@ -52,36 +52,12 @@ def sentence_bounds(spark, sf_dir):
     return fx.articles(spark, sf_dir).select("article_id", F.explode(wn.sentences(F.col("tokens"))).alias("x")).select("article_id", "x.s", "x.e")
 
 
-_EDGE = [(1, "a b. Fig. c ]. d"), (2, "x. yy. al. Sp. z"), (3, "no end"), (4, "."), (5, "]."), (6, "E.G. is no end. but this is")]
-
-
-@query(rf"""WITH art AS (SELECT a AS article_id, string_split(t, ' ') AS tokens FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _EDGE)}) v(a, t)),
-tok AS (SELECT article_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) - 1 AS pos FROM art), {SENT} SELECT article_id, s, e FROM sent""")
-def sentence_bounds_edge(spark, sf_dir):
-    """Short tokens, brackets, abbreviations in any case, a text without end."""
-    a = spark.createDataFrame(_EDGE, "article_id int, t string").select("article_id", F.split("t", " ").alias("tokens"))
-    return a.select("article_id", F.explode(wn.sentences(F.col("tokens"))).alias("x")).select("article_id", "x.s", "x.e")
-
-
 @query(f"WITH {LAB} SELECT article_id, string_agg(label, ' ' ORDER BY pos) AS labels FROM lab GROUP BY 1")
 def bio_labels(spark, sf_dir):
     """Labels of all documents."""
     return fx.labelled(spark, sf_dir).where(F.size("tokens") > 0).select("article_id", F.array_join("labels", " ").alias("labels"))
 
 
-@query("""SELECT * FROM (VALUES ('plain', 'O B-SPEC B-STRA O O'), ('null map', 'O B-SPEC B-STRA O O'), ('empty map', 'O O O O O'), ('mapped', 'O B-ORG I-ORG O O')) v(name, labels)""")
-def bio_labels_overlap(spark, sf_dir):
-    """Later spans overwrite; an empty map turns all to O, a null map nothing."""
-    a = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"])], "article_id int, tokens array<string>")
-    m = a.select("article_id", F.expr("map('species/x', array('1+2'), 'strain', array('2+1'))").alias("curation"))
-    own = sp.spans_from_map(m)
-    out = None
-    for name, mapping in (("plain", None), ("null map", None), ("empty map", {}), ("mapped", {"SPEC": "ORG"})):
-        r = sp.bio_labels(a, own, mapping).select(F.lit(name).alias("name"), F.array_join("labels", " ").alias("labels"))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 @query(f"WITH {LAB} SELECT article_id, string_agg(CASE WHEN label LIKE '%-SPEC' THEN split_part(label, '-', 1) || '-ORGN' ELSE 'O' END, ' ' ORDER BY pos) AS labels FROM lab GROUP BY 1")
 def label_pool(spark, sf_dir):
     """S3: pooled labels, unmapped types to O."""
@@ -99,20 +75,6 @@ def classify_documents(spark, sf_dir):
     return d.select("article_id", F.array_join(lb.bio_types(F.col("labels")), ",").alias("types"), c["reason"].alias("reason"))
 
 
-_CLASSES = [
-    (1, "B-NEG B-POS", "relevant", True, "negative_and_other"), (2, "B-POS O", "relevant", False, "has_non_negative_label"), (3, "B-NEG B-RAW", "relevant", True, "negative_and_raw_other"),
-    (4, "B-RAW", "relevant", False, "has_raw_label_only"), (5, "O B-NEG", "irrelevant", False, "no_non_negative_labels"), (6, "O X B-", "relevant", False, "has_raw_label_only"),
-]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {c!r}, {f}, {r!r})' for i, _, c, f, r in _CLASSES)}) v(id, category, forced_relevant, reason)")
-def classify_edge(spark, sf_dir):
-    """Each of the five reasons, and the empty type."""
-    d = spark.createDataFrame([(i, x.split(" ")) for i, x, *_ in _CLASSES], "id int, labels array<string>")
-    c = lb.classify(F.col("labels"), _map({"NEG": "NEG", "POS": "POS"}), F.array(F.lit("NEG")))
-    return d.select("id", c.alias("c")).select("id", "c.category", "c.forced_relevant", "c.reason")
-
-
 @query(f"WITH {SPANS} SELECT DISTINCT s.article_id, s.label4, array_to_string(list_slice(a.tokens, s.start + 1, s.start + s.length), ' ') AS phrase FROM spans s JOIN art a USING (article_id)")
 def span_phrases(spark, sf_dir):
     """Distinct phrases of spans."""
@@ -271,16 +233,6 @@ def lexicon_key_index(spark, sf_dir):
     return k.select("initial", "epithet", F.array_join("full_forms", ",").alias("full_forms"), F.array_join("abbreviations", ",").alias("abbreviations"), "orphan_abbreviation", "representative")
 
 
-@query("SELECT * FROM (VALUES ('E', 'coli', 'Escherichia coli', 'E. coli', false, 'Escherichia coli'), ('B', 'cereus', '', 'B. cereus', true, 'B. cereus'), ('S', 'aureus', 'Staph aureus,Staphylococcus aureus', '', false, 'Staph aureus')) v(initial, epithet, full_forms, abbreviations, orphan_abbreviation, representative)")
-def lexicon_key_index_edge(spark, sf_dir):
-    """L1 L3: orphan abbreviations, several full forms, phrases that don't match."""
-    rows = [(1, "Escherichia coli"), (2, "E. coli"), (3, "B. cereus"), (4, "Staphylococcus aureus"), (5, "Staph aureus"), (6, "not a name")]
-    a = spark.createDataFrame([(i, t.split(" ")) for i, t in rows], "article_id int, tokens array<string>")
-    s = spark.createDataFrame([(i, i, "SPEC/x", "SPEC", 0, len(t.split(" "))) for i, t in rows], "article_id int, ord int, source_key string, label4 string, start int, length int")
-    k = lx.lexicon_keys(lx.extract_lexicon(a, s))
-    return k.select("initial", "epithet", F.array_join("full_forms", ",").alias("full_forms"), F.array_join("abbreviations", ",").alias("abbreviations"), "orphan_abbreviation", "representative")
-
-
 _TAKEN = "taken AS (SELECT DISTINCT left(name, 1) AS initial, split_part(name, ' ', 2) AS epithet FROM lex WHERE name < 'F')"
 
 

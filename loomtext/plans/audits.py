@@ -8,15 +8,19 @@ from loomtext import fixtures as fx
 from loomtext.functions import labels as lb
 from loomtext.functions import text as tx
 from loomtext.operators import claims as cl
+from loomtext.operators import lexicon as lx
 from loomtext.operators import matrix as mx
 from loomtext.operators import metrics as me
 from loomtext.operators import reports as rp
+from loomtext.operators import spans as sp
 from loomtext.operators import splits as st
 from loomtext.operators import summary as sm
+from loomtext.operators import variants as va
 from loomtext.operators import windows as wn
-from loomtext.plans.augmentation import _ATTR, _BARRED, _PERMITTED, _RAW, _SPECS, _SPLIT, _assigned, _license_sql
+from loomtext.plans.annotation import _map
+from loomtext.plans.augmentation import _ATTR, _BARRED, _PERMITTED, _RAW, _SPECS, _SPLIT, _STRA, SEED, _assigned, _class_sql, _license_sql, _phrases, _scrambled_sql
 from loomtext.plans.evaluation import _CHECKED_ERRORS, _ROWS, _faulty_runs, _orders
-from loomtext.plans.registry import LAB, RUNS, SPECIES, query
+from loomtext.plans.registry import LAB, RUNS, SENT, SPANS, SPECIES, classify_sql, query
 from loomtext.sources.attribution import parse_attribution
 
 # ---------------------------------------------------------------- example sets and claims
@@ -307,3 +311,104 @@ def window_fit(spark, sf_dir):
     ints = [c.cast("int").alias(n) for c, n in ((start, "s"), (start + width, "e"), (focus, "focus"))]
     d = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), *ints)
     return d.select("id", "line", wn.fitted(F.col("s"), F.col("e"), F.col("focus"), 6).alias("w")).select("id", "line", "w.s", "w.e")
+
+
+# ---------------------------------------------------------------- sentences, labels, phrases
+
+
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(rf"""WITH art AS (SELECT conv_id || '-' || turn || '-' || role AS article_id, list_filter(string_split_regex(coalesce(upper(text), ''), '\s+'), lambda x: x <> '') AS tokens FROM conversations),
+tok AS (SELECT article_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) - 1 AS pos FROM art), {SENT} SELECT article_id, s, e FROM sent""")
+def sentence_bounds_edge(spark, sf_dir):
+    """Sentences of the turns of conversations in capitals."""
+    turns = fx.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", "role").alias("article_id"), tx.words(F.translate("text", _SMALL, _SMALL.upper())).alias("tokens"))
+    return turns.select("article_id", F.explode(wn.sentences(F.col("tokens"))).alias("x")).select("article_id", "x.s", "x.e")
+
+
+_OVER = f"""{SPANS}, more AS (SELECT * FROM spans UNION ALL SELECT article_id, 2000000000 + start, 'STRA/over', 'STRA', start - 1, 2, start + 1 FROM spans WHERE label4 = 'SPEC' AND start > 0)""" + LAB[len(SPANS):].replace("FROM spans", "FROM more")
+
+
+@query(f"""WITH {_OVER}, x AS (SELECT 'plain' AS name, article_id, pos, label FROM lab UNION ALL SELECT 'empty map', article_id, pos, 'O' FROM lab
+  UNION ALL SELECT 'mapped', article_id, pos, coalesce(org.label, 'O') FROM lab LEFT JOIN (SELECT article_id, pos, arg_max(CASE WHEN pos = start THEN 'B-ORG' ELSE 'I-ORG' END, ord) AS label FROM cell WHERE label4 = 'SPEC' GROUP BY 1, 2) org USING (article_id, pos))
+SELECT name, article_id, string_agg(label, ' ' ORDER BY pos) AS labels FROM x GROUP BY 1, 2""")
+def bio_labels_overlap(spark, sf_dir):
+    """Later spans overwrite those that they overlap, here one over the start of each name; spans whose type isn't mapped overwrite nothing."""
+    own, a = fx.spans(spark, sf_dir), fx.articles(spark, sf_dir).where(F.size("tokens") > 0)
+    over = own.where("label4 = 'SPEC' and start > 0").select(
+        "article_id", (F.lit(2_000_000_000) + F.col("start")).cast("bigint").alias("ord"), F.lit("STRA/over").alias("source_key"), F.lit("STRA").alias("label4"),
+        (F.col("start") - 1).alias("start"), F.lit(2).alias("length"), (F.col("start") + 1).alias("end_excl"),
+    )
+    both, out = own.unionByName(over), None
+    for name, mapping in (("plain", None), ("empty map", {}), ("mapped", {"SPEC": "ORG"})):
+        r = sp.bio_labels(a, both, mapping).select(F.lit(name).alias("name"), "article_id", F.array_join("labels", " ").alias("labels"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_TYPE_OF = "CASE WHEN l_returnflag = 'A' THEN 'NEG' WHEN l_returnflag = 'R' THEN 'POS' WHEN l_linenumber = 5 THEN '' WHEN l_linenumber = 6 THEN 'RAW' END"
+_KNOWN_TYPES = "['NEG', 'POS']"
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, list_sort(list_distinct(list_filter(list({_TYPE_OF}), lambda t: t IS NOT NULL))) AS ts FROM lineitem GROUP BY 1),
+p AS (SELECT *, list_filter(ts, lambda t: list_contains({_KNOWN_TYPES}, t)) AS ps FROM t),
+r AS (SELECT l_orderkey AS id, ts, ps, {classify_sql("ts", "ps", "['NEG']", "t = 'NEG'")} AS reason FROM p)
+SELECT id, reason, CASE WHEN reason = 'no_non_negative_labels' THEN 'irrelevant' ELSE 'relevant' END AS category, reason LIKE 'negative_and%' AS forced_relevant FROM r""")
+def classify_edge(spark, sf_dir):
+    """Relevance of orders with negative, positive, unmapped and empty types; each of the five reasons."""
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    label = F.when(flag == "A", "B-NEG").when(flag == "R", "I-POS").when(line == 5, "B-").when(line == 6, "B-RAW").otherwise("O")
+    d = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(label).alias("labels"))
+    c = lb.classify(F.col("labels"), _map({"NEG": "NEG", "POS": "POS"}), F.array(F.lit("NEG")))
+    return d.select("id", c.alias("c")).select("id", "c.category", "c.forced_relevant", "c.reason")
+
+
+@query(f"""WITH men AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SPECIES}')) AS name FROM documents), own AS (SELECT doc_id, name FROM men WHERE name LIKE '% %'),
+f AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN left(name, 1) || '. ' || split_part(name, ' ', 2) ELSE name END AS phrase FROM own WHERE doc_id % 5 > 0),
+k AS (SELECT left(phrase, 1) AS initial, split_part(phrase, ' ', 2) AS epithet, phrase, split_part(phrase, ' ', 1) LIKE '%.' AS short FROM f)
+SELECT initial, epithet, coalesce(string_agg(phrase, ',' ORDER BY phrase) FILTER (NOT short), '') AS full_forms, coalesce(string_agg(phrase, ',' ORDER BY phrase) FILTER (short), '') AS abbreviations,
+  bool_and(short) AS orphan_abbreviation, coalesce(min(phrase) FILTER (NOT short), min(phrase)) AS representative FROM k GROUP BY 1, 2""")
+def lexicon_key_index_edge(spark, sf_dir):
+    """L1 L3: keys of names in documents, some of which are abbreviated and some in small letters, which isn't a name."""
+    i = F.col("doc_id")
+    m = fx.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.mentions(F.col("text"))).alias("pos", "name")).where("name like '% %'")
+    said = F.when(i % 5 == 0, F.lower("name")).when(i % 3 == 0, tx.abbreviation(F.col("name"))).otherwise(F.col("name"))
+    m = m.select(F.concat_ws(":", "doc_id", "pos").alias("article_id"), F.split(said, " ").alias("tokens"))
+    spans = m.select("article_id", F.lit("SPEC").alias("label4"), F.lit(0).alias("start"), F.size("tokens").alias("length"))
+    k = lx.lexicon_keys(lx.extract_lexicon(m, spans))
+    return k.select("initial", "epithet", F.array_join("full_forms", ",").alias("full_forms"), F.array_join("abbreviations", ",").alias("abbreviations"), "orphan_abbreviation", "representative")
+
+
+_SWAPS = {"the": "and", "and": "the", "th": "$1", ".": "; ", "a.": "(q)", "\\": "/"}
+
+
+@query("""WITH kv AS (SELECT map(['the', 'and', 'th', '.', 'a.', '\\'], ['and', 'the', '$1', '; ', '(q)', '/']) AS m),
+s AS (SELECT doc_id, string_split(regexp_replace(text, '(and|the|a\\.|th|\\.|\\\\)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents)
+SELECT doc_id, array_to_string(list_transform(x, lambda q, i: CASE WHEN i % 2 = 0 THEN m[q] ELSE q END), '') AS out FROM s, kv""")
+def replace_one_pass(spark, sf_dir):
+    """Words and marks of documents swapped in one pass: no cascades, longest key first, keys and values with special characters."""
+    return fx.table(spark, sf_dir, "documents").select("doc_id", tx.replace_all(F.col("text"), _map(_SWAPS)).alias("out"))
+
+
+@query(f"""WITH {_STRA}, rv AS (SELECT DISTINCT w.w FROM w JOIN documents d USING (doc_id) WHERE d.lang = 'en'), tr AS (SELECT doc_id, w AS src, a.a AS attempt FROM w, range({va.TRIES}) a(a)),
+made AS (SELECT doc_id, attempt, src, {_scrambled_sql("src", *_class_sql("doc_id::VARCHAR, attempt::VARCHAR"))} AS dst FROM tr),
+ok AS (SELECT doc_id, attempt, string_agg(src || '>' || dst, ' ' ORDER BY length(src) DESC, src) AS pairs FROM made GROUP BY 1, 2 HAVING count(*) FILTER (dst IN (SELECT w FROM rv)) = 0),
+best AS (SELECT doc_id, arg_min(pairs, attempt) AS pairs FROM ok GROUP BY 1)
+SELECT d.doc_id, best.pairs IS NULL AND d.doc_id IN (SELECT doc_id FROM w) AS exhausted, coalesce(best.pairs, '') AS pairs FROM documents d LEFT JOIN best USING (doc_id)""")
+def scramble_reserved(spark, sf_dir):
+    """Identifiers of documents scrambled to forms that no English document has; where every permutation hits one, none."""
+    own = _phrases(spark, sf_dir)
+    reserved = own.join(fx.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").select(F.explode("phrases").alias("phrase"))
+    r = va.scramble(own, SEED, reserved=reserved, id_col="doc_id")
+    return r.select("doc_id", "exhausted", F.array_join(F.transform("pairs", lambda p: F.concat(p["src"], F.lit(">"), p["dst"])), " ").alias("pairs"))
+
+
+@query(f"""WITH {_STRA}, t AS (SELECT article_id AS doc_id, ' ' || array_to_string(tokens, ' ') || ' ' AS t FROM art), c AS (SELECT doc_id, w AS p FROM w UNION SELECT doc_id, left(w, 2) FROM w),
+h AS (SELECT doc_id, string_agg(p, ' ' ORDER BY length(p) DESC, p) AS present FROM c JOIN t USING (doc_id) WHERE contains(t, ' ' || p || ' ') GROUP BY 1)
+SELECT doc_id, coalesce(present, '') AS present FROM documents LEFT JOIN h USING (doc_id)""")
+def phrases_present(spark, sf_dir):
+    """Which identifiers of a document, and which heads of them, stand in it as whole words, long ones first."""
+    asked = F.concat("phrases", F.transform("phrases", lambda p: F.left(p, F.lit(2))))
+    text = F.array_join(tx.words(F.col("text")), " ")
+    return _phrases(spark, sf_dir).select("doc_id", F.array_join(tx.phrases_present(text, asked), " ").alias("present"))

@@ -85,13 +85,6 @@ def switch_species_edge(spark, sf_dir):
     return d.select("id", tx.replace_all(F.col("text"), m).alias("switched"))
 
 
-@query("SELECT * FROM (VALUES (1, 'b a'), (2, 'y-x'), (3, '$1 q')) v(id, out)")
-def replace_one_pass(spark, sf_dir):
-    """No cascades, longest key first, keys with special characters."""
-    d = spark.sql("SELECT * FROM VALUES (1, 'a b', map('a', 'b', 'b', 'a')), (2, 'ab-a', map('a', 'x', 'ab', 'y')), (3, 'a.c q', map('a.c', '$1', 'a', 'z')) v(id, t, m)")
-    return d.select("id", tx.replace_all(F.col("t"), F.col("m")).alias("out"))
-
-
 _STRA = f"{SPANS}, w AS (SELECT DISTINCT article_id AS doc_id, w FROM tok WHERE regexp_matches(w, '[0-9]'))"
 
 
@@ -127,22 +120,6 @@ def scramble_text(spark, sf_dir):
     return va.scramble(_phrases(spark, sf_dir), SEED, id_col="doc_id").select("doc_id", "scrambled")
 
 
-@query("SELECT * FROM (VALUES (1, true, 'a1'), (2, false, NULL)) v(id, exhausted, scrambled)")
-def scramble_reserved(spark, sf_dir):
-    """When every permutation hits a reserved phrase the text stays; else the first free one is taken."""
-    d = spark.createDataFrame([(1, "a1", ["strain"]), (2, "b7", ["b7"])], "id int, text string, phrases array<string>")
-    reserved = spark.createDataFrame([("strain",)], "phrase string")
-    r = va.scramble(d, SEED, reserved=reserved, id_col="id")
-    return r.select("id", "exhausted", F.when(F.col("id") == 1, F.col("scrambled")).alias("scrambled"))
-
-
-@query("SELECT * FROM (VALUES (1, 'K12 b,B7'), (2, '')) v(id, present)")
-def phrases_present(spark, sf_dir):
-    """Phrases that stand in a text as whole words, long ones first."""
-    d = spark.createDataFrame([(1, "x K12 b B7", ["B7", "K12 b", "K1", ""]), (2, "none", ["B7"])], "id int, t string, p array<string>")
-    return d.select("id", F.array_join(tx.phrases_present(F.col("t"), F.col("p")), ",").alias("present"))
-
-
 _N = "len(list_filter(string_split_regex(coalesce({}, ''), '\\s+'), lambda q: q <> ''))"
 
 

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 from loomtext.functions import labels as lb
 from loomtext.functions import text as tx
 from loomtext.operators import claims as cl
+from loomtext.operators import lexicon as lx
 from loomtext.operators import matrix as mx
 from loomtext.operators import metrics as me
 from loomtext.operators import reports as rp
+from loomtext.operators import spans as sp
 from loomtext.operators import splits as st
 from loomtext.operators import summary as sm
+from loomtext.operators import variants as va
 from loomtext.operators import windows as wn
-from loomtext.plans.augmentation import _BARRED, _PERMITTED, _RAW, _SPECS, _license_sql
+from loomtext.plans.annotation import _map
+from loomtext.plans.augmentation import _BARRED, _PERMITTED, _RAW, _SPECS, SEED, _license_sql
+from loomtext.plans.registry import SENT
 from loomtext.sources.attribution import parse_attribution
 
 EDGES = {}
@@ -215,6 +220,77 @@ def padding(spark, sf_dir):
     return mx.padded(d, "ids", 0, "batch").select("id", F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"))
 
 
+_EDGE = [(1, "a b. Fig. c ]. d"), (2, "x. yy. al. Sp. z"), (3, "no end"), (4, "."), (5, "]."), (6, "E.G. is no end. but this is")]
+
+
+_CLASSES = [
+    (1, "B-NEG B-POS", "relevant", True, "negative_and_other"), (2, "B-POS O", "relevant", False, "has_non_negative_label"), (3, "B-NEG B-RAW", "relevant", True, "negative_and_raw_other"),
+    (4, "B-RAW", "relevant", False, "has_raw_label_only"), (5, "O B-NEG", "irrelevant", False, "no_non_negative_labels"), (6, "O X B-", "relevant", False, "has_raw_label_only"),
+]
+
+
+@edge(rf"""WITH art AS (SELECT a AS article_id, string_split(t, ' ') AS tokens FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _EDGE)}) v(a, t)),
+tok AS (SELECT article_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) - 1 AS pos FROM art), {SENT} SELECT article_id, s, e FROM sent""")
+def sentence_bounds_edge(spark, sf_dir):
+    """Short tokens, brackets, abbreviations in any case, a text without end."""
+    a = spark.createDataFrame(_EDGE, "article_id int, t string").select("article_id", F.split("t", " ").alias("tokens"))
+    return a.select("article_id", F.explode(wn.sentences(F.col("tokens"))).alias("x")).select("article_id", "x.s", "x.e")
+
+
+@edge("""SELECT * FROM (VALUES ('plain', 'O B-SPEC B-STRA O O'), ('null map', 'O B-SPEC B-STRA O O'), ('empty map', 'O O O O O'), ('mapped', 'O B-ORG I-ORG O O')) v(name, labels)""")
+def bio_labels_overlap(spark, sf_dir):
+    """Later spans overwrite; an empty map turns all to O, a null map nothing."""
+    a = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"])], "article_id int, tokens array<string>")
+    m = a.select("article_id", F.expr("map('species/x', array('1+2'), 'strain', array('2+1'))").alias("curation"))
+    own = sp.spans_from_map(m)
+    out = None
+    for name, mapping in (("plain", None), ("null map", None), ("empty map", {}), ("mapped", {"SPEC": "ORG"})):
+        r = sp.bio_labels(a, own, mapping).select(F.lit(name).alias("name"), F.array_join("labels", " ").alias("labels"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@edge(f"SELECT * FROM (VALUES {', '.join(f'({i}, {c!r}, {f}, {r!r})' for i, _, c, f, r in _CLASSES)}) v(id, category, forced_relevant, reason)")
+def classify_edge(spark, sf_dir):
+    """Each of the five reasons, and the empty type."""
+    d = spark.createDataFrame([(i, x.split(" ")) for i, x, *_ in _CLASSES], "id int, labels array<string>")
+    c = lb.classify(F.col("labels"), _map({"NEG": "NEG", "POS": "POS"}), F.array(F.lit("NEG")))
+    return d.select("id", c.alias("c")).select("id", "c.category", "c.forced_relevant", "c.reason")
+
+
+@edge("SELECT * FROM (VALUES ('E', 'coli', 'Escherichia coli', 'E. coli', false, 'Escherichia coli'), ('B', 'cereus', '', 'B. cereus', true, 'B. cereus'), ('S', 'aureus', 'Staph aureus,Staphylococcus aureus', '', false, 'Staph aureus')) v(initial, epithet, full_forms, abbreviations, orphan_abbreviation, representative)")
+def lexicon_key_index_edge(spark, sf_dir):
+    """L1 L3: orphan abbreviations, several full forms, phrases that don't match."""
+    rows = [(1, "Escherichia coli"), (2, "E. coli"), (3, "B. cereus"), (4, "Staphylococcus aureus"), (5, "Staph aureus"), (6, "not a name")]
+    a = spark.createDataFrame([(i, t.split(" ")) for i, t in rows], "article_id int, tokens array<string>")
+    s = spark.createDataFrame([(i, i, "SPEC/x", "SPEC", 0, len(t.split(" "))) for i, t in rows], "article_id int, ord int, source_key string, label4 string, start int, length int")
+    k = lx.lexicon_keys(lx.extract_lexicon(a, s))
+    return k.select("initial", "epithet", F.array_join("full_forms", ",").alias("full_forms"), F.array_join("abbreviations", ",").alias("abbreviations"), "orphan_abbreviation", "representative")
+
+
+@edge("SELECT * FROM (VALUES (1, 'b a'), (2, 'y-x'), (3, '$1 q')) v(id, out)")
+def replace_one_pass(spark, sf_dir):
+    """No cascades, longest key first, keys with special characters."""
+    d = spark.sql("SELECT * FROM VALUES (1, 'a b', map('a', 'b', 'b', 'a')), (2, 'ab-a', map('a', 'x', 'ab', 'y')), (3, 'a.c q', map('a.c', '$1', 'a', 'z')) v(id, t, m)")
+    return d.select("id", tx.replace_all(F.col("t"), F.col("m")).alias("out"))
+
+
+@edge("SELECT * FROM (VALUES (1, true, 'a1'), (2, false, NULL)) v(id, exhausted, scrambled)")
+def scramble_reserved(spark, sf_dir):
+    """When every permutation hits a reserved phrase the text stays; else the first free one is taken."""
+    d = spark.createDataFrame([(1, "a1", ["strain"]), (2, "b7", ["b7"])], "id int, text string, phrases array<string>")
+    reserved = spark.createDataFrame([("strain",)], "phrase string")
+    r = va.scramble(d, SEED, reserved=reserved, id_col="id")
+    return r.select("id", "exhausted", F.when(F.col("id") == 1, F.col("scrambled")).alias("scrambled"))
+
+
+@edge("SELECT * FROM (VALUES (1, 'K12 b,B7'), (2, '')) v(id, present)")
+def phrases_present(spark, sf_dir):
+    """Phrases that stand in a text as whole words, long ones first."""
+    d = spark.createDataFrame([(1, "x K12 b B7", ["B7", "K12 b", "K1", ""]), (2, "none", ["B7"])], "id int, t string, p array<string>")
+    return d.select("id", F.array_join(tx.phrases_present(F.col("t"), F.col("p")), ",").alias("present"))
+
+
 def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 

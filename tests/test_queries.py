@@ -8,7 +8,7 @@ import pytest
 from loomtext.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels pages conversations".split()
 
 
 @pytest.fixture(scope="module")
