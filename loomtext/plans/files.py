@@ -8,6 +8,7 @@ from loomtext import fixtures as fx
 from loomtext.operators import summary as sm
 from loomtext.plans import commands
 from loomtext.plans.augmentation import _SPLIT, _assigned
+from loomtext.plans.evaluation import _ROWS, _orders
 from loomtext.plans.registry import ART, LAB, LEX, RUNS, query
 from loomtext.shared import shared_dir
 from loomtext.sources import config, conll, jsonl, results, runs
@@ -43,15 +44,16 @@ def lexicon_file(spark, sf_dir):
 def _write_splits(spark, sf_dir, path: str) -> None:
     """``splits.json`` of three lineages of one task: one of the old layout, one with an article too many, one equal to the first."""
     rows = _assigned(spark, sf_dir).select(F.col("article_id").cast("string").alias("id"), "split")
-    per = rows.groupBy("split").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    ids = {r["split"]: r["ids"] for r in per.collect()}
+    per = rows.groupBy("split").agg(F.array_sort(F.collect_list("id")).alias("ids")).agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("m"))
+    ids = {split: F.coalesce(F.try_element_at("m", F.lit(split)), F.array().cast("array<string>")) for split in ("train", "test", "eval")}
+    first, rest = lambda x: F.slice(x, 1, 1), lambda x: F.slice(x, F.lit(2), F.size(x))
     documents = {
-        "set1": {"split_checksums": ids},
-        "set2": {"train_checksums": ids["train"], "test_checksums": [*ids["test"], ids["train"][0]], "eval_checksums": {"eval": ids["eval"][1:]}},
-        "set3": {"split_checksums": {"train": ids["train"][1:], "test": ids["test"], "eval": ids["eval"][:1]}},
+        "set1": F.struct(F.col("m").alias("split_checksums")),
+        "set2": F.struct(ids["train"].alias("train_checksums"), F.concat(ids["test"], first(ids["train"])).alias("test_checksums"), F.struct(rest(ids["eval"]).alias("eval")).alias("eval_checksums")),
+        "set3": F.struct(F.struct(rest(ids["train"]).alias("train"), ids["test"].alias("test"), first(ids["eval"]).alias("eval")).alias("split_checksums")),
     }
-    for lineage, value in documents.items():
-        jsonl.write_document(spark, value, f"{path}/profiles/p1/task1/{lineage}/splits.json")
+    of = [F.struct(F.lit(f"profiles/p1/task1/{lineage}/splits.json").alias("name"), F.to_json(value).alias("value")) for lineage, value in documents.items()]
+    jsonl.write_named(per.select(F.explode(F.array(*of)).alias("x")).select("x.*"), path)
 
 
 @query(f"""WITH {_SPLIT}, a AS (SELECT article_id::VARCHAR AS id, split FROM asg), o AS (SELECT split, min(id) AS id FROM a GROUP BY 1),
@@ -127,3 +129,20 @@ def run_files(spark, sf_dir):
     back = runs.read_metrics(spark, path, name="*.txt")
     run = F.url_decode(F.url_decode(F.regexp_extract("run", r"/run=([^/]*)/[^/]*$", 1)))
     return back.select(run.alias("run"), "set", "seed", "model_id", "train_variant", "eval_set", "effective_epoch", *(F.round(m, 9).alias(m) for m in ("loss", "precision", "recall", "f1")))
+
+
+@query(f"""WITH {_ROWS}, o AS (SELECT l_orderkey, string_agg(t, ' ' ORDER BY l_linenumber, t, label) AS text, string_agg(label, ' ' ORDER BY l_linenumber, t, label) AS labels, max(label) AS category FROM lb GROUP BY 1),
+n AS (SELECT *, l_orderkey % 4 AS k, (row_number() OVER (PARTITION BY l_orderkey % 4 ORDER BY l_orderkey) - 1)::INT AS idx FROM o)
+SELECT 'task1' AS task, 'set' || k AS "set", 'train' AS split, 'all' AS variant, idx, CASE WHEN k = 3 THEN printf('ex_%08d', idx) ELSE l_orderkey::VARCHAR END AS example_id, text, labels, CASE WHEN k < 3 THEN category END AS category FROM n""")
+def sets_with_metadata(spark, sf_dir):
+    """IO2 IO7 IO8 IO13: orders as four example sets, three of them with metadata, found and read back with it."""
+    path = shared_dir(spark, "sets")
+    o = _orders(spark, sf_dir).withColumn("at", F.col("example_id").cast("bigint"))
+    name = lambda end: F.concat(F.lit("task1/set"), (F.col("at") % 4).cast("string"), F.lit(f"/train/all{end}")).alias("name")
+    jsonl.write_named(o.select(name(".set"), F.concat(conll.conll_text(F.col("tokens"), F.col("labels")), F.lit("\n")).alias("value"), "at"), path, "at")
+    meta = F.to_json(F.struct("example_id", F.array_max("labels").alias("category")))
+    jsonl.write_named(o.where("at % 4 < 3").select(name(".meta.jsonl"), meta.alias("value"), "at"), path, "at")
+    key = lambda c, end: F.regexp_extract(c, rf"([^/]+/[^/]+/[^/]+/[^/]+?){end}$", 1).alias("key")
+    found = jsonl.discover_sets(spark, path).withColumn("key", key("path", r"\.set")).drop("path")
+    back = jsonl.with_metadata(spark, path).drop("variant").withColumn("key", key("stem", ""))
+    return back.join(found, "key").select("task", "set", "split", "variant", "idx", "example_id", F.array_join("tokens", " ").alias("text"), F.array_join("labels", " ").alias("labels"), "category")

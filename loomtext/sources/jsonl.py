@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.sources.conll import read_conll
@@ -48,6 +49,43 @@ def write_document(spark: SparkSession, value: dict, path: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+def write_named(rows: DataFrame, root: str, *order_by: str) -> None:
+    """Text files ``<root>/<name>`` of rows (name, value): the values of a name, in order, are the lines of its file.
+
+    Spark writes each file in a task of its own, as a part of a draft folder; the
+    driver renames the parts, so it sees names and no values.
+    """
+    draft = f"{root}/_draft"
+    rows.repartition("name").sortWithinPartitions("name", *order_by).select("name", "value").write.partitionBy("name").text(draft)
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(draft).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(at(draft)):
+        kind, _, name = folder.getPath().getName().partition("=")
+        if kind == "name":
+            target = at(f"{root}/{unquote(name)}")
+            fs.mkdirs(target.getParent())
+            (part,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            if not fs.rename(part, target):
+                raise OSError(f"cannot write {target}")
+    fs.delete(at(draft), True)
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, idx, value): the lines of each file that aren't blank, with their numbers.
+
+    Byte ranges of a file are read by several tasks: lines are numbered within
+    their range and moved up by the lines of the ranges before.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").cast("bigint").alias("block")]
+    lines = lines.select(*place, F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
+    sizes = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
+    return numbered.join(sizes.select("path", "block", before.alias("before")), ["path", "block"]).select("path", (F.col("before") + F.col("i")).cast("int").alias("idx"), "value")
+
+
 def stable_rows(rows: DataFrame) -> DataFrame:
     """Projection to the stable columns, those it lacks as nulls."""
     return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in STABLE))
@@ -75,11 +113,9 @@ def with_metadata(spark: SparkSession, path: str) -> DataFrame:
     A set whose metadata has another number of rows is an error; a set without
     metadata gets ids ``ex_%08d`` and null metadata.
     """
-    examples = read_conll(spark, path).where("path like '%.set'").withColumn("stem", F.regexp_replace("path", r"\.set$", ""))
-    lines = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").where("path like '%.meta.jsonl'")
-    split = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    examples = read_conll(spark, path, glob="*.set").withColumn("stem", F.regexp_replace("path", r"\.set$", ""))
     kept = "struct<example_id:string,checksum:string,variant:string,category:string,reason:string,forced_relevant:boolean,types_raw:array<string>,types_pooled:array<string>,token_count:int>"
-    meta = lines.select(F.regexp_replace("path", r"\.meta\.jsonl$", "").alias("stem"), F.posexplode(split).alias("idx", "j")).select("stem", "idx", F.from_json("j", kept).alias("m"))
+    meta = numbered_lines(spark, path, "*.meta.jsonl").select(F.regexp_replace("path", r"\.meta\.jsonl$", "").alias("stem"), "idx", F.from_json("value", kept).alias("m"))
     has = meta.select("stem").distinct().withColumn("has_meta", F.lit(True))
     both = examples.join(meta, ["stem", "idx"], "full").join(has, "stem", "left")
     bad = F.col("tokens").isNull() | (F.col("has_meta").isNotNull() & F.col("m").isNull())

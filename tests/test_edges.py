@@ -21,6 +21,7 @@ from loomtext.operators import windows as wn
 from loomtext.plans.annotation import _map
 from loomtext.plans.augmentation import _BARRED, _PERMITTED, _RAW, _SPECS, SEED, _license_sql
 from loomtext.plans.registry import SENT
+from loomtext.sources import jsonl
 from loomtext.sources.attribution import parse_attribution
 
 EDGES = {}
@@ -323,3 +324,19 @@ def test_long_derived_rows(spark):
     assert row["a"] == " ".join(["(ab) x 7,"] * 20_000)
     assert row["b"] == " ".join(["(ab) x 7 (B-N),"] * 20_000)
     assert row["c"] == [v for i in range(60_000) for v in (int(words[i] == "7"), -100)]
+
+
+def test_numbered_lines_over_byte_ranges(spark, tmp_path):
+    """Numbers don't depend on the byte ranges; blank lines have none; a name with special characters is written as it is."""
+    rows = [(f"a b/x={k}.meta.jsonl", f'{{"k": {k}, "i": {i}}}' + ("\n  " if i % 3 == 0 else ""), i) for k in range(2) for i in range(300)]
+    jsonl.write_named(spark.createDataFrame(rows, "name string, value string, i int"), str(tmp_path), "i")
+    assert sorted(p.name for p in (tmp_path / "a b").iterdir() if not p.name.startswith(".")) == ["x=0.meta.jsonl", "x=1.meta.jsonl"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        lines = jsonl.numbered_lines(spark, str(tmp_path), "*.meta.jsonl")
+        ranges = spark.read.option("recursiveFileLookup", True).text(str(tmp_path)).select("_metadata.file_path", "_metadata.file_block_start").distinct()
+        assert ranges.count() > 10
+        got = lines.select("idx", F.get_json_object("value", "$.i").cast("int").alias("i"), F.get_json_object("value", "$.k").alias("k")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 600 and all(r.idx == r.i for r in got) and {r.k for r in got} == {"0", "1"}
