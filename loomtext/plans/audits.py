@@ -19,8 +19,10 @@ from loomtext.operators import variants as va
 from loomtext.operators import windows as wn
 from loomtext.plans.annotation import _map
 from loomtext.plans.augmentation import _ATTR, _BARRED, _PERMITTED, _RAW, _SPECS, _SPLIT, _STRA, SEED, _assigned, _class_sql, _license_sql, _phrases, _scrambled_sql
-from loomtext.plans.evaluation import _CHECKED_ERRORS, _ROWS, _faulty_runs, _orders
+from loomtext.plans.evaluation import _CHECKED_ERRORS, _KEYS, _ROWS, _faulty_runs, _orders
 from loomtext.plans.registry import LAB, RUNS, SENT, SPANS, SPECIES, classify_sql, query
+from loomtext.shared import shared_dir
+from loomtext.sources import runs
 from loomtext.sources.attribution import parse_attribution
 
 # ---------------------------------------------------------------- example sets and claims
@@ -412,3 +414,27 @@ def phrases_present(spark, sf_dir):
     asked = F.concat("phrases", F.transform("phrases", lambda p: F.left(p, F.lit(2))))
     text = F.array_join(tx.words(F.col("text")), " ")
     return _phrases(spark, sf_dir).select("doc_id", F.array_join(tx.phrases_present(text, asked), " ").alias("present"))
+
+
+# ---------------------------------------------------------------- report sinks
+
+_MEANS = f"{RUNS}, g AS (SELECT {_KEYS}, count(*) AS n_runs, avg(loss) AS loss, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM runs GROUP BY {_KEYS})"
+
+
+def _means(spark, sf_dir):
+    return rp.report(rp.strict_metrics(fx.run_metrics(spark, sf_dir)).withColumn("effective_epoch", F.col("epoch")))
+
+
+@query(f"WITH {_MEANS} SELECT {_KEYS}, n_runs, round(loss, 6) AS loss, round(precision * 100, 4) AS precision, round(recall * 100, 4) AS recall, round(f1 * 100, 4) AS f1 FROM g")
+def report_csv(spark, sf_dir):
+    """IO16: means of runs by group as CSV and back, metrics but the loss in percent."""
+    path = shared_dir(spark, "report")
+    runs.write_csv(_means(spark, sf_dir), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*_KEYS.split(", "), F.col("n_runs").cast("bigint").alias("n_runs"), F.round(F.col("loss").cast("double"), 6).alias("loss"), *(F.col(m).cast("double").alias(m) for m in ("precision", "recall", "f1")))
+
+
+@query(f"WITH {_MEANS} SELECT rpad(model_id, 24, ' ') || rpad(train_variant, 24, ' ') || rpad(eval_set, 24, ' ') || rpad(n_runs::VARCHAR, 24, ' ') || printf('%.4f', f1) AS line FROM g")
+def report_table(spark, sf_dir):
+    """IO17: means of runs by group as lines of fixed columns."""
+    return runs.table_text(_means(spark, sf_dir), ["model_id", "train_variant", "eval_set", "n_runs", "f1"])
