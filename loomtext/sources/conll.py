@@ -10,7 +10,7 @@ _SPACE = " \t\n\x0b\x0c\r"
 _PIECE = "path string, block bigint, k int, closed boolean, tokens array<string>, labels array<string>"
 
 
-def read_conll(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
+def read_conll(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
     """(path, idx, tokens, labels): examples of each file in order; of a folder, files whose name matches ``glob``.
 
     A line splits at its first space; lines without one are skipped; examples
@@ -20,7 +20,8 @@ def read_conll(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
     example that goes beyond it; those are put together, a few rows for each range.
     Numbers come from the examples of each range, summed over the ranges before.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    reader = spark.read.option("recursiveFileLookup", True)
+    lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").cast("bigint").alias("block"), "value")
     pieces = lines.mapInArrow(_pieces, _PIECE)
     in_block = Window.partitionBy("path", "block")
