@@ -256,6 +256,17 @@ def test_rows_are_copied_a_bounded_number_of_times_and_units_have_their_own_task
     assert len(sums) == 80 and all(x.n == x.value == 200 for x in sums)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 4097, 100_001])
+def test_middles_equal_sorted_draws(n, monkeypatch):
+    from loomtext.operators import bootstrap as bs
+
+    monkeypatch.setattr(bs, "TALLY", 40_000)
+    draws = bs.Draws(1, "k", n)
+    for r, got in enumerate(bs._middles(draws, 0, 3)):
+        want = sorted(drawn(1, "k", n, r))
+        assert draws.places(got).tolist() == [want[(n - 1) // 2], want[n // 2]]
+
+
 @pytest.mark.parametrize("rows, plain", [(5, False), (40, False), (3000, True)])
 def test_portions_add_up(rows, plain, monkeypatch):
     import numpy as np
