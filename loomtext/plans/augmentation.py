@@ -50,7 +50,7 @@ def sampled_names(spark, sf_dir):
     """A replacement for each distinct name of a document."""
     lex = materialise(fx.lexicon(spark, sf_dir), "lexicon")
     known = lx.known_mentions(fx.table(spark, sf_dir, "documents"), lex)
-    return sa.sampled_names(known, lx.full_pool(lex), SEED)
+    return sa.sampled_names(known, lex, SEED)
 
 
 @query(f"""WITH {_SWITCH},
