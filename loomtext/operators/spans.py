@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.labels import label_code
+from loomtext.functions.let import let
 
 
 def spans_from_map(articles: DataFrame, *, id_col: str = "article_id", map_col: str = "curation") -> DataFrame:
@@ -21,22 +22,35 @@ def bio_labels(tokens: DataFrame, spans: DataFrame, mapping: dict[str, str] | No
     """(id, tokens, labels): spans in the order of ``ord``, later ones overwrite.
 
     With a mapping (an empty one too), a label that it lacks or maps to ``O`` is
-    skipped. A span beyond the tokens is an error. Spans are joined to their
-    article once; positions are folded within the row.
+    skipped. A span beyond the tokens is an error. Spans meet the number of tokens
+    of their article, so a reader of labels alone shuffles no token, and labels
+    are put together from the gaps between labelled tokens, in one pass.
     """
     label = F.col("label4")
     if mapping is not None:
         label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv)), F.col("label4")) if mapping else F.lit(None).cast("string"), F.lit("O"))
     own = spans.withColumn("label", label).where("label <> 'O' and length > 0")
-    # dealt by article once, which both groupings and the join accept
-    own = own.select(id_col, "ord", "label", "start", "length").repartition(id_col)
-    cells = own.select(id_col, "ord", "label", "start", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos"))
-    value = F.concat(F.when(F.col("pos") == F.col("start"), "B-").otherwise("I-"), "label")
-    last = cells.groupBy(id_col, "pos").agg(F.max_by(value, "ord").alias("label"))
-    maps = last.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pos", "label"))).alias("at"), F.max("pos").alias("far"))
-    labels = F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(F.col("at"), i), F.lit("O")))
-    checked = F.when(F.coalesce(F.col("far"), F.lit(-1)) >= F.size("tokens"), F.raise_error(F.lit("span beyond the tokens")).cast("array<string>")).otherwise(labels)
-    return tokens.join(maps, id_col, "left").select(id_col, "tokens", checked.alias("labels"))
+    lists = own.groupBy(id_col).agg(F.collect_list(F.struct("start", "length", "ord", "label")).alias("own"))
+    counted = tokens.select(id_col, "tokens", F.size("tokens").alias("_n")).join(lists, id_col, "left")
+    return counted.select(id_col, "tokens", _filled(F.col("own"), F.col("_n")).alias("labels"))
+
+
+def _filled(spans: Column, n: Column) -> Column:
+    """``n`` labels: those of the spans' tokens, of several on one token that of the last ``ord``, and ``O`` between them."""
+
+    def cell(x: Column, pos: Column) -> Column:
+        return F.struct(pos.alias("pos"), x["ord"].alias("ord"), F.concat(F.when(pos == x["start"], "B-").otherwise("I-"), x["label"]).alias("label"))
+
+    cells = F.flatten(F.transform(spans, lambda x: F.transform(F.sequence(x["start"], x["start"] + x["length"] - 1), lambda pos: cell(x, pos))))
+    last = let(F.sort_array(F.filter(cells, lambda c: c["pos"] >= 0)), lambda own: F.filter(own, lambda c, i: F.coalesce(F.get(own, i + 1)["pos"] != c["pos"], F.lit(True))))
+    gap = lambda k: F.array_repeat(F.lit("O"), k)
+
+    def fill(own: Column) -> Column:
+        far = F.coalesce(F.get(own, F.size(own) - 1)["pos"], F.lit(-1))
+        parts = F.transform(own, lambda c, i: F.concat(gap(c["pos"] - F.coalesce(F.get(own, i - 1)["pos"], F.lit(-1)) - 1), F.array(c["label"])))
+        return F.when(far >= n, F.raise_error(F.lit("span beyond the tokens")).cast("array<string>")).otherwise(F.concat(F.flatten(parts), gap(n - far - 1)))
+
+    return F.when(spans.isNull(), gap(n)).otherwise(let(last, fill))
 
 
 def phrase(tokens: Column, start: Column, length: Column) -> Column:
