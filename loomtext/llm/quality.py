@@ -193,7 +193,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     known = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(~held_out(id_col) & F.col(label_col).isin(0, 1))
     known = materialise(known.join(F.broadcast(sampled(known.select(id_col), fit_ids)), id_col, "left_semi"), "labels")
     rows = docs.select(id_col, text_col).join(F.broadcast(known.select(id_col).distinct()), id_col, "left_semi")
-    model = fit(document_statistics(rows, id_col=id_col, text_col=text_col).join(known, id_col).select("label", "stats"))
+    # written, so that no task has two Python workers, which the executor would keep
+    stats = materialise(document_statistics(rows, id_col=id_col, text_col=text_col), "statistics")
+    model = fit(stats.join(known, id_col).select("label", "stats"))
     at = docs.columns.index(text_col)
 
     def run(batches):

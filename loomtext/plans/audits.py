@@ -21,7 +21,7 @@ from loomtext.plans.annotation import _map
 from loomtext.plans.augmentation import _ATTR, _BARRED, _PERMITTED, _RAW, _SPECS, _SPLIT, _STRA, SEED, _assigned, _class_sql, _license_sql, _phrases, _scrambled_sql
 from loomtext.plans.evaluation import _CHECKED_ERRORS, _KEYS, _ROWS, _faulty_runs, _orders
 from loomtext.plans.registry import LAB, RUNS, SENT, SPANS, SPECIES, classify_sql, query
-from loomtext.shared import shared_dir
+from loomtext.shared import materialise, shared_dir
 from loomtext.sources import runs
 from loomtext.sources.attribution import parse_attribution
 
@@ -342,7 +342,7 @@ def bio_labels_overlap(spark, sf_dir):
         "article_id", (F.lit(2_000_000_000) + F.col("start")).cast("bigint").alias("ord"), F.lit("STRA/over").alias("source_key"), F.lit("STRA").alias("label4"),
         (F.col("start") - 1).alias("start"), F.lit(2).alias("length"), (F.col("start") + 1).alias("end_excl"),
     )
-    both, out = own.unionByName(over), None
+    both, out = materialise(own.unionByName(over), "spans"), None
     for name, mapping in (("plain", None), ("empty map", {}), ("mapped", {"SPEC": "ORG"})):
         r = sp.bio_labels(a, both, mapping).select(F.lit(name).alias("name"), "article_id", F.array_join("labels", " ").alias("labels"))
         out = r if out is None else out.unionByName(r)
