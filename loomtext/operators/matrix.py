@@ -31,11 +31,12 @@ def resolve_hparams(jobs: DataFrame, levels: list[DataFrame], defaults: dict[str
 
     ``levels``: tables (job_id, name, value) from the most specific one on.
     """
-    spark = jobs.sparkSession
-    out = spark.createDataFrame(list(defaults.items()), "name string, value string").crossJoin(jobs.select("job_id")).withColumn("level", F.lit(len(levels)))
+    given = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).cast("string").alias("value")) for n, v in defaults.items())).cast("array<struct<name:string,value:string>>")
+    out = jobs.select("job_id", F.explode(given).alias("d")).select("d.name", "d.value", "job_id").withColumn("level", F.lit(len(levels)))
     for i, level in enumerate(levels):
         out = out.unionByName(level.select("name", "value", "job_id").withColumn("level", F.lit(i)))
-    return out.groupBy("job_id", "name").agg(F.min_by("value", "level").alias("value"))
+    # dealt first: strings are aggregated by sorting, which before the shuffle would hold a whole input split of each task and merge next to nothing
+    return out.repartition("job_id", "name").groupBy("job_id", "name").agg(F.min_by("value", "level").alias("value"))
 
 
 def variant_pattern(jobs: DataFrame, patterns: DataFrame) -> DataFrame:
