@@ -8,8 +8,12 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext.shared import materialise
 from loomtext.sources.conll import read_conll
 
+#: Ids of lines that are numbered together; rows that are broadcast at most.
+_PART, _FEW = 4096, 10_000
+
 STABLE = ("example_id", "tokens", "labels", "checksum", "variant", "category")
 META = ("checksum", "variant", "category", "reason", "forced_relevant", "types_raw", "types_pooled", "token_count")
 
@@ -71,19 +75,28 @@ def write_named(rows: DataFrame, root: str, *order_by: str) -> None:
     fs.delete(at(draft), True)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, counted first and broadcast if they are few: a key of many rows on the other side stays where it is."""
+    return F.broadcast(rows) if rows.count() <= _FEW else rows
+
+
 def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, idx, value): the lines of each file that aren't blank, with their numbers.
 
-    Byte ranges of a file are read by several tasks: lines are numbered within
-    their range and moved up by the lines of the ranges before.
+    Byte ranges of a file are read by several tasks, each once, and its lines are
+    written as they come: a range's own lines have consecutive ids, so it takes
+    the first one and the lines of the ranges before to number them.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").cast("bigint").alias("block")]
-    lines = lines.select(*place, F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
-    sizes = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    lines = lines.select(*place, "value").where(F.trim("value") != "").coalesce(8 * spark.sparkContext.defaultParallelism)
+    lines = materialise(lines.select("*", F.monotonically_increasing_id().alias("at")), "lines")
+    sizes = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
-    return numbered.join(sizes.select("path", "block", before.alias("before")), ["path", "block"]).select("path", (F.col("before") + F.col("i")).cast("int").alias("idx"), "value")
+    part = lambda at: F.floor(at / F.lit(_PART))
+    ranges = sizes.withColumn("by", before - F.col("first")).select("path", "block", "by", F.explode(F.sequence(part(F.col("first")), part(F.col("first") + F.col("n") - 1))).alias("part"))
+    numbered = lines.withColumn("part", part(F.col("at"))).join(few(ranges), ["path", "block", "part"])
+    return numbered.select("path", (F.col("at") + F.col("by")).cast("int").alias("idx"), "value")
 
 
 def stable_rows(rows: DataFrame) -> DataFrame:
@@ -116,7 +129,8 @@ def with_metadata(spark: SparkSession, path: str) -> DataFrame:
     examples = read_conll(spark, path, glob="*.set").withColumn("stem", F.regexp_replace("path", r"\.set$", ""))
     kept = "struct<example_id:string,checksum:string,variant:string,category:string,reason:string,forced_relevant:boolean,types_raw:array<string>,types_pooled:array<string>,token_count:int>"
     meta = numbered_lines(spark, path, "*.meta.jsonl").select(F.regexp_replace("path", r"\.meta\.jsonl$", "").alias("stem"), "idx", F.from_json("value", kept).alias("m"))
-    has = meta.select("stem").distinct().withColumn("has_meta", F.lit(True))
+    # a set's rows don't meet in a task for this
+    has = few(meta.select("stem").distinct().withColumn("has_meta", F.lit(True)))
     both = examples.join(meta, ["stem", "idx"], "full").join(has, "stem", "left")
     bad = F.col("tokens").isNull() | (F.col("has_meta").isNotNull() & F.col("m").isNull())
     checked = F.when(bad, F.raise_error(F.concat(F.lit("examples and metadata differ in number: "), "stem")).cast("string")).otherwise(F.coalesce("m.example_id", F.format_string("ex_%08d", "idx")))
